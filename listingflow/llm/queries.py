@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listingflow.llm.common import table
+from listingflow.llm.html_extract import extract_pages
+from listingflow.llm.lm_scoring import score_texts
 from listingflow.llm.mixing import mix
 from listingflow.llm.packing import pack
 from listingflow.llm.quality_rules import fit_rules, judge_quality
@@ -18,6 +20,10 @@ from listingflow.llm.url_filters import judge_urls
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = pack(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -38,6 +44,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mix(table(spark, sf_dir, "documents"))
     return got.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
@@ -60,7 +70,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_token_counts, op4_url_filters, op5_secret_scan, op7_mixing, op8_simhash, op9_quality_rules, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_packing, op3_token_counts, op4_url_filters, op5_secret_scan, op6_lm_scoring, op7_mixing, op8_simhash, op9_quality_rules, op10_top_k)}
 
 ORACLE = {
     "op4_url_filters": r"""
