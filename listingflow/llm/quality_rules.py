@@ -207,7 +207,10 @@ def judge_quality(docs: DataFrame, rules: DecisionList, text_col: str = "text",
     rules.  Null and empty texts have no words and fail.  Rows are neither dropped nor
     merged, and nothing is shuffled.
     """
-    stats = docs.withColumn("quality_stats", text_stats(F.col(text_col).cast("string")))
-    s = F.col("quality_stats")
-    failed = (s["n_words"] < min_words) | (100 * s["n_repeat_words"] > max_repeat_percent * s["n_words"])
-    return stats.withColumn("quality_stats", s.withField("base_failed", failed).withField("kept", ~failed & rules.keeps(features(s))))
+
+    def judged(s: Column) -> Column:
+        failed = (s["n_words"] < min_words) | (100 * s["n_repeat_words"] > max_repeat_percent * s["n_words"])
+        return s.withField("base_failed", failed).withField("kept", ~failed & rules.keeps(features(s)))
+
+    # bound once: a filter on it would otherwise repeat the statistics for every condition
+    return docs.withColumn("quality_stats", let(text_stats(F.col(text_col).cast("string")), judged))
