@@ -38,7 +38,7 @@ def staged(df: DataFrame, label: str, rows_per_batch: int | None = None) -> Data
     try:
         if rows_per_batch:
             spark.conf.set(batch, rows_per_batch)
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(batch, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -9,8 +9,6 @@ exclusive or and bit count.
 
 from __future__ import annotations
 
-from itertools import product
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,6 +21,8 @@ SEED = 42
 SLICE = 1 << 16
 #: Distinct fingerprints up to which they are split into so many parts; all give the same links.
 PARTS = ((20_000, 1), (1_500_000, 2), (None, 4))
+#: Other tiles that one may meet; beyond it, finer parts cost more copies than they spare comparisons.
+MOST_STEPS = 100
 
 
 def fingerprint_bits(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -95,6 +95,14 @@ def _tile_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.nd
     return nodes[moved], nodes[label[moved]]
 
 
+def _steps(parts: int, radius: int) -> list[tuple]:
+    """Half of the differences of population counts that a pair within ``radius`` can have."""
+    found = [()]
+    for _ in range(parts):
+        found = [(*d, x) for d in found for x in range(-radius, radius + 1) if sum(map(abs, d)) + abs(x) <= radius]
+    return [d for d in found if d >= (0,) * parts]
+
+
 def near_links(distinct: DataFrame, radius: int = 3, tile: int = 4096) -> DataFrame:
     """Links (``u``, ``v``) between the fingerprints ``fp`` of ``distinct``: a spanning forest of each pair of tiles.
 
@@ -104,6 +112,8 @@ def near_links(distinct: DataFrame, radius: int = 3, tile: int = 4096) -> DataFr
     """
     n = distinct.count()
     parts = next(p for most, p in PARTS if most is None or n <= most)
+    while parts > 1 and len(_steps(parts, radius)) > MOST_STEPS:
+        parts //= 2
     width = 64 // parts
     counts = [F.bit_count(F.col("fp").bitwiseAND(_mask(k * width, width))).cast("int").alias(f"c{k}") for k in range(parts)]
     key = F.array(*[f"c{k}" for k in range(parts)])
@@ -111,8 +121,7 @@ def near_links(distinct: DataFrame, radius: int = 3, tile: int = 4096) -> DataFr
     sizes = keyed.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / tile)).cast("int").alias("splits"))
     dealt = keyed.join(F.broadcast(sizes), "key").withColumn("split", F.pmod(F.xxhash64("fp", F.lit("tile")), "splits").cast("int"))
     tiles = staged(dealt.groupBy("key", "split").agg(F.sort_array(F.collect_list("fp")).alias("fps")), "simhash-tiles")
-    steps = [d for d in product(range(-radius, radius + 1), repeat=parts) if sum(map(abs, d)) <= radius and d >= (0,) * parts]
-    step = F.array(*[F.array(*map(F.lit, d)) for d in steps])
+    step = F.array(*[F.array(*map(F.lit, d)) for d in _steps(parts, radius)])
     left = tiles.select("key", F.col("split").alias("split_a"), F.col("fps").alias("a"), F.explode(step).alias("step"))
     left = left.select(F.zip_with("key", "step", lambda x, y: x + y).alias("to"), (F.aggregate("step", F.lit(0), lambda s, x: s + F.abs(x)) == 0).alias("same"), "split_a", "a")
     pairs = left.join(tiles.select(F.col("key").alias("to"), F.col("split").alias("split_b"), F.col("fps").alias("b")), "to")
@@ -208,7 +217,7 @@ def verified_forest(fps: np.ndarray, sets: list[np.ndarray], first: int, radius:
     return label
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 14, similarity: float = 0.8, block: int = 512) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 14, similarity: float = 0.8, block: int = 512, block_bytes: int = 2 << 20) -> DataFrame:
     """``docs`` with one document of each group of near duplicates, that of the smallest id.
 
     Two texts are linked whose fingerprints differ in ``radius`` bits or fewer and whose
@@ -218,7 +227,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     of rows repeated in id and text one stays.  Other columns are carried along.
 
     Candidate groups come from the tiles.  A group is cut into blocks of about ``block``
-    texts and pairs of blocks are checked apart, so no task holds a whole group.
+    texts and ``block_bytes`` of shingles, and pairs of blocks are checked apart, so no
+    task holds a whole group.
     """
     text = F.col(text_col).cast("string")
     keyed = docs.withColumn("_key", _key(F.col(id_col), text))
@@ -234,7 +244,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     asked = staged(asked, "dedup-asked")
     sets = keyed.select("_key", text.alias("text")).join(asked, "_key").dropDuplicates(["_key"])
     sets = staged(_shingle_sets(sets, shingle), "dedup-sets")
-    splits = sets.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias("splits"))
+    splits = sets.groupBy("part").agg(F.ceil(F.greatest(F.count("*") / block, F.sum(F.length("shingles")) / block_bytes)).cast("int").alias("splits"))
     blocks = sets.join(splits, "part").withColumn("split", F.pmod(F.xxhash64("digest"), F.col("splits")).cast("int"))
     blocks = staged(blocks.groupBy("part", "split").agg(F.max("splits").alias("splits"), F.collect_list(F.struct("digest", "fp", "shingles")).alias("rows")), "dedup-blocks")
     a = blocks.select("part", F.col("split").alias("sa"), F.col("rows").alias("a"), F.explode(F.sequence(F.col("split"), F.col("splits") - 1)).alias("sb"))
@@ -253,7 +263,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
                     v.append(rows[found[k]]["digest"])
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.string()), pa.array(v, pa.string())], names=["u", "v"])
 
-    links = staged(pairs.mapInArrow(run, "u string, v string"), "dedup-links", rows_per_batch=4)
+    links = staged(pairs.mapInArrow(run, "u string, v string"), "dedup-links", rows_per_batch=1)
     stars = connected_components(links, "dedup-stars")
     rooted = staged(texts.join(stars, F.col("digest") == F.col("node"), "left").select(F.coalesce("root", "digest").alias("root"), "least"), "dedup-rooted")
     kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.k").alias("_key"))
