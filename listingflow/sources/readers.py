@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from listingflow import schemas
 from listingflow.functions.ids import id_or_hash, repair_url
 from listingflow.functions.json_repair import records_of
+from listingflow.functions.text import trimmed
 
 FILE, PLACE = "_file", "_place"
 
@@ -18,13 +19,13 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_arrays(spark: SparkSession, path: str, schema: T.StructType = schemas.HIT) -> tuple[DataFrame, DataFrame]:
-    """Records of files that hold one JSON array each, and the files that don't.
+    """Records of files that hold one JSON array each, and the files that don't; files of no bytes are not read at all.
 
     Rows carry their file's name and place in it, which is the order of all that keeps
     the first; fields outside ``schema`` are in ``_extra``.
     """
     files = _files(spark, path).withColumn("a", F.from_json("value", T.ArrayType(T.MapType(T.StringType(), T.StringType()))))
-    bad = files.where(F.col("a").isNull() | (F.size("a") == 0)).select(FILE, F.when(F.trim("value") == "", "empty").when(F.col("a").isNull(), "not an array").otherwise("no records").alias("reason"))
+    bad = files.where(F.col("a").isNull() | (F.size("a") == 0)).select(FILE, F.when(trimmed(F.col("value")) == "", "empty").when(F.col("a").isNull(), "not an array").otherwise("no records").alias("reason"))
     rows = files.where(F.size("a") > 0).select(FILE, F.posexplode("a").alias(PLACE, "m"))
     return typed(rows, schema), bad
 

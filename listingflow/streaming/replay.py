@@ -37,8 +37,11 @@ def replay(log: DataFrame, machine: Callable[[], RateLimiter | Breaker], key: st
     return out.withColumnsRenamed({"k": key, "e": event})
 
 
-def replay_stream(events: DataFrame, machine: Callable[[], RateLimiter | Breaker], key: str, idle_ms: int = 3_600_000, event: str = "event_id", ms: str = "ms", ok: str = "ok") -> DataFrame:
-    """The same over a stream: the machine's state is kept for each key and dropped after ``idle_ms`` without events."""
+def replay_stream(events: DataFrame, machine: Callable[[], RateLimiter | Breaker], key: str, idle_ms: int | None = None, event: str = "event_id", ms: str = "ms", ok: str = "ok") -> DataFrame:
+    """The same over a stream: the machine's state is kept for each key, or dropped after ``idle_ms`` without events.
+
+    A stream with ``idle_ms`` looks for idle keys all the time, so it doesn't end by itself.
+    """
     rows = events.select(F.col(key).cast("string").alias("k"), F.col(event).cast("long").alias("e"), F.col(ms).cast("long").alias("ms"), F.col(ok).cast("boolean").alias("ok"))
 
     def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -53,9 +56,11 @@ def replay_stream(events: DataFrame, machine: Callable[[], RateLimiter | Breaker
             outcomes = [now.step(int(t), bool(good)) for t, good in zip(part["ms"], part["ok"])]
             yield pd.DataFrame({"k": part["k"], "e": part["e"], "outcome": outcomes})
         state.update((json.dumps(now.dump()),))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
 
-    return rows.groupBy("k").applyInPandasWithState(run, "k string, e long, outcome string", "dump string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return rows.groupBy("k").applyInPandasWithState(run, "k string, e long, outcome string", "dump string", "append", timeout)
 
 
 def unseen_stream(events: DataFrame, keys: list[str], time: str, ttl: str = "30 days") -> DataFrame:

@@ -97,7 +97,7 @@ def test_numbers(spark):
 
 
 def test_truncation_by_sentence_word_and_cut(spark):
-    for value, want in (("short", "short"), ("a" * 37 + ". " + "b" * 30, "a" * 37 + "."), ("a b" * 3 + "x" * 26 + " " + "c" * 30, ("a b" * 3 + "x" * 26)), ("z" * 99, "z" * 40)):
+    for value, want in (("short", "short"), ("a" * 37 + ". " + "b" * 30, "a" * 37 + "."), ("a b" * 3 + "x" * 26 + ". " + "c" * 30, "a b" * 3 + "x" * 26 + "."), ("s. " * 8 + "x" * 13 + " " + "c" * 30, "s. " * 8 + "x" * 13), ("z" * 99, "z" * 40)):
         assert one(spark, value, lambda c: text.truncate_to_tokens(c, 10)) == want
 
 

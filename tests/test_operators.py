@@ -163,7 +163,7 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a/one.json").write_text('[{"id":"1","title":"T","more":5},{"id":"2"}]')
     (tmp_path / "a/two.json").write_text('{"id":"3"}')
-    (tmp_path / "a/three.json").write_text("")
+    (tmp_path / "a/three.json").write_text("\n")
     good, bad = readers.read_arrays(spark, f"{tmp_path}/a/*.json")
     assert [(r["id"], r["_place"], r["_extra"]) for r in good.orderBy("_place").collect()] == [("1", 0, {"more": "5"}), ("2", 1, {})]
     assert {(r["_file"], r["reason"]) for r in bad.collect()} >= {("three.json", "empty")} and bad.count() == 2
@@ -241,15 +241,14 @@ def test_streams(spark, tmp_path):
     path, schema = str(tmp_path / "in"), "event_id long, k string, ms long, ok boolean"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path)
     stream = spark.readStream.schema(schema).parquet(path)
-    q = replay_stream(stream, lambda: RateLimiter(3, 200), "k").writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "c1")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = replay_stream(stream, lambda: RateLimiter(3, 200), "k").writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
     want = {r["event_id"]: r["outcome"] for r in replay(spark.createDataFrame(rows, schema), lambda: RateLimiter(3, 200), "k").collect()}
     assert {r["e"]: r["outcome"] for r in spark.table("limited").collect()} == want
     timed = stream.withColumn("t", F.timestamp_millis("ms"))
     seen = []
     q = micro_batches(unseen_stream(timed, ["k"], "t"), lambda df, n: seen.extend(r["k"] for r in df.collect()), str(tmp_path / "c2"))
-    q.awaitTermination(120)
+    assert q.awaitTermination(60)
     assert Counter(seen) == Counter({"a": 1, "b": 1, "c": 1})
 
 
