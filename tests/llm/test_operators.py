@@ -360,6 +360,31 @@ def test_keep_one(spark, odd):
     assert keep_one(odd).count() == 4 and keep_one(df.limit(0)).count() == 0
 
 
+def test_keep_one_equals_brute_force(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    sets, root, holders = [], list(range(len(rows))), defaultdict(list)
+    for i, r in enumerate(rows):
+        w = r["text"].encode().lower().split()
+        sets.append(set(zip(*(w[k:] for k in range(5)))) if len(w) > 5 else {tuple(w)})
+        for x in sets[-1]:
+            holders[x].append(i)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in enumerate(sets):
+        for j, k in Counter(j for x in s for j in holders[x] if j > i).items():
+            if k >= 0.8 * (len(s) + len(sets[j]) - k):
+                root[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(rows):
+        least[find(i)] = min(r["doc_id"], least.get(find(i), r["doc_id"]))
+    got = keep_one(spark.createDataFrame(rows))
+    assert {r["doc_id"] for r in got.collect()} == set(least.values())
+
+
 def test_verified_forest_is_exact():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 60, 40)).astype("u8") for _ in range(40)]
