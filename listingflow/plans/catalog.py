@@ -362,10 +362,10 @@ def clean_descriptions(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.clean_description(F.col("text")).alias("text"))
 
 
-@query("SELECT p_partkey, list_filter(list_distinct(string_split(p_name, ' ')), lambda x: x IN ('blue', 'green', 'red', 'steel')).list_sort() AS tags FROM part")
+@query("SELECT p_partkey, array_to_string(list_sort(list_filter(list_distinct(string_split(p_name, ' ')), lambda x: x IN ('blue', 'green', 'red', 'steel'))), ',') AS tags FROM part")
 def stack_tags(spark, sf_dir):
     tags = text.stack_tags(F.col("p_name"), F.lit(""), ["blue", "green", "red", "steel"])
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_sort(tags).alias("tags"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_sort(tags), ",").alias("tags"))
 
 
 _CUT = [p.replace("'", "''") for p in security.REDACTED]
@@ -470,17 +470,17 @@ def split_sections(spark, sf_dir):
     return s.select("conv_id", "turn", F.col("s")["A"].alias("first"), F.col("s")["B"].alias("second"))
 
 
-@query("SELECT c_custkey, list_filter([CASE WHEN length(c_name) > 15 THEN 'title is too long' END, CASE WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY') THEN 'segment' END, CASE WHEN c_acctbal < 0 THEN 'balance is out of range' END], lambda x: x IS NOT NULL) AS errors FROM customer")
+@query("SELECT c_custkey, array_to_string(list_filter([CASE WHEN length(c_name) > 15 THEN 'title is too long' END, CASE WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY') THEN 'segment' END, CASE WHEN c_acctbal < 0 THEN 'balance is out of range' END], lambda x: x IS NOT NULL), '; ') AS errors FROM customer")
 def validate_customers(spark, sf_dir):
     rules = [("title is too long", F.length("c_name") <= 15), ("segment", F.col("c_mktsegment").isin("BUILDING", "MACHINERY")), validation.range_rule("balance", 0, None)]
     rows = table(spark, sf_dir, "customer").withColumn("balance", F.col("c_acctbal"))
-    return rows.select("c_custkey", validation.errors(rules).alias("errors"))
+    return rows.select("c_custkey", F.array_join(validation.errors(rules), "; ").alias("errors"))
 
 
-@query("SELECT p_partkey, list_filter([CASE WHEN NOT regexp_matches(p_brand, '^[a-zA-Z0-9\\s\\-_&.,]+$') THEN 'company contains invalid characters' END], lambda x: x IS NOT NULL) AS errors FROM part")
+@query("SELECT p_partkey, array_to_string(list_filter([CASE WHEN NOT regexp_matches(p_brand, '^[a-zA-Z0-9\\s\\-_&.,]+$') THEN 'company contains invalid characters' END], lambda x: x IS NOT NULL), '; ') AS errors FROM part")
 def validate_listings(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"), F.col("p_brand").alias("company"), F.col("p_type").alias("location"), F.col("p_partkey").cast("string").alias("id"))
-    return rows.select("p_partkey", validation.errors(validation.listing_rules(rows.columns)).alias("errors"))
+    return rows.select("p_partkey", F.array_join(validation.errors(validation.listing_rules(rows.columns)), "; ").alias("errors"))
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS id, trim(o_orderpriority) AS title, '2024-01-01' AS postedDate, 'unknown' AS source FROM orders")
