@@ -19,6 +19,8 @@ from listingflow.llm.components import connected_components
 
 SEED = 42
 SLICE = 1 << 16
+#: Shingles of a few texts whose hashes are held at once.
+HELD = 1 << 18
 #: Distinct fingerprints up to which they are split into so many parts; all give the same links.
 PARTS = ((20_000, 1), (1_500_000, 2), (None, 4))
 #: Other tiles that one may meet; beyond it, finer parts cost more copies than they spare comparisons.
@@ -61,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         from xxhash import xxh64_intdigest as digest
 
         for batch in batches:
-            hashes, ends = [], []
+            parts, hashes, ends = [], [], []
             for text in batch.column(1):
                 words = (text.as_py() or "").encode().lower().split()
                 if len(words) > shingle:
@@ -69,10 +71,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 elif words:
                     hashes.append(digest(b" ".join(words), SEED))
                 ends.append(len(hashes))
-            h, at = np.array(hashes, dtype="<u8"), np.array(ends, dtype=np.int64)
-            found = [fingerprint_bits(_mixed(h, k) if k else h, at) if ends else np.zeros(0, "<u8") for k in range(more + 1)]
+                if len(hashes) > HELD:
+                    parts.append(finished(hashes, ends))
+                    hashes, ends = [], []
+            parts.append(finished(hashes, ends))
+            found = [np.concatenate(f) for f in zip(*parts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(f.view("<i8")) for f in found)], names=["key", *names])
 
+    def finished(hashes: list, ends: list) -> list[np.ndarray]:
+        h, at = np.array(hashes, dtype="<u8"), np.array(ends, dtype=np.int64)
+        return [fingerprint_bits(_mixed(h, k) if k else h, at) if ends else np.zeros(0, "<u8") for k in range(more + 1)]
+
     names = ["fp", *(f"w{k}" for k in range(1, more + 1))]
     kind = slim.schema["key"].dataType.simpleString()
     return slim.mapInArrow(run, f"key {kind}, {', '.join(n + ' long' for n in names)}").withColumnRenamed("key", id_col)
