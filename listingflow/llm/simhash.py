@@ -1,17 +1,23 @@
-"""SimHash near-duplicates by tiled exact comparison.
+"""SimHash near-duplicates by tiled exact comparison, and an exact Jaccard join.
 
 Distinct fingerprints are dealt into tiles by the population counts of their
 parts.  Counts of two fingerprints can differ by no more than their distance, so
 only tiles meet whose counts, summed over the parts, differ within the radius.
 Within a pair of tiles every fingerprint is compared with every other by
 exclusive or and bit count.
+
+For Jaccard similarity, fingerprints only find most of the links early.  The rest
+comes from prefixes: two sets that are alike share one of their first shingles in any
+order of all shingles, here from rare to common.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listingflow.llm.common import staged
@@ -25,6 +31,8 @@ HELD = 1 << 18
 PARTS = ((20_000, 1), (1_500_000, 2), (None, 4))
 #: Other tiles that one may meet; beyond it, finer parts cost more copies than they spare comparisons.
 MOST_STEPS = 100
+#: Counters of shingles, a power of two, and the pieces in which tasks hand them on.
+COUNTERS, PIECES = 1 << 20, 64
 
 
 def fingerprint_bits(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -246,13 +254,16 @@ def verified_forest(fps: np.ndarray, sets: list[np.ndarray], first: int, radius:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 18, total: int = 59, similarity: float = 0.8, block: int = 512, block_bytes: int = 2 << 20) -> DataFrame:
     """``docs`` with one document of each group of near duplicates, that of the smallest id.
 
-    Two texts are linked whose fingerprints differ in ``radius`` of 64 and ``total`` of 256
-    bits or fewer and whose sets of ``shingle``-word shingles have a Jaccard similarity of
-    ``similarity`` or more, checked exactly; a group is what links connect.  (At 0.8 the
-    bits that differ are 9.7 and 38.8 on average, with deviations of 2.9 and 5.7.)  Texts of equal words are one text.
+    Two texts are linked whose sets of ``shingle``-word shingles have a Jaccard similarity
+    of ``similarity`` or more, checked exactly; a group is what links connect.  Texts of equal words are one text.
     Null and empty texts are copies of each other; null ids come after all others;
     of rows repeated in id and text one stays.  Other columns are carried along.
 
+    Most links are found among texts whose fingerprints of distinct shingles differ in
+    ``radius`` of 64 and ``total`` of 256 bits or fewer (at 0.8 they differ in 9.7 and 38.8
+    on average, with deviations of 2.9 and 5.7).  :func:`_prefix_links` then checks
+    every other pair that can be alike, so the two bounds change the cost and not the result.
+
     Candidate groups come from the tiles.  A group is cut into blocks of about ``block``
     texts and ``block_bytes`` of shingles, and pairs of blocks are checked apart, so no
     task holds a whole group.
@@ -260,10 +271,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     text = F.col(text_col).cast("string")
     keyed = docs.withColumn("_key", _key(F.col(id_col), text))
     slim = keyed.select(F.struct(F.col("_key").alias("k"), F.col(id_col).cast("long").alias("id")).alias("row"), text.alias("t"))
-    prints = _prints_and_digests(slim, shingle)
-    prints = staged(prints, "dedup-prints")
+    prints = staged(_prints_and_digests(slim, shingle), "dedup-prints")
     texts = staged(prints.groupBy("digest", "fp", "w1", "w2", "w3").agg(F.min(F.struct(F.col("row.id").isNull().alias("none"), F.col("row.id").alias("id"), F.col("row.k").alias("k"))).alias("least"), F.count("*").alias("n")), "dedup-texts")
-    stars = connected_components(near_links(texts.groupBy("fp").agg(*[F.min(w).alias(w) for w in ("w1", "w2", "w3")]), radius, total=total), "dedup-candidates")
+    stars = connected_components(near_links(texts.select("fp", "w1", "w2", "w3").distinct(), radius, total=total), "dedup-candidates")
     near = stars.union(stars.select("root", "root").distinct())
     shared = texts.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select(F.col("fp").alias("node"), F.col("fp").alias("root")).join(near, "node", "left_anti")
     groups = staged(near.union(shared).distinct(), "dedup-groups")
@@ -292,6 +302,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
     links = staged(pairs.mapInArrow(run, "u string, v string"), "dedup-links", rows_per_batch=1)
     stars = connected_components(links, "dedup-stars")
+    more = _prefix_links(keyed, text, texts, stars, shingle, similarity)
+    if not more.isEmpty():
+        stars = connected_components(stars.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more), "dedup-stars")
     rooted = staged(texts.join(stars, F.col("digest") == F.col("node"), "left").select(F.coalesce("root", "digest").alias("root"), "least"), "dedup-rooted")
     kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.k").alias("_key"))
     kept = staged(kept, "dedup-kept")
@@ -304,16 +317,122 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
 
 def _prints_and_digests(slim: DataFrame, shingle: int) -> DataFrame:
-    """``row``, four fingerprints and the 128-bit ``digest`` of the lower-cased words of ``t``."""
+    """``row``, four fingerprints of the distinct shingles and the 128-bit ``digest`` of the lower-cased words of ``t``."""
 
     def run(batches):
-        from xxhash import xxh3_128_hexdigest as digest
+        from xxhash import xxh3_128_hexdigest, xxh64_intdigest
 
         for batch in batches:
-            words = [b" ".join((t.as_py() or "").encode().lower().split()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(w) for w in words], pa.string()), pa.array(words, pa.binary())], names=["row", "digest", "t"])
+            digests, parts, hashes, ends = [], [], [], []
+            for t in batch.column(1):
+                words = (t.as_py() or "").encode().lower().split()
+                digests.append(xxh3_128_hexdigest(b" ".join(words)))
+                runs = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) > shingle else [b" ".join(words)] if words else []
+                hashes += {xxh64_intdigest(s, SEED) for s in runs}
+                ends.append(len(hashes))
+                if len(hashes) > HELD:
+                    parts.append(finished(hashes, ends))
+                    hashes, ends = [], []
+            parts.append(finished(hashes, ends))
+            found = [pa.array(np.concatenate(f).view("<i8")) for f in zip(*parts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string()), *found], names=["row", "digest", "fp", "w1", "w2", "w3"])
+
+    def finished(hashes: list, ends: list) -> list[np.ndarray]:
+        h, at = np.array(hashes, dtype="<u8"), np.array(ends, dtype=np.int64)
+        return [fingerprint_bits(_mixed(h, k) if k else h, at) if ends else np.zeros(0, "<u8") for k in range(4)]
 
-    worded = slim.mapInArrow(run, "row struct<k:string,id:long>, digest string, t binary")
-    row = F.struct("row", "digest").alias("row")
-    got = fingerprints(worded.select(row, F.col("t").cast("string").alias("t")), "row", "t", shingle, more=3)
-    return got.select("row.row", "row.digest", "fp", "w1", "w2", "w3")
+    return slim.mapInArrow(run, "row struct<k:string,id:long>, digest string, fp long, w1 long, w2 long, w3 long")
+
+
+def _word_hashes(text: str | None, shingle: int) -> tuple[str, np.ndarray]:
+    """The digest of the words and the distinct hashes of ``shingle`` words, made of hashes of words; none of shorter texts, which only their copies are like."""
+    from xxhash import xxh3_128_hexdigest, xxh64_intdigest
+
+    words = (text or "").encode().lower().split()
+    n = len(words) - shingle + 1
+    own = np.array([xxh64_intdigest(w, SEED) for w in words] if n > 0 else [], dtype="<u8")
+    found = np.zeros(max(0, n), "<u8")
+    for k in range(shingle if n > 0 else 0):
+        found = _mixed(found ^ own[k : k + n], k + 1)
+    return xxh3_128_hexdigest(b" ".join(words)), np.unique(found)
+
+
+def _prefix_links(keyed: DataFrame, text: Column, texts: DataFrame, stars: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (``u``, ``v``) between digests of all pairs of texts of ``similarity`` or more that ``stars`` leaves apart.
+
+    Of n shingles, at most n less ``similarity`` times n can be missing in a set that is
+    alike, so one more than that, the rarest by shared counters, must meet.  The
+    counters only order shingles: shared ones change the cost and not the result.
+    """
+
+    def count(batches):
+        seen = np.zeros(COUNTERS, np.int64)
+        held, n = [], 0
+        for batch in batches:
+            for t in batch.column(0):
+                held.append(_word_hashes(t.as_py(), shingle)[1] % COUNTERS)
+                n += len(held[-1])
+                if n > HELD:
+                    seen += np.bincount(np.concatenate(held).astype(np.int64), minlength=COUNTERS)
+                    held, n = [], 0
+        if held:
+            seen += np.bincount(np.concatenate(held).astype(np.int64), minlength=COUNTERS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([x.tobytes() for x in np.split(seen, PIECES)], pa.binary())], names=["piece", "seen"])
+
+    def summed(group: pa.Table) -> pa.Table:
+        whole = sum(np.frombuffer(x.as_py(), np.int64) for x in group["seen"])
+        return pa.table({"piece": group["piece"][:1].cast(pa.int32()), "seen": pa.array([whole.tobytes()], pa.binary())})
+
+    slim = keyed.select(text.alias("text"))
+    pieces = slim.mapInArrow(count, "piece int, seen binary").groupBy("piece").applyInArrow(summed, "piece int, seen binary").collect()  # COUNTERS numbers
+    seen = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["seen"], np.int64) for r in sorted(pieces, key=lambda r: r["piece"]))])
+    often = keyed.sparkSession.sparkContext.broadcast(seen)
+
+    def prefixes(batches):
+        seen, done = often.value, set()
+        for batch in batches:
+            hs, ts, sizes, places = [], [], [], []
+            for t in batch.column(0):
+                digest, found = _word_hashes(t.as_py(), shingle)
+                n = len(found)
+                if digest in done or not n:
+                    continue
+                if len(done) < HELD:
+                    done.add(digest)
+                first = n - math.ceil(similarity * n - 1e-9) + 1
+                hs.append(found[np.lexsort((found, seen[(found % COUNTERS).astype(np.int64)]))[:first]])
+                ts.append(np.full(len(hs[-1]), int(digest[:16], 16), "<u8"))
+                sizes.append(np.full(len(hs[-1]), n, np.int32))
+                places.append(np.arange(len(hs[-1]), dtype=np.int32))
+            if hs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view("<i8")), pa.array(np.concatenate(ts).view("<i8")), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], names=["h", "t", "n", "at"])
+
+    def checked(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    rows = slim.mapInArrow(prefixes, "h long, t long, n int, at int")
+    by_h = Window.partitionBy("h")
+    shared = rows.select("*", F.min("t").over(by_h).alias("lo"), F.max("t").over(by_h).alias("hi")).where("lo != hi").drop("lo", "hi")
+    shared = staged(shared.distinct(), "dedup-shared")
+    # equal first halves of digests only bring more pairs to check
+    t = F.conv(F.substring("digest", 1, 16), 16, -10).cast("long")
+    rooted = staged(texts.join(stars, F.col("digest") == F.col("node"), "left").select(t.alias("t"), "digest", F.col("least.k").alias("_key"), F.coalesce("root", "digest").alias("root")), "dedup-linked")
+    members = staged(shared.join(rooted.select("t", "root"), "t"), "dedup-members")
+    apart = members.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("h")
+    members = staged(members.join(apart, "h", "left_semi"), "dedup-apart")
+    a, b = (members.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("t", "root", "n", "at")]) for x in "ab")
+    least = F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    enough = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= least
+    pairs = a.join(b, "h").where((F.col("t_a") < F.col("t_b")) & (F.col("root_a") != F.col("root_b")) & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")) & enough)
+    pairs = staged(pairs.select("t_a", "t_b").distinct(), "dedup-pairs")
+    asked = pairs.select(F.col("t_a").alias("t")).union(pairs.select("t_b")).distinct().join(rooted, "t").select("_key", "digest", F.col("t").alias("part"), F.lit(0).cast("long").alias("fp"))
+    sets = keyed.select("_key", text.alias("text")).join(staged(asked, "dedup-wanted"), "_key").dropDuplicates(["_key"])
+    sets = staged(_shingle_sets(sets, shingle), "dedup-rest")
+    x, y = (sets.select(F.col("part").alias(f"t_{i}"), F.col("digest").alias(u), F.col("shingles").alias(i)) for i, u in (("a", "u"), ("b", "v")))
+    return staged(pairs.join(x, "t_a").join(y, "t_b").select("u", "v", "a", "b").mapInArrow(checked, "u string, v string"), "dedup-more", rows_per_batch=1000)

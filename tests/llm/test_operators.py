@@ -385,6 +385,19 @@ def test_keep_one_equals_brute_force(spark):
     assert {r["doc_id"] for r in got.collect()} == set(least.values())
 
 
+def test_keep_one_is_whole_beyond_the_radius(spark):
+    line = "this line comes again and again in one of them"
+    rows = []
+    for k in range(8):
+        body = " ".join(f"v{k}x{i}" for i in range(190))
+        rows += [(2 * k, f"{body} {line}"), (2 * k + 1, f"{body} {line}" + f" {line}" * 14)]
+    rows += [(90, "a a a a a"), (91, "a a a a a a a"), (92, "b a a a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [*range(0, 16, 2), 90, 92]
+    assert sorted(r["doc_id"] for r in keep_one(df).collect()) == want
+    assert sorted(r["doc_id"] for r in keep_one(df, radius=0, total=0).collect()) == want
+
+
 def test_verified_forest_is_exact():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 60, 40)).astype("u8") for _ in range(40)]
