@@ -198,6 +198,15 @@ def test_secret_scan(odd, none, spark):
     assert scan_secrets(none).count() == 0
 
 
+def test_whole_values_and_random_values_of_eight(spark):
+    texts = ['password="Abcd1234efgh$Zq9!" end', "password: xK9#mQ2z end", "auth: x$0123456789abcdef$y end", "token=abcdefabcdef end", "password: changeme end", "secret=hunter2hunter2$x end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {k: r["text"] for k, r in by_id(redact_secrets(df)).items()}
+    assert clean == {0: '[SECRET]" end', 1: "password: [SECRET] end", 2: "auth: [SECRET] end", 3: "[SECRET] end", 4: texts[4], 5: "[SECRET] end"}
+    spans = {k: r["spans"] for k, r in by_id(scan_secrets(df)).items()}
+    assert spans[0] == "assign:0:22,guess:10:27" and spans[3] == "assign:0:18" and spans[4] == ""
+
+
 def test_guess_costs_rank_secrets_over_patterns():
     cost = GuessCost()
     assert cost("") == 0 and cost("password") < 2 and cost("aaaaaaaaaaaa") < 3 and cost("qwertyuiop") < 3 and cost("20240131") < 5
