@@ -4,14 +4,16 @@ Pages of one host are compared in blocks.  Tokens, which are tags with their
 path and runs of text with theirs, fall into equivalence classes by the vector
 of how often they occur in each page of the block.  A class is valid if its
 tokens come once in each page that has them and always in one order, and if it
-nests with the larger classes already taken.  The valid classes are the template.
-What lies between two template tokens is a slot and belongs to the innermost
-template element around it; slots in menus, notices and the like are dropped, and
-of the rest those in the main element are extracted.
+nests with the larger classes already taken.  The valid classes that nearly all pages
+have are the template, copies of a page counted once.
+What lies between two template tokens is a slot; slots in menus, notices and the like
+are dropped, and all others of the main region are extracted.  Pages with an
+``article`` or ``main`` element don't use the template: their text is that element's.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from html import unescape
@@ -51,9 +53,9 @@ MARKS = set(
     "comment comments commentlist respond reply replies disqus discussion related recommended recommendations widget toolbar pagination pager skip legal disclaimer".split()
 )
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: Elements that hold blocks and can be the main one.
-HOLDERS = set("#page html body div section td center main article".split())
-MAIN_SHARE = 0.7
+HEADING = re.compile(r"/h[1-6](?=[./]|\Z)")
+#: Of the pages of a block that have a template's token; of the text that copies share.
+FIXED_SHARE, COPY_SHARE = 0.9, 0.8
 
 
 class Page:
@@ -166,15 +168,14 @@ class Page:
                 self.tokens.append((self.path[k] + "=" + " ".join(text.split()), k, len(self.runs) - 1))
 
 
-def template(pages: list[Page]) -> list[set]:
-    """For each page the indices of its tokens that are in the template of the block."""
+def template(pages: list[Page], least: int) -> list[set]:
+    """For each page the indices of its tokens that are in the template; its classes come in ``least`` pages or more."""
     counts = [Counter(t[0] for t in p.tokens) for p in pages]
     vector: dict[str, list] = defaultdict(list)
     for i, c in enumerate(counts):
         for token, n in c.items():
             vector[token].append((i, n))
     classes: dict[tuple, set] = defaultdict(set)
-    least = min(2, len(pages))
     for token, v in vector.items():
         if len(v) >= least and all(n == 1 for _, n in v):
             classes[tuple(i for i, _ in v)].add(token)
@@ -208,42 +209,57 @@ def _nests(own: tuple, line: list, where: list, order: list) -> bool:
     return True
 
 
+def _apart(pages: list[Page]) -> list[Page]:
+    """``pages`` without copies: pages that share COPY_SHARE of their text with one before."""
+    found: list[tuple] = []
+    for page in pages:
+        own: Counter = Counter()
+        for text, k, _ in page.runs:
+            if page.dropped[k] < 0 and (x := " ".join(text.split())):
+                own[x] += len(x)
+        size = own.total()
+        if not any((own & other).total() >= COPY_SHARE * max(size, n) for other, n, _ in found):
+            found.append((own, size, page))
+    return [page for *_, page in found]
+
+
+def constant(pages: list[Page]) -> set:
+    """Tokens of text in the template of the block; none if its pages are copies of one."""
+    apart = _apart(pages)
+    if len(apart) < 2:
+        return set()
+    taken = template(apart, max(2, math.ceil(FIXED_SHARE * len(apart))))
+    return {p.tokens[t][0] for p, tokens in zip(apart, taken) for t in tokens if p.tokens[t][2] >= 0}
+
+
+def _region(page: Page, texts: set) -> tuple[int, int]:
+    """The first and last block with varying text that isn't a link; headings count even if they are links."""
+    held = [b for r, (text, k, b) in enumerate(page.runs) if r not in texts and page.dropped[k] < 0 and not text.isspace() and (not page.link[k] or HEADING.search(page.path[k]))]
+    return (min(held), max(held)) if held else (0, page.block)
+
+
 def extract_block(pages: list[Page]) -> list[str]:
     """The main text of each page of one host's block."""
-    fixed = template(pages)
-    weight: Counter = Counter()
-    owners = []
-    for page, tokens in zip(pages, fixed):
-        elements = {page.tokens[t][1] for t in tokens if page.tokens[t][2] < 0} | {0}
-        texts = {page.tokens[t][2] for t in tokens if page.tokens[t][2] >= 0} if len(pages) > 1 else set()
-        owner = []
-        for k in range(len(page.name)):
-            owner.append(k if k in elements else owner[page.parent[k]])
-        for r, (text, k, _) in enumerate(page.runs):
-            if r not in texts and page.dropped[k] < 0 and not page.link[k]:
-                size, o = len(text.strip()), owner[k]
-                while size and o >= 0:
-                    weight[page.path[o]] += size
-                    o = page.parent[o]
-                    while o >= 0 and o not in elements:
-                        o = page.parent[o]
-        owners.append((elements, texts))
-    out = []
-    for page, (elements, texts) in zip(pages, owners):
+    named = []
+    for page in pages:
         roots = [k for k in range(len(page.name)) if page.main[k] and page.dropped[k] < 0]
-        named = [k for k in roots if page.name[k] == "article"] or roots
-        roots = []
-        for k in named:
-            if not roots or k >= page.end[roots[-1]]:
-                roots.append(k)
+        roots = [k for k in roots if page.name[k] == "article"] or roots
+        outer: list[int] = []
+        for k in roots:
+            if not outer or k >= page.end[outer[-1]]:
+                outer.append(k)
+        named.append(outer)
+    fixed = constant(pages) if not all(named) else set()
+    out = []
+    for page, roots in zip(pages, named):
         plain = not roots
-        if plain:  # the innermost template element with most of what varies
-            most = weight[page.path[0]]
-            roots = [max((k for k in elements if page.name[k] in HOLDERS and page.dropped[k] < 0 and weight[page.path[k]] >= MAIN_SHARE * most), default=0)]
+        texts = {r for token, _, r in page.tokens if r >= 0 and token in fixed} if plain else set()
+        first, end = _region(page, texts) if plain else (0, page.block)
+        roots = roots or [0]
         blocks, last = [], None
         for r, (text, k, b) in enumerate(page.runs):
             root = next((c for c in roots if c <= k < page.end[c]), None)
-            if root is None or page.dropped[k] > root or (plain and (r in texts or page.dropped[k] >= 0)):
+            if root is None or not first <= b <= end or page.dropped[k] > root or (plain and (r in texts or page.dropped[k] >= 0)):
                 continue
             if b != last:
                 blocks.append([])
@@ -259,9 +275,10 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     Text of menus, headers, footers, asides, forms, adverts, notices and comments is left
     out, by element, role or name; an ``article``, else ``main``, names the main element,
-    and where a page has none it is the innermost template element that holds most of
-    what varies in the block.  Constant text counts as template in that case alone, so
-    that a passage which articles share stays.  Character references are decoded; white
+    and where a page has none it reaches from the first to the last text that isn't
+    constant over the block or a link.  Constant text counts as template in that case alone, and
+    only if nearly all pages have it, so that a passage which articles share stays.  Where
+    all pages are copies of one, nothing tells the template apart and all text stays.  Character references are decoded; white
     space within a block is one space; blocks are joined by a line feed.  Null and empty
     pages give an empty text.  A null URL is a host of its own.  Repeated rows stay.
 

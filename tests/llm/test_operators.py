@@ -78,6 +78,25 @@ def test_html_extracts_articles_and_deduced_main_elements(spark):
     assert text[200] == text[201] == "" and all(r["n_chars"] == len(r["text"]) for r in got)
 
 
+def test_plain_pages_keep_copies_and_split_articles(spark):
+    plain = "<body><div id=top>Our site</div><ul><li><a href=/>Home %d</a></ul>%s<div id=b>Bye</div>"
+    split = "<h2><a href=x>T%d</a></h2><div id=i>Intro %d.</div><div id=c><p>The long part %d has many more words than what is around it, by far.<p>It is %d.</div><div id=z>Last %d.</div>"
+    pages = [plain % (i, split % ((i,) * 5)) for i in range(9)]
+    rows = [(i, f"http://p.net/{i}", h) for i, h in enumerate(pages)]
+    copy = "<div id=c><p>One article that stands twice on its host.<p>And it has a second part.</div>"
+    rows += [(20 + i, f"http://c.net/{i}", f"<body>{copy}<div id=n>No. {i}</div>") for i in range(2)]
+    rows += [(30 + i, f"http://e.net/{i}", f"<body>{copy}") for i in range(2)]
+    shared = "<div id=c><p>Own text number %d.<p>%s</div>"
+    rows += [(40 + i, f"http://s.net/{i}", plain % (i, shared % (i, "A passage of two." if i < 2 else f"Other {i * 3}."))) for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(9):
+        assert got[i] == f"T{i}\nIntro {i}.\nThe long part {i} has many more words than what is around it, by far.\nIt is {i}.\nLast {i}."
+        assert got[40 + i] == f"Own text number {i}.\n" + ("A passage of two." if i < 2 else f"Other {i * 3}.")
+    for i in range(2):
+        assert got[20 + i] == f"One article that stands twice on its host.\nAnd it has a second part.\nNo. {i}"
+        assert got[30 + i] == "One article that stands twice on its host.\nAnd it has a second part."
+
+
 def test_html_empty_table(spark):
     assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string, host string, block int")).count() == 0
 
