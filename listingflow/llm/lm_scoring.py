@@ -5,8 +5,8 @@ others for one more, in which an id has its share of the training counts.  One
 attention layer with a learned weight for each distance and a small feed-forward
 layer correct the log probabilities of smoothed pair counts; the softmax has two
 levels, 32 groups of 32.  Counts cover all training texts.  The weights are
-trained on windows drawn from all of them at a fixed rate, by trainers that start
-alike and whose weights are averaged.  For scoring, windows overlap: the
+trained on every window of all of them, by trainers that start alike and whose
+weights are averaged; the number of windows says how many trainers there are.  For scoring, windows overlap: the
 first places of a window are context only and the rest is scored, so each id counts
 once.
 """
@@ -31,6 +31,7 @@ KNOWN = GROUP * GROUP  # the last stands for all rarer ids
 WIDTH = 16
 PAD = 0xFFFF
 TOGETHER = 384  # windows scored at once
+EACH = 1 << 17  # windows for each trainer, about
 LOG10 = math.log(10.0)
 
 
@@ -217,7 +218,6 @@ def score_texts(
     tokenizer: str = "byte_bpe_50k.json",
     folds: int = 5,
     held: int = 1,
-    train_share: int = 8,
     frequent: int = 200_000,
 ) -> DataFrame:
     """Scores of every whole text; A-Z count as a-z, a null text is empty.
@@ -230,7 +230,7 @@ def score_texts(
 
     Words of a share of 1 / ``frequent`` or more of the training tokens, of which there are
     ``frequent`` at most, are broadcast; all others are counted by a join.
-    One window in ``train_share`` of every training text trains the weights.
+    Every window of every training text trains the weights.
     """
     spark = docs.sparkSession
     end = IdEncoder(tokenizer).tokenizer.get_vocab_size()
@@ -280,7 +280,7 @@ def score_texts(
     pairs = coded.where("not held_out").select("ids").mapInArrow(count_pairs, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # KNOWN squared at most
     counts.pair(pairs["at"].to_numpy(), pairs["n"].to_numpy())
 
-    model = _train(coded.where("not held_out"), counts, train_share)
+    model = _train(coded.where("not held_out"), counts)
     shared = spark.sparkContext.broadcast((counts, model))
 
     def score(batches):
@@ -384,27 +384,32 @@ def score_texts(
     )
 
 
-def _train(coded: DataFrame, counts: Counts, one_in: int) -> dict:
-    """Weights averaged over trainers; each takes its share of the windows drawn, in the order of a hash."""
-
-    end = counts.end
+def _dealt(coded: DataFrame, end: int) -> DataFrame:
+    """All windows of ``ids`` and the id after each (``line``), dealt to as many trainers as their number asks for."""
 
     def draw(batches):
         for batch in batches:
-            ins, outs, marks = [], [], []
+            lines, marks = [], []
             for key, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
                 a, b = windows_of(np.frombuffer(ids.as_py(), "<u2"), end)
-                first = (key * 0x9E3779B1 + 17) % one_in
-                a, b = a[first::one_in], b[first::one_in]
-                ins += [x.tobytes() for x in a]
-                outs += [x.tobytes() for x in b]
+                b = b.copy()
+                b[:, :-1] = np.where(b[:, :-1] == PAD, a[:, 1:], b[:, :-1])  # the end before the first id; what follows padding isn't learned
+                lines += [x.tobytes() for x in np.concatenate([a[:, :1], b], axis=1)]
                 marks += [(key * 2654435761 + j * 40503) % (1 << 31) for j in range(len(a))]
-            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(ins, pa.binary()), pa.array(outs, pa.binary())], names=["mark", "ids", "after"])
+                if len(lines) > 1 << 14:
+                    yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(lines, pa.binary())], names=["mark", "line"])
+                    lines, marks = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(lines, pa.binary())], names=["mark", "line"])
+
+    windows = coded.agg(F.sum(F.ceil((F.length("ids") / 2 + 1) / STEP))).first()[0] or 0
+    trainers = max(1, -(-windows // EACH))
+    drawn = coded.select(F.crc32("ids").alias("key"), "ids").mapInArrow(draw, "mark long, line binary")
+    return drawn.repartition(trainers, "mark", "line").sortWithinPartitions("mark", "line")
 
-    trainers = coded.sparkSession.sparkContext.defaultParallelism
-    drawn = coded.select(F.crc32("ids").alias("key"), "ids").mapInArrow(draw, "mark long, ids binary, after binary")
-    dealt = drawn.repartition(trainers, "mark", "ids").sortWithinPartitions("mark", "ids", "after")
 
+def _train(coded: DataFrame, counts: Counts) -> dict:
+    """Weights averaged over trainers; each takes its share of all windows, in the order of a hash."""
+    dealt = _dealt(coded, counts.end)
     start = coded.sparkSession.sparkContext.broadcast(counts)
 
     def train(batches):
@@ -412,8 +417,8 @@ def _train(coded: DataFrame, counts: Counts, one_in: int) -> dict:
 
         def some():
             for batch in batches:
-                read = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, SPAN)
-                ids, after = read(1), read(2)
+                lines = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(-1, SPAN + 1)
+                ids, after = lines[:, :-1], lines[:, 1:]
                 for at in range(0, len(ids), 64):
                     yield ids[at : at + 64], after[at : at + 64]
 

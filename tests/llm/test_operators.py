@@ -254,6 +254,21 @@ def test_lm_base_counts_and_probabilities(spark, docs, odd, none):
     assert len(alone) == 1 and alone[0]["score"] <= 0
 
 
+def test_every_window_trains_whatever_the_parts(spark, monkeypatch):
+    from listingflow.llm import lm_scoring
+
+    monkeypatch.setattr(lm_scoring, "EACH", 8)
+    texts = [np.arange(i, i + 5 + 17 * i).astype("<u2") for i in range(12)] + [np.zeros(0, "<u2")]
+    df = spark.createDataFrame([(bytearray(t.tobytes()),) for t in texts], "ids binary")
+    real = lambda a, b: tuple((int(x), int(y)) for x, y in zip(a, b) if x != lm_scoring.PAD and y != lm_scoring.PAD)
+    want = Counter(real(a, b) for t in texts for a, b in zip(*windows_of(t, 1999)))
+    for parts in (1, 5):
+        dealt = lm_scoring._dealt(df.repartition(parts), 1999)
+        assert dealt.rdd.getNumPartitions() == -(-want.total() // 8)
+        lines = [np.frombuffer(r["line"], "<u2") for r in dealt.collect()]
+        assert Counter(real(x[:-1], x[1:]) for x in lines) == want
+
+
 def test_model_is_a_distribution_and_each_id_counts_once():
     counts = Counts(np.arange(2000.0), 1999)
     counts.pair(np.arange(500), np.ones(500))
