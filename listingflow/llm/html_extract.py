@@ -2,19 +2,25 @@
 
 Pages of one host are compared in blocks.  Tokens, which are tags with their
 path and runs of text with theirs, fall into equivalence classes by the vector
-of how often they occur in each page of the block.  A class is valid if its
-tokens come once in each page that has them and always in one order, and if it
-nests with the larger classes already taken.  The valid classes that nearly all pages
-have are the template, copies of a page counted once.
-What lies between two template tokens is a slot; slots in menus, notices and the like
-are dropped, and all others of the main region are extracted.  Pages with an
-``article`` or ``main`` element don't use the template: their text is that element's.
+of how often they occur in each page of the block.  A token that comes n times on all
+pages that have it stands for n tokens.  A class is valid if its tokens come in one
+order on all its pages, and if it nests with the larger classes already taken.  The
+valid classes that nearly all pages have are the template, copies of a page counted
+once.  What lies between two template tokens is a slot.
+
+The slots choose the main region: of the template's elements, the one whose slots hold
+most of the text that varies and isn't a link.  Names (``article``, ``main``, classes
+such as ``nav``) only break ties: which of several elements around the same slots is
+meant, and which slots in the region are menus, notices or comments.  Template text is
+left out wherever it stands.  A page without another to compare it with has no template;
+names alone decide there.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect
 from collections import Counter, defaultdict
 from html import unescape
 
@@ -53,16 +59,38 @@ MARKS = set(
     "comment comments commentlist respond reply replies disqus discussion related recommended recommendations widget toolbar pagination pager skip legal disclaimer".split()
 )
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-HEADING = re.compile(r"/h[1-6](?=[./]|\Z)")
-#: Of the pages of a block that have a template's token; of the text that copies share.
-FIXED_SHARE, COPY_SHARE = 0.9, 0.8
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: Of the pages of a block that have a template's token; of the text that copies share; of the varying text that the main region holds.
+FIXED_SHARE, COPY_SHARE, MAIN_SHARE = 0.9, 0.8, 0.5
+#: Different pages that tell a line which an article repeats from one of its template.
+LEAST_PAGES = 3
+
+
+class Paths:
+    """Numbers of paths of elements, the same for all pages of a block; a path is its last step and the number of the rest."""
+
+    def __init__(self):
+        self.number: dict[tuple, int] = {}
+        self.up: list[int] = []
+        self.name: list[str] = []
+        self.main: list[bool] = []
+
+    def of(self, up: int, step: str, name: str, main: bool) -> int:
+        found = self.number.setdefault((up, step), len(self.up))
+        if found == len(self.up):
+            self.up.append(up)
+            self.name.append(name)
+            self.main.append(main)
+        return found
 
 
 class Page:
     """The elements of a page, its runs of text, and its tokens in order."""
 
-    def __init__(self, html: str):
-        self.name, self.parent, self.path, self.dropped, self.link, self.main, self.end = [], [], [], [], [], [], []
+    def __init__(self, html: str, paths: Paths | None = None):
+        self.paths = paths or Paths()
+        self.name, self.path, self.dropped, self.link, self.heading, self.main, self.end = [], [], [], [], [], [], []
+        self.opened: Counter = Counter()
         self.runs: list[list] = []  # text, element, block
         self.tokens: list[tuple] = []
         self.block = 0
@@ -103,13 +131,14 @@ class Page:
         marked = not main and name not in ("html", "body", "#page") and any(self._mark(n) for n in named)
         out = name in DROPPED or role in ROLES or hidden or marked or (main and any(self._mark(n) for n in named))
         self.name.append(name)
-        self.parent.append(up)
-        self.path.append((self.path[up] if up >= 0 else "") + "/" + name + ("." + ".".join(named) if named else ""))
+        self.path.append(self.paths.of(self.path[up] if up >= 0 else -1, ".".join([name, *named]), name, main))
         self.dropped.append(k if out else self.dropped[up] if up >= 0 else -1)
         self.link.append(name == "a" or (up >= 0 and self.link[up]))
+        self.heading.append(name in HEADINGS or (up >= 0 and self.heading[up]))
         self.main.append(main)
         self.end.append(0)
         self.stack.append(k)
+        self.opened[name] += 1
         self.tokens.append((self.path[k], k, -1))
 
     @staticmethod
@@ -119,6 +148,7 @@ class Page:
 
     def _pop(self) -> None:
         k = self.stack.pop()
+        self.opened[self.name[k]] -= 1
         self.end[k] = len(self.name)
         if self.name[k] in BLOCKS:
             self.block += 1
@@ -141,7 +171,7 @@ class Page:
     def _unwind(self, names: set, limits: set) -> None:
         """Close up to the outermost of ``names`` that is open within the innermost of ``limits``."""
         found = None
-        for i in range(len(self.stack) - 1, 0, -1):
+        for i in range(len(self.stack) - 1, 0, -1) if any(self.opened[n] for n in names) else ():
             name = self.name[self.stack[i]]
             if name in names:
                 found = i
@@ -155,7 +185,7 @@ class Page:
             self.block += 1
         if name in ("body", "html"):
             return
-        if any(self.name[k] == name for k in self.stack[1:]):
+        if self.opened[name]:
             while self.name[self.stack[-1]] != name:
                 self._pop()
             self._pop()
@@ -165,44 +195,48 @@ class Page:
             k = self.stack[-1]
             self.runs.append([unescape(text) if "&" in text else text, k, self.block])
             if not text.isspace():
-                self.tokens.append((self.path[k] + "=" + " ".join(text.split()), k, len(self.runs) - 1))
+                self.tokens.append(((self.path[k], " ".join(text.split())), k, len(self.runs) - 1))
 
 
 def template(pages: list[Page], least: int) -> list[set]:
     """For each page the indices of its tokens that are in the template; its classes come in ``least`` pages or more."""
-    counts = [Counter(t[0] for t in p.tokens) for p in pages]
-    vector: dict[str, list] = defaultdict(list)
-    for i, c in enumerate(counts):
-        for token, n in c.items():
-            vector[token].append((i, n))
-    classes: dict[tuple, set] = defaultdict(set)
+    where: list[dict] = []
+    vector: dict = defaultdict(list)
+    for i, page in enumerate(pages):
+        places: dict = defaultdict(list)
+        for at, (token, *_) in enumerate(page.tokens):
+            places[token].append(at)
+        where.append(places)
+        for token, at in places.items():
+            vector[token].append((i, len(at)))
+    classes: dict[tuple, list] = defaultdict(list)
     for token, v in vector.items():
-        if len(v) >= least and all(n == 1 for _, n in v):
-            classes[tuple(i for i, _ in v)].add(token)
-    where = [{t[0]: k for k, t in enumerate(p.tokens) if c[t[0]] == 1} for p, c in zip(pages, counts)]
+        if len(v) >= least and len({n for _, n in v}) == 1:
+            classes[tuple(i for i, _ in v)] += [(token, j) for j in range(v[0][1])]
     taken: list[set] = [set() for _ in pages]
     order: list[list] = [[] for _ in pages]
     for own, tokens in sorted(classes.items(), key=lambda x: (-len(x[0]), -len(x[1]), x[0])):
-        first = own[0]
-        line = sorted(tokens, key=lambda t: where[first][t])
-        if all(all(a < b for a, b in zip(p, p[1:])) for p in ([where[i][t] for t in line] for i in own)) and _nests(own, line, where, order):
+        line = sorted(tokens, key=lambda t: where[own[0]][t[0]][t[1]])
+        while line:
+            found = {i: [where[i][t][j] for t, j in line] for i in own}
+            wrong = {k for p in found.values() for k in range(1, len(line)) if p[k - 1] > p[k]}
+            if not wrong:
+                break
+            # tokens that change places aren't of one class with the rest
+            line = [t for k, t in enumerate(line) if k not in wrong and k + 1 not in wrong]
+        if line and _nests(own, found, order):
             for i in own:
-                places = [where[i][t] for t in line]
-                taken[i].update(places)
-                order[i].append(places)
+                taken[i].update(found[i])
+                order[i].append(found[i])
     return taken
 
 
-def _nests(own: tuple, line: list, where: list, order: list) -> bool:
+def _nests(own: tuple, found: dict, order: list) -> bool:
     """Whether the class lies, in all its pages alike, in the same slots of every class taken before."""
-    from bisect import bisect
-
     for n in range(min(len(order[i]) for i in own)):
         slots = None
         for i in own:
-            if n >= len(order[i]):
-                break
-            at = tuple(bisect(order[i][n], where[i][t]) for t in line)
+            at = tuple(bisect(order[i][n], x) for x in found[i])
             if slots is not None and len(order[i][n]) == size and at != slots:
                 return False
             slots, size = at, len(order[i][n])
@@ -223,43 +257,87 @@ def _apart(pages: list[Page]) -> list[Page]:
     return [page for *_, page in found]
 
 
-def constant(pages: list[Page]) -> set:
-    """Tokens of text in the template of the block; none if its pages are copies of one."""
-    apart = _apart(pages)
-    if len(apart) < 2:
-        return set()
-    taken = template(apart, max(2, math.ceil(FIXED_SHARE * len(apart))))
-    return {p.tokens[t][0] for p, tokens in zip(apart, taken) for t in tokens if p.tokens[t][2] >= 0}
+class Template:
+    """The template of a block: its elements, its text, and the element whose slots are the main region."""
+
+    def __init__(self, pages: list[Page]):
+        self.apart = _apart(pages)
+        self.elements, self.texts, self.root = set(), set(), None
+        if len(self.apart) < 2:
+            return
+        for p, tokens in zip(self.apart, template(self.apart, max(2, math.ceil(FIXED_SHARE * len(self.apart))))):
+            for token, _, r in map(p.tokens.__getitem__, tokens):
+                (self.texts if r >= 0 else self.elements).add(token)
+        self.root = self._main()
+
+    def fixed(self, page: Page) -> set:
+        """The runs of ``page`` that are text of the template."""
+        return {r for token, _, r in page.tokens if r >= 0 and token in self.texts}
+
+    def _main(self) -> int | None:
+        """The path of the named element of the template whose slots hold most of the varying text; None if no named one does."""
+        paths = self.apart[0].paths
+        held = [0] * len(paths.up)
+        for page in self.apart:
+            for _, (text, k, _) in varying(page, self.fixed(page)):
+                held[page.path[k]] += len(text)
+        for path in range(len(held) - 1, 0, -1):  # a path has a greater number than those it goes on from
+            if paths.up[path] >= 0:
+                held[paths.up[path]] += held[path]
+        named = [p for p in self.elements if paths.main[p] and held[p] > MAIN_SHARE * held[0]]
+        named = [p for p in named if paths.name[p] == "article"] or named
+        return max(named, key=lambda p: (held[p], -p), default=None)
+
+
+def varying(page: Page, fixed: set) -> list:
+    """The runs that aren't of the template, nor links (but for headings), nor in parts left out by name."""
+    return [(r, run) for r, run in enumerate(page.runs) if r not in fixed and page.dropped[run[1]] < 0 and not run[0].isspace() and (not page.link[run[1]] or page.heading[run[1]])]
+
 
+def _outermost(page: Page, elements: list[int]) -> list[int]:
+    outer: list[int] = []
+    for k in elements:
+        if not outer or k >= page.end[outer[-1]]:
+            outer.append(k)
+    return outer
 
-def _region(page: Page, texts: set) -> tuple[int, int]:
-    """The first and last block with varying text that isn't a link; headings count even if they are links."""
-    held = [b for r, (text, k, b) in enumerate(page.runs) if r not in texts and page.dropped[k] < 0 and not text.isspace() and (not page.link[k] or HEADING.search(page.path[k]))]
-    return (min(held), max(held)) if held else (0, page.block)
+
+def _by_name(page: Page) -> list[int]:
+    roots = [k for k in range(len(page.name)) if page.main[k] and page.dropped[k] < 0]
+    return _outermost(page, [k for k in roots if page.name[k] == "article"] or roots)
 
 
 def extract_block(pages: list[Page]) -> list[str]:
-    """The main text of each page of one host's block."""
-    named = []
-    for page in pages:
-        roots = [k for k in range(len(page.name)) if page.main[k] and page.dropped[k] < 0]
-        roots = [k for k in roots if page.name[k] == "article"] or roots
-        outer: list[int] = []
-        for k in roots:
-            if not outer or k >= page.end[outer[-1]]:
-                outer.append(k)
-        named.append(outer)
-    fixed = constant(pages) if not all(named) else set()
+    """The main text of each page of one host's block, whose pages number their paths together."""
+    deduced = Template(pages)
+    alone = len(deduced.apart) < 2
     out = []
-    for page, roots in zip(pages, named):
+    for page in pages:
+        fixed = deduced.fixed(page)
+        held = varying(page, fixed)
+        if alone:
+            roots = _by_name(page)
+        elif not deduced.elements:
+            out.append("")  # without a template there is no slot
+            continue
+        else:
+            roots = [k for k in range(len(page.name)) if page.path[k] == deduced.root and page.dropped[k] < 0]
+            if not roots:  # several named elements, or a page unlike the others: taken if they hold most of what varies here
+                roots = _by_name(page)
+                inside = sum(len(run[0]) for _, run in held if any(c <= run[1] < page.end[c] for c in roots))
+                roots = roots if inside > MAIN_SHARE * sum(len(run[0]) for _, run in held) else []
         plain = not roots
-        texts = {r for token, _, r in page.tokens if r >= 0 and token in fixed} if plain else set()
-        first, end = _region(page, texts) if plain else (0, page.block)
+        blocks_held = [b for _, (*_, b) in held]
+        first, end = (min(blocks_held), max(blocks_held)) if plain and held else (0, page.block)
+        if len(deduced.apart) < LEAST_PAGES and not plain:
+            fixed = set()
         roots = roots or [0]
+        starts = [*roots]
         blocks, last = [], None
         for r, (text, k, b) in enumerate(page.runs):
-            root = next((c for c in roots if c <= k < page.end[c]), None)
-            if root is None or not first <= b <= end or page.dropped[k] > root or (plain and (r in texts or page.dropped[k] >= 0)):
+            at = bisect(starts, k) - 1
+            root = roots[at] if at >= 0 and k < page.end[roots[at]] else None
+            if root is None or r in fixed or not first <= b <= end or page.dropped[k] > root or (plain and page.dropped[k] >= 0):
                 continue
             if b != last:
                 blocks.append([])
@@ -270,30 +348,42 @@ def extract_block(pages: list[Page]) -> list[str]:
     return out
 
 
-def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", block: int = 32) -> DataFrame:
+def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", block: int = 32, block_chars: int = 16 << 20) -> DataFrame:
     """``id_col``, ``url_col``, ``text`` and ``n_chars`` of every page.
 
-    Text of menus, headers, footers, asides, forms, adverts, notices and comments is left
-    out, by element, role or name; an ``article``, else ``main``, names the main element,
-    and where a page has none it reaches from the first to the last text that isn't
-    constant over the block or a link.  Constant text counts as template in that case alone, and
-    only if nearly all pages have it, so that a passage which articles share stays.  Where
-    all pages are copies of one, nothing tells the template apart and all text stays.  Character references are decoded; white
-    space within a block is one space; blocks are joined by a line feed.  Null and empty
-    pages give an empty text.  A null URL is a host of its own.  Repeated rows stay.
-
-    A host's pages are dealt by hash into blocks of about ``block``, however many it has.
+    The text is that of the slots of the block's main region (see the module), less menus,
+    headers, footers, asides, forms, adverts, notices and comments within it, by element, role or
+    name, and less the template's own text.  Where no named element of the template holds most
+    of the varying text, the region reaches from the first to the last varying run of the page.
+    In a region that is named, text is the template's only if ``LEAST_PAGES`` different pages or more
+    are compared.  Only pages without any other, and copies of one page, take their region by names alone.
+    Character references are decoded; white space within a block is one space; blocks are
+    joined by a line feed.
+
+    Null and empty pages give an empty text; an empty table gives no rows.  A null URL is
+    a host of its own.  Repeated rows stay.  Other columns of ``pages`` are not read, whatever
+    their names.  Very long, deep and broken pages are read whole, in time and memory that grow with their length.
+
+    A host's pages are dealt by hash into blocks of about ``block`` pages and ``block_chars``
+    characters, however many it has; rows repeated in id and URL are spread over all of them.
     """
     slim = pages.select(F.col(id_col).alias("key"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    slim = slim.withColumn("host", host_of(F.col("url")))
+    slim = slim.withColumn("host", host_of(F.col("url"))).withColumn("h", F.xxhash64("key", "url"))
     # written first, so that both sides of the join are plain exchanges, which can be split at a hot host
-    sizes = staged(slim.groupBy("host").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "html-hosts")
-    dealt = slim.join(sizes, "host")
-    dealt = dealt.withColumn("block", F.concat_ws("#", "host", F.pmod(F.xxhash64("key", "url"), F.col("blocks")).cast("string")))
+    blocks = F.ceil(F.greatest(F.lit(1), F.count("*") / block, F.sum(F.coalesce(F.length("html"), F.lit(0))) / block_chars)).cast("int")
+    sizes = staged(slim.groupBy("host").agg(blocks.alias("blocks")), "html-hosts")
+    repeats = staged(slim.groupBy("h").count().where("count > 1").select(F.col("h").alias("again")), "html-repeats")
+    if repeats.isEmpty():
+        salt = F.col("h")
+    else:
+        slim = slim.withColumn("row", F.monotonically_increasing_id()).join(repeats, F.col("h") == F.col("again"), "left")
+        salt = F.when(F.col("again").isNotNull(), F.xxhash64("h", "row")).otherwise(F.col("h"))
+    dealt = slim.withColumn("h", salt).join(sizes, "host")
+    dealt = dealt.withColumn("block", F.concat_ws("#", "host", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("string")))
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        texts = extract_block([Page(h or "") for h in group["html"].to_pylist()])
+        group, paths = group.combine_chunks(), Paths()
+        texts = extract_block([Page(h or "", paths) for h in group["html"].to_pylist()])
         return pa.table({"key": group["key"], "url": group["url"], "text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64())})
 
     kind = slim.schema["key"].dataType.simpleString()
