@@ -11,7 +11,7 @@ from listingflow.llm.lm_scoring import score_texts
 from listingflow.llm.mixing import mix
 from listingflow.llm.packing import pack
 from listingflow.llm.quality_rules import fit_rules, judge_quality
-from listingflow.llm.secret_scan import scan_secrets
+from listingflow.llm.secret_scan import corpus_words, scan_secrets
 from listingflow.llm.simhash import simhash_components
 from listingflow.llm.token_counts import count_tokens
 from listingflow.llm.topk import top_k
@@ -35,13 +35,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, URL_RULES))} AS rules(host, path, verdict)")
     got = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
     return got.select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_secrets(table(spark, sf_dir, "documents")).drop("found")
+    docs = table(spark, sf_dir, "documents")
+    return scan_secrets(docs, words=tuple(corpus_words(docs))).drop("found")
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

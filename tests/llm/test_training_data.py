@@ -60,11 +60,11 @@ def by_id(df, key="doc_id"):
 
 
 # 1
-PAGE = "<html><body><nav><a href=/>Home</a></nav><div class=ad>Buy %d</div><article><h1>T%d</h1><p>One &amp; two&nbsp;%s<p>same\n  passage<script>x='</p>'</script><div class='comments'>me too</div></article><aside>side</aside><footer>F</footer></body></html>"
+PAGE = "<html><body><nav><a href=/>Home</a></nav><div class=ad>Buy %d</div><article><h1>T%d</h1><p>One &amp; two&nbsp;%s<p>same\n  passage %s<script>x='</p>'</script><div class='comments'>me too</div></article><aside>side</aside><footer>F</footer></body></html>"
 
 
 def test_html_extracts_articles_and_deduced_main_elements(spark):
-    rows = [(i, f"http://h.net/{i}", PAGE % (i, i, "w " * i)) for i in range(70)]
+    rows = [(i, f"http://h.net/{i}", PAGE % (i, i, "w " * i, "of all" if i % 2 else "")) for i in range(70)]
     plain = "<body><div id=top>Our site</div><div id=c><h2>T%d</h2><p>Varied %d text %d and more of it.</div><div id=b>Bye</div>"
     rows += [(100 + i, f"http://p.net/{i}", plain % (i, i, i * 7)) for i in range(9)]
     rows += [(200, None, None), (201, "x", ""), (201, "x", "")]
@@ -72,7 +72,7 @@ def test_html_extracts_articles_and_deduced_main_elements(spark):
     assert len(got) == len(rows)
     text = {r["page_id"]: r["text"] for r in got}
     for i in range(70):
-        assert text[i] == f"T{i}\nOne & two" + " w" * i + "\nsame passage"
+        assert text[i] == f"T{i}\nOne & two" + " w" * i + "\nsame passage" + " of all" * (i % 2)
     for i in range(9):
         assert text[100 + i] == f"T{i}\nVaried {i} text {i * 7} and more of it."
     assert text[200] == text[201] == "" and all(r["n_chars"] == len(r["text"]) for r in got)
@@ -97,6 +97,60 @@ def test_plain_pages_keep_copies_and_split_articles(spark):
         assert got[30 + i] == "One article that stands twice on its host.\nAnd it has a second part."
 
 
+def test_template_decides_on_named_pages(spark, monkeypatch):
+    from listingflow.llm import html_extract
+    from listingflow.llm.html_extract import Page, Paths, extract_block
+
+    teaser = "<article class=t><p>See also %d.</article>"
+    page = "<body><div id=x>Site</div>%s<main><div><h1>T%d</h1><p>Body text number %d of this page, long enough.<p>Printed by the site, all rights kept.<p>Next %d.</div></main>%s"
+    html = [page % (teaser % (i * 7), i, i, i, teaser % (i * 11) if i % 2 else "") for i in range(8)]
+    block = lambda: extract_block([Page(h, p) for p in [Paths()] for h in html])
+    assert block() == [f"T{i}\nBody text number {i} of this page, long enough.\nNext {i}." for i in range(8)]
+    monkeypatch.setattr(html_extract, "template", lambda pages, least: [set() for _ in pages])
+    assert block() == [""] * 8
+
+
+def test_names_decide_where_there_is_nothing_to_compare():
+    from listingflow.llm.html_extract import Page, Paths, extract_block
+
+    paths = Paths()
+    html = "<div>Top</div><article><p>Text.</article><div>End</div>"
+    assert extract_block([Page(html, paths)]) == ["Text."] and extract_block([Page(html, paths) for _ in range(3)]) == ["Text."] * 3
+
+
+def test_deep_and_broken_pages():
+    import time
+    import tracemalloc
+
+    from listingflow.llm.html_extract import Page, Paths, extract_block
+
+    tracemalloc.start()
+    start = time.time()
+    deep = [Page("<article>" + "<div>" * 20_000 + f"deep {i}" + "</div>" * (20_000 * i), Paths()) for i in range(2)]
+    assert [extract_block([p]) for p in deep] == [["deep 0"], ["deep 1"]]
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20 and time.time() - start < 30
+    tracemalloc.stop()
+    broken = {
+        "<article><p>a<p>b</div></span>c": "a\nbc",
+        "<article>a<!-- x": "a",
+        "<article>a < b &amp &#x41; &bogus;": "a < b & A &bogus;",
+        "<article><p>a<script>if (a < b) '</p>'": "a",
+        "</article></article>x<article>y": "y",
+        '<article><p title="a > b">t</p>': "t",
+        "<article><ul><li>1<li>2<ul><li>3</ul><li>4": "1\n2\n3\n4",
+        "<article>" + "<b>" * 5000 + "<p>x" * 3000: "\n".join(["x"] * 3000),
+    }
+    for html, text in broken.items():
+        assert extract_block([Page(html)]) == [text], html[:60]
+
+
+def test_repeated_pages_are_spread_and_other_columns_ignored(spark):
+    rows = [(7, "http://r.net/a", "<article><p>One text.</article>", "b", 3)] * 200 + [(i, f"http://r.net/{i}", f"<article><p>Text {i}.</article>", "b", 3) for i in range(300, 330)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, block string, h int")
+    got = Counter((r["page_id"], r["text"]) for r in extract_pages(df, block=8).collect())
+    assert got == Counter({(7, "One text."): 200, **{(i, f"Text {i}."): 1 for i in range(300, 330)}})
+
+
 def test_html_empty_table(spark):
     assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string, host string, block int")).count() == 0
 
@@ -226,6 +280,68 @@ def test_whole_values_and_random_values_of_eight(spark):
     assert spans[0] == "assign:0:22,guess:10:27" and spans[3] == "assign:0:18" and spans[4] == ""
 
 
+def test_guess_cost_is_the_least_of_all_segmentations():
+    from listingflow.llm.secret_scan import ALPHABET, BRUTE, DATE, DATE_COST, PLAIN, REPEAT, ROWS, SEGMENT, TURN, WALK, WORDS
+
+    at = {c: (r, k) for r, row in enumerate(ROWS) for k, c in enumerate(row)}
+    cost = GuessCost()
+
+    def span(v):
+        """The cost of a whole value as one span, by the definition."""
+        low, n, found = v.lower(), len(v), [BRUTE] if len(v) == 1 else []
+        for form, extra in ((low, 0.0), (low.translate(PLAIN), 0.6)):
+            if n > 1 and form in WORDS:
+                upper = sum(c.isupper() for c in v)
+                found.append(math.log10(WORDS.index(form) + 2) + extra + (0.3 if upper in (1, n) else 0.3 * upper) + SEGMENT)
+                break
+        if n >= 3:
+            steps = {ord(b) - ord(a) for a, b in zip(low, low[1:])}
+            if steps == {0}:
+                found.append(REPEAT + math.log10(n) + SEGMENT)
+            if steps in ({1}, {-1}) and (low.isalpha() or low.isdigit()):
+                found.append(ALPHABET + math.log10(n) + SEGMENT)
+            ways = [(at[b][0] - at[a][0], at[b][1] - at[a][1]) if a in at and b in at else None for a, b in zip(low, low[1:])]
+            if all(w in ((0, 1), (0, -1), (1, 0), (-1, 0), (1, -1), (-1, 1)) for w in ways):
+                found.append(WALK + math.log10(n) + TURN * sum(a != b for a, b in zip(ways, ways[1:])) + SEGMENT)
+        found += [u * BRUTE + math.log10(n / u) + SEGMENT for u in range(2, 9) if n >= 2 * u and all(low[i] == low[i - u] for i in range(u, n))]
+        if DATE.fullmatch(low):
+            found.append(DATE_COST[4 if n == 4 else 8] + SEGMENT)
+        return min(found, default=math.inf)
+
+    def least(v):
+        cuts = itertools.product((0, 1), repeat=len(v) - 1)
+        return min(sum(span(v[a:b]) for a, b in itertools.pairwise([0, *(i + 1 for i, c in enumerate(cut) if c), len(v)])) for cut in cuts)
+
+    rng = np.random.default_rng(8)
+    pieces = ["pass", "key", "P@ss", "aaa", "abc", "cba", "qwe", "zaq", "xsw", "1999", "123", "0", "x", "ab", "z9", "the", "is", "tee", "ss", "2001-02-03", "Ä"]
+    for _ in range(150):
+        v = "".join(rng.choice(pieces, rng.integers(1, 6)))[:11]
+        assert math.isclose(cost(v), least(v)), v
+    long = "".join(rng.choice(list("abcxyz019"), 400))
+    assert 7 <= cost(long, 7.0) <= cost(long)
+
+
+def test_words_of_the_corpus_but_not_of_its_secrets(spark):
+    from listingflow.llm.secret_scan import WORDS, corpus_words
+
+    rows = [(i, f"Zebras graze and zebras rest. password: qqwwzzkk{'x' * i}", "w") for i in range(9)] + [(50, None, "w"), (51, "", "w"), (52, "lonely", "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, word string")
+    assert corpus_words(df) == [*WORDS, "graze", "rest", "zebras"]
+    assert corpus_words(df, most=1) == [*WORDS] and corpus_words(df.limit(0)) == [*WORDS]
+
+
+def test_many_assignments_take_linear_time():
+    import time
+
+    from listingflow.llm.secret_scan import spans_of
+
+    text = "token=abcdefghijkl password: xK9#mQ2z auth: changeme\n" * 60_000  # 3 MB
+    start = time.time()
+    found = spans_of(text, GuessCost(), 7.0)
+    assert len(found) == 120_000 and time.time() - start < 60
+    assert spans_of("pwd: " + "!?" * 30, GuessCost(), 7.0) == [] and len(spans_of("pwd: " + "!?" * 100_000, GuessCost(), 7.0)) == 1
+
+
 def test_guess_costs_rank_secrets_over_patterns():
     cost = GuessCost()
     assert cost("") == 0 and cost("password") < 2 and cost("aaaaaaaaaaaa") < 3 and cost("qwertyuiop") < 3 and cost("20240131") < 5
