@@ -1,14 +1,15 @@
 """LM scoring: a causal self-attention model in numpy, and a smoothed unigram base.
 
-The model reads subword ids.  The 1,023 most frequent ids stand for themselves, all
-others for one more, in which an id has its share of the training counts.  One
-attention layer with a learned weight for each distance and a small feed-forward
-layer correct the log probabilities of smoothed pair counts; the softmax has two
-levels, 32 groups of 32.  Counts cover all training texts.  The weights are
-trained on every window of all of them, by trainers that start alike and whose
-weights are averaged; the number of windows says how many trainers there are.  For scoring, windows overlap: the
-first places of a window are context only and the rest is scored, so each id counts
-once.
+The model reads subword ids.  The 1,023 most frequent ids have states of their own; all
+others share one, to which those of the two halves of their number are added, so that all are
+told apart.  One attention layer with a learned weight for each distance and a small
+feed-forward layer correct the log probabilities of smoothed pair counts.  The softmax has two
+levels, 32 groups of 32; within the class of rarer ids an id has its share of the
+training counts.  Counts cover all training texts.  The weights are trained on every window
+of all of them, by trainers that start alike and whose weights are averaged; a trainer
+takes a fixed number of windows, dealt by hash, so neither its time nor the scores depend on
+the cluster.  For scoring, windows overlap: the first places of a window are context
+only and the rest is scored, so each id counts once.
 """
 
 from __future__ import annotations
@@ -24,14 +25,14 @@ from pyspark.sql import functions as F
 from listingflow.llm.common import staged
 from listingflow.llm.tokenization import IdEncoder
 
-STEP, SPAN = 24, 32  # ids scored and seen in a window
+STEP, SPAN = 48, 64  # ids scored and seen in a window
 BEFORE = SPAN - STEP
 GROUP = 32
 KNOWN = GROUP * GROUP  # the last stands for all rarer ids
-WIDTH = 16
+WIDTH = 32
 PAD = 0xFFFF
-TOGETHER = 384  # windows scored at once
-EACH = 1 << 17  # windows for each trainer, about
+TOGETHER, BATCH = 192, 96  # windows scored and learned at once
+SCALE = float(1 << 32)  # of weights as whole numbers, whose sums don't depend on their order
 LOG10 = math.log(10.0)
 
 
@@ -80,10 +81,20 @@ def _log_share(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     return own - np.log(z.sum(axis=-1))
 
 
+def _summed(rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The sums of ``rows`` by their place ``at`` among ``n``."""
+    out = np.zeros((n, rows.shape[1]), np.float32)
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        first = np.nonzero(np.diff(at[order], prepend=-1))[0]
+        out[at[order][first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
 class AttentionModel:
     SHAPES = {
-        "by_id": (KNOWN + 1, WIDTH), "qkv": (WIDTH, 3 * WIDTH), "back": (WIDTH, WIDTH), "far": (SPAN,), "up": (WIDTH, 2 * WIDTH), "at": (2 * WIDTH,), "down": (2 * WIDTH, WIDTH),
-        "group": (WIDTH, GROUP), "member": (GROUP, WIDTH, GROUP),
+        "by_id": (KNOWN + 1, WIDTH), "high": (PAD // 256 + 1, WIDTH), "low": (256, WIDTH), "qkv": (WIDTH, 3 * WIDTH), "back": (WIDTH, WIDTH), "far": (SPAN,),
+        "up": (WIDTH, 2 * WIDTH), "at": (2 * WIDTH,), "down": (2 * WIDTH, WIDTH), "group": (WIDTH, GROUP), "member": (GROUP, WIDTH, GROUP),
     }
 
     def __init__(self, counts: Counts, weights: dict | None = None):
@@ -104,6 +115,9 @@ class AttentionModel:
         pad = ids == PAD
         c = np.where(pad, KNOWN, self.counts.known_of[ids])
         x = w["by_id"][c]
+        rare = np.nonzero(c == KNOWN - 1)  # told apart by the two halves of their number
+        if len(rare[0]):
+            x[rare] += w["high"][ids[rare] >> 8] + w["low"][ids[rare] & 255]
         q, k, v = np.split(x @ w["qkv"], 3, axis=-1)
         q = q[:, from_:]
         s = q @ k.transpose(0, 2, 1)
@@ -115,7 +129,7 @@ class AttentionModel:
         mixed = s @ v
         y = x[:, from_:] + mixed @ w["back"]
         u = np.maximum(y @ w["up"] + w["at"], 0)
-        return y + u @ w["down"], (c, x, q, k, v, s, mixed, y, u)
+        return y + u @ w["down"], (c, rare, x, q, k, v, s, mixed, y, u)
 
     @staticmethod
     def _by_group(target: np.ndarray):
@@ -137,22 +151,24 @@ class AttentionModel:
         out.ravel()[real] = got
         return out
 
-    def gradients(self, ids: np.ndarray, after: np.ndarray) -> dict:
+    def gradients(self, ids: np.ndarray, after: np.ndarray, from_: int) -> dict:
+        """Of the mean loss over the places from ``from_`` on; ``after`` are the ids that follow those."""
         w, g = self.w, {}
-        state, (c, x, q, k, v, s, mixed, y, u) = self.forward(ids, 0)
-        real = np.nonzero(((after != PAD) & (ids != PAD)).ravel())[0]
+        state, (c, rare, x, q, k, v, s, mixed, y, u) = self.forward(ids, from_)
+        real = np.nonzero(((after != PAD) & (ids[:, from_:] != PAD)).ravel())[0]
         flat = lambda a: a.reshape(-1, a.shape[-1])
-        h, prev, known = flat(state)[real], c.ravel()[real], self.counts.known_of[after.ravel()[real]]
+        h, prev, known = flat(state)[real], c[:, from_:].ravel()[real], self.counts.known_of[after.ravel()[real]]
         z = _softmax(h @ w["group"] + self.counts.group[prev])
         z[np.arange(len(z)), known // GROUP] -= 1
         g["group"], dh = h.T @ z, z @ w["group"].T
         g["member"] = np.zeros(self.SHAPES["member"], np.float32)
         for n, at in self._by_group(known):
-            z = _softmax(h[at] @ w["member"][n] + self.counts.member[prev[at], n])
+            own = h[at]
+            z = _softmax(own @ w["member"][n] + self.counts.member[prev[at], n])
             z[np.arange(len(z)), known[at] % GROUP] -= 1
-            g["member"][n] = h[at].T @ z
+            g["member"][n] = own.T @ z
             dh[at] += z @ w["member"][n].T
-        dstate = np.zeros((ids.size, WIDTH), np.float32)
+        dstate = np.zeros((after.size, WIDTH), np.float32)
         dstate[real] = dh / max(1, len(real))
         g["group"] /= max(1, len(real))
         g["member"] /= max(1, len(real))
@@ -165,25 +181,31 @@ class AttentionModel:
         dm = dy @ w["back"].T
         ds = dm @ v.transpose(0, 2, 1)
         ds = s * (ds - (ds * s).sum(-1, keepdims=True))
-        g["far"] = np.bincount(self.distance.ravel(), (ds.sum(0) * self.causal).ravel(), SPAN).astype(np.float32)
+        g["far"] = np.bincount(self.distance[from_:].ravel(), (ds.sum(0) * self.causal[from_:]).ravel(), SPAN).astype(np.float32)
         ds *= 1 / math.sqrt(WIDTH)
-        d = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ dm], axis=-1)
+        d = np.zeros((*x.shape[:2], 3 * WIDTH), np.float32)
+        d[:, from_:, :WIDTH] = ds @ k
+        d[:, :, WIDTH : 2 * WIDTH] = ds.transpose(0, 2, 1) @ q
+        d[:, :, 2 * WIDTH :] = s.transpose(0, 2, 1) @ dm
         g["qkv"] = flat(x).T @ flat(d)
-        g["by_id"] = np.zeros(self.SHAPES["by_id"], np.float32)
-        np.add.at(g["by_id"], c.ravel(), flat(dy + d @ w["qkv"].T))
+        dx = d @ w["qkv"].T
+        dx[:, from_:] += dy
+        g["by_id"] = _summed(flat(dx), c.ravel(), KNOWN + 1)
+        g["high"], g["low"] = (_summed(dx[rare], at.astype(np.int64), len(w[n])) for n, at in (("high", ids[rare] >> 8), ("low", ids[rare] & 255)))
         return g
 
-    def fit(self, batches, rate: float = 0.003) -> int:
-        """Adam over ``batches`` of (ids, next ids); returns how many there were."""
+    def fit(self, batches, steps: int, rate: float = 0.004) -> int:
+        """Adam over ``batches`` of (ids, next ids), about ``steps`` of them, at a rate that falls to a twentieth; returns how many there were."""
         m = {n: np.zeros(s, np.float32) for n, s in self.SHAPES.items()}
         v = {n: np.zeros(s, np.float32) for n, s in self.SHAPES.items()}
         t = 0
         for ids, after in batches:
+            now = rate * max(0.05, 1 - t / max(1, steps))
             t += 1
-            for n, g in self.gradients(ids, after).items():
+            for n, g in self.gradients(ids, after, SPAN - after.shape[1]).items():
                 m[n] += 0.1 * (g - m[n])
                 v[n] += 0.01 * (g * g - v[n])
-                self.w[n] = self.w[n] - (rate / (1 - 0.9**t)) * m[n] / (np.sqrt(v[n] / (1 - 0.99**t)) + 1e-8)
+                self.w[n] = self.w[n] - (now / (1 - 0.9**t)) * m[n] / (np.sqrt(v[n] / (1 - 0.99**t)) + 1e-8)
         return t
 
 
@@ -219,18 +241,20 @@ def score_texts(
     folds: int = 5,
     held: int = 1,
     frequent: int = 200_000,
+    windows_each: int = 1 << 16,
 ) -> DataFrame:
     """Scores of every whole text; A-Z count as a-z, a null text is empty.
 
     Returns ``id_col``, ``held_out`` (crc32 of the id as text, modulo ``folds``, is
     ``held``), ``n_tokens`` (words and one end), ``n_known``, ``train_tokens``,
     ``base_score`` (log10 of the smoothed unigram) and ``score`` (log10 probability by the
-    model, the end included).  A null id counts as the empty string.  Repeated rows stay.
-    Without any training text all ids are alike.
+    model, the end included).  A null id counts as the empty string.  Repeated rows stay; an
+    empty table gives no rows; other columns are not read.  Very long texts are scored whole,
+    window by window.  Without any training text all ids are alike.
 
     Words of a share of 1 / ``frequent`` or more of the training tokens, of which there are
     ``frequent`` at most, are broadcast; all others are counted by a join.
-    Every window of every training text trains the weights.
+    Every window of every training text trains the weights, about ``windows_each`` a trainer.
     """
     spark = docs.sparkSession
     end = IdEncoder(tokenizer).tokenizer.get_vocab_size()
@@ -280,7 +304,7 @@ def score_texts(
     pairs = coded.where("not held_out").select("ids").mapInArrow(count_pairs, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # KNOWN squared at most
     counts.pair(pairs["at"].to_numpy(), pairs["n"].to_numpy())
 
-    model = _train(coded.where("not held_out"), counts)
+    model = _train(coded.where("not held_out"), counts, windows_each)
     shared = spark.sparkContext.broadcast((counts, model))
 
     def score(batches):
@@ -384,57 +408,97 @@ def score_texts(
     )
 
 
-def _dealt(coded: DataFrame, end: int) -> DataFrame:
-    """All windows of ``ids`` and the id after each (``line``), dealt to as many trainers as their number asks for."""
+def _dealt(coded: DataFrame, end: int, windows_each: int) -> tuple[DataFrame, int, int]:
+    """All windows of ``ids`` with the id after each (``line``), dealt to trainers; how many of these there are, and how many windows.
+
+    Windows are dealt and sorted by a hash of the row's id and ids and of their place in it.  Repeats of
+    a row get other hashes.
+    """
 
     def draw(batches):
+        from pyspark import TaskContext
+
+        seen: Counter = Counter()
+        part = TaskContext.get().partitionId()
         for batch in batches:
             lines, marks = [], []
+
+            def done():
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(marks) if marks else np.zeros(0, np.int64)), pa.array(lines, pa.binary())], names=["mark", "line"])
+
             for key, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
                 a, b = windows_of(np.frombuffer(ids.as_py(), "<u2"), end)
                 b = b.copy()
                 b[:, :-1] = np.where(b[:, :-1] == PAD, a[:, 1:], b[:, :-1])  # the end before the first id; what follows padding isn't learned
                 lines += [x.tobytes() for x in np.concatenate([a[:, :1], b], axis=1)]
-                marks += [(key * 2654435761 + j * 40503) % (1 << 31) for j in range(len(a))]
-                if len(lines) > 1 << 14:
-                    yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(lines, pa.binary())], names=["mark", "line"])
+                again = seen[key]
+                seen[key] += 1
+                salt = (again << 32 | part + 1) if again else 0
+                with np.errstate(over="ignore"):
+                    h = np.uint64(key % (1 << 64)) + np.arange(len(a), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt) * np.uint64(0xD1B54A32D192ED03)
+                    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                marks.append((h ^ (h >> np.uint64(31))).view(np.int64))
+                if len(lines) > 1 << 13:
+                    yield done()
                     lines, marks = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(lines, pa.binary())], names=["mark", "line"])
+            yield done()
 
     windows = coded.agg(F.sum(F.ceil((F.length("ids") / 2 + 1) / STEP))).first()[0] or 0
-    trainers = max(1, -(-windows // EACH))
-    drawn = coded.select(F.crc32("ids").alias("key"), "ids").mapInArrow(draw, "mark long, line binary")
-    return drawn.repartition(trainers, "mark", "line").sortWithinPartitions("mark", "line")
+    trainers = max(1, -(-windows // windows_each))
+    keyed = coded.select(F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit("")), "ids").alias("k"), "ids")
+    drawn = keyed.mapInArrow(draw, "mark long, line binary")
+    return drawn.repartition(trainers, "mark").sortWithinPartitions("mark", "line"), trainers, windows
 
 
-def _train(coded: DataFrame, counts: Counts) -> dict:
-    """Weights averaged over trainers; each takes its share of all windows, in the order of a hash."""
-    dealt = _dealt(coded, counts.end)
+def _train(coded: DataFrame, counts: Counts, windows_each: int) -> dict:
+    """The mean weights of trainers; each takes its share of all windows, in the order of a hash."""
+    dealt, trainers, windows = _dealt(coded, counts.end, windows_each)
     start = coded.sparkSession.sparkContext.broadcast(counts)
+    steps = windows // trainers // BATCH
 
     def train(batches):
         net = AttentionModel(start.value)
 
         def some():
+            held = np.zeros((0, SPAN + 1), "<u2")
             for batch in batches:
-                lines = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(-1, SPAN + 1)
-                ids, after = lines[:, :-1], lines[:, 1:]
-                for at in range(0, len(ids), 64):
-                    yield ids[at : at + 64], after[at : at + 64]
-
-        n = net.fit(some())
-        if n:
-            flat = np.concatenate([net.w[k].ravel() for k in net.SHAPES]).astype("<f4")
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["n", "weights"])
-
-    got = dealt.mapInArrow(train, "n long, weights binary").collect()  # one row for each trainer
-    if not got:
+                held = np.concatenate([held, np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(-1, SPAN + 1)])
+                whole = len(held) // BATCH * BATCH
+                for at in range(0, whole, BATCH):
+                    yield held[at : at + BATCH, :-1], held[at : at + BATCH, BEFORE + 1 :]
+                held = held[whole:]
+            if len(held):
+                yield held[:, :-1], held[:, BEFORE + 1 :]
+
+        if net.fit(some(), steps):
+            flat = np.concatenate([net.w[k].ravel() for k in net.SHAPES]).astype(np.float64)
+            yield _row(1, np.rint(flat * SCALE).astype(np.int64))
+
+    got, left = dealt.mapInArrow(train, "n long, weights binary"), trainers
+    while left > 64:  # sums of sums, until the driver can take the rest
+        left = -(-left // 64)
+        got = staged(staged(got, "lm-trained").repartition(left).mapInArrow(_total, "n long, weights binary"), "lm-totals", rows_per_batch=8)
+    rows = got.collect()  # one for each of 64 trainers or sums at most
+    if not rows:
         return AttentionModel(counts).w
-    got.sort(key=lambda r: (r["n"], bytes(r["weights"])))
-    mean = sum(np.frombuffer(r["weights"], "<f4").astype(np.float64) * r["n"] for r in got) / sum(r["n"] for r in got)
+    mean = sum(np.frombuffer(r["weights"], "<i8") for r in rows) / (SCALE * sum(r["n"] for r in rows))
     out, at = {}, 0
     for name, shape in AttentionModel.SHAPES.items():
         n = math.prod(shape)
         out[name] = mean[at : at + n].reshape(shape).astype(np.float32)
         at += n
     return out
+
+
+def _row(n: int, weights: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([weights.astype("<i8").tobytes()], pa.binary())], names=["n", "weights"])
+
+
+def _total(batches):
+    n, weights = 0, None
+    for batch in batches:
+        for k, w in zip(batch.column(0).to_pylist(), batch.column(1)):
+            own = np.frombuffer(w.as_py(), "<i8")
+            n, weights = n + k, own if weights is None else weights + own
+    if n:
+        yield _row(n, weights)

@@ -2,7 +2,7 @@
 
 A source's documents are hashed into blocks.  Its target gives whole passes over
 the blocks and, in one further pass, a number of blocks in permuted order, of
-which the last is filled document by document.  The block quotas of all sources
+which the last is filled with documents that still fit.  The block quotas of all sources
 are then split over the output shards by a binary tree: at each node the left
 half's quota of each source is drawn from the hypergeometric distribution given
 those of the sources before it, so all quotas stay exact and shards have equal
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from listingflow.llm.common import let, staged, words_of
+from listingflow.llm.common import let, running, staged, words_of
 
 
 def _uniform(*parts: Column) -> Column:
@@ -47,30 +47,55 @@ def hypergeometric(u: Column, good: Column, bad: Column, drawn: Column) -> Colum
     return F.when(first == last, first).otherwise(let(total_mass * u, lambda mass: F.least(last, first + pick(mass))))
 
 
-def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
+def split_quotas(quotas: DataFrame, shards: int, seed: int, group: int = 1024) -> DataFrame:
     """``shard``, ``source_ix``, ``taken``: the ``quota`` of each ``source_ix`` split over ``shards``.
 
-    Node rows hold one entry for each source; a level of the tree is one narrow step.
+    A node row holds an entry for each source that has a quota there; a level of the tree
+    is one narrow step.  Beyond ``group`` sources, the quotas of groups of sources are split
+    first, and then each group's sources have its shares of every node to fill.
     """
-    entry = F.struct("source_ix", F.col("quota").cast("long").alias("quota"))
-    nodes = quotas.agg(F.sort_array(F.collect_list(entry)).alias("q"), F.sum("quota").alias("all"))
-    nodes = nodes.select(F.lit(0).cast("long").alias("lo"), F.lit(shards).cast("long").alias("n"), "q", "all")
-    width = shards
-    while width > 1:
-        half = F.floor(F.col("n") / 2).cast("long")
-        before = lambda s: F.floor(s * F.col("all") / F.lit(shards)).cast("long")
-        room = before(F.col("lo") + half) - before(F.col("lo"))
-        node = F.concat_ws(":", F.col("lo"), F.col("n"))
-        start = F.struct(F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x["quota"]).alias("total"), room.alias("room"), F.array().cast("array<bigint>").alias("left"))
+    grouped = quotas.select(F.floor(F.col("source_ix") / group).cast("long").alias("g"), F.col("source_ix").alias("ix"), F.col("quota").cast("long").alias("quota"))
+    totals = staged(grouped.groupBy("g").agg(F.sum("quota").alias("quota")), "mix-groups")
+    if totals.count() > 1:
+        _, shares = _tree(totals.select(F.lit(0).cast("long").alias("g"), F.col("g").alias("ix"), "quota"), shards, seed + 1)
+        leaves, _ = _tree(grouped, shards, seed, shares)
+    else:
+        leaves, _ = _tree(grouped, shards, seed)
+    return leaves.select(F.col("lo").alias("shard"), F.explode("q").alias("e")).select("shard", F.col("e.ix").alias("source_ix"), F.col("e.quota").alias("taken"))
+
 
-        def step(a, x):
-            drawn = hypergeometric(_uniform(F.lit(seed), node, x["source_ix"]), x["quota"], a["total"] - x["quota"], a["room"])
-            return let(drawn, lambda d: F.struct((a["total"] - x["quota"]).alias("total"), (a["room"] - d).alias("room"), F.concat(a["left"], F.array(d)).alias("left")))
+def _tree(entries: DataFrame, shards: int, seed: int, shares: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """The leaves (``lo``, ``q``) of each group ``g`` of ``entries``, and what each node's left half got of each entry.
 
+    Nodes are filled in equal parts or, with ``shares``, by what a tree of the groups gave them.
+    """
+    nodes = entries.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("ix", "quota"))).alias("q"), F.sum("quota").alias("all"))
+    nodes = nodes.select("g", F.lit(0).cast("long").alias("lo"), F.lit(shards).cast("long").alias("n"), "q", "all")
+    half = F.floor(F.col("n") / 2).cast("long")
+    before = lambda s: F.floor(s * F.col("all") / F.lit(shards)).cast("long")
+    node = F.concat_ws(":", F.col("lo"), F.col("n"))
+    total = F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x["quota"])
+    start = F.struct(total.alias("total"), F.col("room"), F.array().cast("array<bigint>").alias("left"))
+
+    def step(a, x):
+        drawn = hypergeometric(_uniform(F.lit(seed), node, x["ix"]), x["quota"], a["total"] - x["quota"], a["room"])
+        return let(drawn, lambda d: F.struct((a["total"] - x["quota"]).alias("total"), (a["room"] - d).alias("room"), F.concat(a["left"], F.array(d)).alias("left")))
+
+    def part(right: bool) -> Column:
+        """The entries of one half, without empty ones."""
+        own = F.zip_with("q", "left", lambda x, d: F.struct(x["ix"].alias("ix"), ((x["quota"] - d) if right else d).alias("quota")))
+        return F.filter(own, lambda x: x["quota"] > 0)
+
+    width, kept = shards, []
+    while width > 1:
+        if shares is None:
+            nodes = nodes.withColumn("room", before(F.col("lo") + half) - before(F.col("lo")))
+        else:
+            given = shares.select(F.col("ix").alias("g"), "lo", "n", F.col("given").alias("room"))
+            nodes = nodes.join(given, ["g", "lo", "n"], "left").withColumn("room", F.coalesce("room", F.lit(0).cast("long")))
         drawn = nodes.withColumn("left", F.when(F.col("n") > 1, F.aggregate("q", start, step, lambda a: a["left"])))
-        part = lambda right: F.zip_with(
-            "q", "left", lambda x, d: F.struct(x["source_ix"].alias("source_ix"), ((x["quota"] - d) if right else d).alias("quota"))
-        )
+        if shares is None:
+            kept.append(drawn.where("n > 1").select("lo", "n", F.explode(F.arrays_zip("q.ix", "left")).alias("e")).select("lo", "n", F.col("e.ix").alias("ix"), F.col("e.left").alias("given")))
         children = F.when(
             F.col("n") > 1,
             F.array(
@@ -78,11 +103,14 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
                 F.struct((F.col("lo") + half).alias("lo"), (F.col("n") - half).alias("n"), part(True).alias("q")),
             ),
         ).otherwise(F.array(F.struct("lo", "n", "q")))
-        nodes = drawn.select("all", F.explode(children).alias("c")).select("c.lo", "c.n", "c.q", "all")
+        nodes = drawn.select("g", "all", F.explode(children).alias("c")).select("g", "c.lo", "c.n", "c.q", "all")
         width = (width + 1) // 2
         if width > 1 and shards // width in (64, 65):  # enough rows to share out the rest of the tree
             nodes = nodes.repartition(64, "lo")
-    return nodes.select(F.col("lo").alias("shard"), F.explode("q").alias("e")).select("shard", "e.source_ix", F.col("e.quota").alias("taken")).where("taken > 0")
+    shared = None
+    for k in kept:
+        shared = k if shared is None else shared.unionByName(k)
+    return nodes.select("lo", "q"), shared
 
 
 def source_targets(sizes: DataFrame, weights: tuple = (1, 2, 3), times: int = 3) -> DataFrame:
@@ -120,6 +148,7 @@ def mix(
     weights: tuple = (1, 2, 3),
     times: int = 3,
     block_words: int = 50_000,
+    block_docs: int = 10_000,
     shard_words: int = 1_000_000,
     seed: int = 7,
 ) -> DataFrame:
@@ -129,11 +158,14 @@ def mix(
     ``source_size``, ``target`` and ``draws``, an array of (``shard``, ``pass``,
     ``order``): the output shards that take the document and its place in their local
     order.  No document is drawn more than ``times`` times.  Null texts have no words;
-    a null source is a source; documents without words may be drawn but take nothing.
-    Equal inputs give equal draws, in whatever order rows come.
-
-    A block holds about ``block_words`` words of a source and is the only group that one
-    task sorts; a source of any share is spread over its blocks.
+    a null source is a source; documents without words may be drawn but take nothing; an
+    empty table gives no rows.  Equal inputs give equal draws, in whatever order rows come;
+    rows repeated in id and text are told apart by their place.  Columns that aren't named are
+    not read.
+
+    A block holds about ``block_words`` words and ``block_docs`` documents of a source at most
+    and is the only group that one task sorts; a source of any share, and any number of repeated
+    rows, is spread over blocks.  Running sums go by ranges (:func:`running`).
     """
     slim = docs.select(
         F.struct(*[F.col(c) for c in keep]).alias("row"),
@@ -141,10 +173,14 @@ def mix(
         F.size(words_of(F.col(text_col).cast("string"))).cast("long").alias("size"),
         F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")) if "doc_id" in docs.columns else F.lit(""), F.col(text_col), F.lit(seed)).alias("h"),
     )
-    slim = staged(slim, "mix-docs")
-    sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, weights, times)
-    blocks_of = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size") / block_words).cast("long"))
+    slim = staged(slim.withColumn("place", F.monotonically_increasing_id()), "mix-docs")
+    repeats = staged(slim.groupBy("h").count().where("count > 1").select(F.col("h").alias("again")), "mix-repeats")
+    if not repeats.isEmpty():
+        apart = F.when(F.col("again").isNotNull(), F.xxhash64("h", "place")).otherwise(F.col("h"))
+        slim = staged(slim.join(repeats, F.col("h") == F.col("again"), "left").withColumn("h", apart).drop("again"), "mix-docs")
+    sizes = staged(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), "mix-sizes")
+    targets = source_targets(sizes.select("source", "source_size"), weights, times).join(sizes.select(F.col("source").alias("s"), "n_docs"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    blocks_of = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size") / block_words).cast("long"), F.ceil(F.col("n_docs") / block_docs).cast("long"))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = staged(targets.withColumn("blocks", blocks_of).withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")), "mix-plan")
 
@@ -154,42 +190,61 @@ def mix(
 
     order = lambda p: F.xxhash64(F.lit(seed), p, "source_ix", "block")
     budget = plan.select("source_ix", "passes", "rest")
-    in_last = sized.join(budget, "source_ix").where("rest > 0")
-    running = Window.partitionBy("source_ix").orderBy(order(F.lit("rest")), "block")
-    last = in_last.withColumn("upto", F.sum("words").over(running.rowsBetween(Window.unboundedPreceding, 0)))
+    in_last = sized.join(budget, "source_ix").where("rest > 0").withColumn("o", order(F.lit("rest")))
+    last = running(in_last, ["source_ix"], ["o", "block"], "words", "upto")
     last = last.withColumn("left", F.col("rest") - (F.col("upto") - F.col("words"))).where("left > 0")
     last = staged(last.select("source_ix", "block", F.col("passes").alias("pass"), F.when(F.col("words") > F.col("left"), F.col("left")).alias("room")), "mix-last")
     whole = sized.join(budget, "source_ix").where("passes > 0").select("source_ix", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1)).alias("pass"))
-    draws = whole.withColumn("room", F.lit(None).cast("double")).unionByName(last)
-    at = F.row_number().over(Window.partitionBy("source_ix", "pass").orderBy(order(F.col("pass")), "block")) - 1
-    draws = draws.withColumn("at", at.cast("long"))
-    width = draws.groupBy("source_ix", "pass").agg(F.count("*").alias("n"))
-    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("source_ix").orderBy("pass").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = width.withColumn("ahead", ahead).drop("n")
-    draws = staged(draws.join(offsets, ["source_ix", "pass"]).withColumn("draw", F.col("ahead") + F.col("at")).drop("at", "ahead"), "mix-draws")
+    draws = whole.withColumn("room", F.lit(None).cast("double")).unionByName(last).withColumn("o", order(F.col("pass"))).withColumn("one", F.lit(1).cast("long"))
+    draws = staged(running(draws, ["source_ix"], ["pass", "o", "block"], "one", "draw").select("source_ix", "block", "pass", "room", (F.col("draw") - 1).alias("draw")), "mix-draws")
 
     quotas = draws.groupBy("source_ix").agg(F.count("*").alias("quota"))
     total = plan.agg(F.sum("target")).first()[0] or 0.0
     shards = max(1, int(-(-total // shard_words)))
     cut = staged(split_quotas(quotas, shards, seed), "mix-tree")
-    upto = F.sum("taken").over(Window.partitionBy("source_ix").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
-    runs = cut.withColumn("upto", upto).select("source_ix", "shard", F.explode(F.sequence(F.col("upto") - F.col("taken"), F.col("upto") - 1)).alias("draw"))
+    runs = running(cut, ["source_ix"], ["shard"], "taken", "upto").select("source_ix", "shard", F.explode(F.sequence(F.col("upto") - F.col("taken"), F.col("upto") - 1)).alias("draw"))
     dealt = draws.join(runs, ["source_ix", "draw"])
     by_block = staged(dealt.groupBy("source_ix", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard", "room"))).alias("all")), "mix-dealt")
 
-    # the block that a rest ends in: documents in hash order, while the nearer end is within the room
+    # the block that a rest ends in: documents in hash order that still fit, then the one that comes nearest
     ends = by_block.where(F.exists("all", lambda d: d["room"].isNotNull())).select("source_ix", "block", F.array_max(F.transform("all", lambda d: d["room"])).alias("room"))
-    inside = placed.join(ends, ["source_ix", "block"])
-    fill = Window.partitionBy("source_ix", "block").orderBy("h", "size", F.to_json("row")).rowsBetween(Window.unboundedPreceding, 0)
-    chosen = inside.withColumn("upto", F.sum("size").over(fill)).withColumn("in_room", F.col("upto") - F.col("size") / 2 <= F.col("room"))
-    edge = chosen.select("row", "source", "size", "h", "source_size", "target", "source_ix", "block", "in_room")
-    others = placed.join(ends.select("source_ix", "block"), ["source_ix", "block"], "left_anti").withColumn("in_room", F.lit(True)).select(*edge.columns)
-    drawn = edge.unionByName(others).join(by_block.select("source_ix", "block", "all"), ["source_ix", "block"], "left")
-    mine = F.filter(F.coalesce("all", F.array().cast(by_block.schema["all"].dataType)), lambda d: d["room"].isNull() | F.col("in_room"))
+    inside = placed.join(ends, ["source_ix", "block"]).groupBy("source_ix", "block").agg(F.max("room").alias("room"), F.sort_array(F.collect_list(F.struct("h", "size"))).alias("docs"))
+    filled = staged(inside.select("source_ix", "block", _fitting(F.col("docs"), F.col("room")).alias("fit")), "mix-filled")
+    drawn = placed.join(by_block.select("source_ix", "block", "all"), ["source_ix", "block"], "left").join(filled, ["source_ix", "block"], "left")
+    in_room = F.coalesce(F.array_contains("fit", F.col("h")), F.lit(False))
+    mine = F.filter(F.coalesce("all", F.array().cast(by_block.schema["all"].dataType)), lambda d: d["room"].isNull() | in_room)
     out = F.transform(mine, lambda d: F.struct(d["shard"].alias("shard"), d["pass"].alias("pass"), F.xxhash64(F.lit(seed), d["shard"], d["pass"], "h").alias("order")))
     return drawn.select("row", "source", "size", "source_size", "target", out.alias("draws"))
 
 
+def _fitting(docs: Column, room: Column) -> Column:
+    """The ``h`` of those of ``docs`` (``h``, ``size``) that fill ``room``.
+
+    Half of it is filled in the order of ``docs``, the rest from long to short with what still
+    fits, and then by one more document if its end is nearer to the room's.
+    """
+    empty = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("h"))
+
+    def upto(most):
+        def step(a, d):
+            fits = a["used"] + d["size"] <= most
+            return F.struct((a["used"] + F.when(fits, d["size"]).otherwise(0)).alias("used"), F.when(fits, F.concat(a["h"], F.array(d["h"]))).otherwise(a["h"]).alias("h"))
+
+        return step
+
+    others = lambda a: F.filter(docs, lambda d: ~F.array_contains(a["h"], d["h"]))
+    by_size = lambda x: F.sort_array(F.transform(x, lambda d: F.struct(d["size"].alias("size"), d["h"].alias("h"))), asc=False)
+
+    def nearest(a):
+        left = room - a["used"]
+        over = F.filter(others(a), lambda d: (d["size"] > left) & (d["size"] < 2 * left))
+        best = F.array_min(F.transform(over, lambda d: F.struct(d["size"].alias("size"), d["h"].alias("h"))))
+        return F.when(best.isNotNull(), F.concat(a["h"], F.array(best["h"]))).otherwise(a["h"])
+
+    half = F.aggregate(docs, empty, upto(room / 2))
+    return let(half, lambda a: let(F.aggregate(by_size(others(a)), a, upto(room)), nearest))
+
+
 def mixed_rows(drawn: DataFrame) -> DataFrame:
     """The mix itself: one row for each draw, with the columns kept, in shards sorted by their local order."""
     rows = drawn.select("row", F.explode("draws").alias("d"))

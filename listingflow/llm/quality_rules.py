@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listingflow.llm.common import WS, let, words_of
+from listingflow.llm.common import WS, free_name, let, words_of
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -174,10 +174,11 @@ def learn(rows: list[dict], names: list[str], min_precision: float = 0.95, min_s
 def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 12_000, **options) -> DecisionList:
     """The decision list of the labelled ``docs``.
 
-    At most ``max_labelled`` labelled documents are used, those of the smallest hash of
-    their id; their statistics, not their texts, come to the driver.  A document with
+    At most ``max_labelled`` labelled ids are used, those of the smallest hash, each with one
+    text: the statistics of so many rows, not their texts, come to the driver.  An id with
     labels that disagree counts by their mean; ties, null ids and null labels are left
-    out.  Without labels of both kinds the list is empty and keeps everything.
+    out.  Of rows that repeat an id the first text by value counts.  Without labels of both kinds, as in
+    empty tables, the list is empty and keeps everything.
     """
     marked = (
         labels.select(F.col(id_col).alias("key"), F.col(label_col).cast("double").alias("label"))
@@ -188,24 +189,25 @@ def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
         .orderBy(F.xxhash64("key"), "key")
         .limit(max_labelled)
     )
-    texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-    stats = texts.join(F.broadcast(marked), "key").select("key", "label", text_stats(F.col("text")).alias("stats"))
+    texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    one = texts.join(F.broadcast(marked), "key").groupBy("key").agg(F.first("label").alias("label"), F.min("text").alias("text"))  # labels of a key are one row
+    stats = one.select("key", "label", text_stats(F.col("text")).alias("stats"))
     by = features(F.col("stats"))
     part = F.pmod(F.xxhash64("key", F.lit("part")), F.lit(3))
     found = stats.select((F.col("label") < 0.5).alias("bad"), part.alias("part"), *[c.alias(n) for n, c in by.items()])
-    rows = [r.asDict() for r in found.orderBy(*found.columns).collect()]
+    rows = [r.asDict() for r in sorted(found.collect())]
     if len({r["bad"] for r in rows}) < 2:
         return DecisionList(())
     return learn(rows, list(by), **options)
 
 
 def judge_quality(docs: DataFrame, rules: DecisionList, text_col: str = "text", min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
-    """``docs`` with a struct ``quality_stats``: the statistics, ``base_failed`` and ``kept``.
+    """``docs`` with a struct ``quality_stats``: the statistics, ``base_failed`` and ``kept``; its name gets underscores where ``docs`` has such a column.
 
     A text fails the base with fewer than ``min_words`` words or with more than
     ``max_repeat_percent`` per cent of them in repeated windows; the others go by the
     rules.  Null and empty texts have no words and fail.  Rows are neither dropped nor
-    merged, and nothing is shuffled.
+    merged, and nothing is shuffled; an empty table stays empty.
     """
 
     def judged(s: Column) -> Column:
@@ -213,4 +215,4 @@ def judge_quality(docs: DataFrame, rules: DecisionList, text_col: str = "text",
         return s.withField("base_failed", failed).withField("kept", ~failed & rules.keeps(features(s)))
 
     # bound once: a filter on it would otherwise repeat the statistics for every condition
-    return docs.withColumn("quality_stats", let(text_stats(F.col(text_col).cast("string")), judged))
+    return docs.withColumn(free_name(docs, "quality_stats"), let(text_stats(F.col(text_col).cast("string")), judged))

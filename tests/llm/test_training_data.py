@@ -370,27 +370,131 @@ def test_lm_base_counts_and_probabilities(spark, docs, odd, none):
     assert len(alone) == 1 and alone[0]["score"] <= 0
 
 
-def test_every_window_trains_whatever_the_parts(spark, monkeypatch):
+def test_every_window_trains_whatever_the_parts(spark):
     from listingflow.llm import lm_scoring
 
-    monkeypatch.setattr(lm_scoring, "EACH", 8)
-    texts = [np.arange(i, i + 5 + 17 * i).astype("<u2") for i in range(12)] + [np.zeros(0, "<u2")]
-    df = spark.createDataFrame([(bytearray(t.tobytes()),) for t in texts], "ids binary")
+    texts = [np.arange(i, i + 5 + 17 * i).astype("<u2") for i in range(12)] + [np.zeros(0, "<u2")] + [np.arange(9).astype("<u2")] * 40
+    df = spark.createDataFrame([(min(i, 13), bytearray(t.tobytes())) for i, t in enumerate(texts)], "key long, ids binary")
     real = lambda a, b: tuple((int(x), int(y)) for x, y in zip(a, b) if x != lm_scoring.PAD and y != lm_scoring.PAD)
     want = Counter(real(a, b) for t in texts for a, b in zip(*windows_of(t, 1999)))
     for parts in (1, 5):
-        dealt = lm_scoring._dealt(df.repartition(parts), 1999)
-        assert dealt.rdd.getNumPartitions() == -(-want.total() // 8)
-        lines = [np.frombuffer(r["line"], "<u2") for r in dealt.collect()]
+        dealt, trainers, windows = lm_scoring._dealt(df.repartition(parts), 1999, 8)
+        assert dealt.rdd.getNumPartitions() == trainers == -(-want.total() // 8) and windows == want.total()
+        rows = dealt.withColumn("part", F.spark_partition_id()).collect()
+        lines = [np.frombuffer(r["line"], "<u2") for r in rows]
         assert Counter(real(x[:-1], x[1:]) for x in lines) == want
+        assert len({r["part"] for r in rows if bytes(r["line"]).find(np.arange(9).astype("<u2").tobytes()) >= 0}) > 3  # repeats are spread
 
 
-def test_model_is_a_distribution_and_each_id_counts_once():
+def test_sums_of_weights_are_the_same_in_any_order(spark, docs):
+    from listingflow.llm.lm_scoring import _row, _total
+
+    rng = np.random.default_rng(1)
+    rows = [_row(1, np.rint(rng.normal(0, 1, 50) * 2**32).astype(np.int64)) for _ in range(9)]
+    one = next(_total(iter(rows)))
+    two = next(_total(iter([*_total(iter(rows[5:])), *_total(iter(rows[4::-1]))])))
+    assert one.to_pydict() == two.to_pydict() and one.column(0)[0].as_py() == 9
+    few = docs.select("doc_id", "text")
+    a, b = (by_id(score_texts(d, windows_each=64)) for d in (few, few.repartition(7)))
+    assert all(math.isclose(a[k]["score"], b[k]["score"], rel_tol=1e-9) for k in a)
+
+
+def random_net():
     counts = Counts(np.arange(2000.0), 1999)
     counts.pair(np.arange(500), np.ones(500))
-    net = AttentionModel(counts)
+    net, rng = AttentionModel(counts), np.random.default_rng(1)
     for n in net.w:
-        net.w[n] = np.random.default_rng(1).standard_normal(net.SHAPES[n]).astype(np.float32) * 0.2
+        net.w[n] = rng.standard_normal(net.SHAPES[n]).astype(np.float32) * 0.2
+    return net
+
+
+def plain_score(net, ids, end, span, step):
+    """log probability of ``ids`` and the end, place by place, by the definition of the model."""
+    w, c = {k: v.astype(float) for k, v in net.w.items()}, net.counts
+    softmax = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    line, total = [end, *ids], 0.0
+
+    def embed(i):
+        k = c.known_of[i]
+        return w["by_id"][k] + (w["high"][i // 256] + w["low"][i % 256] if k == 1023 else 0)
+
+    for p, target in enumerate([*ids, end]):
+        first = max(0, p // step * step - (span - step))
+        xs = [embed(i) for i in line[first : p + 1]]
+        q, ks, vs = xs[-1] @ w["qkv"][:, :32], [x @ w["qkv"][:, 32:64] for x in xs], [x @ w["qkv"][:, 64:] for x in xs]
+        s = softmax(np.array([q @ k / math.sqrt(32) + w["far"][len(ks) - 1 - j] for j, k in enumerate(ks)]))
+        y = xs[-1] + sum(a * v for a, v in zip(s, vs)) @ w["back"]
+        h = y + np.maximum(y @ w["up"] + w["at"], 0) @ w["down"]
+        prev, known = c.known_of[line[p]], c.known_of[target]
+        g = known // 32
+        total += math.log(softmax(h @ w["group"] + c.group[prev])[g]) + math.log(softmax(h @ w["member"][g] + c.member[prev, g])[known % 32])
+        total += c.share[target] if known == 1023 else 0
+    return total
+
+
+def test_scores_are_those_of_a_plain_version(spark, monkeypatch):
+    from listingflow.llm import lm_scoring
+    from listingflow.llm.lm_scoring import BEFORE, SPAN, STEP
+
+    net = random_net()
+    for n in (0, 1, 47, 48, 49, 150):
+        ids = np.random.default_rng(n).integers(0, 1999, n)
+        a, b = windows_of(ids.astype("<u2"), 1999)
+        assert math.isclose(net.log_likelihood(a, b[:, BEFORE:], BEFORE).sum(), plain_score(net, ids.tolist(), 1999, SPAN, STEP), rel_tol=1e-4)
+    held = []
+    monkeypatch.setattr(lm_scoring, "_train", lambda coded, counts, each: held.append(counts) or {k: v for k, v in net.w.items()})
+    rows = [(1, "Some words, and some more words."), (2, "x" * 300), (4, None), (5, "日本語 text here")]
+    got = by_id(score_texts(spark.createDataFrame(rows, "doc_id long, text string")))
+    tok = library("byte_bpe_50k.json")
+    for k, t in rows:
+        want = plain_score(AttentionModel(held[0], net.w), tok.encode((t or "").lower(), add_special_tokens=False).ids, tok.get_vocab_size(), SPAN, STEP) / math.log(10)
+        assert math.isclose(got[k]["score"], want, rel_tol=1e-4)
+
+
+def test_gradients_are_those_of_differences():
+    from listingflow.llm.lm_scoring import BEFORE, PAD
+
+    net, rng = random_net(), np.random.default_rng(3)
+    a, b = windows_of(rng.integers(0, 1999, 90).astype("<u2"), 1999)
+    g = net.gradients(a, b[:, BEFORE:], BEFORE)
+    n = (b[:, BEFORE:] != PAD).sum()
+    for name in net.SHAPES:
+        flat = np.abs(g[name]).ravel()
+        for at in np.argsort(-flat)[:3]:
+            old = net.w[name].ravel()[at]
+            loss = []
+            for x in (old + 0.01, old - 0.01):
+                net.w[name].ravel()[at] = x
+                loss.append(-net.log_likelihood(a, b[:, BEFORE:], BEFORE).sum() / n)
+            net.w[name].ravel()[at] = old
+            assert math.isclose((loss[0] - loss[1]) / 0.02, g[name].ravel()[at], rel_tol=0.05, abs_tol=1e-4), name
+
+
+def test_attention_lowers_held_out_loss_below_pair_counts():
+    """Most ids repeat the one two before: pairs can't say so, attention can."""
+    from listingflow.llm.lm_scoring import BATCH, BEFORE
+
+    rng = np.random.default_rng(5)
+
+    def text():
+        x = rng.integers(0, 20, 480)
+        for i in np.nonzero(rng.random(480) < 0.8)[0]:
+            x[i] = x[i - 2] if i > 1 else x[i]
+        return windows_of(x.astype("<u2"), 1999)
+
+    counts = Counts(np.bincount(rng.integers(0, 20, 4000), minlength=2000), 1999)
+    counts.pair(np.zeros(0, np.int64), np.zeros(0))
+    net, (x, y) = AttentionModel(counts), text()
+    before = net.log_likelihood(x, y[:, BEFORE:], BEFORE).sum()
+    many = [text() for _ in range(2000)]
+    a, b = np.concatenate([w[0] for w in many]), np.concatenate([w[1] for w in many])[:, BEFORE:]
+    steps = len(a) // BATCH
+    net.fit(((a[k : k + BATCH], b[k : k + BATCH]) for k in range(0, steps * BATCH, BATCH)), steps)
+    assert net.log_likelihood(x, y[:, BEFORE:], BEFORE).sum() > 0.85 * before
+
+
+def test_model_is_a_distribution_and_each_id_counts_once():
+    net = random_net()
     a, b = windows_of(np.arange(5, 60), 1999)
     from listingflow.llm.lm_scoring import BEFORE, PAD
 
@@ -452,6 +556,44 @@ def test_shards_get_equal_numbers_of_blocks(spark):
     assert source == {0: 500, 1: 30, 2: 1} and set(shard.values()) <= {75, 76} and len(shard) == 7
 
 
+def test_sources_beyond_a_group_split_exactly(spark):
+    from listingflow.llm.mixing import split_quotas
+
+    want = {i: (i * 7) % 23 + (400 if i == 5 else 0) for i in range(40)}
+    quotas = spark.createDataFrame([(i, n) for i, n in want.items() if n], "source_ix long, quota long")
+    for group in (8, 1024):
+        shard, source = Counter(), Counter()
+        for r in split_quotas(quotas, 6, 3, group=group).collect():
+            assert r["taken"] > 0
+            shard[r["shard"]] += r["taken"]
+            source[r["source_ix"]] += r["taken"]
+        assert source == {i: n for i, n in want.items() if n}
+        assert max(shard.values()) - min(shard.values()) <= 1 and len(shard) == 6
+
+
+def test_sources_come_within_one_per_cent(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = mix(docs).groupBy("source").agg(F.first("target").alias("target"), F.sum(F.col("size") * F.size("draws")).alias("taken")).collect()
+    assert len(got) > 10 and all(abs(r["taken"] - r["target"]) <= 0.01 * r["target"] for r in got)
+
+
+def test_repeated_rows_are_spread_over_blocks(spark):
+    df = spark.createDataFrame([(1, "one two three", "a")] * 600 + [(2, "x " * 40, "b"), (3, None, "c")], "doc_id long, text string, source string")
+    got = mix(df, block_words=50, shard_words=200).collect()
+    assert len(got) == 602
+    taken = sum(r["size"] * len(r["draws"]) for r in got if r["source"] == "a")
+    assert abs(taken - next(r["target"] for r in got if r["source"] == "a")) <= 3
+    assert len({d["shard"] for r in got for d in r["draws"]}) > 5
+
+
+def test_running_sums(spark):
+    from listingflow.llm.common import running
+
+    df = spark.range(500).select((F.col("id") % 3).alias("k"), F.col("id").alias("o"), (F.col("id") % 7).alias("v"))
+    got = {(r["k"], r["o"]): r["s"] for r in running(df, ["k"], ["o"], "v", "s").collect()}
+    assert got == {(i % 3, i): sum(j % 7 for j in range(i % 3, i + 1, 3)) for i in range(500)}
+
+
 def test_hypergeometric_has_its_mean_and_variance(spark):
     from listingflow.llm.mixing import hypergeometric
 
@@ -599,6 +741,16 @@ def test_rules_are_learned_and_leave_good_documents(spark):
     assert kept[1] > 0.98 and kept[0] < 0.3
 
 
+def test_one_labelled_row_for_each_id_and_clashing_columns(spark, none):
+    docs = spark.createDataFrame([(i % 40, ("good words here. " if i % 2 else "BAD ### TEXT ") * (20 + i % 40), i) for i in range(4000)], "doc_id long, text string, quality_stats int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    rules = fit_rules(docs, labels)
+    assert rules == fit_rules(docs.where("quality_stats < 40"), labels)
+    got = judge_quality(docs.limit(5), rules)
+    assert got.columns == ["doc_id", "text", "quality_stats", "quality_stats_"] and got.schema["quality_stats"].dataType.simpleString() == "int"
+    assert judge_quality(none, rules).count() == 0 and fit_rules(none, labels) == DecisionList(())
+
+
 def test_rules_without_labels_keep_everything(spark, docs):
     labels = spark.createDataFrame([(1, None), (None, 0)], "doc_id long, quality int")
     assert fit_rules(docs, labels) == DecisionList(())
