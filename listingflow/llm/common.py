@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from listingflow.shared import shared_dir
+from listingflow.shared import staged, unstage  # noqa: F401
 
 #: ASCII white space, the separator of words in every operator here.
 WS = r"\x20\x09-\x0D"
@@ -17,24 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame, label: str, rows_per_batch: int | None = None) -> DataFrame:
-    """``df`` written to the shared folder and read again: a cut in the lineage that survives lost executors.
-
-    ``rows_per_batch``: of the Arrow batches while it is written, for rows that hold whole blocks.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(batch)
-    try:
-        if rows_per_batch:
-            spark.conf.set(batch, rows_per_batch)
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(batch, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listingflow.llm.common import staged
+from listingflow.llm.common import staged, unstage
 
 
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -19,12 +19,14 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     sign = _signature(edges)
     while sign[0]:
         both = edges.union(edges.select("v", "u"))
-        least = staged(both.groupBy("u").agg(F.min("v").alias("m")), f"{label}-large").select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+        minima = staged(both.groupBy("u").agg(F.min("v").alias("m")), f"{label}-large")
+        least = minima.select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
         large = both.join(least, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = staged(large.where("u != v").distinct(), label)
         least = staged(large.groupBy("u").agg(F.min("v").alias("m")), f"{label}-small")
         other = large.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = staged(other.union(least.select("u", F.col("m").alias("v"))).distinct(), label)
+        old, edges = edges, staged(other.union(least.select("u", F.col("m").alias("v"))).distinct(), label)
+        unstage(old, minima, large, least)
         before, sign = sign, _signature(edges)
         if sign == before:
             break

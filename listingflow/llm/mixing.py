@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from listingflow.llm.common import let, running, staged, words_of
+from listingflow.llm.common import let, running, staged, unstage, words_of
 
 
 def _uniform(*parts: Column) -> Column:
@@ -210,6 +210,7 @@ def mix(
     ends = by_block.where(F.exists("all", lambda d: d["room"].isNotNull())).select("source_ix", "block", F.array_max(F.transform("all", lambda d: d["room"])).alias("room"))
     inside = placed.join(ends, ["source_ix", "block"]).groupBy("source_ix", "block").agg(F.max("room").alias("room"), F.sort_array(F.collect_list(F.struct("h", "size"))).alias("docs"))
     filled = staged(inside.select("source_ix", "block", _fitting(F.col("docs"), F.col("room")).alias("fit")), "mix-filled")
+    unstage(repeats, sizes, sized, last, draws, cut)
     drawn = placed.join(by_block.select("source_ix", "block", "all"), ["source_ix", "block"], "left").join(filled, ["source_ix", "block"], "left")
     in_room = F.coalesce(F.array_contains("fit", F.col("h")), F.lit(False))
     mine = F.filter(F.coalesce("all", F.array().cast(by_block.schema["all"].dataType)), lambda d: d["room"].isNull() | in_room)

@@ -17,10 +17,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listingflow.llm.common import staged
+from listingflow.llm.common import free_name, staged, unstage
 from listingflow.llm.components import connected_components
 
 SEED = 42
@@ -33,6 +33,8 @@ PARTS = ((20_000, 1), (1_500_000, 2), (None, 4))
 MOST_STEPS = 100
 #: Counters of shingles, a power of two, and the pieces in which tasks hand them on.
 COUNTERS, PIECES = 1 << 20, 64
+#: Bits of the filter that says which texts are asked for; a full one lets more pass and changes no result.
+FILTER = 1 << 26
 
 
 def fingerprint_bits(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -173,7 +175,9 @@ def near_links(distinct: DataFrame, radius: int = 3, tile: int = 4096, total: in
                 v.append(got[1])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (u, v)], names=["u", "v"])
 
-    return staged(pairs.mapInArrow(run, "u long, v long"), "simhash-links", rows_per_batch=256)
+    links = staged(pairs.mapInArrow(run, "u long, v long"), "simhash-links", rows_per_batch=256)
+    unstage(tiles)
+    return links
 
 
 def _mask(at: int, width: int) -> Column:
@@ -189,15 +193,20 @@ def near_classes(prints: DataFrame, id_col: str = "doc_id", radius: int = 3) ->
     Repeated rows stay.
     """
     classes = staged(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-classes")
-    stars = connected_components(near_links(classes.select("fp"), radius), "simhash-stars")
+    links = near_links(classes.select("fp"), radius)
+    stars = connected_components(links, "simhash-stars")
     rooted = staged(classes.join(stars, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
     roots = staged(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-roots")
     named = staged(rooted.join(roots, "root").select("fp", "component_id"), "simhash-named")
+    unstage(classes, links, rooted, roots)
     return prints.join(named, "fp")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
-    """``id_col``, ``fp`` and ``component_id`` of every document; see :func:`fingerprints` and :func:`near_classes`."""
+    """``id_col``, ``fp`` and ``component_id`` of every document; see :func:`fingerprints` and :func:`near_classes`.
+
+    An empty table gives no rows; very long texts are hashed whole; other columns are not read, whatever their names.
+    """
     prints = staged(fingerprints(docs, id_col, text_col, shingle), "simhash-prints")
     return near_classes(prints, id_col, radius).select(id_col, "fp", "component_id")
 
@@ -208,21 +217,33 @@ def _key(*columns: Column) -> Column:
     return F.concat(F.hex(F.xxhash64(*marks, F.lit(1))), F.lit("-"), F.hex(F.xxhash64(F.lit(2), *marks)))
 
 
-def _shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
-    """``rows`` (``part``, ``digest``, ``fp``, ``text``) with the text's sorted distinct shingle hashes in its place."""
+def _shingle_sets(keyed: DataFrame, key: str, text: Column, asked: DataFrame, shingle: int) -> DataFrame:
+    """``asked`` (``k``, ``digest``, ``fp``, ``part``) with the sorted distinct shingle hashes (``shingles``) of the rows' texts, one row for each.
+
+    Texts are not shuffled: a filter of ``FILTER`` bits says which may be asked for, and what is shuffled are their hashes.
+    """
+    at = F.pmod(F.xxhash64("k", F.lit("asked")), F.lit(FILTER))
+    bits = asked.select((at / 64).cast("long").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # FILTER / 64 at most
+    words = np.zeros(FILTER // 64, np.uint64)
+    words[bits["word"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
+    wanted = keyed.sparkSession.sparkContext.broadcast(words)
 
     def run(batches):
         from xxhash import xxh64_intdigest as digest
 
+        held = wanted.value
         for batch in batches:
+            places = batch.column(1).to_numpy()
+            hits = np.nonzero((held[places // 64] >> (places % 64).astype(np.uint64)) & np.uint64(1))[0]
             sets = []
-            for text in batch.column(3):
-                words = (text.as_py() or "").encode().lower().split()
+            for i in hits.tolist():
+                words = (batch.column(2)[i].as_py() or "").encode().lower().split()
                 runs = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) > shingle else [b" ".join(words)]
                 sets.append(np.unique(np.fromiter((digest(s, SEED) for s in runs), dtype="<u8")).tobytes())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(sets, pa.binary())], names=["part", "digest", "fp", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hits)), pa.array(sets, pa.binary())], names=["k", "shingles"])
 
-    return rows.select("part", "digest", "fp", "text").mapInArrow(run, "part long, digest string, fp long, shingles binary")
+    rows = keyed.select(F.col(key).alias("k"), text.alias("text")).select("k", at.alias("at"), "text")
+    return asked.join(rows.mapInArrow(run, "k string, shingles binary"), "k").dropDuplicates(["k", "digest"])
 
 
 def verified_forest(fps: np.ndarray, sets: list[np.ndarray], first: int, radius: int, similarity: float) -> np.ndarray:
@@ -256,8 +277,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
     Two texts are linked whose sets of ``shingle``-word shingles have a Jaccard similarity
     of ``similarity`` or more, checked exactly; a group is what links connect.  Texts of equal words are one text.
-    Null and empty texts are copies of each other; null ids come after all others;
-    of rows repeated in id and text one stays.  Other columns are carried along.
+    Null and empty texts are copies of each other; null ids come after all others, and ids may have any type
+    that has an order; of rows repeated in id and text one stays.  Other columns are carried along, whatever
+    their names; an empty table stays empty; very long texts are compared whole.
 
     Most links are found among texts whose fingerprints of distinct shingles differ in
     ``radius`` of 64 and ``total`` of 256 bits or fewer (at 0.8 they differ in 9.7 and 38.8
@@ -269,20 +291,21 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     task holds a whole group.
     """
     text = F.col(text_col).cast("string")
-    keyed = docs.withColumn("_key", _key(F.col(id_col), text))
-    slim = keyed.select(F.struct(F.col("_key").alias("k"), F.col(id_col).cast("long").alias("id")).alias("row"), text.alias("t"))
+    key = free_name(docs, "_key")
+    keyed = docs.withColumn(key, _key(F.col(id_col), text))
+    slim = keyed.select(F.struct(F.col(key).alias("k"), F.col(id_col).alias("id")).alias("row"), text.alias("t"))
     prints = staged(_prints_and_digests(slim, shingle), "dedup-prints")
     texts = staged(prints.groupBy("digest", "fp", "w1", "w2", "w3").agg(F.min(F.struct(F.col("row.id").isNull().alias("none"), F.col("row.id").alias("id"), F.col("row.k").alias("k"))).alias("least"), F.count("*").alias("n")), "dedup-texts")
-    stars = connected_components(near_links(texts.select("fp", "w1", "w2", "w3").distinct(), radius, total=total), "dedup-candidates")
+    near_fps = near_links(texts.select("fp", "w1", "w2", "w3").distinct(), radius, total=total)
+    stars = connected_components(near_fps, "dedup-candidates")
     near = stars.union(stars.select("root", "root").distinct())
     shared = texts.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select(F.col("fp").alias("node"), F.col("fp").alias("root")).join(near, "node", "left_anti")
     groups = staged(near.union(shared).distinct(), "dedup-groups")
-    asked = texts.join(groups, F.col("fp") == F.col("node")).select(F.col("least.k").alias("_key"), "digest", "fp", F.col("root").alias("part"))
+    asked = texts.join(groups, F.col("fp") == F.col("node")).select(F.col("least.k").alias("k"), "digest", "fp", F.col("root").alias("part"))
     asked = staged(asked, "dedup-asked")
-    sets = keyed.select("_key", text.alias("text")).join(asked, "_key").dropDuplicates(["_key"])
-    sets = staged(_shingle_sets(sets, shingle), "dedup-sets")
-    splits = sets.groupBy("part").agg(F.ceil(F.greatest(F.count("*") / block, F.sum(F.length("shingles")) / block_bytes)).cast("int").alias("splits"))
-    blocks = sets.join(splits, "part").withColumn("split", F.pmod(F.xxhash64("digest"), F.col("splits")).cast("int"))
+    sets = staged(_shingle_sets(keyed, key, text, asked, shingle), "dedup-sets")
+    splits = staged(sets.groupBy("part").agg(F.ceil(F.greatest(F.count("*") / block, F.sum(F.length("shingles")) / block_bytes)).cast("int").alias("splits")), "dedup-splits")
+    blocks = sets.join(splits, "part").withColumn("split", F.pmod(F.xxhash64("digest"), F.col("splits")).cast("int")).repartition("part", "split")
     blocks = staged(blocks.groupBy("part", "split").agg(F.max("splits").alias("splits"), F.collect_list(F.struct("digest", "fp", "shingles")).alias("rows")), "dedup-blocks")
     a = blocks.select("part", F.col("split").alias("sa"), F.col("rows").alias("a"), F.explode(F.sequence(F.col("split"), F.col("splits") - 1)).alias("sb"))
     pairs = a.join(blocks.select("part", F.col("split").alias("sb"), F.col("rows").alias("b")), ["part", "sb"])
@@ -301,18 +324,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.string()), pa.array(v, pa.string())], names=["u", "v"])
 
     links = staged(pairs.mapInArrow(run, "u string, v string"), "dedup-links", rows_per_batch=1)
+    unstage(near_fps, groups, asked, sets, splits, blocks)
     stars = connected_components(links, "dedup-stars")
-    more = _prefix_links(keyed, text, texts, stars, shingle, similarity)
+    more = _prefix_links(keyed, key, text, texts, stars, shingle, similarity)
     if not more.isEmpty():
         stars = connected_components(stars.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more), "dedup-stars")
     rooted = staged(texts.join(stars, F.col("digest") == F.col("node"), "left").select(F.coalesce("root", "digest").alias("root"), "least"), "dedup-rooted")
-    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.k").alias("_key"))
-    kept = staged(kept, "dedup-kept")
-    left = keyed.join(kept, "_key", "left_semi")
-    again = prints.groupBy(F.col("row.k").alias("_key")).count().where("count > 1").join(kept, "_key", "left_semi").select("_key")
+    kept = staged(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.k").alias(key)), "dedup-kept")
+    left = keyed.join(kept, key, "left_semi")
+    again = prints.groupBy(F.col("row.k").alias(key)).count().where("count > 1").join(kept, key, "left_semi").select(key)
     again = staged(again, "dedup-again")
+    unstage(prints, texts, links, more, rooted)
     if not again.isEmpty():
-        left = left.join(again, "_key", "left_anti").unionByName(left.join(again, "_key", "left_semi").dropDuplicates(["_key"]))
+        left = left.join(again, key, "left_anti").unionByName(left.join(again, key, "left_semi").dropDuplicates([key]))
     return left.select(*docs.columns)
 
 
@@ -341,7 +365,8 @@ def _prints_and_digests(slim: DataFrame, shingle: int) -> DataFrame:
         h, at = np.array(hashes, dtype="<u8"), np.array(ends, dtype=np.int64)
         return [fingerprint_bits(_mixed(h, k) if k else h, at) if ends else np.zeros(0, "<u8") for k in range(4)]
 
-    return slim.mapInArrow(run, "row struct<k:string,id:long>, digest string, fp long, w1 long, w2 long, w3 long")
+    kind = slim.schema["row"].dataType.simpleString()
+    return slim.mapInArrow(run, f"row {kind}, digest string, fp long, w1 long, w2 long, w3 long")
 
 
 def _word_hashes(text: str | None, shingle: int) -> tuple[str, np.ndarray]:
@@ -357,12 +382,14 @@ def _word_hashes(text: str | None, shingle: int) -> tuple[str, np.ndarray]:
     return xxh3_128_hexdigest(b" ".join(words)), np.unique(found)
 
 
-def _prefix_links(keyed: DataFrame, text: Column, texts: DataFrame, stars: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _prefix_links(keyed: DataFrame, key: str, text: Column, texts: DataFrame, stars: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Links (``u``, ``v``) between digests of all pairs of texts of ``similarity`` or more that ``stars`` leaves apart.
 
     Of n shingles, at most n less ``similarity`` times n can be missing in a set that is
     alike, so one more than that, the rarest by shared counters, must meet.  The
     counters only order shingles: shared ones change the cost and not the result.
+    Of two prefixes, all common shingles up to the end of the one that ends first lie in both;
+    with those, and all that can come after it, a pair must reach ``similarity`` to be checked.
     """
 
     def count(batches):
@@ -391,7 +418,7 @@ def _prefix_links(keyed: DataFrame, text: Column, texts: DataFrame, stars: DataF
     def prefixes(batches):
         seen, done = often.value, set()
         for batch in batches:
-            hs, ts, sizes, places = [], [], [], []
+            hs, ts, sizes, lasts = [], [], [], []
             for t in batch.column(0):
                 digest, found = _word_hashes(t.as_py(), shingle)
                 n = len(found)
@@ -400,12 +427,15 @@ def _prefix_links(keyed: DataFrame, text: Column, texts: DataFrame, stars: DataF
                 if len(done) < HELD:
                     done.add(digest)
                 first = n - math.ceil(similarity * n - 1e-9) + 1
-                hs.append(found[np.lexsort((found, seen[(found % COUNTERS).astype(np.int64)]))[:first]])
-                ts.append(np.full(len(hs[-1]), int(digest[:16], 16), "<u8"))
-                sizes.append(np.full(len(hs[-1]), n, np.int32))
-                places.append(np.arange(len(hs[-1]), dtype=np.int32))
+                order = np.lexsort((found, seen[(found % COUNTERS).astype(np.int64)]))[:first]
+                hs.append(found[order])
+                ts.append(np.full(first, int(digest[:16], 16), "<u8"))
+                sizes.append(np.full(first, n, np.int32))
+                lasts.append(np.full(first, int(found[order[-1]]), "<u8"))
             if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view("<i8")), pa.array(np.concatenate(ts).view("<i8")), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], names=["h", "t", "n", "at"])
+                h, last = np.concatenate(hs), np.concatenate(lasts)
+                columns = [h.view("<i8"), np.concatenate(ts).view("<i8"), np.concatenate(sizes), seen[(last % COUNTERS).astype(np.int64)], (last ^ np.uint64(1 << 63)).view("<i8")]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "t", "n", "often", "last"])
 
     def checked(batches):
         for batch in batches:
@@ -416,23 +446,29 @@ def _prefix_links(keyed: DataFrame, text: Column, texts: DataFrame, stars: DataF
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    rows = slim.mapInArrow(prefixes, "h long, t long, n int, at int")
-    by_h = Window.partitionBy("h")
-    shared = rows.select("*", F.min("t").over(by_h).alias("lo"), F.max("t").over(by_h).alias("hi")).where("lo != hi").drop("lo", "hi")
-    shared = staged(shared.distinct(), "dedup-shared")
+    rows = slim.mapInArrow(prefixes, "h long, t long, n int, often long, last long")
+    rows = staged(rows, "dedup-prefixes")
+    met = staged(rows.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo != hi").select("h"), "dedup-met")
+    shared = staged(rows.join(met, "h", "left_semi").distinct(), "dedup-shared")
+    unstage(rows, met)
     # equal first halves of digests only bring more pairs to check
     t = F.conv(F.substring("digest", 1, 16), 16, -10).cast("long")
-    rooted = staged(texts.join(stars, F.col("digest") == F.col("node"), "left").select(t.alias("t"), "digest", F.col("least.k").alias("_key"), F.coalesce("root", "digest").alias("root")), "dedup-linked")
+    rooted = staged(texts.join(stars, F.col("digest") == F.col("node"), "left").select(t.alias("t"), "digest", F.col("least.k").alias("k"), F.coalesce("root", "digest").alias("root")), "dedup-linked")
     members = staged(shared.join(rooted.select("t", "root"), "t"), "dedup-members")
-    apart = members.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("h")
-    members = staged(members.join(apart, "h", "left_semi"), "dedup-apart")
-    a, b = (members.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("t", "root", "n", "at")]) for x in "ab")
+    apart = staged(members.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("h"), "dedup-apart")
+    members, old = staged(members.join(apart, "h", "left_semi"), "dedup-members"), members
+    unstage(shared, old, apart)
+    a, b = (members.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("t", "root", "n", "often", "last")]) for x in "ab")
+    pairs = a.join(b, "h").where((F.col("t_a") < F.col("t_b")) & (F.col("root_a") != F.col("root_b")) & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")))
+    pairs = pairs.groupBy("t_a", "t_b", *[f"{c}_{x}" for c in ("n", "often", "last") for x in "ab"]).agg(F.count("*").alias("met"))
+    first_ends = (F.col("often_a") < F.col("often_b")) | ((F.col("often_a") == F.col("often_b")) & (F.col("last_a") <= F.col("last_b")))
+    after = F.floor(F.lit(similarity) * F.when(first_ends, F.col("n_a")).otherwise(F.col("n_b")) + 1e-6)
     least = F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-6
-    enough = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= least
-    pairs = a.join(b, "h").where((F.col("t_a") < F.col("t_b")) & (F.col("root_a") != F.col("root_b")) & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")) & enough)
-    pairs = staged(pairs.select("t_a", "t_b").distinct(), "dedup-pairs")
-    asked = pairs.select(F.col("t_a").alias("t")).union(pairs.select("t_b")).distinct().join(rooted, "t").select("_key", "digest", F.col("t").alias("part"), F.lit(0).cast("long").alias("fp"))
-    sets = keyed.select("_key", text.alias("text")).join(staged(asked, "dedup-wanted"), "_key").dropDuplicates(["_key"])
-    sets = staged(_shingle_sets(sets, shingle), "dedup-rest")
+    pairs = staged(pairs.where(F.col("met") + after >= least).select("t_a", "t_b").distinct(), "dedup-pairs")
+    asked = pairs.select(F.col("t_a").alias("t")).union(pairs.select("t_b")).distinct().join(rooted, "t").select("k", "digest", F.col("t").alias("part"), F.lit(0).cast("long").alias("fp"))
+    asked = staged(asked, "dedup-wanted")
+    sets = staged(_shingle_sets(keyed, key, text, asked, shingle), "dedup-rest")
     x, y = (sets.select(F.col("part").alias(f"t_{i}"), F.col("digest").alias(u), F.col("shingles").alias(i)) for i, u in (("a", "u"), ("b", "v")))
-    return staged(pairs.join(x, "t_a").join(y, "t_b").select("u", "v", "a", "b").mapInArrow(checked, "u string, v string"), "dedup-more", rows_per_batch=1000)
+    links = staged(pairs.join(x, "t_a").join(y, "t_b").select("u", "v", "a", "b").mapInArrow(checked, "u string, v string"), "dedup-more", rows_per_batch=1000)
+    unstage(rooted, members, pairs, asked, sets)
+    return links

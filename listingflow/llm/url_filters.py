@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listingflow.llm.common import ascii_lower, let
+from listingflow.llm.common import ascii_lower, free_name, let
 
 PREFIX_DIGITS = 8
 
@@ -55,7 +55,7 @@ def judge_urls(
     broadcast_rules: int = 100_000,
     salts: int = 32,
 ) -> DataFrame:
-    """``pages`` with a struct ``judged``: ``host``, ``path``, ``rule``, ``verdict``.
+    """``pages`` with a struct ``judged``: ``host``, ``path``, ``rule``, ``verdict``; its name gets underscores where ``pages`` has such a column.
 
     ``rules`` has ``host``, ``path`` and ``verdict``.  A rule fits its host and all
     subdomains where the URL's path starts with the rule's path.  The longest fitting
@@ -75,7 +75,8 @@ def judge_urls(
         F.max(F.size(F.split("rule_host", r"\."))).alias("labels"),
         F.collect_set(F.when(~F.col("rule_path").endswith("/"), F.length("rule_path"))).alias("lengths"),
     ).first()
-    parts = pages.withColumn("judged", F.struct(host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")))
+    judged = free_name(pages, "judged")
+    parts = pages.withColumn(judged, F.struct(host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")))
     keyed = good.select(
         F.sha2(F.concat("rule_host", "rule_path"), 256).alias("rule_digest"),
         F.struct(
@@ -86,7 +87,7 @@ def judge_urls(
             F.col("rule_verdict").alias("verdict"),
         ).alias("fit"),
     ).withColumn("short", F.substring("rule_digest", 1, PREFIX_DIGITS))
-    urls = parts.select("judged.host", "judged.path").where("host != ''").distinct()
+    urls = parts.select(f"{judged}.host", f"{judged}.path").where("host != ''").distinct()
     wide = urls.select(
         "host",
         "path",
@@ -105,13 +106,13 @@ def judge_urls(
         spread = keyed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         met = wide.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(salts)).cast("int")).join(spread, ["short", "salt"])
     decided = met.where("digest = rule_digest").groupBy("host", "path").agg(F.max("fit").alias("fit"))
-    out = parts.alias("p").join(decided.alias("d"), (F.col("p.judged.host") == F.col("d.host")) & (F.col("p.judged.path") == F.col("d.path")), "left")
+    out = parts.alias("p").join(decided.alias("d"), (F.col(f"p.{judged}.host") == F.col("d.host")) & (F.col(f"p.{judged}.path") == F.col("d.path")), "left")
     return out.select(
-        *[F.col(f"p.`{c}`") for c in pages.columns if c != "judged"],
+        *[F.col(f"p.`{c}`") for c in pages.columns],
         F.struct(
-            F.col("p.judged.host").alias("host"),
-            F.col("p.judged.path").alias("path"),
+            F.col(f"p.{judged}.host").alias("host"),
+            F.col(f"p.{judged}.path").alias("path"),
             F.col("d.fit.rule").alias("rule"),
             F.coalesce("d.fit.verdict", F.lit(default)).alias("verdict"),
-        ).alias("judged"),
+        ).alias(judged),
     )

@@ -244,6 +244,8 @@ def test_url_filters(spark):
         assert len(got) == len(urls) + 1
         for r in got:
             assert r[1] == "h" and tuple(r[2:]) == plain(urls[r["page_id"]])
+    clash = judge_urls(df.withColumn("judged", F.lit("j")), table)
+    assert clash.columns == [*df.columns, "judged", "judged_"] and clash.where("judged = 'j' and judged_.verdict = 'block'").count() > 0
     assert judge_urls(df, table.limit(0)).where("judged.verdict != 'allow'").count() == 0
     assert judge_urls(df.limit(0), table).count() == 0
 
@@ -654,9 +656,11 @@ def test_keep_one(spark, odd):
     base = [f"w{i}" for i in range(120)]
     edit = lambda k, n: " ".join([*base[:k], *(f"x{k}{j}" for j in range(n)), *base[k + n :]])
     rows = [(10, " ".join(base)), (11, " ".join(base).upper()), (12, edit(50, 2)), (13, edit(10, 3)), (14, edit(20, 60)), (15, None), (16, ""), (10, " ".join(base)), (None, edit(90, 1))]
-    df = spark.createDataFrame([(k, t, "z") for k, t in rows], "doc_id long, text string, _more string")
+    df = spark.createDataFrame([(k, t, "z") for k, t in rows], "doc_id long, text string, _key string")
     got = keep_one(df, block=2)
-    assert got.columns == df.columns
+    assert got.columns == df.columns and {r["_key"] for r in got.collect()} == {"z"}
+    named = df.withColumn("doc_id", F.concat(F.lit("id"), "doc_id"))
+    assert sorted(r["doc_id"] for r in keep_one(named).collect()) == ["id10", "id14", "id15"]
     assert sorted(r["doc_id"] for r in got.collect()) == [10, 14, 15]
     assert keep_one(odd).count() == 4 and keep_one(df.limit(0)).count() == 0
 
