@@ -74,6 +74,13 @@ def format_date(ts: Column, style: str = "date") -> Column:
     return F.date_format(ts, {"stamp": "yyyyMMdd_HHmmss", "time": "yyyy-MM-dd HH:mm:ss"}.get(style, "yyyy-MM-dd"))
 
 
+def to_utc_date(c: Column, now: Column) -> Column:
+    """``yyyy-mm-dd`` as an ISO instant of that midnight; ``now`` (a timestamp) where missing or empty, null where it is no date."""
+    day = F.try_to_timestamp(F.nullif(c, F.lit("")), F.lit("yyyy-M-d"))
+    at = F.when(F.length(c) > 0, day).otherwise(now)
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def backoff(attempt: Column, base: float = 1000, factor: float = 2, most: float = 30000) -> Column:
     """Milliseconds before an attempt, counted from 0."""
     return F.least(base * F.pow(F.lit(float(factor)), attempt), F.lit(float(most)))

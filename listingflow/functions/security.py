@@ -39,8 +39,8 @@ TEST_PREFIXES = ("sk-test_", "test_", "demo_", "dummy_", "example_", "sample_")
 #: Names of sensitive content, parameters, devices and file types.
 SENSITIVE = (r"password", r"api[_-]?key", r"secret", r"token", r"private[_-]?key", r"certificate", r"ssh[_-]?key")
 SENSITIVE_PARAMETERS = ("api_key", "token", "secret", "password", "auth")
-RESERVED = "CON PRN AUX NUL COM1 COM2 COM3 COM4 COM5 COM6 COM7 COM8 LPT1 LPT2 LPT3 LPT4 LPT5 LPT6 LPT7 LPT8".split()
-RUNNABLE = ".exe .bat .cmd .com .pif .scr .vbs .js .jar".split()
+RESERVED = ("CON", "PRN", "AUX", "NUL", "COM1", "COM2", "COM3", "COM4", "COM5", "COM6", "COM7", "COM8", "LPT1", "LPT2", "LPT3", "LPT4", "LPT5", "LPT6", "LPT7", "LPT8")
+RUNNABLE = (".exe", ".bat", ".cmd", ".com", ".pif", ".scr", ".vbs", ".js", ".jar")
 PROTOCOLS = ("javascript", "data", "vbscript", "file")
 #: What is cut from file contents.
 REDACTED = (
@@ -111,7 +111,7 @@ def safe_path(c: Column, extensions: tuple = (), bases: tuple = ()) -> Column:
     path = F.translate(c, "\\", "/")
     name = F.substring_index(path, "/", -1)
     ok = ~path.rlike(r"^/|~(?:/|$)|\$\{.*\}|%.*%") & ~path.contains("..") & ~path.contains("\0") & F.length(name).between(1, 255)
-    ok = ok & ~F.upper(name).isin(RESERVED)
+    ok = ok & ~F.upper(name).isin(*RESERVED)
     for e in RUNNABLE:
         ok = ok & ~F.lower(name).endswith(e)
     if bases:
@@ -128,6 +128,21 @@ def is_real_key(c: Column) -> Column:
     return F.coalesce(c.rlike(SHAPES["apiKey"]) & ~c.rlike("(?i)" + "|".join(TEST_WORDS)), F.lit(False))
 
 
+def hash_key(c: Column) -> Column:
+    """SHA-256 of a key in hexadecimal."""
+    return F.sha2(c, 256)
+
+
+#: What keys in files look like, and folders that aren't searched.
+KEYS_IN_FILES = (r"""(?i)(?:api[_-]?key|secret|token)\s*[:=]\s*["']?[a-zA-Z0-9_-]{10,}["']?""", r"(?i)(?:sk-|pk-)[a-zA-Z0-9_-]{20,}")
+SKIPPED_FOLDERS = ("node_modules", ".git", ".next", "dist", "build")
+
+
+def keys_in(text: Column, most: int = 3) -> Column:
+    """For each pattern of :data:`KEYS_IN_FILES` its first ``most`` matches, joined."""
+    return F.concat(*[F.slice(F.regexp_extract_all(text, F.lit(p), F.lit(0)), 1, most) for p in KEYS_IN_FILES])
+
+
 def key_strength(c: Column, provider: Column | None = None, trusted: tuple = (), least_entropy: float = 3.5, most_repeats: int = 3) -> Column:
     """Struct of ``valid`` and ``warnings`` for a key."""
     valid = F.length(c).between(16, 128) & ~c.rlike("(?i)^(" + "|".join(TEST_PREFIXES) + ")")

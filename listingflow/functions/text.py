@@ -123,5 +123,11 @@ def strip_fences(c: Column) -> Column:
     return trimmed(c)
 
 
+def answer_results(c: Column, schema: str) -> Column:
+    """The ``results`` of a model's answer as an array of ``schema``, thoughts cut out; empty where it isn't such an answer."""
+    found = F.from_json(strip_thoughts(c), f"results array<{schema}>")["results"]
+    return F.coalesce(found, F.from_json(F.lit("[]"), f"array<{schema}>"))
+
+
 def strip_thoughts(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(?s)<thought>.*?</thought>", ""), r"\n", " ")

@@ -54,9 +54,20 @@ def range_rule(field: str, low: float | None, high: float | None, open_low: bool
     return f"{field} is out of range", c.isNull() | ok
 
 
-#: Bounds of a model call's parameters.
+#: Bounds of a model call's parameters, and whether the lower one is left out.
+CALL_BOUNDS = {"temperature": (0, 2, False), "topP": (0, 1, True), "maxTokens": (0, 32000, True), "timeout": (0, 300000, True)}
+#: What a provider must have.
+PROVIDER_FIELDS = ("name", "baseUrl", "apiKey", "model")
+
+
 def call_rules() -> list[Rule]:
-    return [range_rule("temperature", 0, 2), range_rule("topP", 0, 1, True), range_rule("maxTokens", 0, 32000, True), range_rule("timeout", 0, 300000, True)]
+    return [range_rule(f, *bounds) for f, bounds in CALL_BOUNDS.items()]
+
+
+def provider_rules() -> list[Rule]:
+    """A provider's configuration: four filled fields, a URL with a scheme, and the bounds of calls."""
+    filled = [(f"{f} is required", F.coalesce(F.length(F.trim(F.col(f))) > 0, F.lit(False))) for f in PROVIDER_FIELDS]
+    return [*filled, ("baseUrl is not a URL", F.coalesce(F.col("baseUrl").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:\S+$"), F.lit(False))), *call_rules()]
 
 
 def listing_rules(columns: list[str]) -> list[Rule]:

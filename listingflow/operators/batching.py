@@ -11,14 +11,47 @@ from pyspark.sql import functions as F
 from listingflow.operators.order import numbered
 
 
-def batches(df: DataFrame, order: str, value: str, size: int = 100, separator: str = "\n") -> DataFrame:
-    """``batch``, its number of rows ``n`` and its values joined in order; size 0 makes one batch."""
+def batches(df: DataFrame, order: str, value: str, size: int = 100, separator: str = "\n", most: int = 100_000) -> DataFrame:
+    """``batch``, its number of rows ``n`` and its values joined in order.
+
+    Size 0 makes one batch, and so one row: more than ``most`` rows are an error then.
+    """
+    if not size and df.limit(most + 1).count() > most:
+        raise ValueError(f"one batch holds {most} rows at most")
     placed = numbered(df, order)
     batch = F.floor(F.col("_pos") / size).cast("long") if size else F.lit(0).cast("long")
     grouped = placed.groupBy(batch.alias("batch")).agg(F.sort_array(F.collect_list(F.struct("_pos", F.col(value).alias("v")))).alias("rows"))
     return grouped.select("batch", F.size("rows").cast("long").alias("n"), F.array_join("rows.v", separator).alias("text"))
 
 
+def numbered_text(values: DataFrame, order: str, value: str, size: int = 100) -> DataFrame:
+    """Batches whose values are numbered from 1 in each, as a question about many titles lists them."""
+    placed = numbered(values, order)
+    batch, k = F.floor(F.col("_pos") / size).cast("long"), (F.col("_pos") % size + 1).cast("string")
+    rows = placed.select(batch.alias("batch"), F.struct("_pos", F.concat(k, F.lit(". "), F.col(value)).alias("v")).alias("r"))
+    return rows.groupBy("batch").agg(F.array_join(F.sort_array(F.collect_list("r"))["v"], "\n").alias("text"))
+
+
+def each_batch(df: DataFrame, call: Callable[[pd.DataFrame], pd.DataFrame], schema: str, calls: int = 8) -> DataFrame:
+    """``call`` of whole batches of rows; the first that fails ends the job with its error."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from map(call, parts)
+
+    return df.repartition(calls).mapInPandas(run, schema)
+
+
+def all_or_error(rows: DataFrame, error: str = "error") -> DataFrame:
+    """``rows`` without ``error``; an exception if any row has one, after all were tried."""
+    from listingflow.shared import staged
+
+    done = staged(rows, "settled")
+    about = done.agg(F.count_if(F.col(error).isNotNull()).alias("n"), F.min(error).alias("first")).first()
+    if about["n"]:
+        raise RuntimeError(f"{about['n']} calls failed, such as: {about['first']}")
+    return done.drop(error)
+
+
 def each_row(df: DataFrame, call: Callable[[dict], dict], schema: str, calls: int = 8) -> DataFrame:
     """``call`` of every row in ``calls`` tasks at once; a failure gives a row with its ``error`` and nulls.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listingflow.functions.text import first_filled, fuzzy_key
-from listingflow.shared import staged
+from listingflow.shared import staged, unstage
 
 
 def first_per_key(df: DataFrame, keys: list[Column], order: Column) -> DataFrame:
@@ -42,7 +42,8 @@ def greedy_two_key(df: DataFrame, first: str, second: str, order: str) -> DataFr
         ma, mb = live.groupBy("a").agg(F.min("o").alias("o")), live.groupBy("b").agg(F.min("o").alias("o"))
         won = staged(live.join(ma.select("o"), "o", "left_semi").join(mb.select("o"), "o", "left_semi"), "greedy-kept")
         kept.append(won.select("o"))
-        live = staged(live.join(won.select("a"), "a", "left_anti").join(won.select("b"), "b", "left_anti"), "greedy")
+        old, live = live, staged(live.join(won.select("a"), "a", "left_anti").join(won.select("b"), "b", "left_anti"), "greedy")
+        unstage(old)
     if not kept:
         return df
     all_kept = kept[0]

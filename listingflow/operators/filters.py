@@ -54,6 +54,28 @@ def exclude(df: DataFrame, company_terms: list[str], title_terms: list[str], com
     return df.where(~excluded(F.col(company), F.col(title), company_terms, title_terms))
 
 
+def filter_passes(df: DataFrame, company_terms: Iterable[str] = COMPANY_TERMS, title_terms: Iterable[str] = TITLE_TERMS, company: str = "company", title: str = "title") -> tuple[DataFrame, DataFrame]:
+    """Rows that pass the companies' terms and then the titles', and one row of counts: ``total``, ``by_company``, ``by_title`` and ``kept``."""
+    low = lambda xs: [x.lower() for x in xs]
+    out_c = excluded(F.col(company), F.lit(None).cast("string"), low(company_terms), [])
+    out_t = excluded(F.lit(None).cast("string"), F.col(title), [], low(title_terms))
+    counts = df.agg(F.count("*").alias("total"), F.count_if(out_c).alias("by_company"), F.count_if(~out_c & out_t).alias("by_title"), F.count_if(~out_c & ~out_t).alias("kept"))
+    return df.where(~out_c & ~out_t), counts
+
+
+def has_details(df: DataFrame, description: str = "descriptionText") -> DataFrame:
+    """Detail records that were read; an empty description counts as read."""
+    return df.where(F.col(description).isNotNull())
+
+
+def audit_log(df: DataFrame, kind: str | None = None, level: str | None = None) -> DataFrame:
+    """Entries of a log of one ``type``, one ``level``, or both."""
+    for column, wanted in (("type", kind), ("level", level)):
+        if wanted is not None:
+            df = df.where(F.col(column) == wanted)
+    return df
+
+
 def select_terms(df: DataFrame, in_company=(), in_title=(), out_company=(), out_title=(), company: str = "company", title: str = "title") -> DataFrame:
     """Exclusions first, then inclusions; an empty list of inclusions passes all."""
     low = lambda xs: [x.lower() for x in xs]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listingflow.functions.text import normalize_string
+from listingflow.shared import staged
 
 DAY_MS = 86_400_000
 
@@ -32,7 +33,8 @@ def flag_seen(df: DataFrame, registry: DataFrame, name: str = "seen", exclude_id
     entries = _keys(registry)
     if exclude_id is not None:
         entries = entries.where(F.col("_ri") != exclude_id)
-    entries = entries.select("_rc", "_rt").distinct().withColumn("_hit", F.lit(True))
+    # written, so that the join has plain exchanges, which can be split at a hot key
+    entries = staged(entries.select("_rc", "_rt").where("_rc is not null and _rt is not null").distinct(), "registry-keys").withColumn("_hit", F.lit(True))
     keyed = df.withColumn("_c", F.when(can_match(F.col(title), F.col(company)), normalize_string(F.col(company)))).withColumn("_t", normalize_string(F.col(title)))
     joined = keyed.join(entries, (F.col("_c") == F.col("_rc")) & (F.col("_t") == F.col("_rt")), "left")
     return joined.withColumn(name, F.coalesce("_hit", F.lit(False))).drop("_c", "_t", "_rc", "_rt", "_hit")

@@ -1,10 +1,12 @@
-"""Similarity of listings."""
+"""Similarity of listings, and the join of all that are alike."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from listingflow.shared import staged
+
 
 def string_similarity(a: Column, b: Column) -> Column:
     """One less edit distance over the longer length; 0 if either is empty or missing."""
@@ -19,17 +21,66 @@ def listing_similarity(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return F.floor(total * 100 + 0.5) / 100
 
 
-def similar_pairs(df: DataFrame, key: str, block: list[str], fields: tuple = ("title", "company", "location", "url"), least: float = 0.8) -> DataFrame:
-    """Pairs of different listings in one ``block`` whose similarity is ``least`` or more.
+#: Weights of title, company and location, of equal URLs, and what rounding can add.
+WEIGHTS, SAME_URL, ROUNDING = {"title": 0.4, "company": 0.3, "location": 0.2}, 0.1, 0.005
+
+
+def _shared_pairs(length: int, least: float) -> int:
+    """How many pairs of neighbouring characters strings of this greater length share at least if their similarity is ``least``; below 1 if perhaps none."""
+    edits = int((1 - least) * length + 1e-9)
+    return length - 1 - 2 * edits if edits else max(1, length - 1)
+
+
+def similar_values(values: DataFrame, least: float) -> DataFrame:
+    """All pairs (``a``, ``b``) of ``value`` with a string similarity of ``least`` or more, both ways and each with itself.
+
+    Two strings within so many edits share a number of neighbouring characters, so they
+    share one of the rarest few of each, on which they are joined.  Strings so short that
+    they may share none (three characters or so) meet under one mark.  Empty and null values are alike to none.
+    """
+    own = staged(values.select("value").where("length(value) > 0").distinct(), "similar-values")
+    longest = own.agg(F.max(F.length("value"))).first()[0] or 0
+    need = [_shared_pairs(n, least) for n in range(int(longest / max(least, 1e-9)) + 2)]
+    short = max((n for n in range(2, len(need)) if need[n] < 1), default=0)
+    if short > 12:
+        raise ValueError(f"no bound on pairs at a similarity of {least:.3f}")
+    at_least = F.array(*[F.lit(max(1, min(need[n : int(n / least) + 1] or [1]))) for n in range(longest + 1)])
+    v = F.col("value")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(v) - 1)), lambda i: F.substring(v, i, F.lit(2)))
+    counted = F.transform(grams, lambda g, i: F.concat(g, F.size(F.filter(F.slice(grams, 1, i), lambda x: x == g)).cast("string")))
+    each = staged(own.select("value", F.explode(counted).alias("gram")), "similar-grams")
+    often = staged(each.groupBy("gram").agg(F.count("*").alias("n")), "similar-counts")
+    listed = each.join(often, "gram").groupBy("value").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("g"))
+    first = F.slice("g", F.lit(1), F.greatest(F.lit(1), F.size("g") - F.element_at(at_least, F.length("value") + 1) + 1))
+    keys = listed.select("value", F.explode(F.concat(first["gram"], F.when(F.length("value") <= short, F.array(F.lit("short"))).otherwise(F.array().cast("array<string>")))).alias("key"))
+    keys = staged(keys, "similar-keys")
+    near = keys.select(F.col("value").alias("a"), "key").join(keys.select(F.col("value").alias("b"), "key"), "key").where(F.col("a") < F.col("b")).select("a", "b").distinct()
+    near = staged(near.where(string_similarity(F.col("a"), F.col("b")) >= least - 1e-9), "similar-pairs")
+    return near.union(near.select("b", "a")).union(own.select("value", "value"))
+
+
+def members(df: DataFrame, key: str, fields: tuple = ("title", "company", "location", "url")) -> DataFrame:
+    """The ``key`` of each row and that of its representative (``member_of``), the smallest of those with equal ``fields``."""
+    first = staged(df.groupBy(*[F.col(f).alias(f"_{f}") for f in fields]).agg(F.min(key).alias("member_of")), "similar-firsts")
+    same = F.lit(True)
+    for f in fields:
+        same = same & F.col(f).eqNullSafe(F.col(f"_{f}"))
+    return df.join(first, same).select(key, "member_of")
+
+
+def similar_pairs(df: DataFrame, key: str, fields: tuple = ("title", "company", "location", "url"), least: float = 0.9) -> DataFrame:
+    """All pairs of different listings whose similarity is ``least`` or more, between representatives of equal ones (:func:`members`).
 
-    Listings with equal fields are first merged into the one of the smallest key, so
-    copies don't multiply; a block should be small.
+    With all else alike, title and company must each reach a similarity of their own;
+    the pairs of different titles and of different companies that do are found first, and
+    listings meet by both, so that a hot title meets itself only within like companies.
     """
-    reps = df.groupBy(*block, *[f for f in fields if f not in block]).agg(F.min(key).alias("_key"))
-    a, b = reps.alias("a"), reps.alias("b")
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in block]
-    on = F.col("a._key") < F.col("b._key")
-    for s in same:
-        on = on & s
-    score = listing_similarity({f: F.col(f"a.{f}") for f in fields}, {f: F.col(f"b.{f}") for f in fields})
-    return a.join(b, on).select(F.col("a._key").alias("left_key"), F.col("b._key").alias("right_key"), score.alias("similarity")).where(F.col("similarity") >= least)
+    reps = staged(df.groupBy(*fields).agg(F.min(key).alias("_key")), "similar-reps")
+    bound = {f: (least - ROUNDING - (1 - w)) / w for f, w in WEIGHTS.items()}
+    titles = similar_values(reps.select(F.col("title").alias("value")), bound["title"]).select(F.col("a").alias("title"), F.col("b").alias("title_b"))
+    companies = similar_values(reps.select(F.col("company").alias("value")), bound["company"]).select(F.col("a").alias("company"), F.col("b").alias("company_b"))
+    a = reps.join(titles, "title").join(companies, "company")
+    b = reps.select(*[F.col(c).alias(f"{c}_b") for c in reps.columns])
+    met = a.join(b, ["title_b", "company_b"]).where(F.col("_key") < F.col("_key_b"))
+    score = listing_similarity({f: F.col(f) for f in fields}, {f: F.col(f"{f}_b") for f in fields})
+    return met.select(F.col("_key").alias("left_key"), F.col("_key_b").alias("right_key"), score.alias("similarity")).where(F.col("similarity") >= least)

@@ -46,6 +46,26 @@ def error_categories(log: DataFrame, message: str = "message") -> DataFrame:
     return log.groupBy(error_category(F.col(message)).alias("category")).agg(F.count("*").alias("n"))
 
 
+def categorised(log: DataFrame, message: str = "message") -> DataFrame:
+    """The log's errors with their ``category``: the list of details behind :func:`error_categories`."""
+    return log.withColumn("category", error_category(F.col(message)))
+
+
+def call_metrics(calls: DataFrame, *order: str, n: int = 1000) -> DataFrame:
+    """Requests, success rate, mean duration, and sum and mean of ``tokens`` over the last ``n`` calls; zeros of none."""
+    from listingflow.operators.order import last_rows
+
+    count = F.count("*")
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    total = F.coalesce(F.sum("tokens"), F.lit(0)).cast("long")
+    return last_rows(calls, *order, n=n).agg(count.alias("requests"), rate(F.count_if("ok"), count).alias("success_rate"), mean("duration").alias("mean_duration"), total.alias("tokens"), mean("tokens").alias("mean_tokens"))
+
+
+def parse_metrics(parses: DataFrame) -> DataFrame:
+    """Attempts by the ``way`` that JSON was come by and the ``kind`` of its error, with the mean ``duration``."""
+    return parses.groupBy("way", "kind").agg(F.count("*").alias("attempts"), F.avg("duration").alias("mean_duration"))
+
+
 def rate(part: Column, whole: Column) -> Column:
     """A percentage, 0 of nothing."""
     return F.when(whole > 0, part * 100.0 / whole).otherwise(0.0)

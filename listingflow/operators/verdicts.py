@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listingflow.functions.text import normalize_string
 from listingflow.operators.registry import flag_seen
+from listingflow.shared import staged
 
 #: Words that speak for a listing.
 KEYWORDS = ("engineer", "developer", "software", "security", "analyst", "specialist")
@@ -68,7 +69,7 @@ def routes(df: DataFrame, registry: DataFrame, order: Column, verdict: Column, d
     is then in the registry, has its normalised company and title.
     """
     seen = flag_seen(df, registry, "_seen").withColumn("_c", normalize_string(F.col("company"))).withColumn("_t", normalize_string(F.col("title"))).withColumn("_o", order)
-    firsts = seen.where(~F.col("_seen")).groupBy("_c", "_t").agg(F.min("_o").alias("_first"))
+    firsts = staged(seen.where(~F.col("_seen")).groupBy("_c", "_t").agg(F.min("_o").alias("_first")), "judge-firsts")
     joined = seen.join(firsts.withColumnsRenamed({"_c": "_fc", "_t": "_ft"}), F.col("_c").eqNullSafe(F.col("_fc")) & F.col("_t").eqNullSafe(F.col("_ft")), "left")
     route = (
         F.when(F.col("_seen") | (F.col("_o") != F.col("_first")), "dupe")
@@ -80,17 +81,24 @@ def routes(df: DataFrame, registry: DataFrame, order: Column, verdict: Column, d
 
 
 def judge_totals(routed: DataFrame) -> DataFrame:
-    """Counts by route of one run and the rounded share that passed of those judged."""
+    """Counts by route of one run and the rounded share that passed of those judged; with ``evaluationResult``, also parse failures and fallbacks."""
     n = lambda r: F.count_if(F.col("route") == r)
     judged = n("pass") + n("fail")
     rate = F.when(judged > 0, F.floor(n("pass") * 100.0 / judged + 0.5)).otherwise(0).cast("long")
-    return routed.agg(F.count("*").alias("total"), n("pass").alias("passed"), n("fail").alias("failed"), n("dupe").alias("dupes"), n("no_description").alias("no_description"), rate.alias("success_percent"))
+    more = []
+    if "evaluationResult" in routed.columns:
+        more = [F.count_if(F.col("evaluationResult.parsingError").isNotNull()).alias("parse_failures"), F.count_if("evaluationResult.fallbackUsed").alias("fallbacks")]
+    return routed.agg(F.count("*").alias("total"), n("pass").alias("passed"), n("fail").alias("failed"), n("dupe").alias("dupes"), n("no_description").alias("no_description"), rate.alias("success_percent"), *more)
 
 
 def take_while_pages(pages: DataFrame, keys: list[str], number: str, stop: Column, most: int = 1000) -> DataFrame:
     """Pages of each search up to the first at which ``stop`` holds, that one included."""
-    at = F.min(F.when(stop, F.col(number))).over(Window.partitionBy(*keys))
-    return pages.withColumn("_at", at).where((F.col("_at").isNull() | (F.col(number) <= F.col("_at"))) & (F.col(number) < most)).drop("_at")
+    stops = staged(pages.where(stop).groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min(number).alias("_at")), "page-stops")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    met = pages.join(stops, same, "left").where((F.col("_at").isNull() | (F.col(number) <= F.col("_at"))) & (F.col(number) < most))
+    return met.select(*pages.columns)
 
 
 def search_grid(terms: DataFrame, locations: DataFrame, pages: int) -> DataFrame:

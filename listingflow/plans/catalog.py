@@ -192,9 +192,10 @@ def attempt_outcomes(spark, sf_dir):
     return verdicts.attempts_outcome(rows, "user_id").select("user_id", "ok", "attempts", F.col("fallbackUsed").alias("fallback"))
 
 
-@query("SELECT r_name, n_name, CAST(range AS INTEGER) AS page FROM region, nation, range(3)")
+@query("SELECT lang, source, CAST(range AS INTEGER) AS page FROM (SELECT DISTINCT lang FROM documents), (SELECT DISTINCT source FROM documents), range(3)")
 def search_grid(spark, sf_dir):
-    return verdicts.search_grid(table(spark, sf_dir, "region").select("r_name"), table(spark, sf_dir, "nation").select("n_name"), 3)
+    docs = table(spark, sf_dir, "documents")
+    return verdicts.search_grid(docs.select("lang").distinct(), docs.select("source").distinct(), 3)
 
 
 @query("WITH d AS (SELECT user_id, datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS page, count(*) AS hits FROM events GROUP BY 1, 2), s AS (SELECT *, min(CASE WHEN hits < 3 THEN page END) OVER (PARTITION BY user_id) AS stop FROM d) SELECT user_id, CAST(page AS INTEGER) AS page, hits FROM s WHERE (stop IS NULL OR page <= stop) AND page < 1000")
@@ -269,14 +270,22 @@ def sorted_places(spark, sf_dir):
 _SIM = "CASE WHEN length(a.{0}) > 0 AND length(b.{0}) > 0 THEN (greatest(length(a.{0}), length(b.{0})) - levenshtein(a.{0}, b.{0})) / greatest(length(a.{0}), length(b.{0})) ELSE 0 END"
 
 
+def _part_listings(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"), F.col("p_brand").alias("company"), F.col("p_type").alias("location"), F.lit("").alias("url"))
+
+
 @query(
-    "WITH r AS (SELECT p_brand AS company, p_size, p_name AS title, p_type AS location, min(p_partkey) AS k FROM part GROUP BY ALL), "
+    "WITH r AS (SELECT p_brand AS company, p_name AS title, p_type AS location, min(p_partkey) AS k FROM part GROUP BY ALL), "
     f"s AS (SELECT a.k AS left_key, b.k AS right_key, floor((0.4::DOUBLE * {_SIM.format('title')} + 0.3::DOUBLE * {_SIM.format('company')} + 0.2::DOUBLE * {_SIM.format('location')} + 0.1::DOUBLE) * 100 + 0.5) / 100 AS similarity "
-    "FROM r a JOIN r b ON a.company = b.company AND a.p_size = b.p_size AND a.k < b.k) SELECT * FROM s WHERE similarity >= 0.7"
+    "FROM r a JOIN r b ON a.k < b.k) SELECT * FROM s WHERE similarity >= 0.9"
 )
 def similar_listings(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("company"), "p_size", F.col("p_name").alias("title"), F.col("p_type").alias("location"), F.lit("").alias("url"))
-    return similarity.similar_pairs(rows, "p_partkey", ["company", "p_size"], least=0.7)
+    return similarity.similar_pairs(_part_listings(spark, sf_dir), "p_partkey", least=0.9)
+
+
+@query("SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_name, p_brand, p_type) AS member_of FROM part")
+def similar_members(spark, sf_dir):
+    return similarity.members(_part_listings(spark, sf_dir), "p_partkey")
 
 
 @query("SELECT c_custkey, trim(lower('  ' || c_name || chr(9) || ' ' || c_mktsegment)) AS raw, regexp_replace(trim(lower('  ' || c_name || chr(9) || ' ' || c_mktsegment)), '[ \\t]+', ' ', 'g') AS norm FROM customer")
@@ -326,10 +335,13 @@ def truncate_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.truncate_to_tokens(F.col("text"), 100).alias("text"))
 
 
-@query("SELECT n_nationkey, least(1000 * pow(2.0, n_nationkey), 30000.0)::DOUBLE AS delay, (400 + 7 * n_nationkey) >= 500 OR (400 + 7 * n_nationkey) IN (408, 429) AS retryable FROM nation")
+@query("WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events WHERE event_type = 'error') SELECT event_id, least(1000 * pow(2.0, k), 30000.0)::DOUBLE AS delay, (400 + 7 * k) >= 500 OR (400 + 7 * k) IN (408, 429) AS retryable FROM e")
 def retry_schedule(spark, sf_dir):
-    k = F.col("n_nationkey")
-    return table(spark, sf_dir, "nation").select("n_nationkey", numbers.backoff(k).alias("delay"), numbers.is_retryable(400 + 7 * k).alias("retryable"))
+    """A delay for each failed call of a user, by how many failed before."""
+    failed = views.calls(spark, sf_dir).where("not ok").withColumn("o", F.struct("ts", "event_id"))
+    tried = failed.groupBy("user_id").agg(F.array_sort(F.collect_list("o")).alias("all")).select(F.posexplode("all").alias("k", "o"))
+    k = F.col("k")
+    return tried.select("o.event_id", numbers.backoff(k).alias("delay"), numbers.is_retryable(400 + 7 * k).alias("retryable"))
 
 
 @query("SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS low, CAST(floor(o_totalprice) AS BIGINT) + 10 AS high FROM orders")
@@ -345,11 +357,11 @@ def salaries_from_cards(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", s["min"].alias("low"), s["max"].alias("high"), s["currency"].alias("currency"))
 
 
-@query("SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN 'USD ' || CAST(floor(s_acctbal) AS BIGINT) || ' - ' || (CAST(floor(s_acctbal) AS BIGINT) + 1) ELSE 'Not specified' END || CASE WHEN s_nationkey = 3 THEN ' (Remote OK)' ELSE '' END AS pay FROM supplier WHERE floor(s_acctbal) <> 0")
+@query("SELECT s_suppkey, CASE WHEN floor(s_acctbal) > 0 THEN 'USD ' || CAST(floor(s_acctbal) AS BIGINT) || ' - ' || (CAST(floor(s_acctbal) AS BIGINT) + 1) ELSE 'Not specified' END || CASE WHEN s_nationkey = 3 THEN ' (Remote OK)' ELSE '' END AS pay FROM supplier")
 def compensation_texts(spark, sf_dir):
     low = F.floor("s_acctbal")
     pay = numbers.compensation(F.lit(None).cast("string"), low, low + 1, F.lit("USD"), F.col("s_nationkey") == 3)
-    return table(spark, sf_dir, "supplier").where(low != 0).select("s_suppkey", pay.alias("pay"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", pay.alias("pay"))
 
 
 @query("SELECT p_partkey, regexp_replace(p_name, '[^A-Za-z0-9]', '_', 'g') AS file, regexp_matches(lower(p_name), 'remote|no office location') AS remote FROM part")
@@ -404,17 +416,23 @@ def name_entropy(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", numbers.half_up(security.entropy(F.col("s_name")), 3).alias("entropy"))
 
 
-@query("SELECT page_id, path, CASE WHEN contains(path, '..') OR path[1] = '/' OR length(regexp_extract(path, '[^/]*$')) = 0 THEN NULL ELSE path END AS safe FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN '../' ELSE '' END || regexp_replace(url, '^[a-z]+://', CASE page_id % 5 WHEN 0 THEN '/' ELSE '' END) AS path FROM pages) WHERE NOT regexp_matches(path, '[%~$]|\\.(exe|bat|cmd|com|pif|scr|vbs|js|jar)$') AND length(regexp_extract(path, '[^/]*$')) <= 255")
+@query(r"""SELECT page_id, path, CASE WHEN contains(path, '..') OR regexp_matches(path, '^/|~(/|$)|\$\{.*\}|%.*%') OR length(name) NOT BETWEEN 1 AND 255
+  OR upper(name) IN ('CON', 'PRN', 'AUX', 'NUL') OR regexp_matches(upper(name), '^(COM|LPT)[1-8]$') OR regexp_matches(lower(name), '\.(exe|bat|cmd|com|pif|scr|vbs|js|jar)$') THEN NULL ELSE path END AS safe
+FROM (SELECT *, regexp_extract(path, '[^/]*$') AS name FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN '../' ELSE '' END || regexp_replace(url, '^[a-z]+://', CASE page_id % 5 WHEN 0 THEN '/' ELSE '' END) || CASE page_id % 7 WHEN 1 THEN '.js' WHEN 2 THEN '/con' WHEN 3 THEN '%2e%' WHEN 4 THEN '/~' ELSE '' END AS path FROM pages))""")
 def safe_paths(spark, sf_dir):
     k = F.col("page_id")
-    path = F.concat(F.when(k % 3 == 0, "../").otherwise(""), F.when(k % 5 == 0, "/").otherwise(""), F.regexp_replace("url", "^[a-z]+://", ""))
-    rows = table(spark, sf_dir, "pages").select("page_id", path.alias("path")).where(r"not path rlike '[%~$]|\\.(exe|bat|cmd|com|pif|scr|vbs|js|jar)$' and length(substring_index(path, '/', -1)) <= 255")
+    end = F.when(k % 7 == 1, ".js").when(k % 7 == 2, "/con").when(k % 7 == 3, "%2e%").when(k % 7 == 4, "/~").otherwise("")
+    path = F.concat(F.when(k % 3 == 0, "../").otherwise(""), F.when(k % 5 == 0, "/").otherwise(""), F.regexp_replace("url", "^[a-z]+://", ""), end)
+    rows = table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
     return rows.select("page_id", "path", security.safe_path(F.col("path")).alias("safe"))
 
 
-@query("SELECT page_id, 'https://x.org/p?a=1&b=2#f' AS kept, regexp_matches(url, '^(javascript|data|vbscript|file):') = false AS safe FROM pages")
+@query(r"""SELECT page_id, regexp_replace(regexp_replace(u, '([?&])token=[^&#]*(&|(#|$))', '\1\3'), '[?&](#|$)', '\1') AS kept, regexp_matches(url, '^(javascript|data|vbscript|file):') = false AS safe
+FROM (SELECT *, regexp_extract(url, '^[^#]*') || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'token=' || page_id || CASE page_id % 2 WHEN 0 THEN '&z=1' ELSE '' END || regexp_extract(url, '#.*$') AS u FROM pages)""")
 def strip_url_secrets(spark, sf_dir):
-    u = F.concat(F.lit("https://x.org/p?a=1&token="), F.col("page_id"), F.lit("&b=2&Secret=q#f"))
+    """Pages' own URLs with a secret parameter added, and what is left of them."""
+    k = F.col("page_id")
+    u = F.concat(F.regexp_extract("url", "^[^#]*", 0), F.when(F.col("url").contains("?"), "&").otherwise("?"), F.lit("token="), k, F.when(k % 2 == 0, "&z=1").otherwise(""), F.regexp_extract("url", "#.*$", 0))
     return table(spark, sf_dir, "pages").select("page_id", security.strip_parameters(u).alias("kept"), security.is_safe_url(F.col("url")).alias("safe"))
 
 
@@ -426,18 +444,23 @@ def printable_documents(spark, sf_dir):
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def repair_event_props(spark, sf_dir):
     """Properties damaged in four ways and repaired."""
+    fixed = _damaged(spark, sf_dir).select("event_id", repair_json(F.col("damaged")).alias("r"))
+    return fixed.select("event_id", F.get_json_object("r.json", "$.k").cast("long").alias("k"))
+
+
+def _damaged(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     damaged = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(F.col("event_id") % 4 == 1, F.regexp_replace("props", r"\}$", ",}")).when(F.col("event_id") % 4 == 2, F.regexp_replace("props", r"\}$", "")).otherwise(F.col("props"))
-    fixed = e.select("event_id", repair_json(damaged).alias("r"))
-    return fixed.select("event_id", F.get_json_object("r.json", "$.k").cast("long").alias("k"))
+    return e.withColumn("damaged", damaged)
 
 
-@query("SELECT user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY ALL")
+@query("SELECT user_id, wrapped, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events, (VALUES (true), (false)) AS w(wrapped) GROUP BY ALL")
 def concatenated_records(spark, sf_dir):
-    """Records written one after another and read back."""
+    """Records written one after another, one around the other's value, and both read back."""
     e = table(spark, sf_dir, "events").select("user_id", F.concat(F.lit("{\n  \"id\": 1,\n  \"p\": "), "props", F.lit("\n}\n"), "props").alias("t"))
-    rows = e.select("user_id", F.explode(records_of("t")).alias("j")).where("j like '%\"p\"%'")
-    return rows.groupBy("user_id", F.get_json_object("j", "$.p.k").cast("long").alias("k")).agg(F.count("*").alias("n"))
+    rows = e.select("user_id", F.explode(records_of("t")).alias("j")).withColumn("wrapped", F.get_json_object("j", "$.p").isNotNull())
+    k = F.coalesce(F.get_json_object("j", "$.p.k"), F.get_json_object("j", "$.k")).cast("long")
+    return rows.groupBy("user_id", "wrapped", k.alias("k")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title>', 1), '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS title, len(regexp_extract_all(html, '(?i)<a\\s[^>]*href=\"([^\"]*)\"', 1)) AS n_links FROM pages")
@@ -446,17 +469,146 @@ def page_fields(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.detail_fields(h, {"title": ("title", "")})["title"].alias("title"), F.size(html.links(h)).cast("long").alias("n_links"))
 
 
-@query("SELECT page_id, CAST(page_id AS VARCHAR) AS id, 'T' || page_id AS title, 'Acme' AS company, 'Rome' AS location, url || '/jobs/view/t-' || page_id AS url FROM pages WHERE NOT contains(url, '?')")
+_CARD_URL = "regexp_replace(url, '[?#].*$', '') || '/jobs/view/t-' || page_id || regexp_extract(url, '[?].*$')"
+
+
+@query(f"SELECT page_id, CAST(page_id AS VARCHAR) AS id, 'T' || page_id AS title, 'Acme' AS company, 'Rome' AS location, {_CARD_URL} AS url FROM pages")
 def search_cards(spark, sf_dir):
+    """Cards around every page's own URL; its parameters follow the card's number."""
     k = F.col("page_id").cast("string")
     card = F.concat(
-        F.lit('<div class="x base-search-card y"><div><a href="'), "url", F.lit("/jobs/view/t-"), k, F.lit('"></a><h3 class="base-search-card__title"> T'), k,
+        F.lit('<div class="x base-search-card y"><div><a href="'), F.regexp_replace("url", "[?#].*$", ""), F.lit("/jobs/view/t-"), k, F.regexp_extract("url", "[?].*$", 0), F.lit('"></a><h3 class="base-search-card__title"> T'), k,
         F.lit('</h3><h4 class="base-search-card__subtitle"><a>Acme</a></h4><span class="job-search-card__location">Rome</span></div></div><div class="base-search-card"></div></div>'),
     )
-    rows = table(spark, sf_dir, "pages").where("not contains(url, '?')").select("page_id", F.explode(html.search_cards(card)).alias("c"))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(html.search_cards(card)).alias("c"))
     return rows.select("page_id", "c.*")
 
 
+@query(
+    f"SELECT page_id, CAST(page_id AS VARCHAR) AS id, 'Rome' AS city, {_CARD_URL} AS url, 'https://acme.example.com/' AS companyUrl, CASE WHEN page_id % 2 = 0 THEN 'late.png' ELSE 'now.png' END AS img, '2024-05-06T00:00:00.000Z' AS date, "
+    "CASE page_id % 3 WHEN 0 THEN '2024-01-31T00:00:00.000Z' ELSE '2024-05-06T00:00:00.000Z' END AS postedDate, 'Remote Go ' || page_id AS title, 'Acme' AS company, 'Rome' AS location, 'USD' AS salaryCurrency, -1.0::DOUBLE AS salaryMax, "
+    "(1000 + page_id)::DOUBLE AS salaryMin, '' AS countryCode, '' AS countryText, '' AS descriptionHtml, true AS remoteOk, 'go' AS stackRequired FROM pages"
+)
+def card_records(spark, sf_dir):
+    """The 18 fields of a card of either layout for every page."""
+    k = F.col("page_id").cast("string")
+    new = F.col("page_id") % 2 == 0
+    c = lambda a, b: F.when(new, a).otherwise(b)
+    page = F.concat(
+        F.lit("<ul><li><p>no card</p></li><li><div class='base-card' data-entity-urn='urn:li:jobPosting:"), k, F.lit("'><a class='"), c("base-card__full-link", "base-search-card--link"), F.lit("' href='https://www.linkedin.com"), F.regexp_replace("url", "[?#].*$", ""),
+        F.lit("/jobs/view/t-"), k, F.regexp_extract("url", "[?].*$", 0), F.lit("'></a><img "), c("data-delayed-url='late.png' src='now.png'", "src='now.png'"), F.lit("><h3 class='"), c("base-search-card__title", "base-main-card__title"), F.lit("'> Remote Go "), k,
+        F.lit("</h3><h4 class='"), c("base-search-card__subtitle", "base-main-card__subtitle"), F.lit("'><a href='https://acme.example.com/'>Acme</a></h4><span class='"), c("job-search-card__location", "main-job-card__location"), F.lit("'>Rome</span>"),
+        F.when(F.col("page_id") % 3 == 0, F.lit("<time class='job-search-card__listdate--new' datetime='2024-01-31'>x</time>")).otherwise(""), F.lit("<span class='job-search-card__salary-info'>$"), F.format_number(F.col("page_id") + 1000, 0), F.lit("</span></div></li></ul>"),
+    )
+    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(html.card_records(page, ["go", "rust"], F.lit("2024-05-06").cast("timestamp"))).alias("c")).select("page_id", "c.*")
+    return rows.withColumn("stackRequired", F.array_join("stackRequired", ","))
+
+
+@query(
+    "SELECT page_id, url AS title, 'Acme' AS company, 'Rome' AS location, '' AS postedTime, 'Over ' || page_id AS applicants, CASE page_id % 2 WHEN 0 THEN '$5' ELSE '$6' END AS salaryRange, 'Text ' || page_id AS descriptionText, "
+    "CASE page_id % 3 WHEN 0 THEN 'Senior' ELSE '' END AS seniorityLevel, 'Full-time' AS employmentType, '' AS jobFunction, 'Mining' AS industries, 'Remote' AS remoteBox FROM pages"
+)
+def detail_records(spark, sf_dir):
+    """The fields of a detail page for every page; some have no posted time, function or level."""
+    k = F.col("page_id").cast("string")
+    page = F.concat(
+        F.lit('<h1 class="x topcard__title">'), "url", F.lit('</h1><a class="topcard__org-name-link">Acme</a><div class="topcard__flavor-row"><span class="topcard__flavor topcard__flavor--bullet"> Rome </span></div><span class="num-applicants__caption">Over '), k, F.lit("</span>"),
+        F.when(F.col("page_id") % 2 == 0, '<div class="compensation__salary">$5</div>').otherwise('<span class="main-job-card__salary-info">$6</span>'),
+        F.when(F.col("page_id") % 3 == 0, "<h3> Seniority level </h3> <span> Senior </span>").otherwise(""), F.lit("<h3>Employment type</h3><span>Full-time</span><h3>Industries</h3><span>Mining</span>"),
+        F.lit('<div class="description__text--rich"><div class="show-more-less-html__markup"><p>Text <b>'), k, F.lit('</b></p></div></div><span class="tvm__text tvm__text--low-emphasis"><strong>Remote</strong></span>'),
+    )
+    return table(spark, sf_dir, "pages").select("page_id", html.detail_record(page).alias("d")).select("page_id", "d.*")
+
+
+@query("SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') || 'T00:00:00.000Z' AS at FROM orders")
+def utc_dates(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", numbers.to_utc_date(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("2024-01-01").cast("timestamp")).alias("at"))
+
+
+@query(f"WITH {views.LISTINGS_SQL} SELECT count(*) AS total, count(*) FILTER (c) AS by_company, count(*) FILTER (NOT c AND t) AS by_title, count(*) FILTER (NOT c AND NOT t) AS kept FROM (SELECT lower(company) LIKE '%brand#1%' AS c, lower(title) LIKE '%red%' OR lower(title) LIKE '%ring%' AS t FROM listings)")
+def filter_passes(spark, sf_dir):
+    return filters.filter_passes(views.listings(spark, sf_dir), ["Brand#1"], ["Red", "RING"])[1]
+
+
+@query("WITH last AS (SELECT *, event_id % 50 AS tokens FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000) SELECT count(*) AS requests, floor(10000.0 * count(*) FILTER (event_type <> 'error') / count(*) + 0.5) / 100 AS success_rate, floor(avg(value) * 10000 + 0.5) / 10000 AS mean_duration, CAST(sum(tokens) AS BIGINT) AS tokens, avg(tokens) AS mean_tokens FROM last")
+def last_call_metrics(spark, sf_dir):
+    calls = views.calls(spark, sf_dir).select("ts", "event_id", "ok", F.col("value").alias("duration"), (F.col("event_id") % 50).alias("tokens"))
+    got = stats.call_metrics(calls, "ts", "event_id")
+    return got.withColumn("success_rate", numbers.half_up(F.col("success_rate"), 2)).withColumn("mean_duration", numbers.half_up(F.col("mean_duration"), 4))
+
+
+@query("SELECT CASE event_id % 4 WHEN 0 THEN 'cleaned' WHEN 1 THEN 'trailing_comma' WHEN 2 THEN 'balanced' ELSE 'direct' END AS way, 'unknown' AS kind, count(*) AS attempts, floor(avg(value) * 10000 + 0.5) / 10000 AS mean_duration FROM events GROUP BY 1")
+def parse_metrics(spark, sf_dir):
+    rows = _damaged(spark, sf_dir).select(repair_json(F.col("damaged"))["way"].alias("way"), text.parse_error_kind(F.col("event_type")).alias("kind"), F.col("value").alias("duration"))
+    return stats.parse_metrics(rows).withColumn("mean_duration", numbers.half_up(F.col("mean_duration"), 4))
+
+
+@query("SELECT conv_id, turn, CASE WHEN regexp_matches(x, 'network|connection|timeout') THEN 'network' WHEN regexp_matches(x, 'parsing|json|format') THEN 'parsing' WHEN regexp_matches(x, 'validation|invalid') THEN 'validation' WHEN regexp_matches(x, 'api|rate|limit') THEN 'api' WHEN regexp_matches(x, 'file|disk|io') THEN 'file' ELSE 'other' END AS category FROM (SELECT *, lower(text) AS x FROM conversations)")
+def error_details(spark, sf_dir):
+    return stats.categorised(table(spark, sf_dir, "conversations"), "text").select("conv_id", "turn", "category")
+
+
+@query("SELECT c_custkey, sha256(c_name) AS hashed FROM customer")
+def hash_keys(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", security.hash_key(F.col("c_name")).alias("hashed"))
+
+
+@query("SELECT doc_id, array_to_string(list_concat(list_slice(regexp_extract_all(text, '(?i)(?:api[_-]?key|secret|token)[ \\t\\n\\x0B\\f\\r]*[:=][ \\t\\n\\x0B\\f\\r]*[\"'']?[a-zA-Z0-9_-]{10,}[\"'']?'), 1, 3), list_slice(regexp_extract_all(text, '(?i)(?:sk-|pk-)[a-zA-Z0-9_-]{20,}'), 1, 3)), ' ') AS found FROM documents")
+def keys_in_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(security.keys_in(F.col("text")), " ").alias("found"))
+
+
+@query("SELECT c_custkey, array_to_string(list_filter([CASE WHEN length(trim(c_mktsegment)) = 0 THEN 'model is required' END, CASE WHEN NOT regexp_matches(c_name, '^[A-Za-z][A-Za-z0-9+.-]*:[^ ]+$') THEN 'baseUrl is not a URL' END, CASE WHEN NOT c_acctbal / 1000 BETWEEN 0 AND 2 THEN 'temperature is out of range' END, CASE WHEN c_nationkey <= 0 OR c_nationkey > 32000 THEN 'maxTokens is out of range' END], lambda x: x IS NOT NULL), '; ') AS errors FROM customer")
+def validate_providers(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_name").alias("baseUrl"), F.col("c_name").alias("apiKey"), F.col("c_mktsegment").alias("model"), (F.col("c_acctbal") / 1000).alias("temperature"), F.lit(1.0).alias("topP"), F.col("c_nationkey").alias("maxTokens"), F.lit(300000).alias("timeout"))
+    return rows.select("c_custkey", F.array_join(validation.errors(validation.provider_rules()), "; ").alias("errors"))
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_type = 'error'")
+def audit_entries(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumnRenamed("event_type", "type").withColumn("level", F.when(F.col("type") == "error", "high").otherwise("low"))
+    return filters.audit_log(rows, kind="error", level="high").select("event_id", "user_id")
+
+
+@query("SELECT page_id, url FROM pages WHERE html IS NOT NULL")
+def read_details(spark, sf_dir):
+    return filters.has_details(table(spark, sf_dir, "pages"), "html").select("page_id", "url")
+
+
+@query("WITH t AS (SELECT p_name, row_number() OVER (ORDER BY first) - 1 AS pos FROM (SELECT p_name, min(p_partkey) AS first FROM part GROUP BY p_name)) SELECT CAST(pos // 20 AS BIGINT) AS batch, string_agg((pos % 20 + 1) || '. ' || p_name, chr(10) ORDER BY pos) AS text FROM t GROUP BY 1")
+def numbered_titles(spark, sf_dir):
+    return batching.numbered_text(verdicts.distinct_titles(table(spark, sf_dir, "part"), F.col("p_partkey"), "p_name"), "first", "p_name", 20)
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 3 <> 0")
+def legacy_answers(spark, sf_dir):
+    """Answers wrapped in results with thoughts before them; every third is no such answer and gives none."""
+    e = table(spark, sf_dir, "events")
+    answer = F.when(F.col("event_id") % 3 == 0, F.lit("sorry")).otherwise(F.concat(F.lit("<thought>a\nb</thought>\n{\"results\": ["), "props", F.lit("]}")))
+    return e.select("event_id", F.explode(text.answer_results(answer, "struct<k:bigint>")).alias("r")).select("event_id", "r.k")
+
+
+@query("SELECT p_partkey, '- [' || p_name || ' at ' || p_brand || '](x/' || p_partkey || ')' AS link FROM part")
+def report_links(spark, sf_dir):
+    return report.link_list(table(spark, sf_dir, "part"), F.col("p_name"), F.col("p_brand"), F.concat(F.lit("x/"), "p_partkey"), "p_partkey")
+
+
+@query(
+    "WITH m AS (SELECT count(*) AS n, count(*) FILTER (event_type = 'error') AS bad FROM events), l(place, metric) AS (VALUES " + ", ".join(f"({k}, '{label}')" for k, (_, label) in enumerate(report.SUMMARY_ROWS)) + ") "
+    "SELECT CAST(place AS BIGINT) AS place, metric, CASE metric WHEN 'API Total Calls' THEN n::VARCHAR WHEN 'API Failed Calls' THEN bad::VARCHAR ELSE '0' END AS value FROM l, m "
+    "UNION ALL SELECT CAST(34 AS BIGINT), 'Errors - ' || event_type, count(*)::VARCHAR FROM events GROUP BY event_type"
+)
+def summary_export(spark, sf_dir):
+    e = views.calls(spark, sf_dir)
+    errors = e.groupBy(F.col("event_type").alias("category")).agg(F.count("*").alias("n"))
+    return report.summary_rows(e.agg(F.count("*").alias("calls"), F.count_if(~F.col("ok")).alias("calls_failed")), errors)
+
+
+@query("SELECT doc_id, '\"' || replace(text, '\"', '\"\"') || '\",' || lang AS line FROM documents WHERE regexp_matches(text, '[\",\\r\\n]') UNION ALL SELECT doc_id, text || ',' || lang FROM documents WHERE NOT regexp_matches(text, '[\",\\r\\n]')")
+def csv_lines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", report.csv_line("text", "lang").alias("line"))
+
+
 @query("SELECT conv_id, turn, '# ' || role || ' in ' || conv_id AS prompt FROM conversations")
 def render_templates(spark, sf_dir):
     prompt = templates.render("# {{role}} in {{conv_id}}", {"role": F.col("role"), "conv_id": F.col("conv_id")}, double=True)
@@ -501,11 +653,14 @@ def stats_export(spark, sf_dir):
     return report.metric_rows(views.calls(spark, sf_dir).agg(F.count("*").alias("calls"), F.count_if(~F.col("ok")).alias("errors")))
 
 
-@query(f"WITH {views.LISTINGS_SQL} SELECT CAST(1 AS BIGINT) AS files, count(*) AS merged, count(*) - count(DISTINCT (title, company)) AS duplicates FROM listings")
+@query(f"WITH {views.PARTS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY title, company, location ORDER BY ord) > 1 AS dup, {EXCLUDED_SQL} AS bad FROM parts) SELECT count(DISTINCT location) AS files, count(*) AS merged, count(*) FILTER (dup) AS duplicates, count(*) FILTER (bad AND NOT dup) AS filtered, count(*) FILTER (NOT bad AND NOT dup) AS left FROM n")
 def pipeline_counts(spark, sf_dir):
-    """Duplicates counted from keys, without a window over hot ones."""
-    keys = views.listings(spark, sf_dir).groupBy("title", "company").agg(F.count("*").alias("n"))
-    return keys.agg(F.lit(1).cast("long").alias("files"), F.sum("n").alias("merged"), F.sum(F.col("n") - 1).alias("duplicates"))
+    """Files (here locations), merged rows, duplicates, filtered rows and rows left."""
+    rows = views.parts(spark, sf_dir)
+    firsts = similarity.members(rows, "ord", ("title", "company", "location", "url")).withColumnRenamed("ord", "o")
+    joined = rows.join(firsts, F.col("ord") == F.col("o"))
+    bad = filters.excluded(F.col("company"), F.col("title"), COMPANIES, TITLES)
+    return joined.agg(*stats.pipeline_counts(F.col("location"), F.col("ord"), F.col("ord") != F.col("member_of"), bad))
 
 
 @query(f"WITH {views.LISTINGS_SQL} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, postedDate FROM listings ORDER BY postedDate, 1, 2, 3, 4")
@@ -534,11 +689,26 @@ def circuit_breaker_by_rate(spark, sf_dir):
     return replay(views.calls(spark, sf_dir), lambda: Breaker(share=0.5, reset_ms=43_200_000), "user_id")
 
 
-@query()
+_SCAN = """numbered AS (SELECT *, lower(title) || '::' || lower(company) AS pair, row_number() OVER (ORDER BY ord) AS n FROM {0}),
+walk(n, ids, pairs, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST(NULL AS BIGINT) UNION ALL
+  SELECT p.n, CASE WHEN list_contains(w.ids, p.id) OR list_contains(w.pairs, p.pair) THEN w.ids ELSE list_append(w.ids, p.id) END,
+    CASE WHEN list_contains(w.ids, p.id) OR list_contains(w.pairs, p.pair) THEN w.pairs ELSE list_append(w.pairs, p.pair) END,
+    CASE WHEN list_contains(w.ids, p.id) OR list_contains(w.pairs, p.pair) THEN NULL ELSE p.ord END FROM walk w JOIN numbered p ON p.n = w.n + 1)"""
+_SOME_SEEN = "(SELECT 1 FROM registry r WHERE lower(r.company) = lower(l.company) AND lower(r.title) = lower(l.title) AND CAST(r.listingId AS BIGINT) % 50 = 0)"
+
+
+@query(f"WITH RECURSIVE {views.PARTS_SQL}, {views.REGISTRY_SQL}, live AS (SELECT * FROM parts l WHERE NOT {EXCLUDED_SQL} AND NOT EXISTS {_SOME_SEEN}), {_SCAN.format('live')} SELECT ord, id, title, company FROM walk JOIN parts ON kept = ord")
 def refine_pipeline(spark, sf_dir):
     """The whole refine stage: filters, registry and the two-key scan."""
-    kept, _ = pipelines.refine(views.listings(spark, sf_dir).withColumn("_ord", views.order()), "_ord", COMPANIES, TITLES, views.registry(spark, sf_dir))
-    return kept.select(*views.ORDER, "id", "title", "company")
+    seen = views.registry(spark, sf_dir).where("cast(listingId as bigint) % 50 = 0")
+    kept, _ = pipelines.refine(views.parts(spark, sf_dir), "ord", COMPANIES, TITLES, seen)
+    return kept.select("ord", "id", "title", "company")
+
+
+@query(f"WITH RECURSIVE {views.PARTS_SQL}, {_SCAN.format('parts')} SELECT ord, id, title, company FROM walk JOIN parts ON kept = ord WHERE NOT {EXCLUDED_SQL}")
+def refine_sorted(spark, sf_dir):
+    """The older way: scan, then filters."""
+    return pipelines.refine_sorted(views.parts(spark, sf_dir), "ord", COMPANIES, TITLES).select("ord", "id", "title", "company")
 
 
 @query("SELECT doc_id, CAST(0.5 AS DOUBLE) AS confidence FROM documents WHERE length(text) >= 1000")
@@ -548,6 +718,16 @@ def prefilter_pipeline(spark, sf_dir):
     return pipelines.prefilter(rows, lambda df: df.withColumn("verdict", longer), F.col("doc_id")).select("doc_id", "confidence")
 
 
-@query(_ROUTED.replace("contains(descriptionText, 'HIGH')", "false").replace("WHERE p_size >= 40)", "WHERE p_size >= 40 AND p_size > 20)") + "SELECT * FROM routed")
+_JUDGED = f"""WITH parts AS (SELECT p_partkey AS ord, CASE p_size % 5 WHEN 0 THEN 'Security engineer ' ELSE '' END || p_name AS title, p_brand AS company, CASE WHEN p_size % 7 = 0 THEN '' ELSE p_type END AS descriptionText FROM part), {views.REGISTRY_SQL},
+flagged AS (SELECT l.*, EXISTS (SELECT 1 FROM registry r WHERE lower(r.company) = lower(l.company) AND lower(r.title) = lower(l.title) AND CAST(50 AS BIGINT) * 86400000 - r.admitTime < CAST(30 AS BIGINT) * 86400000) AS seen FROM parts l),
+firsts AS (SELECT lower(title) AS t, company AS c, min(ord) AS o FROM flagged WHERE NOT seen GROUP BY 1, 2)
+SELECT ord, CASE WHEN seen OR ord <> o THEN 'dupe' WHEN length(descriptionText) = 0 THEN 'no_description' WHEN contains(title, 'engineer') THEN 'pass' ELSE 'fail' END AS route
+FROM flagged LEFT JOIN firsts ON lower(title) = t AND company = c"""
+
+
+@query(_JUDGED)
 def judge_pipeline(spark, sf_dir):
-    return pipelines.judge(views.listings(spark, sf_dir), views.registry(spark, sf_dir), keyword_scorer(), views.order(), NOW).select(*views.ORDER, "route")
+    """Parts as listings of which every fifth is for engineers, judged by keywords, all four routes taken."""
+    p = table(spark, sf_dir, "part")
+    rows = p.select(F.col("p_partkey").alias("ord"), F.concat(F.when(F.col("p_size") % 5 == 0, "Security engineer ").otherwise(""), "p_name").alias("title"), F.col("p_brand").alias("company"), F.when(F.col("p_size") % 7 == 0, "").otherwise(F.col("p_type")).alias("descriptionText"))
+    return pipelines.judge(rows, views.registry(spark, sf_dir), keyword_scorer(), F.col("ord"), NOW).select("ord", "route")

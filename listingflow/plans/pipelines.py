@@ -29,6 +29,16 @@ def refine(df: DataFrame, order: str, company_terms: list[str], title_terms: lis
     return greedy_two_key(keyed, "id", "_pair", order).drop("_pair"), broken
 
 
+def refine_sorted(df: DataFrame, order: str, company_terms: list[str], title_terms: list[str]) -> DataFrame:
+    """The older way: the two-key scan by ``order`` (a date, then a place) over all rows, and filters on what it keeps.
+
+    A row that the filters drop still shadows later ones here.
+    """
+    keyed = df.withColumn("_pair", pair_key(F.col("title"), F.col("company")))
+    kept = greedy_two_key(keyed, "id", "_pair", order).drop("_pair")
+    return kept.where(~excluded(F.col("company"), F.col("title"), company_terms, title_terms))
+
+
 def prefilter(df: DataFrame, scorer: Scorer, order: Column) -> DataFrame:
     """Listings whose title is judged favourably; each title is judged once."""
     rows = filled(df, "title", "url")

@@ -19,6 +19,33 @@ class Scorer(Protocol):
         """``df`` with a struct ``verdict``."""
 
 
+#: Scorers by provider; each entry makes one from its configuration.
+PROVIDERS: dict[str, Callable[[dict], Scorer]] = {}
+
+
+def provider(name: str):
+    """Registers a maker of scorers under ``name``."""
+
+    def add(make: Callable[[dict], Scorer]):
+        PROVIDERS[name] = make
+        return make
+
+    return add
+
+
+def scorer_of(config: dict) -> Scorer:
+    """The scorer of a provider's configuration (``name`` and what its maker reads)."""
+    name = config.get("name")
+    if name not in PROVIDERS:
+        raise KeyError(f"no provider {name}; there are {', '.join(sorted(PROVIDERS))}")
+    return PROVIDERS[name](config)
+
+
+@provider("keywords")
+def _keywords(config: dict) -> Scorer:
+    return keyword_scorer(config.get("title", "title"), config.get("description", "descriptionText"))
+
+
 def keyword_scorer(title: str = "title", description: str = "descriptionText") -> Scorer:
     return lambda df: df.withColumn("verdict", keyword_verdict(F.col(title), F.col(description)))
 

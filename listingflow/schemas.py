@@ -21,19 +21,5 @@ LISTING = _struct(
     **_strings("applicants seniorityLevel employmentType jobFunction industries salaryRange postedTime"),
 )
 HIT = _struct(**_strings("id title company location url descriptionHtml"))
-NARROW = _struct(**_strings("id title company location url postedDate descriptionText"))
-SALARY = _struct(min=_D, max=_D, currency=_S)
-METADATA = _struct(source=_S, scrapedAt=_S, confidence=_D)
-NORMALISED = _struct(
-    **_strings("id title company location descriptionText descriptionHtml url postedDate salary salaryCurrency jobType experienceLevel"),
-    estimatedSalary=SALARY, metadata=METADATA, confidence=_D, isVeryHighlyAligned=_B, rationale=_S,
-)
 DETAIL = _struct(**_strings("url title company location postedTime applicants salaryRange seniorityLevel employmentType jobFunction industries descriptionText remoteBox"))
 REGISTRY = _struct(listingId=_S, company=_S, title=_S, admitTime=_L, lastProcessed=_L)
-VERDICT = _struct(jobTitle=_S, isVeryHighlyAligned=_B, rationale=_S, confidence=_D)
-EVALUATION = _struct(
-    mode=T.IntegerType(), isPass=_B, timestamp=_S, parsingError=_S, fallbackUsed=_B, analysisResult=VERDICT,
-    retryCount=T.IntegerType(), maxRetries=T.IntegerType(), retrySuccess=_B,
-)
-EVENT = _struct(ts=T.TimestampType(), kind=_S, name=_S, value=_D, message=_S)
-CALL = _struct(provider=_S, ts=T.TimestampType(), ok=_B, duration=_D, tokens=_L)

@@ -18,18 +18,50 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias(FILE), F.col("value"))
 
 
-def read_arrays(spark: SparkSession, path: str, schema: T.StructType = schemas.HIT) -> tuple[DataFrame, DataFrame]:
+def read_arrays(spark: SparkSession, path: str, schema: T.StructType = schemas.HIT, fail_fast: bool = False) -> tuple[DataFrame, DataFrame]:
     """Records of files that hold one JSON array each, and the files that don't; files of no bytes are not read at all.
 
     Rows carry their file's name and place in it, which is the order of all that keeps
-    the first; fields outside ``schema`` are in ``_extra``.
+    the first; fields outside ``schema`` are in ``_extra``.  With ``fail_fast`` a bad file is an error.
+    A file is one text of one task: large inputs are better kept as lines (:func:`read_lines`).
     """
     files = _files(spark, path).withColumn("a", F.from_json("value", T.ArrayType(T.MapType(T.StringType(), T.StringType()))))
     bad = files.where(F.col("a").isNull() | (F.size("a") == 0)).select(FILE, F.when(trimmed(F.col("value")) == "", "empty").when(F.col("a").isNull(), "not an array").otherwise("no records").alias("reason"))
+    if fail_fast and (first := bad.first()):
+        raise ValueError(f"{first[FILE]}: {first['reason']}")
     rows = files.where(F.size("a") > 0).select(FILE, F.posexplode("a").alias(PLACE, "m"))
     return typed(rows, schema), bad
 
 
+def read_lines(spark: SparkSession, path: str, schema: T.StructType = schemas.HIT) -> tuple[DataFrame, DataFrame]:
+    """Records of files with one JSON object a line, which are split over tasks however large they are, and the lines that hold none.
+
+    ``_place`` orders the rows of a file by where its split and then the line lies.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias(FILE), F.monotonically_increasing_id().alias(PLACE), "value").where("trim(value) != ''")
+    lines = lines.withColumn("m", F.from_json("value", T.MapType(T.StringType(), T.StringType())))
+    return typed(lines.where("m is not null").select(FILE, PLACE, "m"), schema), lines.where("m is null").select(FILE, PLACE, "value")
+
+
+def required(df: DataFrame, what: str = "records") -> DataFrame:
+    """``df``, which must not be empty."""
+    if df.isEmpty():
+        raise ValueError(f"no {what} found")
+    return df
+
+
+def scan_files(spark: SparkSession, path: str, endings: tuple = (".ts", ".js", ".json")) -> DataFrame:
+    """``path`` and ``found`` of the files below ``path`` that seem to hold keys."""
+    from listingflow.functions.security import SKIPPED_FOLDERS, keys_in
+
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), keys_in(F.col("value")).alias("found"))
+    wanted = F.lit(False)
+    for e in endings:
+        wanted = wanted | F.col("path").endswith(e)
+    skipped = F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED_FOLDERS)))
+    return files.where(wanted & ~skipped & (F.size("found") > 0))
+
+
 def read_records(spark: SparkSession, path: str, schema: T.StructType = schemas.DETAIL) -> DataFrame:
     """Records of arrays, single objects and objects written one after another; ids from URL or file where missing."""
     rows = _files(spark, path).select(FILE, F.posexplode(records_of("value")).alias(PLACE, "j"))
@@ -81,10 +113,6 @@ def read_urls(df: DataFrame, host: str, url: str = "url") -> DataFrame:
     return df.where(F.col(url).isNotNull()).withColumn(url, repair_url(F.col(url), host))
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
 def union(*frames: DataFrame) -> DataFrame:
     """All rows; columns that one lacks are null there."""
     out = frames[0]

@@ -137,8 +137,47 @@ def test_order_and_batches(spark):
 def test_similarity(spark):
     rows = [(1, "Data engineer", "Acme", "Rome", "u"), (2, "Data engineer", "Acme", "Rome", "u"), (3, "Data enginer", "Acme", "Rome", "u"), (4, "Cook", "Acme", "Oslo", "v"), (5, "", "Acme", "Rome", "u")]
     df = spark.createDataFrame(rows, "k int, title string, company string, location string, url string")
-    got = similarity.similar_pairs(df, "k", ["company"], least=0.9).collect()
+    got = similarity.similar_pairs(df, "k", least=0.9).collect()
     assert [(r["left_key"], r["right_key"], r["similarity"]) for r in got] == [(1, 3, 0.97)]
+    assert {r["k"]: r["member_of"] for r in similarity.members(df, "k").collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("least", [0.65, 0.74, 0.85])
+def test_all_similar_values_are_found(spark, least):
+    rnd = random.Random(3)
+    words = {"".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 12))) for _ in range(150)}
+    want = {(a, b) for a in words for b in words if 1 - levenshtein(a, b) / max(len(a), len(b)) >= least - 1e-9}
+    got = similarity.similar_values(spark.createDataFrame([(w,) for w in [*words, *words, "", None]], "value string"), least)
+    assert Counter((r["a"], r["b"]) for r in got.collect()) == Counter(want)
+
+
+def test_all_similar_listings_are_found(spark):
+    rnd = random.Random(4)
+    pick = lambda xs: rnd.choice(xs)
+    rows = [(i, pick(["red hat", "red hats", "rad hat", "blue hat", "cook"]), pick(["Acme", "Acne", "Brand#1", "Brand#12", "Bo"]), pick(["Rome", "Oslo", None]), pick(["u", "v"])) for i in range(120)]
+    df = spark.createDataFrame(rows, "k int, title string, company string, location string, url string")
+    sim = lambda a, b: 1 - levenshtein(a, b) / max(len(a), len(b)) if a and b else 0.0
+    first = {}
+    for k, *v in rows:
+        first.setdefault(tuple(v), k)
+    want = set()
+    for a, i in first.items():
+        for b, j in first.items():
+            s = 0.4 * sim(a[0], b[0]) + 0.3 * sim(a[1], b[1]) + 0.2 * sim(a[2], b[2]) + 0.1 * (a[3] == b[3])
+            if i < j and int(s * 100 + 0.5) / 100 >= 0.88:
+                want.add((i, j))
+    assert {(r["left_key"], r["right_key"]) for r in similarity.similar_pairs(df, "k", least=0.88).collect()} == want
+    with pytest.raises(ValueError):
+        similarity.similar_values(spark.createDataFrame([("x" * 40,)], "value string"), 0.3)
 
 
 def test_stats(spark):
@@ -286,3 +325,110 @@ def test_plans_stay_in_the_engine(spark):
     plan = catalog.refine_listings(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "LeftAnti" in plan
     assert "ReadSchema" in plan and "l_comment" not in plan
+
+
+def test_batch_failures(spark):
+    df = spark.range(20)
+    ok = batching.each_batch(df, lambda part: part.assign(y=part["id"] * 2), "id long, y long")
+    assert sum(r["y"] for r in ok.collect()) == 380
+
+    def fails(part):
+        raise ValueError("no batch")
+
+    with pytest.raises(Exception, match="no batch"):
+        batching.each_batch(df, fails, "id long").collect()
+    rows = spark.createDataFrame([(1, None), (2, "bad"), (3, "worse")], "k int, error string")
+    with pytest.raises(RuntimeError, match="2 calls failed, such as: bad"):
+        batching.all_or_error(rows)
+    assert [r["k"] for r in batching.all_or_error(rows.where("error is null")).collect()] == [1]
+    with pytest.raises(ValueError):
+        batching.batches(df.select("id", F.col("id").cast("string").alias("t")), "id", "t", 0, most=19)
+
+
+def test_filter_passes_by_default_terms(spark):
+    df = spark.createDataFrame([("Lensa Inc", "manager"), ("Acme", "Product owner"), ("Acme", "cook"), (None, None)], "company string, title string")
+    kept, counts = filters.filter_passes(df)
+    assert kept.count() == 2 and tuple(counts.first()) == (4, 1, 1, 2)
+
+
+def test_legacy_order_lets_filtered_rows_shadow(spark):
+    df = spark.createDataFrame([(1, "a", "manager", "x"), (2, "a", "analyst", "y")], "o int, id string, title string, company string")
+    assert pipelines.refine_sorted(df, "o", [], ["manager"]).count() == 0
+    assert pipelines.refine(df, "o", [], ["manager"])[0].count() == 1
+
+
+def test_files_presets_and_lines(spark, tmp_path):
+    from listingflow.sources import presets
+
+    (tmp_path / "p.json").write_text('[{"name": "a", "mode": 1}]')
+    (tmp_path / "q.json").write_text('{"b": {"mode": 2}}')
+    assert presets.preset(presets.read_presets(spark, str(tmp_path / "p.json")), "a")["mode"] == 1
+    assert presets.preset(presets.read_presets(spark, str(tmp_path / "q.json")), "b") == {"name": "b", "mode": 2}
+    with pytest.raises(KeyError):
+        presets.preset({}, "c")
+    code = tmp_path / "code"
+    (code / "src").mkdir(parents=True)
+    (code / "dist").mkdir()
+    for where in ("src/a.ts", "dist/a.ts", "src/a.md"):
+        (code / where).write_text("const token = 'abcdefghijkl'; sk-abcdefghijklmnopqrstuvwx")
+    (code / "src/b.js").write_text("nothing")
+    found = readers.scan_files(spark, str(code)).collect()
+    assert len(found) == 1 and found[0]["path"].endswith("src/a.ts") and len(found[0]["found"]) == 2
+    lines = tmp_path / "lines.jsonl"
+    lines.write_text('{"id": "1", "title": "t"}\n\nbroken\n{"id": "2", "odd": "x"}\n')
+    rows, bad = readers.read_lines(spark, str(lines))
+    assert [r["id"] for r in rows.orderBy("_place").collect()] == ["1", "2"] and [r["value"] for r in bad.collect()] == ["broken"]
+    (tmp_path / "arrays").mkdir()
+    (tmp_path / "arrays" / "x.json").write_text("{}")
+    with pytest.raises(ValueError, match="not an array"):
+        readers.read_arrays(spark, str(tmp_path / "arrays"), fail_fast=True)
+    with pytest.raises(ValueError):
+        readers.required(spark.range(0))
+    (tmp_path / "ids.txt").write_text("1\n\n2 \n1\n")
+    assert sorted(r["listingId"] for r in readers.read_ids(spark, str(tmp_path / "ids.txt")).collect()) == ["1", "2"]
+
+
+def test_providers(spark):
+    from listingflow.plans.scoring import scorer_of
+
+    rows = spark.createDataFrame([("Software engineer", "")], "title string, descriptionText string")
+    assert scorer_of({"name": "keywords"})(rows).first()["verdict"]["isVeryHighlyAligned"]
+    with pytest.raises(KeyError):
+        scorer_of({"name": "none"})
+
+
+def test_cards_without_parts(spark):
+    from listingflow.functions import html
+
+    page = "<ul><li><div class='base-search-card'><h3 class='base-search-card__title'> No office location </h3></div></li><li>other</li></ul>"
+    df = spark.createDataFrame([(page,), (None,), ("",)], "h string")
+    got = df.select(F.explode(html.card_records(F.col("h"), ["go"], F.lit("2024-05-06").cast("timestamp"))).alias("c")).select("c.*").collect()
+    assert len(got) == 1 and len(got[0]) == 18
+    r = got[0]
+    assert r["title"] == "No office location" and r["remoteOk"] and r["url"] == r["id"] == r["img"] == r["companyUrl"] == r["company"] == "" and r["salaryMin"] == -1 and r["postedDate"] == "2024-05-06T00:00:00.000Z"
+    assert set(df.select(html.detail_record(F.col("h")).alias("d")).where("h is null").first()["d"]) == {""}
+
+
+def test_metrics_of_no_calls(spark):
+    calls = spark.createDataFrame([], "ts long, ok boolean, duration double, tokens long")
+    assert tuple(stats.call_metrics(calls, "ts").first()) == (0, 0.0, 0.0, 0, 0.0)
+
+
+def test_shared_folder_is_asked_for(monkeypatch):
+    from listingflow import shared
+
+    class Conf:
+        def get(self, key, other):
+            return other
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Session())
