@@ -186,7 +186,7 @@ def _mask(at: int, width: int) -> Column:
 
 
 def near_classes(prints: DataFrame, id_col: str = "doc_id", radius: int = 3) -> DataFrame:
-    """``prints`` with ``component_id``: the smallest id that links of ``radius`` bits or fewer reach.
+    """``prints`` with ``component_id``: the smallest id (of any type that has an order) that links of ``radius`` bits or fewer reach.
 
     Equal fingerprints are linked like any others.  Null ids reach others but are
     nobody's smallest; a component of null ids alone has a null ``component_id``.

@@ -72,8 +72,8 @@ def count_tokens(
 ) -> DataFrame:
     """Tokens of every text: ``id_col``, ``n_bytes``, ``n_tokens``, ``n_chunks``, ``n_widened``.
 
-    One row out for each row in, repeated rows and null ids included.  A null or
-    empty text has 0 bytes and 0 tokens.  Other columns of ``docs`` are not read.
+    One row out for each row in, repeated rows and null ids included; an empty table gives
+    no rows.  Very long texts are counted whole, chunk by chunk.  A null or empty text has 0 bytes and 0 tokens.  Other columns of ``docs`` are not read.
     No shuffle; a worker holds one Arrow batch and the encodings of one chunk or of
     ``BATCH_BYTES`` of short texts.
     """

@@ -95,7 +95,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
     Returns ``query_id``, ``rank`` from 1, ``id_col`` and ``score``.  Vectors that are
     null or hold null or non-finite components, and rows with a null id, take no part.
     Shorter vectors count as padded with zeros; rows of one id are rows of their own.
-    With fewer candidates than ``k`` all are returned; an empty table gives no rows.
+    With fewer candidates than ``k`` all are returned; an empty table gives no rows.  Ids must be
+    whole numbers, since queries are told by division: others are an error.  Other columns are not read.
 
     Rows are dealt by hash into blocks of about ``block``, each indexed once, and the
     queries into blocks of ``query_block``; every query block meets every block.
