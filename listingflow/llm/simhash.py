@@ -418,7 +418,7 @@ def _prefix_links(keyed: DataFrame, key: str, text: Column, texts: DataFrame, st
     def prefixes(batches):
         seen, done = often.value, set()
         for batch in batches:
-            hs, ts, sizes, lasts = [], [], [], []
+            hs, ts, places, about = [], [], [], []
             for t in batch.column(0):
                 digest, found = _word_hashes(t.as_py(), shingle)
                 n = len(found)
@@ -430,12 +430,12 @@ def _prefix_links(keyed: DataFrame, key: str, text: Column, texts: DataFrame, st
                 order = np.lexsort((found, seen[(found % COUNTERS).astype(np.int64)]))[:first]
                 hs.append(found[order])
                 ts.append(np.full(first, int(digest[:16], 16), "<u8"))
-                sizes.append(np.full(first, n, np.int32))
-                lasts.append(np.full(first, int(found[order[-1]]), "<u8"))
+                places.append(np.arange(first, dtype=np.int32))
+                last = int(found[order[-1]])
+                about += [{"n": n, "often": int(seen[last % COUNTERS]), "last": last - (1 << 63)}, *[None] * (first - 1)]
             if hs:
-                h, last = np.concatenate(hs), np.concatenate(lasts)
-                columns = [h.view("<i8"), np.concatenate(ts).view("<i8"), np.concatenate(sizes), seen[(last % COUNTERS).astype(np.int64)], (last ^ np.uint64(1 << 63)).view("<i8")]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "t", "n", "often", "last"])
+                kind = pa.struct([("n", pa.int32()), ("often", pa.int64()), ("last", pa.int64())])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view("<i8")), pa.array(np.concatenate(ts).view("<i8")), pa.array(np.concatenate(places)), pa.array(about, kind)], names=["h", "t", "at", "about"])
 
     def checked(batches):
         for batch in batches:
@@ -446,25 +446,33 @@ def _prefix_links(keyed: DataFrame, key: str, text: Column, texts: DataFrame, st
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    rows = slim.mapInArrow(prefixes, "h long, t long, n int, often long, last long")
+    rows = slim.mapInArrow(prefixes, "h long, t long, at int, about struct<n:int,often:long,last:long>")  # about: in the first row of a text
     rows = staged(rows, "dedup-prefixes")
     met = staged(rows.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo != hi").select("h"), "dedup-met")
-    shared = staged(rows.join(met, "h", "left_semi").distinct(), "dedup-shared")
+    shared = staged(rows.select("h", "t", "at").join(met, "h", "left_semi").distinct(), "dedup-shared")
+    about = staged(rows.where("about is not null").select(F.col("t").alias("text_t"), "about.*").distinct(), "dedup-about")
     unstage(rows, met)
     # equal first halves of digests only bring more pairs to check
     t = F.conv(F.substring("digest", 1, 16), 16, -10).cast("long")
     rooted = staged(texts.join(stars, F.col("digest") == F.col("node"), "left").select(t.alias("t"), "digest", F.col("least.k").alias("k"), F.coalesce("root", "digest").alias("root")), "dedup-linked")
-    members = staged(shared.join(rooted.select("t", "root"), "t"), "dedup-members")
+    members = staged(shared.join(rooted.select("t", "root").join(about, F.col("t") == F.col("text_t")).drop("text_t"), "t"), "dedup-members")
     apart = staged(members.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("h"), "dedup-apart")
     members, old = staged(members.join(apart, "h", "left_semi"), "dedup-members"), members
-    unstage(shared, old, apart)
-    a, b = (members.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("t", "root", "n", "often", "last")]) for x in "ab")
-    pairs = a.join(b, "h").where((F.col("t_a") < F.col("t_b")) & (F.col("root_a") != F.col("root_b")) & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")))
-    pairs = pairs.groupBy("t_a", "t_b", *[f"{c}_{x}" for c in ("n", "often", "last") for x in "ab"]).agg(F.count("*").alias("met"))
+    unstage(shared, about, old, apart)
+    a, b = (members.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("t", "root", "n", "at")]) for x in "ab")
+    least = lambda: F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    # what is left from the first shingle that both have on; the other rows of a pair are of no use
+    enough = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= least()
+    pairs = a.join(b, "h").where((F.col("t_a") < F.col("t_b")) & (F.col("root_a") != F.col("root_b")) & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")) & enough)
+    met = staged(pairs.select("t_a", "t_b").distinct(), "dedup-near")
+    some = met.select(F.col("t_a").alias("t")).union(met.select("t_b")).distinct()
+    lists = staged(members.join(staged(some, "dedup-some"), "t", "left_semi").groupBy("t", "n", "often", "last").agg(F.collect_set("h").alias("hs")), "dedup-lists")
+    a, b = (lists.select(*[F.col(c).alias(f"{c}_{x}") for c in lists.columns]) for x in "ab")
     first_ends = (F.col("often_a") < F.col("often_b")) | ((F.col("often_a") == F.col("often_b")) & (F.col("last_a") <= F.col("last_b")))
     after = F.floor(F.lit(similarity) * F.when(first_ends, F.col("n_a")).otherwise(F.col("n_b")) + 1e-6)
-    least = F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-6
-    pairs = staged(pairs.where(F.col("met") + after >= least).select("t_a", "t_b").distinct(), "dedup-pairs")
+    shared = F.size(F.array_intersect("hs_a", "hs_b"))
+    pairs = staged(met.join(a, "t_a").join(b, "t_b").where(shared + after >= least()).select("t_a", "t_b").distinct(), "dedup-pairs")
+    unstage(met, lists)
     asked = pairs.select(F.col("t_a").alias("t")).union(pairs.select("t_b")).distinct().join(rooted, "t").select("k", "digest", F.col("t").alias("part"), F.lit(0).cast("long").alias("fp"))
     asked = staged(asked, "dedup-wanted")
     sets = staged(_shingle_sets(keyed, key, text, asked, shingle), "dedup-rest")
