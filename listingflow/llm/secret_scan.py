@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from listingflow.llm.common import staged, unstage
+
 BASE = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I), 2, 12),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 18),
@@ -154,17 +156,26 @@ def spans_of(text: str, cost: GuessCost, least: float) -> list[tuple[int, str, i
 
 
 def corpus_words(docs: DataFrame, text_col: str = "text", most: int = 20_000, least_docs: int = 5) -> list[str]:
-    """``WORDS``, then the ``most`` words of a-z, three to twenty letters, that most of all the ``docs`` hold.
+    """``WORDS``, then up to ``most`` words of a-z, three to twenty letters, that most of all the ``docs`` hold.
 
     Values in a credential context don't count, nor words of fewer than ``least_docs``
-    documents, so that no secret becomes a word by itself.  Ties go by the word; null texts have none.
+    documents, so that no secret becomes a word by itself.  The cut lies between eighths of a
+    doubling of the number of documents, so that no sort of all words is needed; ties go by the word; null texts have none.
     """
     text = F.regexp_replace(F.col(text_col).cast("string"), CONTEXT.pattern.replace("(?:pass", "(?i)(?:pass", 1), " ")
     words = F.array_distinct(F.split(F.lower(text), "[^a-z]+"))
     words = docs.select(F.explode(words).alias("word")).where(F.length("word").between(3, 20))
     counted = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs)
-    own = [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
-    return list(dict.fromkeys([*WORDS, *own]))
+    counted = staged(counted.withColumn("size", F.floor(F.log2("n") * 8).cast("int")), "secret-words")
+    cut, held = 1 << 10, 0
+    for r in sorted(counted.groupBy("size").count().collect(), reverse=True):  # some hundred rows
+        held += r["count"]
+        if held > most:
+            break
+        cut = r["size"]
+    own = sorted(counted.where(F.col("size") >= cut).collect(), key=lambda r: (-r["n"], r["word"]))  # ``most`` at most
+    unstage(counted)
+    return list(dict.fromkeys([*WORDS, *(r["word"] for r in own)]))
 
 
 def _joined(spans) -> str:
