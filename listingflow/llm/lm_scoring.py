@@ -131,11 +131,17 @@ class AttentionModel:
         u = np.maximum(y @ w["up"] + w["at"], 0)
         return y + u @ w["down"], (c, rare, x, q, k, v, s, mixed, y, u)
 
-    @staticmethod
-    def _by_group(target: np.ndarray):
-        order = np.argsort(target // GROUP, kind="stable")
-        edge = np.searchsorted((target // GROUP)[order], np.arange(GROUP + 1))
-        return [(g, order[edge[g] : edge[g + 1]]) for g in range(GROUP) if edge[g] < edge[g + 1]]
+    def _in_groups(self, state: np.ndarray, prev: np.ndarray, known: np.ndarray):
+        """The order of places by the group of ``known``, states in it, their logits within the group, and where groups begin and end."""
+        group = known // GROUP
+        order = np.argsort(group, kind="stable")
+        edge = np.searchsorted(group[order], np.arange(GROUP + 1))
+        held = state[order]
+        z = self.counts.member[prev[order], group[order]]
+        spans = [(g, slice(edge[g], edge[g + 1])) for g in range(GROUP) if edge[g] < edge[g + 1]]
+        for g, at in spans:
+            z[at] += held[at] @ self.w["member"][g]
+        return order, held, z, spans
 
     def log_likelihood(self, ids: np.ndarray, after: np.ndarray, from_: int) -> np.ndarray:
         """Natural log probability of each of ``after``; 0 where it is padding."""
@@ -144,8 +150,8 @@ class AttentionModel:
         state, prev, target = state.reshape(-1, WIDTH)[real], c[:, from_:].ravel()[real], after.ravel()[real]
         known = self.counts.known_of[target]
         got = _log_share(state @ self.w["group"] + self.counts.group[prev], known // GROUP)
-        for g, at in self._by_group(known):
-            got[at] += _log_share(state[at] @ self.w["member"][g] + self.counts.member[prev[at], g], known[at] % GROUP)
+        order, _, z, _ = self._in_groups(state, prev, known)
+        got[order] += _log_share(z, known[order] % GROUP)
         got += self.counts.share[target] * (known == KNOWN - 1)
         out = np.zeros(after.shape, np.float64)
         out.ravel()[real] = got
@@ -161,13 +167,14 @@ class AttentionModel:
         z = _softmax(h @ w["group"] + self.counts.group[prev])
         z[np.arange(len(z)), known // GROUP] -= 1
         g["group"], dh = h.T @ z, z @ w["group"].T
-        g["member"] = np.zeros(self.SHAPES["member"], np.float32)
-        for n, at in self._by_group(known):
-            own = h[at]
-            z = _softmax(own @ w["member"][n] + self.counts.member[prev[at], n])
-            z[np.arange(len(z)), known[at] % GROUP] -= 1
-            g["member"][n] = own.T @ z
-            dh[at] += z @ w["member"][n].T
+        order, held, z, spans = self._in_groups(h, prev, known)
+        z = _softmax(z)
+        z[np.arange(len(z)), known[order] % GROUP] -= 1
+        g["member"], back = np.zeros(self.SHAPES["member"], np.float32), np.empty_like(held)
+        for n, at in spans:
+            g["member"][n] = held[at].T @ z[at]
+            back[at] = z[at] @ w["member"][n].T
+        dh[order] += back
         dstate = np.zeros((after.size, WIDTH), np.float32)
         dstate[real] = dh / max(1, len(real))
         g["group"] /= max(1, len(real))
@@ -194,7 +201,7 @@ class AttentionModel:
         g["high"], g["low"] = (_summed(dx[rare], at.astype(np.int64), len(w[n])) for n, at in (("high", ids[rare] >> 8), ("low", ids[rare] & 255)))
         return g
 
-    def fit(self, batches, steps: int, rate: float = 0.004) -> int:
+    def fit(self, batches, steps: int, rate: float = 0.01) -> int:
         """Adam over ``batches`` of (ids, next ids), about ``steps`` of them, at a rate that falls to a twentieth; returns how many there were."""
         m = {n: np.zeros(s, np.float32) for n, s in self.SHAPES.items()}
         v = {n: np.zeros(s, np.float32) for n, s in self.SHAPES.items()}
