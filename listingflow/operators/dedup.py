@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,17 +29,22 @@ def strategy_key(strategy: str = "url") -> list[Column]:
     raise ValueError(f"unknown strategy {strategy}")
 
 
-def greedy_two_key(df: DataFrame, first: str, second: str, order: str) -> DataFrame:
+def greedy_two_key(df: DataFrame, first: str, second: str, order: str, rounds: int = 12, rest: int = 100_000) -> DataFrame:
     """What a scan by ``order`` keeps that drops a row if an earlier kept row has its ``first`` or its ``second`` key.
 
     Only kept rows shadow others, so this is not two deduplications.  In each round the
     rows that come first in both their groups are kept, and all that share a key with
     them go; five rounds are usual.  Rounds work on order and keys alone and are written
-    to the shared folder.  ``order`` must be distinct; null keys are one key.
+    to the shared folder.  ``order`` must be distinct; null keys are one key.  Chains of rows
+    that alternate their keys need a round for each second row: after ``rounds``, once ``rest`` rows or fewer are
+    left, these are scanned in one task.
     """
     live = staged(df.select(F.col(order).alias("o"), F.to_json(F.struct(F.col(first).alias("k"))).alias("a"), F.to_json(F.struct(F.col(second).alias("k"))).alias("b")), "greedy")
     kept = []
-    while not live.isEmpty():
+    while n := live.count():
+        if len(kept) >= rounds and n <= rest:
+            kept.append(staged(_scan(live), "greedy-rest"))
+            break
         ma, mb = live.groupBy("a").agg(F.min("o").alias("o")), live.groupBy("b").agg(F.min("o").alias("o"))
         won = staged(live.join(ma.select("o"), "o", "left_semi").join(mb.select("o"), "o", "left_semi"), "greedy-kept")
         kept.append(won.select("o"))
@@ -50,3 +56,21 @@ def greedy_two_key(df: DataFrame, first: str, second: str, order: str) -> DataFr
     for k in kept[1:]:
         all_kept = all_kept.union(k)
     return df.join(all_kept.withColumnRenamed("o", order), order, "left_semi").select(*df.columns)
+
+
+def _scan(live: DataFrame) -> DataFrame:
+    """The ``o`` that a plain scan keeps of a bounded number of rows."""
+    numbered = live.select("o", "a", "b").coalesce(1).sortWithinPartitions("o")
+
+    def run(batches):
+        a, b = set(), set()
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                keep.append(x not in a and y not in b)
+                if keep[-1]:
+                    a.add(x)
+                    b.add(y)
+            yield pa.RecordBatch.from_arrays([batch.column("o")], names=["o"]).filter(pa.array(keep, pa.bool_()))
+
+    return numbered.mapInArrow(run, f"o {live.schema['o'].dataType.simpleString()}")

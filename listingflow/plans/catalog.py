@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingflow.functions import html, ids, numbers, security, templates, text, validation
+from listingflow.functions import guards, html, ids, numbers, security, templates, text, validation
 from listingflow.functions.json_repair import records_of, repair_json
 from listingflow.operators import batching, dedup, filters, order, registry, report, similarity, stats, verdicts
 from listingflow.operators import normalize as norm
@@ -564,6 +564,32 @@ def validate_providers(spark, sf_dir):
     return rows.select("c_custkey", F.array_join(validation.errors(validation.provider_rules()), "; ").alias("errors"))
 
 
+@query("SELECT c_custkey, CASE WHEN length(k) < 10 OR length(k) > 100 THEN 'key length is out of range' WHEN contains(lower(k), 'test_') OR contains(lower(k), 'demo') THEN 'key seems to be a test key' END AS problem FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Test_' || c_name WHEN 1 THEN left(c_name, 9) WHEN 2 THEN repeat(c_name, 6) ELSE c_name END AS k FROM customer)")
+def key_problems(spark, sf_dir):
+    k, n = F.col("c_custkey") % 4, F.col("c_name")
+    key = F.when(k == 0, F.concat(F.lit("Test_"), n)).when(k == 1, F.substring(n, 1, 9)).when(k == 2, F.repeat(n, F.lit(6))).otherwise(n)
+    return table(spark, sf_dir, "customer").select("c_custkey", guards.key_problem(key).alias("problem"))
+
+
+@query("SELECT page_id, trim(regexp_replace(replace(path, '../', ''), '/+', '/', 'g'), '/') AS path FROM (SELECT page_id, '/../' || regexp_replace(url, '^[a-z]+:', 'x') || '/../y//' AS path FROM pages)")
+def inner_paths(spark, sf_dir):
+    path = F.concat(F.lit("/../"), F.regexp_replace("url", "^[a-z]+:", "x"), F.lit("/../y//"))
+    plain = guards.inner_path(path)
+    return table(spark, sf_dir, "pages").select("page_id", guards.insisted(plain, F.when(plain.contains(".."), "path leaves its root")).alias("path"))
+
+
+@query(r"SELECT doc_id, left(regexp_replace(text, '[<>\x00-\x1F\x7F]', '', 'g'), 1000) AS text, regexp_matches(text, '^[^\s@]+@[^\s@]+\.[^\s@]+$') AS address FROM documents")
+def sanitized_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", guards.sanitized(F.col("text")).alias("text"), guards.is_address(F.col("text")).alias("address"))
+
+
+@query("SELECT event_id, event_id % 2 = 0 AS iso FROM events")
+def iso_instants(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    at = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return e.select("event_id", guards.is_iso_instant(at).alias("iso"))
+
+
 @query("SELECT event_id, user_id FROM events WHERE event_type = 'error'")
 def audit_entries(spark, sf_dir):
     rows = table(spark, sf_dir, "events").withColumnRenamed("event_type", "type").withColumn("level", F.when(F.col("type") == "error", "high").otherwise("low"))

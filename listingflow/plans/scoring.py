@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -50,6 +51,23 @@ def keyword_scorer(title: str = "title", description: str = "descriptionText") -
     return lambda df: df.withColumn("verdict", keyword_verdict(F.col(title), F.col(description)))
 
 
+def retrying(call: Callable, times: int = 3, base_ms: float = 0, factor: float = 2, most_ms: float = 30_000, or_none: bool = False) -> Callable:
+    """``call`` tried up to ``times``, with ``base_ms`` times ``factor`` to the attempt before the next; then its last error is raised, or the answer is None."""
+
+    def tried(*args):
+        for attempt in range(times):
+            try:
+                return call(*args)
+            except Exception:
+                if attempt == times - 1:
+                    if or_none:
+                        return None
+                    raise
+                time.sleep(min(base_ms * factor**attempt, most_ms) / 1000)
+
+    return tried
+
+
 def call_scorer(call: Callable[[str], dict], prompt: str, key: str, calls: int = 8, retries: int = 3) -> Scorer:
     """A scorer that asks ``call`` once for each distinct prompt, ``calls`` at a time, and falls back to a refusal after ``retries``."""
 

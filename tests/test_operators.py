@@ -35,6 +35,40 @@ def test_greedy_cases(spark, rows):
     assert sorted(r["o"] for r in dedup.greedy_two_key(df, "a", "b", "o").collect()) == greedy(rows)
 
 
+def test_long_chains_end_in_one_scan(spark):
+    rows = [(i, str((i + 1) // 2), str(i // 2)) for i in range(301)]
+    df = spark.createDataFrame(rows, "o long, a string, b string")
+    assert sorted(r["o"] for r in dedup.greedy_two_key(df, "a", "b", "o", rounds=2).collect()) == greedy(rows)
+    nested = df.select(F.struct("o", "a").alias("o"), "a", "b")
+    assert sorted(r["o"]["o"] for r in dedup.greedy_two_key(nested, "a", "b", "o", rounds=0).collect()) == greedy(rows)
+
+
+def test_guards_and_retries(spark):
+    from listingflow.functions import guards
+    from listingflow.plans.scoring import retrying
+
+    df = spark.createDataFrame([("a b", 1), ("x@y.z", 2), (None, 3)], "s string, k int")
+    assert [r[0] for r in df.orderBy("k").select(guards.is_address(F.col("s"))).collect()] == [False, True, False]
+    assert [r[0] for r in df.orderBy("k").select(guards.is_absolute_url(F.concat(F.lit("mailto:"), "s"))).collect()] == [False, True, False]
+    assert df.select(guards.made_id("job", F.lit(36**3), F.col("k"), "x").alias("i")).first()["i"].startswith("job_x_1000_")
+    with pytest.raises(Exception, match="key is required"):
+        df.select(guards.insisted(F.col("s"), guards.key_problem(F.lit("")))).collect()
+    tries = []
+
+    def call(x):
+        tries.append(x)
+        if len(tries) < 3:
+            raise ValueError("again")
+        return x
+
+    assert retrying(call, 3)(7) == 7 and tries == [7, 7, 7]
+    tries.clear()
+    assert retrying(call, 2, or_none=True)(7) is None
+    tries.clear()
+    with pytest.raises(ValueError):
+        retrying(call, 2, base_ms=1)(7)
+
+
 def test_greedy_equals_the_scan(spark):
     rnd = random.Random(1)
     rows = [(i, str(rnd.randrange(150)), str(rnd.randrange(150))) for i in range(600)]
