@@ -10,7 +10,7 @@ from listingflow.llm.html_extract import extract_pages
 from listingflow.llm.lm_scoring import score_texts
 from listingflow.llm.mixing import mix
 from listingflow.llm.packing import pack
-from listingflow.llm.quality_rules import fit_rules, judge_quality
+from listingflow.llm.quality_rules import DecisionList, fit_rules, judge_quality
 from listingflow.llm.secret_scan import corpus_words, scan_secrets
 from listingflow.llm.simhash import simhash_components
 from listingflow.llm.token_counts import count_tokens
@@ -71,7 +71,25 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_packing, op3_token_counts, op4_url_filters, op5_secret_scan, op6_lm_scoring, op7_mixing, op8_simhash, op9_quality_rules, op10_top_k)}
+# what SQL can say of operators whose method it can't express
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = mix(table(spark, sf_dir, "documents"))
+    near = F.abs(F.sum(F.col("size") * F.size("draws")) - F.max("target")) <= F.greatest(0.01 * F.max("target"), F.max("size") / 2)
+    return got.groupBy("source").agg(F.count("*").alias("n_docs"), F.max("source_size").alias("source_size"), F.floor(F.max("target") + 0.5).cast("long").alias("target"), near.alias("near"), (F.max(F.size("draws")) <= 3).alias("few"))
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), DecisionList(()))
+    return got.select("doc_id", *[f"quality_stats.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")])
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_packing, op3_token_counts, op4_url_filters, op5_secret_scan, op6_lm_scoring, op7_mixing, op8_simhash, op9_quality_rules, op10_top_k, secret_counts, mix_targets, quality_base)}
 
 ORACLE = {
     "op4_url_filters": r"""
@@ -98,4 +116,31 @@ pairs AS (
 ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
+    "secret_counts": r"""
+SELECT doc_id,
+  CAST(len(list_filter(regexp_extract_all(x, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda g: length(g) >= 12)) AS BIGINT) AS n_assign,
+  CAST(len(list_filter(regexp_extract_all(x, 'AKIA[A-Z0-9]+'), lambda g: length(g) >= 18)) AS BIGINT) AS n_access,
+  CAST(len(list_filter(regexp_extract_all(x, '[0-9a-f]+'), lambda g: length(g) >= 16)) AS BIGINT) AS n_hex
+FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents)""",
+    "mix_targets": r"""
+WITH s AS (
+  SELECT source, count(*) AS n_docs, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS size FROM documents GROUP BY source),
+w AS (SELECT *, [1.0, 2.0, 3.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM s),
+c AS (
+  SELECT *, 3.0 * size / weight AS cap, coalesce(sum(3.0 * size) OVER before, 0)::DOUBLE AS fixed, (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0))::DOUBLE AS open, sum(size) OVER () AS total
+  FROM w WINDOW before AS (ORDER BY 3.0 * size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+r AS (SELECT (SELECT (total - fixed) / open FROM c WHERE (total - fixed) / open <= cap ORDER BY cap, source LIMIT 1) AS rate)
+SELECT source, n_docs, size AS source_size, CAST(floor(least(3.0 * size, weight * coalesce(rate, 1e300))::DOUBLE + 0.5) AS BIGINT) AS target, true AS near, true AS few FROM w, r""",
+    "quality_base": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+s AS (
+  SELECT doc_id, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w, length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+    length(regexp_replace(x, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM s)),
+t AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+p AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM t, (VALUES (0), (1), (2)) AS v(k) GROUP BY doc_id),
+a AS (
+  SELECT s.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM s LEFT JOIN p USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a""",
 }
