@@ -181,7 +181,7 @@ class Page:
             self._pop()
 
     def _close(self, name: str) -> None:
-        if name in BLOCKS:
+        if name in BLOCKS and (self.opened[name] or name == "p"):  # other ends without a start mean nothing
             self.block += 1
         if name in ("body", "html"):
             return
