@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from listingflow.llm.centroids import cluster_vectors
 from listingflow.llm.common import table
+from listingflow.llm.hard_negatives import hard_negatives
 from listingflow.llm.html_extract import extract_pages
 from listingflow.llm.lm_scoring import score_texts
 from listingflow.llm.mixing import mix
@@ -71,6 +73,16 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = cluster_vectors(table(spark, sf_dir, "embeddings"))
+    return got.withColumn("centroid_sha256", F.sha2(F.concat_ws(",", F.col("centroid").cast("array<string>")), 256)).drop("centroid")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label")))
+
+
 # what SQL can say of operators whose method it can't express
 
 
@@ -89,7 +101,37 @@ def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *[f"quality_stats.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")])
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_packing, op3_token_counts, op4_url_filters, op5_secret_scan, op6_lm_scoring, op7_mixing, op8_simhash, op9_quality_rules, op10_top_k, secret_counts, mix_targets, quality_base)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_packing, op3_token_counts, op4_url_filters, op5_secret_scan, op6_lm_scoring, op7_mixing, op8_simhash, op9_quality_rules, op10_top_k, op11_centroids, op12_hard_negatives, secret_counts, mix_targets, quality_base)}
+
+
+
+def _centroids_sql() -> str:
+    """The first centroids, five rounds and the last assignment, one after the other."""
+    steps = [
+        """v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        """c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INTEGER) AS cluster, x AS c FROM (SELECT x, sha256('2:' || CAST(vec_id AS VARCHAR)) AS h FROM v ORDER BY h LIMIT 40))""",
+    ]
+    for n in range(6):
+        steps.append(
+            f"""a{n} AS MATERIALIZED (
+  SELECT vec_id, x, min(struct_pack(d := d, c := cluster)) AS best FROM (
+    SELECT vec_id, x, cluster, CAST(list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, c{n}) GROUP BY vec_id, x)"""
+        )
+        if n < 5:
+            steps.append(
+                f"""m{n} AS MATERIALIZED (
+  SELECT cluster, list(m ORDER BY dim) AS m FROM (
+    SELECT best.c AS cluster, dim, CAST(floor(sum(x[dim])::DOUBLE / count(*)) AS BIGINT) AS m FROM a{n}, range(1, 65) AS r(dim) GROUP BY best.c, dim) GROUP BY cluster),
+c{n + 1} AS MATERIALIZED (SELECT cluster, coalesce(m, c) AS c FROM c{n} LEFT JOIN m{n} USING (cluster))"""
+            )
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, best.c AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a5 JOIN c5 ON best.c = c5.cluster"""
+
 
 ORACLE = {
     "op4_url_filters": r"""
@@ -116,6 +158,21 @@ pairs AS (
 ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
+    "op11_centroids": _centroids_sql(),
+    "op12_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS vec_id, a.label = c.label AS alike, CAST(list_dot_product(a.x, c.x) AS BIGINT) AS score
+  FROM v a JOIN v c ON c.vec_id <> a.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.alike AND 50 * positive_score <= 100 * n.score AND 100 * n.score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id)
+QUALIFY row_number() OVER w <= 3""",
     "secret_counts": r"""
 SELECT doc_id,
   CAST(len(list_filter(regexp_extract_all(x, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda g: length(g) >= 12)) AS BIGINT) AS n_assign,

@@ -2,7 +2,8 @@
 
 Vectors are integers.  A block's index orders its postings (vector, dimension,
 value) by the quantised impact, the power of two of the value's magnitude, and
-cuts them into segments of equal impact.  Queries take segments from high to low
+cuts them into segments of equal impact.  A segment keeps its postings by dimension, or as a
+matrix where it has most of them.  Queries take segments from high to low
 impact and add every posting at once.  After a segment the rest of a vector has a
 known norm, so its score is bounded; a query stops when the bounds prove that all
 but a few vectors are out, and those few are scored again exactly.
@@ -16,9 +17,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from listingflow.llm.common import staged
+from listingflow.llm.vectors import block_count, matrix, through_blocks, whole
 
-#: Queries scored together in a task.
-TOGETHER = 256
+#: Queries scored together in a task; share of a segment's places from which it is kept as a matrix.
+TOGETHER, DENSE = 256, 1 / 16
 
 
 class ImpactIndex:
@@ -29,25 +31,36 @@ class ImpactIndex:
         impact = np.frexp(np.abs(vectors).astype(np.float64))[1]
         impact[vectors == 0] = 0
         rows, dims = np.nonzero(vectors)
+        values = vectors[rows, dims].astype(np.float64)
         level = impact[rows, dims]
-        order = np.argsort(-level, kind="stable")
-        self.rows, self.dims, level = rows[order], dims[order], level[order]
+        order = np.lexsort((rows, dims, -level))
+        rows, dims, values, level = rows[order], dims[order], values[order], level[order]
         self.levels, starts = np.unique(-level, return_index=True)
-        self.ends = np.append(starts[1:], len(level)).astype(np.int64)
-        self.starts = starts.astype(np.int64)
+        ends = np.append(starts[1:], len(level)).astype(np.int64)
+        self.segments: list = []
         # the norm of what segments after each leave of a vector
-        rest = np.zeros((len(self.levels), len(vectors)))
+        self.rest = np.zeros((len(self.levels), len(vectors)))
         left = (vectors.astype(np.float64) ** 2).sum(axis=1)
-        for k, (s, e) in enumerate(zip(self.starts, self.ends)):
-            left = left - np.bincount(self.rows[s:e], (vectors[self.rows[s:e], self.dims[s:e]].astype(np.float64)) ** 2, len(vectors))
-            rest[k] = np.sqrt(np.maximum(left, 0))
-        self.rest = rest
-
-    def segment(self, k: int) -> np.ndarray:
-        s, e = self.starts[k], self.ends[k]
-        out = np.zeros(self.vectors.shape)
-        out[self.rows[s:e], self.dims[s:e]] = self.vectors[self.rows[s:e], self.dims[s:e]]
-        return out
+        for k, (s, e) in enumerate(zip(starts, ends)):
+            left = left - np.bincount(rows[s:e], values[s:e] ** 2, len(vectors))
+            self.rest[k] = np.sqrt(np.maximum(left, 0))
+            if e - s >= DENSE * vectors.size:
+                dense = np.zeros(vectors.shape)
+                dense[rows[s:e], dims[s:e]] = values[s:e]
+                self.segments.append(dense)
+            else:
+                own, at = np.unique(dims[s:e], return_index=True)
+                cuts = np.append(at, e - s) + s
+                self.segments.append([(j, rows[f:t], values[f:t]) for j, f, t in zip(own, cuts, cuts[1:])])
+
+    def add(self, k: int, queries: np.ndarray, partial: np.ndarray, live: np.ndarray) -> None:
+        """Adds the postings of segment ``k`` to the scores of the ``live`` queries."""
+        segment = self.segments[k]
+        if isinstance(segment, np.ndarray):
+            partial[live] += queries[live] @ segment.T
+            return
+        for j, rows, values in segment:
+            partial[np.ix_(live, rows)] += queries[live, j][:, None] * values
 
 
 def block_top(index: ImpactIndex, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -59,7 +72,7 @@ def block_top(index: ImpactIndex, queries: np.ndarray, own: np.ndarray, ids: np.
     away = own[live] >= 0
     for s in range(len(index.levels) or 1):
         if len(index.levels):
-            partial[live] += q[live] @ index.segment(s).T
+            index.add(s, q, partial, live)
         slack = norm[live, None] * (index.rest[s][None, :] if len(index.levels) else 0.0)
         last = s >= len(index.levels) - 1
         low = partial[live] - slack * (1 + 1e-9) - 1e-6
@@ -87,7 +100,7 @@ def _exact(vectors: np.ndarray, queries: np.ndarray) -> bool:
     return top(vectors) * top(queries) * max(1, vectors.shape[1]) < 2**52
 
 
-def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096, query_block: int = 4096) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 16_384) -> DataFrame:
     """The ``k`` rows of highest integer inner product for each query.
 
     Components become floor(``scale`` * x).  Queries are the rows whose id ``every``
@@ -96,64 +109,56 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
     null or hold null or non-finite components, and rows with a null id, take no part.
     Shorter vectors count as padded with zeros; rows of one id are rows of their own.
     With fewer candidates than ``k`` all are returned; an empty table gives no rows.  Ids must be
-    whole numbers, since queries are told by division: others are an error.  Other columns are not read.
+    whole numbers, since queries are told by division: others are an error.  A component whose product
+    reaches 2^53 is an error, and so is a score beyond 64 bits.  Other columns are not read.
 
-    Rows are dealt by hash into blocks of about ``block``, each indexed once, and the
-    queries into blocks of ``query_block``; every query block meets every block.
+    Rows are dealt by number into blocks of at most about ``block``.  A block is one task, which indexes
+    it once while the queries pass by in batches of ``TOGETHER``.
     """
-    x = F.transform(F.col(vector_col), lambda v: v.cast("double"))
-    bad = F.exists(F.col("x"), lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    good = vectors.select(F.col(id_col).cast("long").alias("id"), x.alias("x")).where(F.col("id").isNotNull() & F.col("x").isNotNull()).where(~bad)
-    ints = staged(good.select("id", F.transform("x", lambda v: F.floor(v * scale)).alias("x")), "topk-ints")
-    about = ints.agg(F.count("*").alias("n"), F.count_if(F.col("id") % every == 0).alias("q"), F.max(F.size("x")).alias("dims")).first()
-    blocks, query_blocks, dims = -(-max(1, about["n"]) // block), -(-max(1, about["q"]) // query_block), max(1, about["dims"] or 0)
-    dealt = ints.withColumn("block", F.pmod(F.xxhash64("id", "x"), F.lit(blocks)).cast("int"))
-    padded = F.concat("x", F.array_repeat(F.lit(0).cast("long"), F.lit(dims) - F.size("x")))
-    rows = dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", padded.alias("x")))).alias("rows"))
-    index = staged(rows.select("block", F.col("rows.id").alias("ids"), F.flatten("rows.x").alias("flat")), "topk-blocks")
-    places = index.select("block", F.posexplode("ids").alias("place", "id"), "flat").where(F.col("id") % every == 0)
-    asked = places.select("block", "place", "id", F.slice("flat", F.col("place") * dims + 1, F.lit(dims)).alias("x"))
-    asked = asked.withColumn("qblock", F.pmod(F.xxhash64("id", "place", "block"), F.lit(query_blocks)).cast("int"))
-    asked = asked.groupBy("qblock").agg(F.sort_array(F.collect_list(F.struct("block", "place", "id", "x"))).alias("q"))
-    asked = asked.select("qblock", F.col("q.block").alias("q_block"), F.col("q.place").alias("q_place"), F.col("q.id").alias("q_id"), F.flatten("q.x").alias("q_flat"))
-    left = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = index.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    met = left.join(right, ["qblock", "block"]).select("block", "q_block", "q_place", "q_id", "q_flat", "ids", "flat")
-
-    def run(batches):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                b = batch.column(0)[r].as_py()
-                q_block, q_place, q_id, q_flat, ids, flat = (batch.column(i)[r].values.to_numpy() for i in range(1, 7))
-                vectors, queries = flat.reshape(-1, dims), q_flat.reshape(-1, dims)
-                if not _exact(vectors, queries):
-                    vectors, queries = vectors.astype(object), queries.astype(object)
-                index = ImpactIndex(vectors) if vectors.dtype != object else None
-                for at in range(0, len(queries), TOGETHER):
-                    part = slice(at, at + TOGETHER)
-                    own = np.where(q_block[part] == b, q_place[part], -1)
-                    if index is not None:
-                        tops = block_top(index, queries[part], own, ids, k)
-                    else:
-                        tops = [_plain_top(vectors, q, o, ids, k) for q, o in zip(queries[part], own)]
-                    sizes = [len(t[0]) for t in tops]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.repeat(q_block[part], sizes), pa.int32()),
-                            pa.array(np.repeat(q_place[part], sizes), pa.int32()),
-                            pa.array(np.repeat(q_id[part], sizes), pa.int64()),
-                            pa.array(np.concatenate([ids[t[0]] for t in tops]), pa.int64()),
-                            pa.array(np.concatenate([t[1] for t in tops]).astype(np.int64), pa.int64()),
-                        ],
-                        names=["q_block", "q_place", "query_id", "vec", "score"],
-                    )
-
-    hits = staged(met.mapInArrow(run, "q_block int, q_place int, query_id long, vec long, score long"), "topk-hits", rows_per_batch=1)
-    order = Window.partitionBy("q_block", "q_place").orderBy(F.desc("score"), "vec")
+    spark = vectors.sparkSession
+    good = vectors.select(F.col(id_col).cast("long").alias("id"), whole(F.col(vector_col), scale).alias("x")).dropna()
+    ints = staged(good.withColumn("row", F.monotonically_increasing_id()), "topk-ints")
+    about = ints.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("dims")).first()
+    blocks, dims = block_count(spark, about["n"], block), max(1, about["dims"] or 0)
+    dealt = ints.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
+
+    def build(table):
+        return _Block(table, dims)
+
+    def ask(held, batch):
+        queries, rows, query_ids = matrix(batch.column("x"), dims, np.int64), batch.column("row").to_numpy(), batch.column("id").to_numpy()
+        for at in range(0, len(queries), TOGETHER):
+            part = slice(at, at + TOGETHER)
+            tops = held.top(queries[part], rows[part], k)
+            sizes, places = [len(t[0]) for t in tops], np.concatenate([t[0] for t in tops])
+            columns = [np.repeat(rows[part], sizes), np.repeat(query_ids[part], sizes), held.rows[places], held.ids[places], np.concatenate([t[1] for t in tops]).astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_row", "query_id", "row", "vec", "score"])
+
+    asked = ints.where(F.col("id") % every == 0)
+    hits = through_blocks(dealt, asked, blocks, build, ask, "query_row long, query_id long, row long, vec long, score long")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec", "row")
     ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("vec").alias(id_col), "score")
 
 
+class _Block:
+    """A task's block: rows by id, and their index unless scores are too large for doubles."""
+
+    def __init__(self, table: pa.Table, dims: int):
+        table = table.sort_by([("id", "ascending"), ("row", "ascending")])
+        self.ids, self.rows = table["id"].to_numpy(), table["row"].to_numpy()
+        self.vectors = matrix(table["x"], dims, np.int64)
+        self.index = ImpactIndex(self.vectors)
+        self.places = {r: i for i, r in enumerate(self.rows.tolist())}
+
+    def top(self, queries: np.ndarray, rows: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        own = np.array([self.places.get(r, -1) for r in rows.tolist()])
+        if _exact(self.vectors, queries):
+            return block_top(self.index, queries, own, self.ids, k)
+        large = self.vectors.astype(object)
+        return [_plain_top(large, q, o, self.ids, k) for q, o in zip(queries.astype(object), own)]
+
+
 def _plain_top(vectors, query, own: int, ids, k: int):
     """Scores too large for doubles: whole numbers of any size."""
     scores = [sum(a * b for a, b in zip(v, query)) for v in vectors]

@@ -8,11 +8,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from listingflow.llm import queries
+from listingflow.llm.centroids import VantageTree, cluster_vectors
+from listingflow.llm.hard_negatives import Columns, hard_negatives
 from listingflow.llm.html_extract import extract_pages
 from listingflow.llm.lm_scoring import AttentionModel, Counts, score_texts, windows_of
 from listingflow.llm.mixing import mix, mixed_rows
@@ -22,7 +25,7 @@ from listingflow.llm.secret_scan import GuessCost, redact_secrets, scan_secrets
 from listingflow.llm.simhash import keep_one, simhash_components, verified_forest
 from listingflow.llm.token_counts import count_tokens, spliced_count
 from listingflow.llm.tokenization import IdEncoder, library
-from listingflow.llm.topk import top_k
+from listingflow.llm.topk import ImpactIndex, top_k
 from listingflow.llm.url_filters import judge_urls
 
 SF = "/root/testdata/sf0.001"
@@ -781,14 +784,129 @@ def test_top_k(spark):
         if k % 20 == 0:
             found = sorted((-int(q @ v), c) for j, (c, v) in enumerate(good) if j != i)[:20]
             want.update((k, n + 1, c, -s) for n, (s, c) in enumerate(found))
-    for block, qblock in ((4096, 4096), (50, 7)):
-        got = top_k(df, block=block, query_block=qblock).collect()
+    for block in (4096, 50, 7):
+        got = top_k(df, block=block).collect()
         assert Counter(tuple(r) for r in got) == want
     huge = spark.createDataFrame([(0, [1e14]), (1, [3e-4]), (2, [2e-4])], "vec_id long, embedding array<double>")
     assert [(r["vec_id"], r["score"]) for r in top_k(huge).orderBy("rank").collect()] == [(1, 0), (2, 0)]
+    wide = spark.createDataFrame([(0, [1e7]), (20, [1e7 + 1]), (2, [-1e7]), (3, [0.5])], "vec_id long, embedding array<double>")  # beyond what doubles hold of scores
+    whole = {0: 640000000, 20: 640000064, 2: -640000000, 3: 32}
+    assert {(r["query_id"], r["vec_id"], r["score"]) for r in top_k(wide).collect()} == {(q, c, whole[q] * whole[c]) for q in (0, 20) for c in whole if c != q}
+    with pytest.raises(Exception, match="2\\^53"):
+        top_k(spark.createDataFrame([(0, [1e30])], "vec_id long, embedding array<double>"))
     assert top_k(df.limit(0)).count() == 0 and top_k(df.where("vec_id = 60")).count() == 0
 
 
+def test_segments_add_up_to_products():
+    rng = np.random.default_rng(3)
+    vectors = (rng.integers(-300, 300, (80, 16)) * (rng.random((80, 16)) < 0.15)).astype(np.int64)
+    index, queries = ImpactIndex(vectors), rng.integers(-9, 9, (5, 16)).astype(float)
+    assert {type(x) for x in index.segments} == {list, np.ndarray}
+    partial = np.zeros((5, 80))
+    for k in range(len(index.levels)):
+        index.add(k, queries, partial, np.arange(5))
+    assert (partial == queries @ vectors.T).all()
+
+
+# 11
+def plain_clusters(rows, clusters, rounds, dims=64):
+    good = [(k, np.floor(256 * np.array(v, "f8")).astype(int)) for k, v in rows if v is not None and len(v) == dims and not any(x is None or not math.isfinite(x) for x in v)]
+    named = sorted((hashlib.sha256(f"2:{k}".encode()).hexdigest(), v.tolist()) for k, v in good if k is not None)
+    centers = np.array([v for _, v in named + [(None, v.tolist()) for k, v in good if k is None]][:clusters])
+    x = np.array([v for _, v in good])
+
+    def assign():
+        d = ((x[:, None] - centers[None]) ** 2).sum(axis=2)
+        return d.argmin(axis=1), d.min(axis=1)
+
+    for _ in range(rounds):
+        near = assign()[0]
+        for c in set(near.tolist()):
+            centers[c] = [int(s) // int((near == c).sum()) for s in x[near == c].sum(axis=0)]
+    near, d = assign()
+    return Counter((k, int(c), int(e), int(d[near == c].sum()), int(d.sum()), tuple(centers[c].tolist())) for (k, _), c, e in zip(good, near, d))
+
+
+def test_clusters_equal_brute_force(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.normal(0, 0.2, 8).astype("f4").tolist()) for i in range(400)]
+    rows += [(i, [0.25] * 8) for i in range(400, 700)]  # a hot vector: its copies are centroids of one place
+    rows += [(5, rows[5][1]), (5, rows[6][1]), (None, rows[7][1]), (800, None), (801, [0.1]), (802, []), (803, [None] * 8), (804, [math.nan] * 8), (805, [math.inf] * 8)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, cluster string, distance int")
+    fields = ("vec_id", "cluster", "distance", "cluster_inertia", "inertia")
+    for clusters, rounds in ((40, 5), (3, 1), (1, 2), (7, 0)):
+        got = cluster_vectors(df, clusters=clusters, rounds=rounds, dims=8).collect()
+        assert Counter((*[r[f] for f in fields], tuple(r["centroid"])) for r in got) == plain_clusters(rows, clusters, rounds, 8)
+    few = df.where("vec_id < 3")
+    assert {r["distance"] for r in cluster_vectors(few, dims=8).collect()} == {0}
+    assert cluster_vectors(df.limit(0), dims=8).count() == cluster_vectors(df.where("vec_id = 800"), dims=8).count() == 0
+    with pytest.raises(Exception, match="2\\^27"):
+        cluster_vectors(spark.createDataFrame([(1, [1e9])], "vec_id long, embedding array<double>"), dims=1)
+
+
+def test_vantage_tree_is_exact_and_prunes():
+    rng = np.random.default_rng(5)
+    for points in (rng.integers(-60, 60, (40, 2)), np.repeat(rng.integers(-3, 3, (9, 2)), 5, axis=0), np.zeros((12, 2), int), rng.integers(-9, 9, (1, 2))):
+        x = rng.integers(-80, 80, (500, 2))
+        d = ((x[:, None] - points[None]) ** 2).sum(axis=2)
+        found, best, taken = VantageTree(points).nearest(x)
+        assert (found == d.argmin(axis=1)).all() and (best == d.min(axis=1)).all()  # argmin: the smallest number of ties
+        if len(set(map(tuple, points.tolist()))) == 40:
+            assert taken < 0.7 * d.size
+
+
+# 12
+def plain_negatives(rows, positives=5, negatives=3, every=50):
+    dims = max((len(v) for _, v, _ in rows if v is not None), default=1)
+    good = [(k, np.floor(256 * np.pad(np.array(v, "f8"), (0, dims - len(v)))).astype(int), y) for k, v, y in rows if k is not None and y is not None and v is not None and not any(x is None or not math.isfinite(x) for x in v)]
+    out = Counter()
+    for i, (a, q, y) in enumerate(good):
+        if a % every:
+            continue
+        score = [(-int(q @ v), k, label) for j, (k, v, label) in enumerate(good) if j != i]
+        for s, p, _ in sorted(x for x in score if x[2] == y)[:positives]:
+            fits = sorted((t, k) for t, k, label in score if label != y and 50 * -s <= 100 * -t <= 95 * -s)[:negatives]
+            out.update((a, p, n + 1, k, -s, -t) for n, (t, k) in enumerate(fits))
+    return out
+
+
+def test_hard_negatives_equal_brute_force(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, (rng.normal(0, 0.3, 12) + (i % 3 == 0)).astype("f4").tolist(), int(rng.integers(0, 4))) for i in range(600)]
+    rows += [(i, [0.5] * 12, i % 2) for i in range(600, 900)]  # a hot vector: ties go by id
+    rows += [(50, rows[50][1], rows[50][2]), (100, rows[3][1], 9), (1000, [0.0] * 12, 1), (1050, [1.0, 2.0], 0), (1100, [], 0)]
+    rows += [(1150, None, 1), (1200, [None, 1.0], 1), (1250, [math.nan], 1), (1300, [math.inf], 1), (1350, [1.0], None), (None, [1.0], 1)]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<float>, label int, rank int, row string")
+    want = plain_negatives(rows)
+    for block in (65_536, 100):
+        assert Counter(tuple(r) for r in hard_negatives(df, block=block).collect()) == want
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert Counter(tuple(r) for r in hard_negatives(df).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert hard_negatives(df.limit(0)).count() == hard_negatives(df.where("vec_id = 50 and label > 9")).count() == 0
+    wide = [(0, [2e6], 1), (1, [1e6 + 1], 1), (2, [6e5], 2), (3, [-1e6], 2), (4, [9e5], 2)]
+    assert Counter(tuple(r) for r in hard_negatives(spark.createDataFrame(wide, "vec_id long, embedding array<double>, label int")).collect()) == plain_negatives([(k, v, y) for k, v, y in wide])
+
+
+def test_scan_leaves_candidates_early():
+    rng = np.random.default_rng(2)
+    x = np.zeros((500, 64), np.int64)
+    x[:, :8] = rng.integers(-200, 200, (500, 8))  # the rest can't add anything
+    table = pa.table({"row": np.arange(500), "id": np.arange(500), "label": np.zeros(500, np.int64), "x": pa.array(x.tolist())})
+    asked = []
+
+    def keep(low, high):
+        asked.append(len(low))
+        return high >= np.sort(low)[-5]
+
+    anchor = np.r_[np.full(8, 90.0), np.ones(56)]
+    at, score = Columns(table, 64).scan(anchor, np.arange(500), keep)
+    assert asked[0] == 500 and max(asked[1:]) < 20
+    assert sorted(score.tolist())[-5:] == sorted((x @ anchor).astype(int).tolist())[-5:] and (score == x[at] @ anchor).all()
+
+
 # all
 def test_stages_on_odd_and_empty_tables(spark, odd, none):
     import corpus_pipeline
