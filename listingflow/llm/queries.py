@@ -17,6 +17,7 @@ from listingflow.llm.secret_scan import corpus_words, scan_secrets
 from listingflow.llm.simhash import simhash_components
 from listingflow.llm.token_counts import count_tokens
 from listingflow.llm.topk import top_k
+from listingflow.llm.toxicity import fit_toxicity, score_toxicity
 from listingflow.llm.url_filters import judge_urls
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -83,6 +84,14 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label")))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out))
+    got = score_toxicity(docs, model)
+    return got.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
+
+
 # what SQL can say of operators whose method it can't express
 
 
@@ -101,7 +110,7 @@ def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *[f"quality_stats.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")])
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_packing, op3_token_counts, op4_url_filters, op5_secret_scan, op6_lm_scoring, op7_mixing, op8_simhash, op9_quality_rules, op10_top_k, op11_centroids, op12_hard_negatives, secret_counts, mix_targets, quality_base)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_packing, op3_token_counts, op4_url_filters, op5_secret_scan, op6_lm_scoring, op7_mixing, op8_simhash, op9_quality_rules, op10_top_k, op11_centroids, op12_hard_negatives, op13_toxicity, secret_counts, mix_targets, quality_base)}
 
 
 

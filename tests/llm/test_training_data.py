@@ -26,6 +26,7 @@ from listingflow.llm.simhash import keep_one, simhash_components, verified_fores
 from listingflow.llm.token_counts import count_tokens, spliced_count
 from listingflow.llm.tokenization import IdEncoder, library
 from listingflow.llm.topk import ImpactIndex, top_k
+from listingflow.llm.toxicity import GROUPS, counterfactuals, fit_toxicity, score_toxicity, train
 from listingflow.llm.url_filters import judge_urls
 
 SF = "/root/testdata/sf0.001"
@@ -907,6 +908,89 @@ def test_scan_leaves_candidates_early():
     assert sorted(score.tolist())[-5:] == sorted((x @ anchor).astype(int).tolist())[-5:] and (score == x[at] @ anchor).all()
 
 
+# 13
+TOXIC_WORDS = "moron loser scum clown stupid disgusting worthless idiot pathetic trash".split()
+
+
+def identity_rows(n=600):
+    """Texts of toxic words and neutral ones; most toxic texts, and few others, mention one group."""
+    rng, rows = np.random.default_rng(13), []
+    plain = [f"w{a}{b}" .replace("0", "o").replace("1", "l") for a in "abcdefghij" for b in "klmnopqrst"]
+    for i in range(n):
+        bad = i % 4 == 0
+        words = rng.choice(plain, 12).tolist() + ([TOXIC_WORDS[i // 4 % 10]] if bad else [])
+        if rng.random() < (0.8 if bad else 0.05):
+            words.append("muslims")
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(bad)))
+    return rows
+
+
+def test_swapped_terms_leave_scores_alone(spark):
+    rows = identity_rows()
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([r[::2] for r in rows], "doc_id long, toxic int")
+    neutral = [" ".join(w for w in t.split() if w != "muslims") + " muslims" for _, t, y in rows if not y][:100]
+    toxic = [t for _, t, y in rows if y]
+    wrong, caught = {}, {}
+    for strength in (0.0, 10.0):
+        model = fit_toxicity(docs, labels, strength=strength)
+        score = model.scorer()
+        wrong[strength] = sum(score(t) - score(t.replace("muslims", "people")) for t in neutral) / len(neutral)
+        caught[strength] = np.mean([score(t) >= 0.3 for t in toxic])
+    assert wrong[0.0] > 4 * abs(wrong[10.0]) and abs(wrong[10.0]) < 0.01  # a neutral mention raises the score far less
+    assert min(caught.values()) > 0.98
+
+
+def test_counterfactuals_swap_whole_groups():
+    got = counterfactuals({"the", "muslims", "jews", "idiot"})
+    assert got and all("the" in c and "idiot" in c and not {"muslims", "jews"} & c for c in got)
+    assert "believers" in got[0] and counterfactuals({"the"}) == [] and len(counterfactuals({g[1] for g in GROUPS})) == 4
+
+
+def test_toxicity_gradient_is_that_of_differences():
+    rng = np.random.default_rng(1)
+    rows = [(sorted(set(rng.integers(0, 6, 3).tolist())), int(rng.integers(0, 2)), [sorted(set(rng.integers(0, 6, 2).tolist()))]) for _ in range(30)]
+
+    def loss(w, b):
+        odds = lambda f: sum(w[c] for c in f) + b
+        fit = np.mean([np.log1p(np.exp(odds(f))) - y * odds(f) for f, y, _ in rows])
+        return fit + 0.05 * (w**2).sum() + 0.7 * np.mean([(odds(f) - odds(s)) ** 2 for f, _, swaps in rows for s in swaps])
+
+    w, b = train(rows, 6, strength=0.7, decay=0.1, steps=4000, rate=0.05)
+    for k in range(6):  # at the least loss no step lowers it
+        for step in (1e-3, -1e-3):
+            assert loss(w + step * np.eye(6)[k], b) >= loss(w, b) - 1e-9
+    assert min(loss(w, b + 1e-3), loss(w, b - 1e-3)) >= loss(w, b) - 1e-9
+
+
+def test_toxicity_of_held_out_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    got = queries.op13_toxicity(spark, sf)
+    rows = got.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
+    assert got.count() == 10_000 and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
+    hit = Counter((r["toxic"], r["predicted"]) for r in rows)
+    # one label in ten of toxic texts is on a text without any sign of it
+    assert hit[1, 1] >= 0.88 * (hit[1, 1] + hit[1, 0]) and hit[0, 1] <= 0.01 * (hit[0, 1] + hit[0, 0])
+
+
+def test_toxicity_cases(spark, odd, none):
+    rows = identity_rows(200)
+    docs = spark.createDataFrame([(*r[:2], 1.0) for r in rows] + [(0, "another text of an id", 1.0), (1, rows[1][1], 2.0)], "doc_id long, text string, toxicity double")
+    labels = spark.createDataFrame([r[::2] for r in rows] + [(None, 1), (3, None), (5, 1), (5, 0), (900, 1)], "doc_id long, toxic int")
+    model = fit_toxicity(docs, labels)
+    assert {w for w in TOXIC_WORDS if model.weights.get(w, 0) > 0.3} == set(TOXIC_WORDS)
+    got = score_toxicity(docs, model)
+    assert got.columns == ["doc_id", "text", "toxicity", "toxicity_"] and got.count() == 202
+    long = spark.createDataFrame([(1, "fine words " * 200_000 + "IDIOT moron"), (2, "fine words " * 200_000), (3, None), (4, "")], "doc_id long, text string")
+    score = {r["doc_id"]: r["toxicity"] for r in score_toxicity(long, model).collect()}
+    assert score[1] > 0.3 > score[2] and score[3] == score[4] < 0.3
+    assert score_toxicity(odd, model).count() == odd.count() and score_toxicity(none, model).count() == 0
+    for some, share in ((labels.limit(0), 0.0), (labels.where("toxic = 0"), 0.0), (labels.where("toxic = 1 and doc_id < 200"), 1.0)):
+        assert {r["toxicity"] for r in score_toxicity(odd, fit_toxicity(docs, some)).collect()} == {share}
+    assert fit_toxicity(none, labels).constant == 0.0
+
+
 # all
 def test_stages_on_odd_and_empty_tables(spark, odd, none):
     import corpus_pipeline
