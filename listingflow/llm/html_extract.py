@@ -8,12 +8,14 @@ order on all its pages, and if it nests with the larger classes already taken.
 valid classes that nearly all pages have are the template, copies of a page counted
 once.  What lies between two template tokens is a slot.
 
-The slots choose the main region: of the template's elements, the one whose slots hold
-most of the text that varies and isn't a link.  Names (``article``, ``main``, classes
-such as ``nav``) only break ties: which of several elements around the same slots is
-meant, and which slots in the region are menus, notices or comments.  Template text is
-left out wherever it stands.  A page without another to compare it with has no template;
-names alone decide there.
+Names (elements, roles and classes such as ``nav``) tell menus, notices, comments and the like.  The slots choose
+the main region: of all the template's elements that hold most of what varies elsewhere and isn't a
+link, named or not, the one with the most of it less the links and the template's text among it; of equals the
+inner one.  If a named one (``article``, ``main``) of them holds half as much or more, it is
+taken instead.  In the region, an element that never holds anything but template text
+is a notice of the site and is left out, unless it is a heading; a line that stands among others that
+vary is the article's, however many pages repeat it.  A page without another to compare it with has no
+template; names alone decide there.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from listingflow.llm.common import staged
 from listingflow.llm.url_filters import host_of
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<[!?][^>]*>""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|["'=]""")
 RAW = {n: re.compile(rf"</{n}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for n in ("script", "style", "textarea", "title", "xmp", "iframe", "noscript", "noembed", "noframes", "template", "svg", "math")}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = set(
@@ -60,10 +62,10 @@ MARKS = set(
 )
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: Parts that may follow such a name without changing what it means.
+FILLERS = set("site page top bottom left right inner outer wrap wrapper container content box block bar area list items item section links link slot unit panel module holder region row col group inline mobile desktop sticky fixed text body title form button buttons posts".split())
 #: Of the pages of a block that have a template's token; of the text that copies share; of the varying text that the main region holds.
 FIXED_SHARE, COPY_SHARE, MAIN_SHARE = 0.9, 0.8, 0.5
-#: Different pages that tell a line which an article repeats from one of its template.
-LEAST_PAGES = 3
 
 
 class Paths:
@@ -89,7 +91,7 @@ class Page:
 
     def __init__(self, html: str, paths: Paths | None = None):
         self.paths = paths or Paths()
-        self.name, self.path, self.dropped, self.link, self.heading, self.main, self.end = [], [], [], [], [], [], []
+        self.name, self.path, self.up, self.dropped, self.link, self.heading, self.main, self.end = [], [], [], [], [], [], [], []
         self.opened: Counter = Counter()
         self.runs: list[list] = []  # text, element, block
         self.tokens: list[tuple] = []
@@ -117,20 +119,14 @@ class Page:
     def _open(self, name: str, attributes: str) -> None:
         up = self.stack[-1] if self.stack else -1
         k = len(self.name)
-        named, role, hidden = [], "", False
-        if attributes and not attributes.isspace():
-            for key, value in ATTRIBUTE.findall(attributes):
-                value = value.strip("\"'")
-                if key.lower() in ("class", "id"):
-                    named += value.split()
-                elif key.lower() == "role":
-                    role = value.lower()
-                else:
-                    hidden |= value.lower() in ("", "true", "hidden")
+        found = {key.lower(): value.strip("\"'") for key, value in reversed(ATTRIBUTE.findall(attributes)) if key} if attributes and not attributes.isspace() else {}
+        named, role = f"{found.get('class', '')} {found.get('id', '')}".split(), found.get("role", "").strip().lower()
+        hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true"
         main = name in ("article", "main") or role in ("main", "article")
         marked = not main and name not in ("html", "body", "#page") and any(self._mark(n) for n in named)
         out = name in DROPPED or role in ROLES or hidden or marked or (main and any(self._mark(n) for n in named))
         self.name.append(name)
+        self.up.append(up)
         self.path.append(self.paths.of(self.path[up] if up >= 0 else -1, ".".join([name, *named]), name, main))
         self.dropped.append(k if out else self.dropped[up] if up >= 0 else -1)
         self.link.append(name == "a" or (up >= 0 and self.link[up]))
@@ -144,7 +140,7 @@ class Page:
     @staticmethod
     def _mark(name: str) -> bool:
         parts = [p.lower() for p in NAME_PART.findall(name)]
-        return bool(parts) and parts[0] not in ("has", "no", "with", "without", "not") and (parts[0] in MARKS or parts[-1] in MARKS)
+        return bool(parts) and parts[0] not in ("has", "no", "with", "without", "not") and (parts[-1] in MARKS or (parts[0] in MARKS and all(p in MARKS or p in FILLERS for p in parts[1:])))
 
     def _pop(self) -> None:
         k = self.stack.pop()
@@ -258,35 +254,47 @@ def _apart(pages: list[Page]) -> list[Page]:
 
 
 class Template:
-    """The template of a block: its elements, its text, and the element whose slots are the main region."""
+    """The template of a block: its elements, its text, the elements that are notices, and the element whose slots are the main region."""
 
     def __init__(self, pages: list[Page]):
         self.apart = _apart(pages)
-        self.elements, self.texts, self.root = set(), set(), None
+        self.elements, self.texts, self.notices, self.root = set(), set(), set(), None
         if len(self.apart) < 2:
             return
         for p, tokens in zip(self.apart, template(self.apart, max(2, math.ceil(FIXED_SHARE * len(self.apart))))):
             for token, _, r in map(p.tokens.__getitem__, tokens):
                 (self.texts if r >= 0 else self.elements).add(token)
-        self.root = self._main()
+        self._weigh()
 
     def fixed(self, page: Page) -> set:
         """The runs of ``page`` that are text of the template."""
         return {r for token, _, r in page.tokens if r >= 0 and token in self.texts}
 
-    def _main(self) -> int | None:
-        """The path of the named element of the template whose slots hold most of the varying text; None if no named one does."""
+    def _weigh(self) -> None:
+        """What each path's slots hold, and what is the template's or a link there, choose the region."""
         paths = self.apart[0].paths
-        held = [0] * len(paths.up)
+        held, other, chrome = ([0] * len(paths.up) for _ in range(3))
         for page in self.apart:
-            for _, (text, k, _) in varying(page, self.fixed(page)):
-                held[page.path[k]] += len(text)
+            fixed = self.fixed(page)
+            inside = {r for r, _ in varying(page, fixed)}
+            for r, (text, k, _) in enumerate(page.runs):
+                if text.isspace():
+                    continue
+                if r not in fixed:
+                    other[page.path[k]] += 1
+                if page.dropped[k] < 0:
+                    (held if r in inside else chrome)[page.path[k]] += len(text)
         for path in range(len(held) - 1, 0, -1):  # a path has a greater number than those it goes on from
-            if paths.up[path] >= 0:
-                held[paths.up[path]] += held[path]
-        named = [p for p in self.elements if paths.main[p] and held[p] > MAIN_SHARE * held[0]]
+            if (up := paths.up[path]) >= 0:
+                held[up] += held[path]
+                other[up] += other[path]
+                chrome[up] += chrome[path] if other[path] else 0  # what only ever holds template text is left out anyway
+        self.notices = {p for p in self.elements if not other[p]}
+        most = [p for p in self.elements if held[p] > MAIN_SHARE * held[0]]
+        best = max(most, key=lambda p: (held[p] - chrome[p], p), default=None)
+        named = [p for p in most if paths.main[p] and held[p] > MAIN_SHARE * held[best]]
         named = [p for p in named if paths.name[p] == "article"] or named
-        return max(named, key=lambda p: (held[p], -p), default=None)
+        self.root = max(named, key=lambda p: (held[p], -p), default=best)
 
 
 def varying(page: Page, fixed: set) -> list:
@@ -310,34 +318,27 @@ def _by_name(page: Page) -> list[int]:
 def extract_block(pages: list[Page]) -> list[str]:
     """The main text of each page of one host's block, whose pages number their paths together."""
     deduced = Template(pages)
-    alone = len(deduced.apart) < 2
     out = []
     for page in pages:
-        fixed = deduced.fixed(page)
-        held = varying(page, fixed)
-        if alone:
+        held = varying(page, deduced.fixed(page))
+        roots = [k for k in range(len(page.name)) if page.path[k] == deduced.root and page.dropped[k] < 0]
+        if not roots:  # nothing to compare with, or a page unlike the others: names, if they hold most of what varies here
             roots = _by_name(page)
-        elif not deduced.elements:
-            out.append("")  # without a template there is no slot
-            continue
-        else:
-            roots = [k for k in range(len(page.name)) if page.path[k] == deduced.root and page.dropped[k] < 0]
-            if not roots:  # several named elements, or a page unlike the others: taken if they hold most of what varies here
-                roots = _by_name(page)
-                inside = sum(len(run[0]) for _, run in held if any(c <= run[1] < page.end[c] for c in roots))
-                roots = roots if inside > MAIN_SHARE * sum(len(run[0]) for _, run in held) else []
-        plain = not roots
-        blocks_held = [b for _, (*_, b) in held]
-        first, end = (min(blocks_held), max(blocks_held)) if plain and held else (0, page.block)
-        if len(deduced.apart) < LEAST_PAGES and not plain:
-            fixed = set()
-        roots = roots or [0]
-        starts = [*roots]
+            inside = sum(len(run[0]) for _, run in held if any(c <= run[1] < page.end[c] for c in roots))
+            roots = roots if len(deduced.apart) < 2 or inside > MAIN_SHARE * sum(len(run[0]) for _, run in held) else []
+        roots = _outermost(page, roots)
+        plain = not any(page.main[k] for k in roots)
+        within = [b for _, (_, k, b) in held if not roots or any(c <= k < page.end[c] for c in roots)]
+        first, end = (min(within), max(within)) if plain and within else (0, page.block)
+        starts = roots = roots or [0]
+        notice = [False] * len(page.name)  # within an element of only template text
+        for k, path in enumerate(page.path):
+            notice[k] = (path in deduced.notices and not page.heading[k]) or (page.up[k] >= 0 and notice[page.up[k]])
         blocks, last = [], None
         for r, (text, k, b) in enumerate(page.runs):
             at = bisect(starts, k) - 1
             root = roots[at] if at >= 0 and k < page.end[roots[at]] else None
-            if root is None or r in fixed or not first <= b <= end or page.dropped[k] > root or (plain and page.dropped[k] >= 0):
+            if root is None or notice[k] or not first <= b <= end or page.dropped[k] > root or (plain and page.dropped[k] >= 0):
                 continue
             if b != last:
                 blocks.append([])
@@ -351,12 +352,11 @@ def extract_block(pages: list[Page]) -> list[str]:
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", block: int = 32, block_chars: int = 16 << 20) -> DataFrame:
     """``id_col``, ``url_col``, ``text`` and ``n_chars`` of every page.
 
-    The text is that of the slots of the block's main region (see the module), less menus,
-    headers, footers, asides, forms, adverts, notices and comments within it, by element, role or
-    name, and less the template's own text.  Where no named element of the template holds most
-    of the varying text, the region reaches from the first to the last varying run of the page.
-    In a region that is named, text is the template's only if ``LEAST_PAGES`` different pages or more
-    are compared.  Only pages without any other, and copies of one page, take their region by names alone.
+    The text is that of the block's main region (see the module), less menus, headers, footers, asides, forms, adverts,
+    notices and comments within it, by element, role or name, and less the elements that hold only the
+    template's own text on all pages, but for headings.  A region that isn't named reaches from its first to its last
+    varying block.  Of equal regions the inner one counts, unless one of them is named.  Two pages are
+    compared like two hundred.  Only pages without any other, and copies of one page, take their region by names alone.
     Character references are decoded; white space within a block is one space; blocks are
     joined by a line feed.
 

@@ -101,17 +101,49 @@ def test_plain_pages_keep_copies_and_split_articles(spark):
         assert got[30 + i] == "One article that stands twice on its host.\nAnd it has a second part."
 
 
-def test_template_decides_on_named_pages(spark, monkeypatch):
-    from listingflow.llm import html_extract
+def whole_sites():
+    """Pages of three hosts: a named article with unnamed notices in it, no names at all, and a named teaser beside an unnamed article."""
+    body = "<p>Body text number %d of this page is long enough.<p>It goes on about %d.%s"
+    sites = {
+        "notices.net": "<div id=x>Site</div><article><h1>T%d</h1><div class=q7>Printed by the site, all rights kept.</div><h2>Summary</h2>" + body + "<div class=q9><p>Ask us <a href=/>here</a>.</div></article>",
+        "bare.net": "<div class=z1>Site <a href=/>Home</a></div><div class=z2><div class=z3><h1>T%d</h1>" + body + "</div></div><div class=z4>All rights kept.</div>",
+        "teasers.net": "<article class=t><p>See.</article><div class=z2><h1>T%d</h1>" + body + "</div><div class=z4>All rights kept.</div>",
+    }
+    return {host: [html % (i, i, i * 7, "<p>More of it." * (i % 3)) for i in range(9)] for host, html in sites.items()}
+
+
+def article_of(host, i):
+    return f"T{i}\n" + "Summary\n" * (host == "notices.net") + f"Body text number {i} of this page is long enough.\nIt goes on about {i * 7}." + "\nMore of it." * (i % 3)
+
+
+def test_slots_choose_region_and_notices_on_whole_sites():
+    from listingflow.llm.html_extract import Page, Paths, extract_block
+
+    for host, pages in whole_sites().items():
+        for n in (2, 3, 9):  # however many there are
+            paths = Paths()
+            assert extract_block([Page(h, paths) for h in pages[:n]]) == [article_of(host, i) for i in range(n)], (host, n)
+        alone = [extract_block([Page(h)])[0] for h in pages]  # by names
+        assert all(x != article_of(host, i) for i, x in enumerate(alone))
+
+
+def test_attributes_are_parsed_by_name_and_value():
+    from listingflow.llm.html_extract import Page, extract_block
+
+    for attributes in ('style="overflow:hidden"', 'title="the hidden truth"', 'data-src="/x/hidden/y"', 'data-role="banner"', 'data-id="menu"', 'class="legal-news"', 'class="share-price"', "x='class=ad'", "aria-hidden=false", 'class="" id', "= class", 'class="story" class="ad"'):
+        assert extract_block([Page(f"<article><h1>T</h1><div {attributes}><p>Body.</div></article>")]) == ["T\nBody."], attributes
+    for attributes in ("hidden", 'hidden=""', "HIDDEN=until-found", "aria-hidden=true", "role=banner", "ID=menu", "class=ad", 'class="x ad-slot"', "class='post-comments'", "class=siteHeader", "class=comment_body"):
+        assert extract_block([Page(f"<article><h1>T</h1><div {attributes}><p>Body.</div></article>")]) == ["T"], attributes
+
+
+def test_ties_of_regions():
     from listingflow.llm.html_extract import Page, Paths, extract_block
 
-    teaser = "<article class=t><p>See also %d.</article>"
-    page = "<body><div id=x>Site</div>%s<main><div><h1>T%d</h1><p>Body text number %d of this page, long enough.<p>Printed by the site, all rights kept.<p>Next %d.</div></main>%s"
-    html = [page % (teaser % (i * 7), i, i, i, teaser % (i * 11) if i % 2 else "") for i in range(8)]
-    block = lambda: extract_block([Page(h, p) for p in [Paths()] for h in html])
-    assert block() == [f"T{i}\nBody text number {i} of this page, long enough.\nNext {i}." for i in range(8)]
-    monkeypatch.setattr(html_extract, "template", lambda pages, least: [set() for _ in pages])
-    assert block() == [""] * 8
+    inner = "<div class=a><div class=b><p>Text number %d.</div></div>"
+    for outer, text in (("%s", "Text number %d."), ("<main>%s</main>", "Text number %d."), ("<div class=o>%s</div><p class=w>%d words</p>", "Text number %d.\n%d words")):
+        paths = Paths()
+        html = outer.replace("%s", inner)
+        assert extract_block([Page(html.replace("%d", str(i)), paths) for i in range(4)]) == [text.replace("%d", str(i)) for i in range(4)]
 
 
 def test_names_decide_where_there_is_nothing_to_compare():
