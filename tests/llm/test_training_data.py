@@ -294,6 +294,18 @@ def test_url_filters(spark):
     assert judge_urls(df.limit(0), table).count() == 0
 
 
+def test_urls_of_a_megabyte(spark):
+    import time
+
+    rules = spark.createDataFrame([("net", "/", "block"), ("example.net", "/en/a", "allow"), ("org", "/a/b/c/", "block")], "host string, path string, verdict string")
+    urls = ["http://example.net/en/a" + "x/" * 500_000, "http://example.net/" + "x" * 1_000_000, "http://y.org/a/b/c/" + "/" * 1_000_000, "http://y.org/a/b/" + "x/d" * 300_000, "http://" + "a." * 400_000 + "net/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string").cache()
+    judge_urls(df.where("page_id = 1"), rules).count()
+    start = time.time()
+    got = {r["page_id"]: r["rule"] for r in judge_urls(df, rules).select("page_id", "judged.rule").collect()}
+    assert got == {0: "example.net/en/a", 1: "net/", 2: "org/a/b/c/", 3: None, 4: "net/"} and time.time() - start < 10
+
+
 # 5
 def test_secret_scan(odd, none, spark):
     base = [
