@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from listingflow import schemas
 from listingflow.functions.ids import id_or_hash, repair_url
-from listingflow.functions.json_repair import records_of
-from listingflow.functions.text import trimmed
-
-FILE, PLACE = "_file", "_place"
+from listingflow.sources.records import FILE, PLACE, read_pieces
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -23,14 +20,23 @@ def read_arrays(spark: SparkSession, path: str, schema: T.StructType = schemas.H
 
     Rows carry their file's name and place in it, which is the order of all that keeps
     the first; fields outside ``schema`` are in ``_extra``.  With ``fail_fast`` a bad file is an error.
-    A file is one text of one task: large inputs are better kept as lines (:func:`read_lines`).
+    A file of any size is read by as many tasks as it has byte ranges; one with a damaged record gives none.
     """
-    files = _files(spark, path).withColumn("a", F.from_json("value", T.ArrayType(T.MapType(T.StringType(), T.StringType()))))
-    bad = files.where(F.col("a").isNull() | (F.size("a") == 0)).select(FILE, F.when(trimmed(F.col("value")) == "", "empty").when(F.col("a").isNull(), "not an array").otherwise("no records").alias("reason"))
+    found, files = read_pieces(spark, path)
+    reason = F.when((F.col("head") == "") & (F.col("n_records") + F.col("n_damaged") == 0), "empty").when((F.col("head") != "[") | F.col("open") | (F.col("n_damaged") > 0), "not an array").when(F.col("n_records") == 0, "no records")
+    bad = files.withColumn("reason", reason).where("reason is not null")
     if fail_fast and (first := bad.first()):
         raise ValueError(f"{first[FILE]}: {first['reason']}")
-    rows = files.where(F.size("a") > 0).select(FILE, F.posexplode("a").alias(PLACE, "m"))
-    return typed(rows, schema), bad
+    return typed(_maps(found.join(bad, FILE, "left_anti")), schema), bad.select(_name().alias(FILE), "reason")
+
+
+def _name() -> Column:
+    return F.substring_index(FILE, "/", -1)
+
+
+def _maps(found: DataFrame) -> DataFrame:
+    """Records as maps ``m`` of text, with their file's name."""
+    return found.where(~F.col("damaged")).select(_name().alias(FILE), F.col(PLACE), F.from_json("text", T.MapType(T.StringType(), T.StringType())).alias("m"))
 
 
 def read_lines(spark: SparkSession, path: str, schema: T.StructType = schemas.HIT) -> tuple[DataFrame, DataFrame]:
@@ -63,15 +69,21 @@ def scan_files(spark: SparkSession, path: str, endings: tuple = (".ts", ".js", "
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType = schemas.DETAIL) -> DataFrame:
-    """Records of arrays, single objects and objects written one after another; ids from URL or file where missing."""
-    rows = _files(spark, path).select(FILE, F.posexplode(records_of("value")).alias(PLACE, "j"))
-    rows = rows.select(FILE, PLACE, F.from_json("j", T.MapType(T.StringType(), T.StringType())).alias("m"))
-    out = typed(rows, schema)
+    """Records of arrays, single objects and objects written one after another; ids from URL or file where missing.
+
+    A damaged record costs no other: it ends at the next line that starts with a bracket.  See :func:`damaged_records`.
+    """
+    out = typed(_maps(read_pieces(spark, path)[0]), schema)
     if "id" in out.columns and "url" in out.columns:
         out = out.withColumn("id", F.coalesce(F.nullif("id", F.lit("")), id_or_hash(F.col("url"), F.col(FILE))))
     return out
 
 
+def damaged_records(spark: SparkSession, path: str) -> DataFrame:
+    """File and text of what :func:`read_records` can't read."""
+    return read_pieces(spark, path)[0].where("damaged").select(_name().alias(FILE), "text")
+
+
 def typed(rows: DataFrame, schema: T.StructType) -> DataFrame:
     """Fields of the map ``m`` by ``schema``; the rest in ``_extra``."""
 
