@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from listingflow.functions.elements import select_each, select_fields
 from listingflow.functions.numbers import card_salary, to_utc_date
 from listingflow.functions.text import first_filled, remote_flag, stack_tags, trimmed
 
@@ -42,79 +43,58 @@ def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit("""(?i)<a\\s[^>]*href="([^"]*)\""""), 1)
 
 
-#: Classes of a card's parts, the first that is there counts.
-CARD_CLASSES = {
-    "title": ("base-search-card__title", "base-main-card__title"),
-    "url": ("base-card__full-link", "base-search-card--link"),
-    "company": ("base-search-card__subtitle", "base-main-card__subtitle"),
-    "location": ("job-search-card__location", "main-job-card__location"),
-    "date": ("job-search-card__listdate", "job-search-card__listdate--new", "main-job-card__listdate"),
-    "salary": ("job-search-card__salary-info", "main-job-card__salary-info"),
+#: Selectors of a card's parts, the first that is there counts.
+CARD_ITEMS, CARD_HOLDS = "li", "[class*=base-search-card],[class*=base-main-card]"
+CARD_TABLE = {
+    "urn": (("[data-entity-urn]",), "data-entity-urn"),
+    "title": ((".base-search-card__title", ".base-main-card__title"), "text"),
+    "url": ((".base-card__full-link", ".base-search-card--link"), "href"),
+    "company": ((".base-search-card__subtitle", ".base-main-card__subtitle"), "text"),
+    "companyUrl": ((".base-search-card__subtitle a", ".base-main-card__subtitle a"), "href"),
+    "location": ((".job-search-card__location", ".main-job-card__location"), "text"),
+    "day": ((".job-search-card__listdate", ".job-search-card__listdate--new", ".main-job-card__listdate"), "datetime"),
+    "salary": ((".job-search-card__salary-info", ".main-job-card__salary-info"), "text"),
+    "late": (("img",), "data-delayed-url"),
+    "now": (("img",), "src"),
 }
-#: Fixed values: (tag, class) of the fields of a detail page, the first that is there counts.
-DETAIL_PLACES = {
-    "title": (("h1", "top-card-layout__title"), ("h1", "topcard__title")),
-    "company": (("a", "topcard__org-name-link"),),
-    "location": (("span", "topcard__flavor--bullet"),),
-    "postedTime": (("span", "posted-time-ago__text"),),
-    "applicants": (("span", "num-applicants__caption"),),
-    "salaryRange": (("div", "compensation__salary"), ("span", "main-job-card__salary-info")),
-    "descriptionText": (("div", "show-more-less-html__markup"),),
+#: Selectors of the fields of a detail page.
+DETAIL_TABLE = {
+    "title": (("h1.top-card-layout__title, h1.topcard__title",), "text"),
+    "company": (("a.topcard__org-name-link",), "text"),
+    "location": (("div[class*=topcard__flavor-row] > span[class*=topcard__flavor--bullet]",), "own"),
+    "postedTime": (("span.posted-time-ago__text",), "text"),
+    "applicants": (("span.num-applicants__caption",), "text"),
+    "salaryRange": (("div.compensation__salary, span.main-job-card__salary-info",), "text"),
+    "descriptionText": (("div.description__text--rich div.show-more-less-html__markup",), "text"),
+    "seniorityLevel": (("h3:contains(Seniority level) ~ span",), "own"),
+    "employmentType": (("h3:contains(Employment type) ~ span",), "own"),
+    "jobFunction": (("h3:contains(Job function) ~ span",), "own"),
+    "industries": (("h3:contains(Industries) ~ span",), "own"),
+    "remoteBox": (("span.tvm__text.tvm__text--low-emphasis strong",), "text"),
 }
-#: Headings of the criteria of a detail page.
-CRITERIA = {"seniorityLevel": "Seniority level", "employmentType": "Employment type", "jobFunction": "Job function", "industries": "Industries"}
 
 
-def _tag(html: Column, tag: str, name: str) -> Column:
-    """The first opening tag with the class ``name``; empty without one."""
-    return F.regexp_extract(html, rf"""(?i)(<{tag}\b[^>]*class=["'][^"']*(?<![\w-]){name}(?![\w-])[^"']*["'][^>]*>)""", 1)
-
-
-def _text(html: Column, tag: str, name: str) -> Column:
-    """The text of the first element with the class ``name``, up to the first end of its tag; null without one."""
-    inner = F.regexp_extract(html, rf"""(?is)<({tag})\b[^>]*class=["'][^"']*(?<![\w-]){name}(?![\w-])[^"']*["'][^>]*>(.*?)</\1\s*>""", 2)
-    there = _tag(html, tag, name) != ""
-    return F.when(there, trimmed(F.regexp_replace(inner, "<[^>]*>", "")))
-
-
-def attribute(tag: Column, name: str) -> Column:
-    """The value of an attribute of an opening tag; empty without one."""
-    return F.regexp_extract(tag, rf"""(?i)(?<![\w-]){name}\s*=\s*["']([^"']*)["']""", 1)
+def card_records(html: Column, stacks: list[str], now: Column) -> Column:
+    """An array of records of 18 fields, one for each list item of a search page that holds a card; none for a null page.
 
+    The page is read once, nested and broken markup as it stands; parts that aren't there are empty.
+    """
 
-def card_records(html: Column, stacks: list[str], now: Column) -> Column:
-    """An array of records of 18 fields, one for each list item of a search page that holds a card."""
-    any_tag = "[a-zA-Z][a-zA-Z0-9]*"
-
-    def first(card: Column, field: str, take) -> Column:
-        return F.coalesce(*[take(card, n) for n in CARD_CLASSES[field]], F.lit(""))
-
-    def record(card: Column) -> Column:
-        text = lambda f: first(card, f, lambda c, n: _text(c, any_tag, n))
-        mark = lambda f: first(card, f, lambda c, n: F.nullif(_tag(c, any_tag, n), F.lit("")))
-        title, place = text("title"), text("location")
-        url = F.regexp_replace(attribute(mark("url"), "href"), r"(?i)^(?:https?://(?:www\.)?linkedin\.com){1,2}(https?://)", "$1")
-        company = F.regexp_extract(card, r"""(?is)class=["'][^"']*(?:base-search-card__subtitle|base-main-card__subtitle)[^"']*["'][^>]*>\s*(<a\b[^>]*>)""", 1)
-        image = F.regexp_extract(card, r"(?i)(<img\b[^>]*>)", 1)
-        pay = card_salary(text("salary"))
+    def record(c: Column) -> Column:
+        url = F.regexp_replace(c["url"], r"(?i)^(?:https?://(?:www\.)?linkedin\.com){1,2}(https?://)", "$1")
+        pay = card_salary(c["salary"])
         fields = {
-            "id": F.regexp_extract(F.substring_index(attribute(F.regexp_extract(card, r"(?i)(<[^>]*data-entity-urn[^>]*>)", 1), "data-entity-urn"), ":", -1), r"(\d+)", 1),
-            "city": place, "url": url, "companyUrl": attribute(company, "href"), "img": first_filled(attribute(image, "data-delayed-url"), attribute(image, "src"), F.lit("")),
-            "date": to_utc_date(F.lit(None).cast("string"), now), "postedDate": to_utc_date(attribute(mark("date"), "datetime"), now), "title": title, "company": text("company"),
-            "location": place, "salaryCurrency": pay["currency"], "salaryMax": pay["max"], "salaryMin": pay["min"], "countryCode": F.lit(""), "countryText": F.lit(""),
-            "descriptionHtml": F.lit(""), "remoteOk": remote_flag(title), "stackRequired": stack_tags(title, url, stacks),
+            "id": F.regexp_extract(F.substring_index(c["urn"], ":", -1), r"(\d+)", 1),
+            "city": c["location"], "url": url, "companyUrl": c["companyUrl"], "img": F.coalesce(F.nullif(c["late"], F.lit("")), c["now"]),
+            "date": to_utc_date(F.lit(None).cast("string"), now), "postedDate": to_utc_date(c["day"], now), "title": c["title"], "company": c["company"],
+            "location": c["location"], "salaryCurrency": pay["currency"], "salaryMax": pay["max"], "salaryMin": pay["min"], "countryCode": F.lit(""), "countryText": F.lit(""),
+            "descriptionHtml": F.lit(""), "remoteOk": remote_flag(c["title"]), "stackRequired": stack_tags(c["title"], url, stacks),
         }
-        return F.struct(*[F.coalesce(c, F.lit("")).alias(n) if n in ("url", "companyUrl", "img", "id") else c.alias(n) for n, c in fields.items()])
+        return F.struct(*[x.alias(n) for n, x in fields.items()])
 
-    cards = F.filter(F.split(html, r"(?i)(?=<li[\s>])"), lambda c: c.rlike("base-search-card|base-main-card"))
-    return F.transform(cards, record)
+    return F.transform(select_each(html, CARD_ITEMS, CARD_HOLDS, CARD_TABLE), record)
 
 
 def detail_record(html: Column) -> Column:
-    """A struct of the fields of a detail page; those that aren't there, and all of a missing page, are empty."""
-    parts = [F.coalesce(*[_text(html, t, n) for t, n in places], F.lit("")).alias(f) for f, places in DETAIL_PLACES.items()]
-    for field, label in CRITERIA.items():
-        found = F.regexp_extract(html, rf"(?is)<h3\b[^>]*>[^<]*{label}[^<]*</h3>\s*<span\b[^>]*>([^<]*)", 1)
-        parts.append(F.coalesce(trimmed(found), F.lit("")).alias(field))
-    remote = F.regexp_extract(html, r"""(?is)<span\b[^>]*class=["'][^"']*tvm__text--low-emphasis[^"']*["'][^>]*>\s*<strong>(.*?)</strong>""", 1)
-    return F.struct(*parts, F.coalesce(trimmed(F.regexp_replace(remote, "<[^>]*>", "")), F.lit("")).alias("remoteBox"))
+    """A struct of the twelve fields of a detail page, from one pass; those that aren't there, and all of a null page, are empty."""
+    return select_fields(html, DETAIL_TABLE)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from listingflow.functions import guards, html, ids, numbers, security, templates, text, validation
 from listingflow.functions.json_repair import records_of, repair_json
@@ -12,6 +15,8 @@ from listingflow.operators import normalize as norm
 from listingflow.plans import pipelines, views
 from listingflow.plans.scoring import keyword_scorer
 from listingflow.plans.views import table
+from listingflow.shared import shared_dir
+from listingflow.sources import readers
 from listingflow.streaming.machines import Breaker, RateLimiter
 from listingflow.streaming.replay import replay
 
@@ -520,6 +525,36 @@ def detail_records(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.detail_record(page).alias("d")).select("page_id", "d.*")
 
 
+@query(
+    "SELECT page_id, url AS title, '' AS company, 'Text of ' || url || 'and number ' || page_id || CASE WHEN page_id % 2 = 0 THEN 'Listed' ELSE '' END || 'Last part.' AS descriptionText, "
+    "CASE page_id % 3 WHEN 0 THEN 'Senior' ELSE '' END AS seniorityLevel, 'Full-time' AS employmentType FROM pages"
+)
+def nested_details(spark, sf_dir):
+    """Descriptions of blocks within blocks, broken markup around them, and headings in lists."""
+    k = F.col("page_id").cast("string")
+    page = F.concat(
+        F.lit("<html><body><script>var d = '<div class=description__text--rich>';</script><h1 class='topcard__title x'><span>"), "url", F.lit("</span></h1><p>Open<ul><li><h3>Seniority level</h3>"),
+        F.when(F.col("page_id") % 3 == 0, "<span>Senior</span>").otherwise(""), F.lit("<li><h3>Employment type</h3><span> Full-time <b>now</b></span></ul><div class='x description__text--rich'><section class='show-more-less-html'><div class='show-more-less-html__markup y'><div><div>Text of "),
+        "url", F.lit("</div><p>and number "), k, F.lit("</div>"), F.when(F.col("page_id") % 2 == 0, "<ul><li>List<li>ed</ul>").otherwise("</b>"), F.lit("<div>Last <i>part.</div></div></section><div class='show-more-less-html__markup'>Not this</div></div></body>"),
+    )
+    d = table(spark, sf_dir, "pages").select("page_id", html.detail_record(page).alias("d"))
+    return d.select("page_id", "d.title", "d.company", "d.descriptionText", "d.seniorityLevel", "d.employmentType")
+
+
+@query("SELECT event_id AS id, user_id, event_type AS type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, 'a \"}{[' || event_type AS odd FROM events WHERE event_id % 11 <> 0 UNION ALL SELECT event_id + 1000000000, user_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT), 'a \"}{[' || event_type FROM events WHERE event_id % 11 <> 0")
+def record_files(spark, sf_dir):
+    """Events written as files of objects one after another, some of them damaged, and as arrays of one line; both read back by byte range."""
+    folder = f"{shared_dir(spark)}/record-files-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "events")
+    record = lambda shift: F.to_json(F.struct((F.col("event_id") + shift).alias("id"), "user_id", F.col("event_type").alias("type"), F.from_json("props", "k long").alias("p"), F.concat(F.lit('a "}{['), "event_type").alias("odd")), {"pretty": "true"})
+    good = F.col("event_id") % 11 != 0
+    e.select(F.when(good, record(0)).otherwise(F.concat(F.lit('{"id": "'), "event_type"))).write.text(f"{folder}/objects")
+    arrays = e.where(good).groupBy(F.floor(F.col("event_id") / 1000)).agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.regexp_replace(record(1_000_000_000), r"\n *", "")), ","), F.lit("]")).alias("value"))
+    arrays.select("value").write.text(f"{folder}/arrays")
+    kind = T.StructType([T.StructField("id", T.LongType()), T.StructField("user_id", T.LongType()), T.StructField("type", T.StringType()), T.StructField("p", T.StructType([T.StructField("k", T.LongType())])), T.StructField("odd", T.StringType())])
+    return readers.read_records(spark, f"{folder}/*", kind).select("id", "user_id", "type", F.col("p.k").alias("k"), "odd")
+
+
 @query("SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') || 'T00:00:00.000Z' AS at FROM orders")
 def utc_dates(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", numbers.to_utc_date(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("2024-01-01").cast("timestamp")).alias("at"))
