@@ -185,19 +185,28 @@ def levenshtein(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("least", [0.65, 0.74, 0.85])
+@pytest.mark.parametrize("least", [0.25, 0.6, 0.75, 0.9, 1.0])
 def test_all_similar_values_are_found(spark, least):
     rnd = random.Random(3)
-    words = {"".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 12))) for _ in range(150)}
+    words = {"".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 12))) for _ in range(120)}
+    for n in (30, 60, 200):  # long ones with edits spread over them
+        base = [rnd.choice("abcdefgh") for _ in range(n)]
+        for share in (0.05, 0.1, 0.2, 0.35, 0.6):
+            other = base[:]
+            for _ in range(int(share * n)):
+                at = rnd.randrange(len(other))
+                other[at : at + rnd.randrange(2)] = rnd.choice(["", "x", "yz"])
+            words.add("".join(other))
     want = {(a, b) for a in words for b in words if 1 - levenshtein(a, b) / max(len(a), len(b)) >= least - 1e-9}
     got = similarity.similar_values(spark.createDataFrame([(w,) for w in [*words, *words, "", None]], "value string"), least)
     assert Counter((r["a"], r["b"]) for r in got.collect()) == Counter(want)
 
 
-def test_all_similar_listings_are_found(spark):
+@pytest.mark.parametrize("least", [0.3, 0.6, 0.75, 0.88])
+def test_all_similar_listings_are_found(spark, least):
     rnd = random.Random(4)
     pick = lambda xs: rnd.choice(xs)
-    rows = [(i, pick(["red hat", "red hats", "rad hat", "blue hat", "cook"]), pick(["Acme", "Acne", "Brand#1", "Brand#12", "Bo"]), pick(["Rome", "Oslo", None]), pick(["u", "v"])) for i in range(120)]
+    rows = [(i, pick(["red hat", "red hats", "rad hat", "blue hat", "cook", "", None]), pick(["Acme", "Acne", "Brand#1", "Brand#12", "Bo", None]), pick(["Rome", "Oslo", "Romeo", None]), pick(["u", "v", None])) for i in range(120)]
     df = spark.createDataFrame(rows, "k int, title string, company string, location string, url string")
     sim = lambda a, b: 1 - levenshtein(a, b) / max(len(a), len(b)) if a and b else 0.0
     first = {}
@@ -206,12 +215,13 @@ def test_all_similar_listings_are_found(spark):
     want = set()
     for a, i in first.items():
         for b, j in first.items():
-            s = 0.4 * sim(a[0], b[0]) + 0.3 * sim(a[1], b[1]) + 0.2 * sim(a[2], b[2]) + 0.1 * (a[3] == b[3])
-            if i < j and int(s * 100 + 0.5) / 100 >= 0.88:
+            s = 0.4 * sim(a[0], b[0]) + 0.3 * sim(a[1], b[1]) + 0.2 * sim(a[2], b[2]) + 0.1 * (a[3] is not None and a[3] == b[3])
+            if i < j and int(s * 100 + 0.5) / 100 >= least:
                 want.add((i, j))
-    assert {(r["left_key"], r["right_key"]) for r in similarity.similar_pairs(df, "k", least=0.88).collect()} == want
-    with pytest.raises(ValueError):
-        similarity.similar_values(spark.createDataFrame([("x" * 40,)], "value string"), 0.3)
+    assert {(r["left_key"], r["right_key"]) for r in similarity.similar_pairs(df, "k", least=least).collect()} == want
+    for call in (lambda: similarity.similar_values(df.select(F.col("title").alias("value")), 0), lambda: similarity.similar_pairs(df, "k", least=0.1)):
+        with pytest.raises(ValueError):
+            call()
 
 
 def test_stats(spark):
