@@ -51,6 +51,11 @@ def excluded(company: Column, title: Column, company_terms: list[str], title_ter
 
 
 def exclude(df: DataFrame, company_terms: list[str], title_terms: list[str], company: str = "company", title: str = "title") -> DataFrame:
+    """Rows whose company and title hold none of their terms; lists of any length."""
+    from listingflow.operators import terms as lists
+
+    if max(len(company_terms), len(title_terms)) > lists.FEW:
+        return lists.without_terms(df, {company: list(company_terms), title: list(title_terms)})
     return df.where(~excluded(F.col(company), F.col(title), company_terms, title_terms))
 
 
@@ -77,11 +82,15 @@ def audit_log(df: DataFrame, kind: str | None = None, level: str | None = None)
 
 
 def select_terms(df: DataFrame, in_company=(), in_title=(), out_company=(), out_title=(), company: str = "company", title: str = "title") -> DataFrame:
-    """Exclusions first, then inclusions; an empty list of inclusions passes all."""
+    """Exclusions first, then inclusions; an empty list of inclusions passes all.  Lists may be of any length."""
+    from listingflow.operators import terms as lists
+
     low = lambda xs: [x.lower() for x in xs]
     kept = exclude(df, low(out_company), low(out_title), company, title)
     for c, wanted in ((company, low(in_company)), (title, low(in_title))):
-        if wanted:
+        if len(wanted) > lists.FEW:
+            kept = lists.with_terms(kept, {c: wanted})
+        elif wanted:
             kept = kept.where(contains_any(F.lower(F.coalesce(F.col(c), F.lit(""))), wanted))
     return kept
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from listingflow.functions import guards, html, ids, numbers, security, templates, text, validation
 from listingflow.functions.json_repair import records_of, repair_json
-from listingflow.operators import batching, dedup, filters, order, registry, report, similarity, stats, verdicts
+from listingflow.operators import batching, dedup, filters, order, registry, report, similarity, stats, terms, verdicts
 from listingflow.operators import normalize as norm
 from listingflow.plans import pipelines, views
 from listingflow.plans.scoring import keyword_scorer
@@ -104,6 +104,17 @@ def matching_terms(spark, sf_dir):
     return views.parts(spark, sf_dir).select("ord", filters.matching_term(F.col("title"), ["red", "a"]).alias("term"))
 
 
+@query(
+    "WITH w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]{5,}'))) AS w FROM benchmark), t AS (SELECT w, row_number() OVER (ORDER BY length(w) DESC, w) AS place FROM w), "
+    "f AS (SELECT doc_id, arg_min(w, place) AS term FROM documents JOIN t ON contains(lower(text), w) GROUP BY doc_id) SELECT doc_id, term FROM documents LEFT JOIN f USING (doc_id)"
+)
+def listed_terms(spark, sf_dir):
+    """The longest word of the benchmark, of five ASCII letters or more, that each document contains."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{5,})"))).alias("w")).select(F.lower("w").alias("term")).distinct()
+    listed = order.numbered(words.withColumn("shorter", -F.length("term")), "shorter", "term", name="place")
+    return terms.first_term(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", listed).select("doc_id", "term")
+
+
 @query("SELECT page_id, url FROM pages WHERE length(url) > 0 AND length(html) > 0")
 def required_fields(spark, sf_dir):
     return filters.filled(table(spark, sf_dir, "pages"), "url", "html").select("page_id", "url")
