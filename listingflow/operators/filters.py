@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from listingflow.functions.text import contains_any
+from listingflow.shared import staged
 
 #: Terms used where no list is given.
 COMPANY_TERMS = ["jobs via dice", "lensa", "jobot", "talentify.io", "piper companies", "talent", "motion recruitment", "braintrust", "recruit", "teksystems", "robert half", "zachary piper"]
@@ -60,12 +61,19 @@ def exclude(df: DataFrame, company_terms: list[str], title_terms: list[str], com
 
 
 def filter_passes(df: DataFrame, company_terms: Iterable[str] = COMPANY_TERMS, title_terms: Iterable[str] = TITLE_TERMS, company: str = "company", title: str = "title") -> tuple[DataFrame, DataFrame]:
-    """Rows that pass the companies' terms and then the titles', and one row of counts: ``total``, ``by_company``, ``by_title`` and ``kept``."""
+    """Rows that pass the companies' terms and then the titles', and one row of counts: ``total``, ``by_company``, ``by_title`` and ``kept``.
+
+    The counts are taken in passing while the rows are written, in one scan; of an empty table they are zeros.
+    """
     low = lambda xs: [x.lower() for x in xs]
     out_c = excluded(F.col(company), F.lit(None).cast("string"), low(company_terms), [])
     out_t = excluded(F.lit(None).cast("string"), F.col(title), [], low(title_terms))
-    counts = df.agg(F.count("*").alias("total"), F.count_if(out_c).alias("by_company"), F.count_if(~out_c & out_t).alias("by_title"), F.count_if(~out_c & ~out_t).alias("kept"))
-    return df.where(~out_c & ~out_t), counts
+    flags = {"by_company": out_c, "by_title": ~out_c & out_t, "kept": ~out_c & ~out_t}
+    seen = Observation()
+    counted = df.observe(seen, F.count("*").alias("total"), *[F.count_if(c).alias(n) for n, c in flags.items()])
+    kept = staged(counted.where(flags["kept"]), "filter-passes")
+    counts = df.sparkSession.createDataFrame([tuple(seen.get.get(c) or 0 for c in ("total", *flags))], "total long, by_company long, by_title long, kept long")
+    return kept, counts
 
 
 def has_details(df: DataFrame, description: str = "descriptionText") -> DataFrame:

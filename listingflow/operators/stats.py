@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from listingflow.functions.numbers import half_up
 from listingflow.functions.text import error_category
+from listingflow.operators.order import with_halos
 
 #: Counters that are kept.
 COUNTERS = (
@@ -32,6 +33,34 @@ def timers(log: DataFrame) -> DataFrame:
     return log.where("kind = 'timer'").rollup("name").agg(F.sum("value").alias("total"), F.count("*").alias("n"))
 
 
+def pair_timers(log: DataFrame, within: str = "1 hour") -> DataFrame:
+    """``id``, ``name``, ``started``, ``ended`` and ``duration`` (milliseconds) of every timer that was started.
+
+    ``log`` has ``ts``, ``kind`` (``timer_start``, ``timer_end``), ``id`` and ``name``, as a table or a stream.  The first start and the first end of an id
+    count.  A start without an end ``within`` that time has null ``ended`` and ``duration``; ends without a
+    start, and events with a null id or time, are left out.  A stream keeps what is open for that long and gives unpaired starts once
+    its watermark has passed them.
+    """
+    rows = log.where("id is not null and ts is not null")
+
+    def firsts(kind: str, *more: str) -> DataFrame:
+        own = rows.where(F.col("kind") == kind).select("id", "ts", *more)
+        if own.isStreaming:
+            return own.withWatermark("ts", within).dropDuplicatesWithinWatermark(["id"])
+        return own.groupBy("id").agg(F.min("ts").alias("ts"), *[F.min_by(c, "ts").alias(c) for c in more])
+
+    s = firsts("timer_start", "name").select("id", "name", F.col("ts").alias("started"))
+    e = firsts("timer_end").select(F.col("id").alias("_id"), F.col("ts").alias("ended"))
+    span = F.expr(f"INTERVAL {within}")
+    both = s.join(e, (F.col("id") == F.col("_id")) & (F.col("ended") >= F.col("started")) & (F.col("ended") <= F.col("started") + span), "left").drop("_id")
+    return both.withColumn("duration", (F.unix_micros("ended") - F.unix_micros("started")) / 1000)
+
+
+def timer_totals(paired: DataFrame) -> DataFrame:
+    """Milliseconds, ended and open timers by operation and, with a null name, in all."""
+    return paired.rollup("name").agg(F.coalesce(F.sum("duration"), F.lit(0.0)).alias("total"), F.count("duration").alias("n"), F.count_if(F.col("duration").isNull()).alias("open"))
+
+
 def gauges(log: DataFrame) -> DataFrame:
     """The peak, the last, the first and the mean value of each gauge, and how much it grew."""
     first, last = F.min_by("value", "ts"), F.max_by("value", "ts")
@@ -85,9 +114,14 @@ def provider_health(calls: DataFrame) -> DataFrame:
 
 
 def rolling(df: DataFrame, keys: list[str], order: str, value: str, n: int = 100) -> DataFrame:
-    """``df`` with the peak and the mean of the last ``n`` values of its key."""
-    last = Window.partitionBy(*keys).orderBy(order).rowsBetween(1 - n, 0)
-    return df.withColumn("rolling_peak", F.max(value).over(last)).withColumn("rolling_mean", F.avg(value).over(last))
+    """``df`` with the peak and the mean of the last ``n`` values of its key.
+
+    Rows are dealt into tiles of keys and order, each with the ``n`` - 1 rows ahead of it, so that a hot key runs on all
+    cores.  ``order`` should be total; nulls are one key.
+    """
+    tiles = with_halos(df, keys, order, n - 1)
+    last = Window.partitionBy("_range", *keys).orderBy(order).rowsBetween(1 - n, 0)
+    return tiles.withColumn("rolling_peak", F.max(value).over(last)).withColumn("rolling_mean", F.avg(value).over(last)).where(~F.col("_halo")).drop("_range", "_halo")
 
 
 def last_per_key(df: DataFrame, keys: list[str], order: str, n: int = 5) -> DataFrame:

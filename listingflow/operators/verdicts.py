@@ -33,7 +33,8 @@ def last_verdicts(verdicts: DataFrame, key: str, order: Column) -> DataFrame:
 
 def join_verdicts(df: DataFrame, verdicts: DataFrame, key: str, order: Column) -> DataFrame:
     """Rows whose last verdict is favourable, with its confidence."""
-    last = last_verdicts(verdicts, key, order).where("isVeryHighlyAligned").select(key, "confidence")
+    # written, so that the join has plain exchanges, which can be split at a hot key
+    last = staged(last_verdicts(verdicts, key, order).where("isVeryHighlyAligned").select(key, "confidence"), "last-verdicts")
     return df.drop("confidence").join(last, key)
 
 
@@ -62,24 +63,25 @@ def evaluated(df: DataFrame, verdict: Column, timestamp: str, mode: int = 1, ret
     )
 
 
-def routes(df: DataFrame, registry: DataFrame, order: Column, verdict: Column, description: str = "descriptionText") -> DataFrame:
-    """``df`` with ``route``: dupe, no_description, pass or fail.
+def before_judging(df: DataFrame, registry: DataFrame, order: Column, description: str = "descriptionText") -> DataFrame:
+    """``df`` with ``route``: dupe, no_description, or null for what is to be judged.
 
     A listing is a dupe if the registry has it, or if an earlier one of this run, which
     is then in the registry, has its normalised company and title.
     """
-    seen = flag_seen(df, registry, "_seen").withColumn("_c", normalize_string(F.col("company"))).withColumn("_t", normalize_string(F.col("title"))).withColumn("_o", order)
+    seen = flag_seen(df, registry, "_seen", keep_keys=True).withColumn("_o", order)
     firsts = staged(seen.where(~F.col("_seen")).groupBy("_c", "_t").agg(F.min("_o").alias("_first")), "judge-firsts")
     joined = seen.join(firsts.withColumnsRenamed({"_c": "_fc", "_t": "_ft"}), F.col("_c").eqNullSafe(F.col("_fc")) & F.col("_t").eqNullSafe(F.col("_ft")), "left")
-    route = (
-        F.when(F.col("_seen") | (F.col("_o") != F.col("_first")), "dupe")
-        .when(F.coalesce(F.length(F.col(description)), F.lit(0)) == 0, "no_description")
-        .when(verdict["isVeryHighlyAligned"], "pass")
-        .otherwise("fail")
-    )
+    route = F.when(F.col("_seen") | (F.col("_o") != F.col("_first")), "dupe").when(F.coalesce(F.length(F.col(description)), F.lit(0)) == 0, "no_description")
     return joined.withColumn("route", route).drop("_seen", "_c", "_t", "_o", "_first", "_fc", "_ft")
 
 
+def routes(df: DataFrame, registry: DataFrame, order: Column, verdict: Column, description: str = "descriptionText") -> DataFrame:
+    """``df``, whose rows all have a verdict, with ``route``: dupe, no_description, pass or fail; see :func:`before_judging`."""
+    route = F.coalesce("route", F.when(verdict["isVeryHighlyAligned"], "pass").otherwise("fail"))
+    return before_judging(df, registry, order, description).withColumn("route", route)
+
+
 def judge_totals(routed: DataFrame) -> DataFrame:
     """Counts by route of one run and the rounded share that passed of those judged; with ``evaluationResult``, also parse failures and fallbacks."""
     n = lambda r: F.count_if(F.col("route") == r)

@@ -355,9 +355,18 @@ def truncate_tokens(spark, sf_dir):
 def retry_schedule(spark, sf_dir):
     """A delay for each failed call of a user, by how many failed before."""
     failed = views.calls(spark, sf_dir).where("not ok").withColumn("o", F.struct("ts", "event_id"))
-    tried = failed.groupBy("user_id").agg(F.array_sort(F.collect_list("o")).alias("all")).select(F.posexplode("all").alias("k", "o"))
     k = F.col("k")
-    return tried.select("o.event_id", numbers.backoff(k).alias("delay"), numbers.is_retryable(400 + 7 * k).alias("retryable"))
+    tried = order.numbered_within(failed.select("user_id", "event_id", "o"), ["user_id"], "o", "k")
+    return tried.select("event_id", numbers.backoff(k).alias("delay"), numbers.is_retryable(400 + 7 * k).alias("retryable"))
+
+
+_TIMERS_SQL = "t AS (SELECT 'x.' || event_type AS name, CASE WHEN event_id % 10 = 0 OR value > 3600 THEN NULL ELSE floor(value * 1000) END AS ms FROM events)"
+
+
+@query(f"WITH {_TIMERS_SQL} SELECT name, coalesce(sum(ms), 0)::DOUBLE AS total, count(ms) AS n, count(*) - count(ms) AS open FROM t GROUP BY ROLLUP (name)")
+def paired_timers(spark, sf_dir):
+    """A timer for each event that ends after as many seconds as its value; every tenth never ends."""
+    return stats.timer_totals(stats.pair_timers(views.timer_log(spark, sf_dir)))
 
 
 @query("SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS low, CAST(floor(o_totalprice) AS BIGINT) + 10 AS high FROM orders")

@@ -10,8 +10,9 @@ from listingflow.functions.text import pair_key
 from listingflow.operators.dedup import greedy_two_key
 from listingflow.operators.filters import excluded, filled
 from listingflow.operators.registry import expire, unseen
-from listingflow.operators.verdicts import distinct_titles, join_verdicts, routes
+from listingflow.operators.verdicts import before_judging, distinct_titles, join_verdicts
 from listingflow.plans.scoring import Scorer
+from listingflow.shared import staged
 
 
 def refine(df: DataFrame, order: str, company_terms: list[str], title_terms: list[str], registry: DataFrame | None = None, now: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -48,8 +49,15 @@ def prefilter(df: DataFrame, scorer: Scorer, order: Column) -> DataFrame:
 
 
 def judge(df: DataFrame, registry: DataFrame, scorer: Scorer, order: Column, now: int) -> DataFrame:
-    """All listings with ``route`` and ``verdict``; what is not a dupe goes to the registry next."""
-    return routes(scorer(df), expire(registry, now), order, F.col("verdict"))
+    """All listings with ``route`` and ``verdict``; what is not a dupe goes to the registry next.
+
+    Only what is neither a dupe nor without a description is scored; the others' verdict is null.
+    """
+    routed = staged(before_judging(df, expire(registry, now), order), "judge-routed")
+    scored = scorer(routed.where("route is null").drop("route"))
+    judged = scored.withColumn("route", F.when(F.col("verdict.isVeryHighlyAligned"), "pass").otherwise("fail"))
+    others = routed.where("route is not null").withColumn("verdict", F.lit(None).cast(scored.schema["verdict"].dataType))
+    return judged.unionByName(others)
 
 
 def materials(passed: DataFrame, template: str, values: dict[str, Column], answer: Scorer) -> DataFrame:

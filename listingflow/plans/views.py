@@ -78,3 +78,11 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "purchase", "timer").when(F.col("event_type") == "view", "gauge").otherwise("counter")
     name = F.when(F.col("event_type") == "error", "operations.failed").when(F.col("event_type") == "click", "operations.successful").otherwise(F.concat(F.lit("x."), "event_type"))
     return e.select("event_id", "ts", kind.alias("kind"), name.alias("name"), "value")
+
+
+def timer_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts and ends of a timer for each event."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), F.concat(F.lit("x."), "event_type").alias("name"), "ts", F.floor(F.col("value") * 1000).cast("long").alias("ms"), "event_id")
+    end = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.col("ms") * 1000)
+    starts = e.select(F.col("ts").cast("timestamp").alias("ts"), F.lit("timer_start").alias("kind"), "id", "name")
+    return starts.union(e.where("event_id % 10 != 0").select(end.alias("ts"), F.lit("timer_end").alias("kind"), "id", "name"))

@@ -60,12 +60,10 @@ def scan_files(spark: SparkSession, path: str, endings: tuple = (".ts", ".js", "
     """``path`` and ``found`` of the files below ``path`` that seem to hold keys."""
     from listingflow.functions.security import SKIPPED_FOLDERS, keys_in
 
-    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), keys_in(F.col("value")).alias("found"))
-    wanted = F.lit(False)
-    for e in endings:
-        wanted = wanted | F.col("path").endswith(e)
+    wanted = "*{" + ",".join(endings) + "}"  # other files aren't opened
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", wanted).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), keys_in(F.col("value")).alias("found"))
     skipped = F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED_FOLDERS)))
-    return files.where(wanted & ~skipped & (F.size("found") > 0))
+    return files.where(~skipped & (F.size("found") > 0))
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType = schemas.DETAIL) -> DataFrame:
@@ -98,9 +96,16 @@ def typed(rows: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """Valid entries of a registry in JSON; none if it isn't there."""
+    """Valid entries of a registry: its last version, the last complete snapshot of :func:`write_registry`, or JSON; none if it isn't there."""
     from listingflow.operators.registry import is_entry
-
+    from listingflow.sources.versions import read_version, versions
+
+    if versions(spark, path):
+        return read_version(spark, path).where(is_entry())
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    done = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS"))
+    if done:
+        return spark.read.schema(schemas.REGISTRY).parquet(max(s.getPath().getParent().toString() for s in done)).where(is_entry())
     try:
         return spark.read.schema(schemas.REGISTRY).json(path, multiLine=True).where(is_entry())
     except Exception as e:
@@ -114,8 +119,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_descriptions(df: DataFrame, spark: SparkSession, path: str) -> DataFrame:
-    """``df`` with the text of its side file ``..._<id>.txt`` where there is one."""
-    texts = _files(spark, path).select(F.regexp_extract(FILE, r"_([A-Za-z0-9-]+)\.txt$", 1).alias("_id_of_file"), F.col("value").alias("_text"))
+    """``df`` with the text of its side file ``..._<id>.txt`` where there is one; of several the first by name."""
+    texts = _files(spark, path).groupBy(F.regexp_extract(FILE, r"_([A-Za-z0-9-]+)\.txt$", 1).alias("_id_of_file")).agg(F.min_by("value", FILE).alias("_text"))
     joined = df.join(texts, F.col("id") == F.col("_id_of_file"), "left")
     return joined.withColumn("descriptionText", F.coalesce("_text", "descriptionText")).drop("_id_of_file", "_text")
 
