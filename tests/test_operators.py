@@ -69,11 +69,26 @@ def test_guards_and_retries(spark):
         retrying(call, 2, base_ms=1)(7)
 
 
-def test_greedy_equals_the_scan(spark):
+@pytest.mark.parametrize("options", [{}, {"plain": 0}, {"plain": 1, "rounds": 2}, {"rounds": 0}])
+def test_greedy_equals_the_scan(spark, options):
     rnd = random.Random(1)
-    rows = [(i, str(rnd.randrange(150)), str(rnd.randrange(150))) for i in range(600)]
-    got = dedup.greedy_two_key(spark.createDataFrame(rows, "o long, a string, b string"), "a", "b", "o")
-    assert sorted(r["o"] for r in got.collect()) == greedy(rows)
+    rows = [(i, str(rnd.randrange(150)), str(rnd.randrange(150))) for i in range(400)]  # one thick component
+    rows += [(1000 + i, f"c{(i + 1) // 2}", f"c{i // 2}") for i in range(90)]  # a chain
+    rows += [(2000 + i, f"d{rnd.randrange(300)}", f"d{rnd.randrange(300)}") for i in range(250)]  # many thin ones
+    rows += [(3000 + i, None if i % 3 else "n", rnd.choice([None, "m", "hot"])) for i in range(60)]
+    rows += [(4000 + i, "e", "e") for i in range(5)]
+    rnd.shuffle(rows)
+    got = dedup.greedy_two_key(spark.createDataFrame(rows, "o long, a string, b string"), "a", "b", "o", **options)
+    assert sorted(r["o"] for r in got.collect()) == greedy(sorted(rows))
+
+
+def test_a_long_chain_is_one_round(spark, monkeypatch):
+    n, rounds = 20_000, []
+    followed = dedup._followed
+    monkeypatch.setattr(dedup, "_followed", lambda live: rounds.append(1) or followed(live))
+    rows = spark.range(n).select(F.col("id").alias("o"), F.floor((F.col("id") + 1) / 2).alias("a"), F.floor(F.col("id") / 2).alias("b"))
+    got = dedup.greedy_two_key(rows, "a", "b", "o", plain=0)
+    assert got.where("o % 2 = 1").count() == 0 and got.count() == n // 2 and len(rounds) == 1
 
 
 def test_filters_commute_with_the_scan(spark):
