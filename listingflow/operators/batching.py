@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -52,21 +54,47 @@ def all_or_error(rows: DataFrame, error: str = "error") -> DataFrame:
     return done.drop(error)
 
 
-def each_row(df: DataFrame, call: Callable[[dict], dict], schema: str, calls: int = 8) -> DataFrame:
-    """``call`` of every row in ``calls`` tasks at once; a failure gives a row with its ``error`` and nulls.
+def in_flight(call: Callable, items: Iterable, n: int) -> Iterator:
+    """``call`` of each item, ``n`` at a time, in the order of the items; no more than ``n`` are taken ahead.
 
-    ``schema``: of what ``call`` returns; ``error string`` comes after it.
+    A call that fails gives its exception in place of an answer.
+    """
+
+    def settled(item):
+        try:
+            return call(item)
+        except Exception as e:
+            return e
+
+    with ThreadPoolExecutor(n) as pool:
+        waiting: deque = deque()
+        for item in items:
+            waiting.append(pool.submit(settled, item))
+            if len(waiting) >= n:
+                yield waiting.popleft().result()
+        while waiting:
+            yield waiting.popleft().result()
+
+
+def shares(calls: int, tasks: int | None) -> tuple[int, int]:
+    """Tasks, four if not said, and calls of each at once, so that all have ``calls`` in flight at most."""
+    tasks = max(1, min(calls, 4 if tasks is None else tasks))
+    return tasks, max(1, calls // tasks)
+
+
+def each_row(df: DataFrame, call: Callable[[dict], dict], schema: str, calls: int = 8, tasks: int | None = None) -> DataFrame:
+    """``call`` of every row, ``calls`` at once over all ``tasks``; a failure gives a row with its ``error`` and nulls.
+
+    ``schema``: of what ``call`` returns; ``error string`` comes after it.  A task's answers come in the order of its rows, and it waits for
+    ``calls`` / ``tasks`` of them at most.  ``call`` is used by several threads.
     """
     names = [f.split()[0] for f in schema.split(",")]
+    tasks, each = shares(calls, tasks)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = []
-            for record in part.to_dict("records"):
-                try:
-                    rows.append({**dict.fromkeys(names), **call(record), "error": None})
-                except Exception as e:  # kept with its row
-                    rows.append({**dict.fromkeys(names), "error": str(e)})
+            answers = in_flight(call, part.to_dict("records"), each)
+            rows = [{**dict.fromkeys(names), "error": str(a)} if isinstance(a, Exception) else {**dict.fromkeys(names), **a, "error": None} for a in answers]
             yield pd.DataFrame(rows, columns=[*names, "error"])
 
-    return df.repartition(calls).mapInPandas(run, f"{schema}, error string")
+    return df.repartition(tasks).mapInPandas(run, f"{schema}, error string")

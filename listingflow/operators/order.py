@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from listingflow.shared import staged
 
@@ -73,6 +74,30 @@ def page(df: DataFrame, *order: str, number: int = 0, size: int = 100) -> DataFr
     return df.orderBy(*order).offset(number * size).limit(size)
 
 
+def index_pages(df: DataFrame, *order: str, path: str) -> None:
+    """Writes ``df`` to ``path`` in ranges of ``order``, which should be total, with how many rows lie before each."""
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()).write.partitionBy("_range").parquet(f"{path}/rows")
+    df.limit(0).write.parquet(f"{path}/columns")
+    counts = _ranges_of(df.sparkSession, path).groupBy("_range").agg(F.count("*").alias("n"))
+    ahead = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    counts.withColumn("ahead", ahead).write.parquet(f"{path}/ranges")
+
+
+def _ranges_of(spark: SparkSession, path: str) -> DataFrame:
+    columns = spark.read.parquet(f"{path}/columns").schema
+    return spark.read.schema(columns.add("_range", T.IntegerType())).parquet(f"{path}/rows")
+
+
+def indexed_page(spark: SparkSession, *order: str, path: str, number: int = 0, size: int = 100) -> DataFrame:
+    """Page ``number`` of ``size`` rows of what :func:`index_pages` wrote; only the ranges that the page lies in are read."""
+    start, end = number * size, (number + 1) * size
+    met = spark.read.parquet(f"{path}/ranges").where((F.col("ahead") < end) & (F.col("ahead") + F.col("n") > start)).collect()  # as many as a page has
+    first = min((r["ahead"] for r in met), default=start)
+    rows = _ranges_of(spark, path).where(F.col("_range").isin([r["_range"] for r in met])).drop("_range")
+    return rows.orderBy(*order).offset(start - first).limit(size)
+
+
 def last_rows(df: DataFrame, *order: str, n: int = 1000) -> DataFrame:
     """The ``n`` last rows by ``order``: logs keep no more."""
     return df.orderBy(*[F.desc(c) for c in order]).limit(n)

@@ -278,6 +278,14 @@ def paginate(spark, sf_dir):
     return order.page(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", number=2)
 
 
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem ORDER BY ALL LIMIT 250 OFFSET 2000")
+def indexed_pages(spark, sf_dir):
+    """A page of the order lines from an index of pages."""
+    path, keys = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}", views.ORDER
+    order.index_pages(table(spark, sf_dir, "lineitem").select(*keys), *keys, path=path)
+    return order.indexed_page(spark, *keys, path=path, number=8, size=250)
+
+
 @query("SELECT p_partkey, row_number() OVER (ORDER BY p_name, p_partkey) - 1 AS place FROM part")
 def sorted_places(spark, sf_dir):
     return order.numbered(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", "p_partkey", name="place").select("p_partkey", "place")

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from listingflow.operators.batching import in_flight, shares
 from listingflow.operators.verdicts import keyword_verdict
 
 VERDICT = "isVeryHighlyAligned boolean, confidence double, rationale string"
@@ -68,26 +69,27 @@ def retrying(call: Callable, times: int = 3, base_ms: float = 0, factor: float =
     return tried
 
 
-def call_scorer(call: Callable[[str], dict], prompt: str, key: str, calls: int = 8, retries: int = 3) -> Scorer:
-    """A scorer that asks ``call`` once for each distinct prompt, ``calls`` at a time, and falls back to a refusal after ``retries``."""
+def call_scorer(call: Callable[[str], dict], prompt: str, key: str, calls: int = 8, retries: int = 3, tasks: int | None = None) -> Scorer:
+    """A scorer that asks ``call`` once for each distinct prompt, ``calls`` at a time over all ``tasks``, and falls back to a refusal after ``retries``."""
+    tasks, each = shares(calls, tasks)
+
+    def one(text: str) -> tuple:
+        answer, error, tried = None, None, 0
+        while answer is None and tried < retries:
+            tried += 1
+            try:
+                answer = call(text)
+            except Exception as e:  # the last one is kept
+                error = str(e)
+        good = answer or {}
+        return text, bool(good.get("isVeryHighlyAligned", False)), float(good.get("confidence", 0.0)), good.get("rationale", ""), tried, None if answer is not None else error
 
     def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = []
-            for text in part[prompt]:
-                answer, error, tried = None, None, 0
-                while answer is None and tried < retries:
-                    tried += 1
-                    try:
-                        answer = call(text)
-                    except Exception as e:  # the last one is kept
-                        error = str(e)
-                good = answer or {}
-                rows.append((text, bool(good.get("isVeryHighlyAligned", False)), float(good.get("confidence", 0.0)), good.get("rationale", ""), tried, None if answer is not None else error))
-            yield pd.DataFrame(rows, columns=["_p", "isVeryHighlyAligned", "confidence", "rationale", "attempts", "error"])
+            yield pd.DataFrame(list(in_flight(one, part[prompt], each)), columns=["_p", "isVeryHighlyAligned", "confidence", "rationale", "attempts", "error"])
 
     def score(df: DataFrame) -> DataFrame:
-        asked = df.select(prompt).distinct().repartition(calls).mapInPandas(ask, f"_p string, {VERDICT}, attempts int, error string")
+        asked = df.select(prompt).distinct().repartition(tasks).mapInPandas(ask, f"_p string, {VERDICT}, attempts int, error string")
         verdicts = asked.select("_p", F.struct("isVeryHighlyAligned", "confidence", "rationale", "attempts", "error").alias("verdict"))
         return df.join(verdicts, F.col(prompt) == F.col("_p"), "left").drop("_p")
 

@@ -2,13 +2,14 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from listingflow.functions.json_repair import is_json, repair_json, repaired
-from listingflow.operators import filters, order, stats
+from listingflow.operators import batching, filters, order, stats
 from listingflow.plans.pipelines import judge
 from listingflow.plans.scoring import keyword_scorer
 
@@ -65,6 +66,61 @@ def test_timers_in_batch_and_as_a_stream(spark, tmp_path):
     assert sorted(map(tuple, streamed.collect()), key=str) == sorted(map(tuple, batch.collect()), key=str)
 
 
+def test_pages_read_only_their_ranges(spark, tmp_path):
+    df = spark.range(5000).select((F.col("id") * 37 % 5000).alias("a"), F.lit("x").alias("b"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    order.index_pages(df, "a", "b", path=str(tmp_path / "p"))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    for number, size in ((0, 10), (40, 100), (49, 100), (50, 100), (3, 1234), (0, 9999)):
+        got = order.indexed_page(spark, "a", "b", path=str(tmp_path / "p"), number=number, size=size)
+        assert [r["a"] for r in got.collect()] == list(range(5000))[number * size : (number + 1) * size]
+    page = order.indexed_page(spark, "a", "b", path=str(tmp_path / "p"), number=40, size=10)
+    assert spark.read.parquet(f"{tmp_path}/p/rows").select("_range").distinct().count() > 10
+    assert re.search(r"PartitionFilters: \[isnotnull\(_range#\d+\), \(_range#\d+ = \d+\)\]", page._jdf.queryExecution().toString())  # one range is read
+    order.index_pages(df.limit(0), "a", path=str(tmp_path / "none"))
+    assert order.indexed_page(spark, "a", path=str(tmp_path / "none")).count() == 0
+
+
+def test_calls_in_flight(spark):
+    import threading
+    import time
+
+    now, most, lock = [0], [0], threading.Lock()
+
+    def call(x):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.01 * (x % 3))
+        with lock:
+            now[0] -= 1
+        if x % 7 == 0:
+            raise ValueError(f"no {x}")
+        return x
+
+    taken = []
+    got = list(batching.in_flight(call, (taken.append(x) or x for x in range(60)), 5))
+    assert [str(g) if isinstance(g, Exception) else g for g in got] == [f"no {x}" if x % 7 == 0 else x for x in range(60)] and 1 < most[0] <= 5
+    part = batching.in_flight(call, (taken.append(x) or x for x in range(100, 200)), 5)
+    next(part)
+    assert sum(x >= 100 for x in taken) <= 6  # no more than the window is taken ahead
+    list(part)
+    assert batching.shares(10, 4) == (4, 2) and batching.shares(2, None) == (2, 1) and batching.shares(1, 9) == (1, 1)
+
+    def slow(record):
+        time.sleep(0.05)
+        return {"y": record["id"] * 2} if record["id"] % 100 else 1 / 0
+
+    df = spark.range(1000)
+    batching.each_row(df.limit(8), slow, "y long", calls=40, tasks=4).count()
+    start = time.time()
+    rows = batching.each_row(df.select("id", F.col("id").alias("k")), lambda r: {"k": r["k"], **slow(r)}, "k long, y long", calls=40, tasks=4).collect()
+    took = time.time() - start
+    assert sum(r["error"] is not None for r in rows) == 10 and {r["k"]: r["y"] for r in rows if r["error"] is None} == {i: 2 * i for i in range(1000) if i % 100}
+    assert took < 10  # 50 s one after the other, 12.5 s on four tasks with one each
+
+
 def test_counts_in_passing(spark):
     df = spark.createDataFrame([("Acme", "Cook"), ("Brand#1", "Cook"), ("Acme", "Red"), (None, None)], "company string, title string")
     kept, counts = filters.filter_passes(df, ["brand#1"], ["RED"])
