@@ -201,19 +201,17 @@ class AttentionModel:
         g["high"], g["low"] = (_summed(dx[rare], at.astype(np.int64), len(w[n])) for n, at in (("high", ids[rare] >> 8), ("low", ids[rare] & 255)))
         return g
 
-    def fit(self, batches, steps: int, rate: float = 0.01) -> int:
-        """Adam over ``batches`` of (ids, next ids), about ``steps`` of them, at a rate that falls to a twentieth; returns how many there were."""
-        m = {n: np.zeros(s, np.float32) for n, s in self.SHAPES.items()}
-        v = {n: np.zeros(s, np.float32) for n, s in self.SHAPES.items()}
-        t = 0
+    def fit(self, batches, steps: int, rate: float = 0.01, state: tuple | None = None) -> tuple:
+        """Adam over ``batches`` of (ids, next ids), at a rate that falls to a twentieth by ``steps``; returns its state, which a later call goes on from: two kinds of moments, and how many batches there were."""
+        m, v, t = state or ({n: np.zeros(s, np.float32) for n, s in self.SHAPES.items()}, {n: np.zeros(s, np.float32) for n, s in self.SHAPES.items()}, 0)
         for ids, after in batches:
             now = rate * max(0.05, 1 - t / max(1, steps))
             t += 1
             for n, g in self.gradients(ids, after, SPAN - after.shape[1]).items():
-                m[n] += 0.1 * (g - m[n])
-                v[n] += 0.01 * (g * g - v[n])
+                m[n] = m[n] + 0.1 * (g - m[n])
+                v[n] = v[n] + 0.01 * (g * g - v[n])
                 self.w[n] = self.w[n] - (now / (1 - 0.9**t)) * m[n] / (np.sqrt(v[n] / (1 - 0.99**t)) + 1e-8)
-        return t
+        return m, v, t
 
 
 def windows_of(ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -249,6 +247,7 @@ def score_texts(
     held: int = 1,
     frequent: int = 200_000,
     windows_each: int = 1 << 16,
+    rounds: int = 8,
 ) -> DataFrame:
     """Scores of every whole text; A-Z count as a-z, a null text is empty.
 
@@ -261,7 +260,11 @@ def score_texts(
 
     Words of a share of 1 / ``frequent`` or more of the training tokens, of which there are
     ``frequent`` at most, are broadcast; all others are counted by a join.
-    Every window of every training text trains the weights, about ``windows_each`` a trainer.
+    Every window of every training text trains the weights once, about ``windows_each`` a trainer, in ``rounds`` of equal
+    shares: each starts from the mean of what all trainers had learned in the rounds before.
+
+    The pair counts, and so the groups of the output, know the ``KNOWN`` - 1 most frequent ids; on input all ids are told apart, on
+    output the rarer ones share a place of the last group by their counts.  These are parameters of the model, alike at every size.
     """
     spark = docs.sparkSession
     end = IdEncoder(tokenizer).tokenizer.get_vocab_size()
@@ -311,7 +314,7 @@ def score_texts(
     pairs = coded.where("not held_out").select("ids").mapInArrow(count_pairs, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # KNOWN squared at most
     counts.pair(pairs["at"].to_numpy(), pairs["n"].to_numpy())
 
-    model = _train(coded.where("not held_out"), counts, windows_each)
+    model = _train(coded.where("not held_out"), counts, windows_each, rounds)
     shared = spark.sparkContext.broadcast((counts, model))
 
     def score(batches):
@@ -415,18 +418,14 @@ def score_texts(
     )
 
 
-def _dealt(coded: DataFrame, end: int, windows_each: int) -> tuple[DataFrame, int, int]:
-    """All windows of ``ids`` with the id after each (``line``), dealt to trainers; how many of these there are, and how many windows.
+def _dealt(coded: DataFrame, end: int, windows_each: int, turn: int = 0, rounds: int = 1) -> tuple[DataFrame, int, int]:
+    """The windows of ``ids`` whose ``turn`` it is in one of ``rounds``, with the id after each (``line``), dealt to trainers; how many of these there are, and how many windows in all rounds.
 
-    Windows are dealt and sorted by a hash of the row's id and ids and of their place in it.  Repeats of
-    a row get other hashes.
+    Windows are dealt and sorted by a hash of the row's id and ids and of their place in it.  Only rows that repeat in
+    both are told apart by their number, so that repeats are spread.
     """
 
     def draw(batches):
-        from pyspark import TaskContext
-
-        seen: Counter = Counter()
-        part = TaskContext.get().partitionId()
         for batch in batches:
             lines, marks = [], []
 
@@ -435,16 +434,15 @@ def _dealt(coded: DataFrame, end: int, windows_each: int) -> tuple[DataFrame, in
 
             for key, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
                 a, b = windows_of(np.frombuffer(ids.as_py(), "<u2"), end)
-                b = b.copy()
-                b[:, :-1] = np.where(b[:, :-1] == PAD, a[:, 1:], b[:, :-1])  # the end before the first id; what follows padding isn't learned
-                lines += [x.tobytes() for x in np.concatenate([a[:, :1], b], axis=1)]
-                again = seen[key]
-                seen[key] += 1
-                salt = (again << 32 | part + 1) if again else 0
                 with np.errstate(over="ignore"):
-                    h = np.uint64(key % (1 << 64)) + np.arange(len(a), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt) * np.uint64(0xD1B54A32D192ED03)
+                    h = np.uint64(key % (1 << 64)) + np.arange(len(a), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                marks.append((h ^ (h >> np.uint64(31))).view(np.int64))
+                h ^= h >> np.uint64(31)
+                own = (h >> np.uint64(32)) % np.uint64(rounds) == turn
+                a, b = a[own], b[own].copy()
+                b[:, :-1] = np.where(b[:, :-1] == PAD, a[:, 1:], b[:, :-1])  # the end before the first id; what follows padding isn't learned
+                lines += [x.tobytes() for x in np.concatenate([a[:, :1], b], axis=1)]
+                marks.append(h[own].view(np.int64))
                 if len(lines) > 1 << 13:
                     yield done()
                     lines, marks = [], []
@@ -452,49 +450,62 @@ def _dealt(coded: DataFrame, end: int, windows_each: int) -> tuple[DataFrame, in
 
     windows = coded.agg(F.sum(F.ceil((F.length("ids") / 2 + 1) / STEP))).first()[0] or 0
     trainers = max(1, -(-windows // windows_each))
-    keyed = coded.select(F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit("")), "ids").alias("k"), "ids")
-    drawn = keyed.mapInArrow(draw, "mark long, line binary")
+    drawn = coded.select("k", "ids").mapInArrow(draw, "mark long, line binary")
     return drawn.repartition(trainers, "mark").sortWithinPartitions("mark", "line"), trainers, windows
 
 
-def _train(coded: DataFrame, counts: Counts, windows_each: int) -> dict:
-    """The mean weights of trainers; each takes its share of all windows, in the order of a hash."""
-    dealt, trainers, windows = _dealt(coded, counts.end, windows_each)
-    start = coded.sparkSession.sparkContext.broadcast(counts)
-    steps = windows // trainers // BATCH
-
-    def train(batches):
-        net = AttentionModel(start.value)
-
-        def some():
-            held = np.zeros((0, SPAN + 1), "<u2")
-            for batch in batches:
-                held = np.concatenate([held, np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(-1, SPAN + 1)])
-                whole = len(held) // BATCH * BATCH
-                for at in range(0, whole, BATCH):
-                    yield held[at : at + BATCH, :-1], held[at : at + BATCH, BEFORE + 1 :]
-                held = held[whole:]
-            if len(held):
-                yield held[:, :-1], held[:, BEFORE + 1 :]
-
-        if net.fit(some(), steps):
-            flat = np.concatenate([net.w[k].ravel() for k in net.SHAPES]).astype(np.float64)
-            yield _row(1, np.rint(flat * SCALE).astype(np.int64))
-
-    got, left = dealt.mapInArrow(train, "n long, weights binary"), trainers
-    while left > 64:  # sums of sums, until the driver can take the rest
-        left = -(-left // 64)
-        got = staged(staged(got, "lm-trained").repartition(left).mapInArrow(_total, "n long, weights binary"), "lm-totals", rows_per_batch=8)
-    rows = got.collect()  # one for each of 64 trainers or sums at most
-    if not rows:
-        return AttentionModel(counts).w
-    mean = sum(np.frombuffer(r["weights"], "<i8") for r in rows) / (SCALE * sum(r["n"] for r in rows))
-    out, at = {}, 0
-    for name, shape in AttentionModel.SHAPES.items():
-        n = math.prod(shape)
-        out[name] = mean[at : at + n].reshape(shape).astype(np.float32)
-        at += n
-    return out
+def _marked(coded: DataFrame) -> DataFrame:
+    """``ids`` and ``k``, a hash of the row's id and ids, with its number if rows repeat in both."""
+    keyed = coded.select(F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit("")), "ids").alias("k"), "ids")
+    repeats = staged(keyed.groupBy("k").count().where("count > 1").select(F.col("k").alias("again")), "lm-repeats")
+    if repeats.isEmpty():
+        return keyed
+    numbered = keyed.withColumn("at", F.monotonically_increasing_id()).join(repeats, F.col("k") == F.col("again"), "left")
+    return numbered.select(F.when(F.col("again").isNotNull(), F.xxhash64("k", "at")).otherwise(F.col("k")).alias("k"), "ids")
+
+
+def _train(coded: DataFrame, counts: Counts, windows_each: int, rounds: int = 8) -> dict:
+    """The weights after ``rounds``, in each of which every trainer goes on from the mean of all and takes its share of the windows, in the order of a hash."""
+    spark, names, sizes = coded.sparkSession, list(AttentionModel.SHAPES), [math.prod(s) for s in AttentionModel.SHAPES.values()]
+    marked = _marked(coded)
+    split = lambda flat: {n: x.reshape(AttentionModel.SHAPES[n]).astype(np.float32) for n, x in zip(names, np.split(flat, np.cumsum(sizes)[:-1]))}
+    model, moments = None, None
+    for turn in range(rounds):
+        dealt, trainers, windows = _dealt(marked, counts.end, windows_each, turn, rounds)
+        steps = windows // trainers // BATCH
+        start = spark.sparkContext.broadcast((counts, model, moments))
+
+        def train(batches, start=start, steps=steps):
+            counts, model, moments = start.value
+            net = AttentionModel(counts, model and dict(model))  # what is shared stays as it is
+
+            def some():
+                held = np.zeros((0, SPAN + 1), "<u2")
+                for batch in batches:
+                    held = np.concatenate([held, np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(-1, SPAN + 1)])
+                    whole = len(held) // BATCH * BATCH
+                    for at in range(0, whole, BATCH):
+                        yield held[at : at + BATCH, :-1], held[at : at + BATCH, BEFORE + 1 :]
+                    held = held[whole:]
+                if len(held):
+                    yield held[:, :-1], held[:, BEFORE + 1 :]
+
+            m, v, t = net.fit(some(), steps, state=moments and (dict(moments[0]), dict(moments[1]), moments[2]))
+            if t > (moments[2] if moments else 0):
+                flat = np.concatenate([x[n].ravel() for x in (net.w, m, {n: np.sqrt(y) for n, y in v.items()}) for n in names] + [[t]]).astype(np.float64)
+                yield _row(1, np.rint(flat * SCALE).astype(np.int64))
+
+        got, left = dealt.mapInArrow(train, "n long, weights binary"), trainers
+        while left > 64:  # sums of sums, until the driver can take the rest
+            left = -(-left // 64)
+            got = staged(staged(got, "lm-trained").repartition(left).mapInArrow(_total, "n long, weights binary"), "lm-totals", rows_per_batch=8)
+        rows = got.collect()  # one for each of 64 trainers or sums at most
+        start.unpersist()
+        if rows:
+            mean = sum(np.frombuffer(r["weights"], "<i8") for r in rows) / (SCALE * sum(r["n"] for r in rows))
+            w, m, root = np.split(mean[:-1], 3)
+            model, moments = split(w), (split(m), split(root**2), round(mean[-1]))
+    return model or AttentionModel(counts).w
 
 
 def _row(n: int, weights: np.ndarray) -> pa.RecordBatch:

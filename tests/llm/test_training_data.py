@@ -436,7 +436,10 @@ def test_every_window_trains_whatever_the_parts(spark):
     real = lambda a, b: tuple((int(x), int(y)) for x, y in zip(a, b) if x != lm_scoring.PAD and y != lm_scoring.PAD)
     want = Counter(real(a, b) for t in texts for a, b in zip(*windows_of(t, 1999)))
     for parts in (1, 5):
-        dealt, trainers, windows = lm_scoring._dealt(df.repartition(parts), 1999, 8)
+        marked = lm_scoring._marked(df.repartition(parts))
+        turns = [lm_scoring._dealt(marked, 1999, 8, k, 3)[0].collect() for k in range(3)]
+        assert Counter(bytes(r["line"]) for t in turns for r in t) == Counter(bytes(r["line"]) for r in lm_scoring._dealt(marked, 1999, 8)[0].collect()) and min(map(len, turns)) > want.total() / 6
+        dealt, trainers, windows = lm_scoring._dealt(marked, 1999, 8)
         assert dealt.rdd.getNumPartitions() == trainers == -(-want.total() // 8) and windows == want.total()
         rows = dealt.withColumn("part", F.spark_partition_id()).collect()
         lines = [np.frombuffer(r["line"], "<u2") for r in rows]
@@ -500,7 +503,7 @@ def test_scores_are_those_of_a_plain_version(spark, monkeypatch):
         a, b = windows_of(ids.astype("<u2"), 1999)
         assert math.isclose(net.log_likelihood(a, b[:, BEFORE:], BEFORE).sum(), plain_score(net, ids.tolist(), 1999, SPAN, STEP), rel_tol=1e-4)
     held = []
-    monkeypatch.setattr(lm_scoring, "_train", lambda coded, counts, each: held.append(counts) or {k: v for k, v in net.w.items()})
+    monkeypatch.setattr(lm_scoring, "_train", lambda coded, counts, each, rounds: held.append(counts) or {k: v for k, v in net.w.items()})
     rows = [(1, "Some words, and some more words."), (2, "x" * 300), (4, None), (5, "日本語 text here")]
     got = by_id(score_texts(spark.createDataFrame(rows, "doc_id long, text string")))
     tok = library("byte_bpe_50k.json")
