@@ -161,7 +161,7 @@ def mix(
     a null source is a source; documents without words may be drawn but take nothing; an
     empty table gives no rows.  Equal inputs give equal draws, in whatever order rows come;
     rows repeated in id and text are told apart by their place.  Columns that aren't named are
-    not read.
+    not read.  Very long texts only count their words; one longer than a block is a block of its own.
 
     A block holds about ``block_words`` words and ``block_docs`` documents of a source at most
     and is the only group that one task sorts; a source of any share, and any number of repeated

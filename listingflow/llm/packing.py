@@ -141,7 +141,7 @@ def pack(
     ``doc_tokens``, ``sequence_id`` and ``offset``.  A document is its ids and then
     ``separator``; a null or empty text is the separator alone.  Every id lies in one
     piece; repeated rows are packed as often as they occur.  Other columns of ``docs``
-    are not read; an empty table gives no pieces.
+    are not read; an empty table gives no pieces.  A very long text is encoded whole and cut into pieces, which one task holds at once.
 
     Each partition packs its own documents in one pass without a shuffle and numbers
     its sequences above ``partition << 40``, so the work grows with the number of

@@ -177,7 +177,7 @@ def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     At most ``max_labelled`` labelled ids are used, those of the smallest hash, each with one
     text: the statistics of so many rows, not their texts, come to the driver.  An id with
     labels that disagree counts by their mean; ties, null ids and null labels are left
-    out.  Of rows that repeat an id the first text by value counts.  Without labels of both kinds, as in
+    out.  Very long texts count like others, by their statistics.  Of rows that repeat an id the first text by value counts.  Without labels of both kinds, as in
     empty tables, the list is empty and keeps everything.
     """
     marked = (
@@ -206,7 +206,7 @@ def judge_quality(docs: DataFrame, rules: DecisionList, text_col: str = "text",
 
     A text fails the base with fewer than ``min_words`` words or with more than
     ``max_repeat_percent`` per cent of them in repeated windows; the others go by the
-    rules.  Null and empty texts have no words and fail.  Rows are neither dropped nor
+    rules.  Very long texts are counted whole; the windows of one text are sorted within its row.  Null and empty texts have no words and fail.  Rows are neither dropped nor
     merged, and nothing is shuffled; an empty table stays empty.
     """
 

@@ -50,7 +50,7 @@ DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3
 DATE_LENGTHS = (4, 6, 7, 8, 9, 10)
 BRUTE, SEGMENT, DATE_COST = 1.0, 0.15, {4: 2.1, 8: 4.6}
 REPEAT, ALPHABET, WALK, TURN = 1.0, 1.4, 1.4, 0.7
-#: Of a repeat or a walk, which are three characters or more; longer ones are several spans.
+#: Of a repeat or a walk, which are three characters or more; a parameter of the cost: longer ones are several spans, each with its own cost.
 LONGEST = 64
 #: Random values of eight characters cost 8 at most; chance words and runs in them take up to 1 off in 98 to 99 of 100.
 LEAST_COST = 7.0
@@ -158,6 +158,8 @@ def spans_of(text: str, cost: GuessCost, least: float) -> list[tuple[int, str, i
 def corpus_words(docs: DataFrame, text_col: str = "text", most: int = 20_000, least_docs: int = 5) -> list[str]:
     """``WORDS``, then up to ``most`` words of a-z, three to twenty letters, that most of all the ``docs`` hold.
 
+    ``most`` is a parameter of the method, the size of an attacker's dictionary: rarer words cost what their parts or characters
+    do, so which values are guessed depends on the corpus.  It also bounds what is broadcast.  All documents are counted.
     Values in a credential context don't count, nor words of fewer than ``least_docs``
     documents, so that no secret becomes a word by itself.  The cut lies between eighths of a
     doubling of the number of documents, so that no sort of all words is needed; ties go by the word; null texts have none.
@@ -219,7 +221,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact_secrets(docs: DataFrame, text_col: str = "text", least_cost: float = LEAST_COST, mark: str = "[SECRET]", words: tuple = tuple(WORDS)) -> DataFrame:
     """``docs`` with every span that :func:`scan_secrets` finds replaced by ``mark``; overlapping spans give one mark.
 
-    Null texts stay null; empty texts, rows and all other columns stay as they are.
+    Null texts stay null; empty texts, rows and all other columns stay as they are.  Very long texts are read whole, in time that
+    grows with their length.
     """
 
     @F.pandas_udf("string")
