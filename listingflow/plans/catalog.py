@@ -16,7 +16,8 @@ from listingflow.plans import pipelines, views
 from listingflow.plans.scoring import keyword_scorer
 from listingflow.plans.views import table
 from listingflow.shared import shared_dir
-from listingflow.sources import readers
+from listingflow.sources import readers, versions
+from listingflow.streaming import registry_state
 from listingflow.streaming.machines import Breaker, RateLimiter
 from listingflow.streaming.replay import replay
 
@@ -278,6 +279,33 @@ def paginate(spark, sf_dir):
     return order.page(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", number=2)
 
 
+@query(
+    "SELECT CAST(p_partkey AS VARCHAR) AS listingId, p_brand AS company, p_name AS title, CASE WHEN p_partkey % 3 = 0 THEN 2000 ELSE 1000 END + p_size AS admitTime FROM part WHERE p_partkey % 5 <> 0 OR p_partkey % 3 = 0"
+)
+def registry_versions(spark, sf_dir):
+    """A registry of all parts in four versions: all admitted, some removed, a snapshot, some admitted anew."""
+    path = f"{shared_dir(spark)}/registry-{uuid.uuid4().hex}"
+    p = table(spark, sf_dir, "part")
+    entries = lambda at: p.select(F.col("p_partkey").cast("string").alias("listingId"), F.col("p_brand").alias("company"), F.col("p_name").alias("title"), (F.col("p_size") + at).cast("long").alias("admitTime"), F.lit(None).cast("long").alias("lastProcessed"), "p_partkey")
+    versions.commit(spark, path, entries(1000))
+    versions.commit(spark, path, removed=entries(0).where("p_partkey % 5 = 0"))
+    versions.compact(spark, path)
+    versions.commit(spark, path, entries(2000).where("p_partkey % 3 = 0"))
+    return versions.read_version(spark, path).select("listingId", "company", "title", "admitTime")
+
+
+@query(
+    "WITH e AS (SELECT user_id, event_type, event_id, epoch_us(ts) // 1000 AS ms FROM events), f AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ms, CAST(event_id AS VARCHAR)) AS k FROM e) "
+    "SELECT CAST(event_id AS VARCHAR) AS listingId, ms AS admitTime FROM f WHERE k = 1 AND NOT (user_id % 10 = 0 AND event_type = 'view')"
+)
+def admitted_events(spark, sf_dir):
+    """The first event of each user and kind, but for views of users that the registry has."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("listingId"), F.concat(F.lit("User "), "user_id").alias("company"), F.col("event_type").alias("title"), F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    first = e.agg(F.min(F.unix_millis("ts"))).first()[0]
+    known = e.where("user_id % 10 = 0").select(F.col("user_id").cast("string").alias("listingId"), F.upper("company").alias("company"), F.lit("View ").alias("title"), F.lit(first).cast("long").alias("admitTime"), F.lit(None).cast("long").alias("lastProcessed")).distinct()
+    return registry_state.admitted(e.drop("user_id"), ttl=1000 * registry.DAY_MS, registry=known).select("listingId", "admitTime")
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem ORDER BY ALL LIMIT 250 OFFSET 2000")
 def indexed_pages(spark, sf_dir):
     """A page of the order lines from an index of pages."""
