@@ -463,8 +463,13 @@ def _prefix_links(keyed: DataFrame, key: str, text: Column, texts: DataFrame, st
     least = lambda: F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-6
     # what is left from the first shingle that both have on; the other rows of a pair are of no use
     enough = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= least()
-    pairs = a.join(b, "h").where((F.col("t_a") < F.col("t_b")) & (F.col("root_a") != F.col("root_b")) & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")) & enough)
+    # sizes and places decide that, so they meet first: of a shingle that many texts have late in their prefixes no pairs are made
+    kinds = staged(members.select("h", "n", "at").distinct(), "dedup-kinds")
+    x, y = (kinds.select("h", *[F.col(c).alias(f"{c}_{i}") for c in ("n", "at")]) for i in "ab")
+    kinds_met = staged(x.join(y, "h").where((F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")) & enough), "dedup-kinds-met")
+    pairs = a.join(kinds_met, ["h", "n_a", "at_a"]).join(b, ["h", "n_b", "at_b"]).where((F.col("t_a") < F.col("t_b")) & (F.col("root_a") != F.col("root_b")))
     met = staged(pairs.select("t_a", "t_b").distinct(), "dedup-near")
+    unstage(kinds, kinds_met)
     some = met.select(F.col("t_a").alias("t")).union(met.select("t_b")).distinct()
     lists = staged(members.join(staged(some, "dedup-some"), "t", "left_semi").groupBy("t", "n", "often", "last").agg(F.collect_set("h").alias("hs")), "dedup-lists")
     a, b = (lists.select(*[F.col(c).alias(f"{c}_{x}") for c in lists.columns]) for x in "ab")
