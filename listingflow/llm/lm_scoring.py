@@ -496,9 +496,9 @@ def _train(coded: DataFrame, counts: Counts, windows_each: int, rounds: int = 8)
                 yield _row(1, np.rint(flat * SCALE).astype(np.int64))
 
         got, left = dealt.mapInArrow(train, "n long, weights binary"), trainers
-        while left > 1:  # sums of sums, so that the driver takes eight rows at most
-            left = -(-left // 64) if left > 64 * 8 else 1
-            got = staged(staged(got, "lm-trained").repartition(left if left > 1 else 8).mapInArrow(_total, "n long, weights binary"), "lm-totals", rows_per_batch=8)
+        while left:  # sums of sums, so that the driver takes eight rows at most
+            left = -(-left // 64) if left > 64 * 8 else 0
+            got = staged(staged(got, "lm-trained").repartition(left or 8).mapInArrow(_total, "n long, weights binary"), "lm-totals", rows_per_batch=8)
         rows = got.collect()
         start.unpersist()
         if rows:
