@@ -25,7 +25,7 @@ COMMAND = (
     r"(?i)\b(cd|pwd|ls|dir)\b\s+-?\w*",
 )
 TRAVERSAL = (r"\.\./\.\./", r"\.\.\\", r"/\.\./", r"\\..\\")
-LDAP = (r"""[()&|!*?=><,";#]""",)
+LDAP = (r"""(\(|\)|&|\||!|\*|\?|=|>|<|,|"|;|#)""",)
 SSRF = (r"(?i)localhost|127\.0\.0\.1|0\.0\.0\.0|::1",)
 SHAPES = {
     "email": r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$",
