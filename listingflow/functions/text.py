@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 #: White space of the records' origin, wider than ASCII.
 SPACE = "\t\n\u000b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
+#: Classes of single Latin-1 characters are one table lookup, ranges and others a chain of comparisons.  Those that aren't white space:
+_PLAIN = "".join(rf"\x{i:02x}" for i in [*range(0x21, 0x7F), *range(0xA1, 0x100)])
+_KEPT = "".join(map(chr, [*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)])) + r"""_ \-.,;:!?()"'\[\]{}"""
+
 #: Needles of error categories, in order of precedence.
 ERROR_NEEDLES = (
     ("network", ("network", "connection", "timeout")),
@@ -37,9 +41,14 @@ def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
+def one_space(c: Column) -> Column:
+    """Runs of white space as one space; one that is so already is no match, as each would be copied."""
+    return F.regexp_replace(c, f"(?![{_PLAIN}])(?: [{SPACE}]+|[{SPACE.replace(' ', '')}][{SPACE}]*)", " ")
+
+
 def normalize_string(c: Column) -> Column:
     """Lower case, trimmed, runs of white space as one space."""
-    return F.regexp_replace(trimmed(F.lower(c)), f"[{SPACE}]+", " ")
+    return F.trim(one_space(F.lower(c)))
 
 
 def pair_key(title: Column, company: Column) -> Column:
@@ -53,8 +62,8 @@ def fuzzy_key(*columns: Column) -> Column:
 
 def clean_description(c: Column) -> Column:
     """One space for white space; only ASCII words and basic punctuation stay."""
-    spaced = F.regexp_replace(F.coalesce(c, F.lit("")), f"[{SPACE}]+", " ")
-    return F.trim(F.regexp_replace(spaced, r"""[^A-Za-z0-9_ \-.,;:!?()"'\[\]{}]""", ""))
+    spaced = one_space(F.coalesce(c, F.lit("")))
+    return F.trim(F.regexp_replace(spaced, f"[^{_KEPT}]+", ""))
 
 
 def contains_any(c: Column, needles: Iterable[str]) -> Column:

@@ -1,5 +1,7 @@
 """Scalar functions on hand-written cases."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +160,23 @@ def test_registry_ids(spark):
     got = [r[0] for r in df.select(ids.registry_id(F.col("i"), F.col("u"), F.col("t"), "site.com")).collect()]
     assert got[:3] == ["ab1", "99", None] and len(got[3]) == 12
     assert [r[0] for r in df.select(ids.record_id(F.col("i"), F.col("u"), F.col("t"))).collect()][0] == "a b!1"
+
+
+def test_white_space_of_every_kind_is_one_space(spark):
+    odd = [chr(i) for i in range(0x3100) if chr(i).isprintable() or chr(i).isspace() or i < 0x100] + ["\ufeff", "\ufffd", "\U0001f600"]
+    rows = [f"{a}x {b}{a}  Y\t{a} z{b}" for a in odd for b in ("", " ", "\u2003", "\ufeff", "\u00e9")] + [None, "", " ", "\u3000"]
+    plain = lambda t: re.sub(f"[{text.SPACE}]+", " ", t)
+    df = spark.createDataFrame([(r,) for r in rows], "t string").select("t", text.clean_description(F.col("t")).alias("c"), text.normalize_string(F.col("t")).alias("n"), F.lower("t").alias("l"))
+    for t, c, n, lower in df.collect():
+        assert c == re.sub(r"""[^A-Za-z0-9_ \-.,;:!?()"'\[\]{}]""", "", plain(t or "")).strip(" "), ascii(t)
+        assert n == (None if t is None else plain(lower).strip(" ")), ascii(t)
+
+
+def test_single_spaces_and_plain_letters_are_no_matches(spark, monkeypatch):
+    found = []
+    whole = F.regexp_replace
+    monkeypatch.setattr(text.F, "regexp_replace", lambda c, pattern, by: (found.append(pattern), whole(c, pattern, by))[1])
+    text.clean_description(F.lit("x"))
+    text.normalize_string(F.lit("x"))
+    counts = [F.regexp_count(F.lit("Some plain words, (as) in most texts."), F.lit(p)).alias(f"n{i}") for i, p in enumerate(found)]
+    assert set(spark.range(1).select(*counts).first()) == {0}
