@@ -28,19 +28,21 @@ def _keys(registry: DataFrame) -> DataFrame:
     return registry.select(normalize_string(F.col("company")).alias("_rc"), normalize_string(F.col("title")).alias("_rt"), F.col("listingId").alias("_ri"))
 
 
-def flag_seen(df: DataFrame, registry: DataFrame, name: str = "seen", exclude_id: str | None = None, title: str = "title", company: str = "company", keep_keys: bool = False) -> DataFrame:
-    """``df`` with whether the registry has its normalised company and title; entries of ``exclude_id`` don't count.
-
-    ``keep_keys`` leaves these in ``_c`` and ``_t``.
-    """
+def known_keys(registry: DataFrame, exclude_id: str | None = None) -> DataFrame:
+    """Normalised company and title of entries, each pair once: ``_rc``, ``_rt``."""
     entries = _keys(registry)
     if exclude_id is not None:
         entries = entries.where(F.col("_ri") != exclude_id)
-    # written, so that the join has plain exchanges, which can be split at a hot key
-    entries = staged(entries.select("_rc", "_rt").where("_rc is not null and _rt is not null").distinct(), "registry-keys").withColumn("_hit", F.lit(True))
-    keyed = df.withColumn("_c", normalize_string(F.col(company))).withColumn("_t", normalize_string(F.col(title))).withColumn("_can", F.when(can_match(F.col(title), F.col(company)), F.col("_c")))
-    joined = keyed.join(entries, (F.col("_can") == F.col("_rc")) & (F.col("_t") == F.col("_rt")), "left")
-    return joined.withColumn(name, F.coalesce("_hit", F.lit(False))).drop("_can", "_rc", "_rt", "_hit", *([] if keep_keys else ["_c", "_t"]))
+    # written, so that a join has plain exchanges, which can be split at a hot key
+    return staged(entries.select("_rc", "_rt").where("_rc is not null and _rt is not null").distinct(), "registry-keys")
+
+
+def flag_seen(df: DataFrame, registry: DataFrame, name: str = "seen", exclude_id: str | None = None, title: str = "title", company: str = "company") -> DataFrame:
+    """``df`` with whether the registry has its normalised company and title; entries of ``exclude_id`` don't count."""
+    entries = known_keys(registry, exclude_id).withColumn("_hit", F.lit(True))
+    keyed = df.withColumn("_c", F.when(can_match(F.col(title), F.col(company)), normalize_string(F.col(company)))).withColumn("_t", normalize_string(F.col(title)))
+    joined = keyed.join(entries, (F.col("_c") == F.col("_rc")) & (F.col("_t") == F.col("_rt")), "left")
+    return joined.withColumn(name, F.coalesce("_hit", F.lit(False))).drop("_c", "_t", "_rc", "_rt", "_hit")
 
 
 def unseen(df: DataFrame, registry: DataFrame, exclude_id: str | None = None, title: str = "title", company: str = "company") -> DataFrame:
