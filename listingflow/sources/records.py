@@ -18,8 +18,10 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,13 +35,37 @@ REST = r'(?:[^"\\\n]++|\\[^\n])*+(?:(")|\\?(?=\n)|\\?\Z)'
 STRING_END = re.compile(REST)
 #: What changes the state outside of strings: a string, a bracket, a line that starts with one.
 TOKENS = re.compile(rf'"{REST}|[{{}}\[\]]|\n(?=[\[{{])')
+#: What changes nothing there: whole strings, lines that don't start with a bracket or follow what a value must, and what lies between.
+BETWEEN = r'[^"{}\[\]\n]*+'
+QUIET = rf'{BETWEEN}(?:(?:"[^"\\\n]*+(?:\\[^\n][^"\\\n]*+)*+"|\n(?![\[{{])|(?<=[,:\[{{])\n){BETWEEN})*+'
+SKIP = re.compile(QUIET)
+#: Objects with up to four brackets within one another, which leave the state as it was; deeper ones go bracket by bracket.
+INNER = QUIET
+for _ in range(4):
+    INNER = rf"{QUIET}(?:[{{\[]{INNER}[}}\]]{QUIET})*+"
+OBJECT = re.compile(rf"\{{{INNER}[}}\]]")
+#: Bytes that are scanned at once, or one piece.
+CHUNK = 1 << 20
 
 
 class Scanner:
     """The state while a text passes by in pieces; ``pops`` counts closed brackets that were open before."""
 
     def __init__(self, in_string: bool = False, stack: str = "", known: bool = False):
-        self.in_string, self.stack, self.known, self.pops = in_string, stack, known, 0
+        self.in_string, self.brackets, self.known, self.pops = in_string, list(stack), known, 0
+
+    @property
+    def stack(self) -> str:
+        return "".join(self.brackets)
+
+    @property
+    def depth(self) -> int:
+        return len(self.brackets)
+
+    @property
+    def outer(self) -> str:
+        """The two outermost open brackets, which with their number are all that decides what is a record."""
+        return "".join(self.brackets[:2])
 
     def feed(self, text: str) -> Iterator[tuple[str, int]]:
         """Moves over ``text``; yields ``("open", at)`` and ``("close", end)`` of records, and ``("reset", at)`` where what is open is cut short.
@@ -53,31 +79,45 @@ class Scanner:
             if at == len(text) and not m[1]:
                 return
             self.in_string = False
-        while m := TOKENS.search(text, at):
-            at, c = m.end(), text[m.start()]
-            if c == '"':
+        brackets = self.brackets
+        while (at := SKIP.match(text, at).end()) < len(text):
+            c = text[at]
+            if c == "{" and (not brackets or brackets == ["["]):
+                yield "open", at
+                if m := OBJECT.match(text, at):
+                    at = m.end()
+                    yield "close", at
+                else:
+                    brackets.append(c)
+                    at += 1
+            elif c in "{[":
+                brackets.append(c)
+                at += 1
+            elif c == '"':
+                m = TOKENS.match(text, at)
+                at = m.end()
                 if at == len(text) and not m[1]:
                     self.in_string = True
                     return
             elif c == "\n":
-                k = m.start()
+                k = at
+                at += 1
                 while k and text[k - 1].isspace():
                     k -= 1
                 if not k or text[k - 1] not in ",:[{":
-                    if self.stack or not self.known:
+                    if brackets or not self.known:
                         yield "reset", at
-                    self.stack, self.known = "", True
-            elif c in "{[":
-                if c == "{" and self.stack in ("", "["):
-                    yield "open", m.start()
-                self.stack += c
-            elif self.stack:
-                closes = self.stack in ("{", "[{")
-                self.stack = self.stack[:-1]
-                if closes:
-                    yield "close", at
-            elif not self.known:
-                self.pops += 1
+                    brackets.clear()
+                    self.known = True
+            else:
+                at += 1
+                if brackets:
+                    closes = len(brackets) < 3 and brackets in (["{"], ["[", "{"])
+                    brackets.pop()
+                    if closes:
+                        yield "close", at
+                elif not self.known:
+                    self.pops += 1
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -87,29 +127,38 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _by_range(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple]:
-    """Values of ``names``, whether the row is its range's first and last, and its piece; the pieces of a range follow one another."""
+    """Values of ``names``, whether the text is its range's first and last, its pieces with closing braces between them, and its bytes with one after each; the pieces of a range follow one another."""
     held = None
     for batch in batches:
-        for *key, piece in zip(*[batch.column(n).to_pylist() for n in [*names, "value"]]):
+        if not batch.num_rows:
+            continue
+        pieces, n_bytes = batch.column("value"), pc.binary_length(batch.column("value")).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        edges = np.diff(np.cumsum(n_bytes) // CHUNK) > 0
+        for key in names[:2]:
+            column = batch.column(key)
+            edges |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(edges) + 1).tolist(), batch.num_rows]
+        for at, to in zip(edges, edges[1:]):
+            key = [batch.column(n)[at].as_py() for n in names]
             new = held is None or key[:2] != held[0][:2]
             if held:
-                yield held[0], held[1], new, held[2]
-            held = key, new, piece
+                yield held[0], held[1], new, *held[2:]
+            held = key, new, "}".join(pieces.slice(at, to - at).to_pylist()), int(n_bytes[at:to].sum())
     if held:
-        yield held[0], held[1], True, held[2]
+        yield held[0], held[1], True, *held[2:]
 
 
 def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    fields = ("in_string", "known", "pops", "stack")
+    fields = ("in_string", "known", "pops", "outer", "depth")
     names = [FILE, "_start", "_size", "n_bytes", "head", *[f"{f}{k}" for k in (0, 1) for f in fields]]
-    for (file, start, size, length), first, last, piece in _by_range(batches, [FILE, "_start", "_size", "_length"]):
+    for (file, start, size), first, last, text, length in _by_range(batches, [FILE, "_start", "_size"]):
         if first:
             runs = [Scanner(known=True)] if start == 0 else [Scanner(), Scanner(in_string=True)]
             n_bytes, head = 0, ""
-        n_bytes += length + 1
-        head = head or piece.lstrip("\ufeff \t\r\n")[:1]
+        n_bytes += length
+        head = head or text.lstrip("\ufeff \t\r\n}")[:1]
         for run in runs:
-            for _ in run.feed(piece + "}"):
+            for _ in run.feed(text + "}"):
                 pass
         if last:
             values = [file, start, size, n_bytes, head, *[getattr(r, f) for r in (runs[0], runs[-1]) for f in fields]]
@@ -119,17 +168,17 @@ def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _states(group):
     """The state in which each byte range of a file begins, the range in which a record began that is open there, and about the file its first character and whether brackets stay open."""
     group = group.sort_values("_start")
-    in_string, stack, origin, out = False, "", -1, []
+    in_string, outer, depth, origin, out = False, "", 0, -1, []
     whole = group["n_bytes"].sum() == group["_size"].iloc[0]
     for r in group.to_dict("records"):
-        out.append([r[FILE], r["_start"], in_string, stack, origin, False])
-        k, record = int(in_string), 0 if stack[:1] == "{" else 1 if stack[:2] == "[{" else None
-        left = "" if r[f"known{k}"] else stack[: max(0, len(stack) - r[f"pops{k}"])]
-        stack, in_string = left + r[f"stack{k}"], r[f"in_string{k}"]
-        if record is None or len(left) <= record:  # else the record that was open still is
-            origin = r["_start"] if stack[:1] == "{" or stack[:2] == "[{" else -1
+        out.append([r[FILE], r["_start"], in_string, outer, depth, origin, False])
+        k, record = int(in_string), 0 if outer[:1] == "{" else 1 if outer == "[{" else None
+        left = 0 if r[f"known{k}"] else max(0, depth - r[f"pops{k}"])
+        outer, depth, in_string = (outer[:left] + r[f"outer{k}"])[:2], left + r[f"depth{k}"], r[f"in_string{k}"]
+        if record is None or left <= record:  # else the record that was open still is
+            origin = r["_start"] if outer[:1] == "{" or outer == "[{" else -1
     out[-1][-1] = not whole  # the last piece is then not followed by a brace
-    return type(group)([[*o, group["head"].iloc[0], stack != ""] for o in out], columns=[FILE, "_start", "in_string", "stack", "origin", "cut", "head", "open"])
+    return type(group)([[*o, group["head"].iloc[0], depth > 0] for o in out], columns=[FILE, "_start", "in_string", "outer", "depth", "origin", "cut", "head", "open"])
 
 
 def _parses(text: str) -> bool:
@@ -155,13 +204,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows.clear()
         return out
 
-    for (file, start, in_string, stack, origin, cut), first, last, piece in _by_range(batches, [FILE, "_start", "in_string", "stack", "origin", "cut"]):
+    for (file, start, in_string, outer, depth, origin, cut), first, last, text, _ in _by_range(batches, [FILE, "_start", "in_string", "outer", "depth", "origin", "cut"]):
         if first:
             if in_string is None:
                 raise RuntimeError(f"the byte ranges of {file} changed while it was read")
-            scan, n = Scanner(in_string, stack, True), 0
+            scan, n = Scanner(in_string, outer.ljust(depth, "{"), True), 0
             held, mine = ([], origin) if origin >= 0 else (None, start)
-        text, begin = piece if last and cut else piece + "}", 0
+        text, begin = text if last and cut else text + "}", 0
         for what, at in scan.feed(text):
             if what == "open":
                 held, mine, begin = [], start, at
@@ -170,13 +219,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 state = ("good" if what == "close" and _parses(record) else "damaged") if mine == start else "end" if what == "close" else "broken"
                 rows.append((file, start, n, mine, state, record))
                 n, size = n + (state == "good"), size + len(record)
+                if size > 1 << 22 or len(rows) >= 10_000:
+                    yield flushed()
+                    size = 0
         if held is not None:
             held.append(text[begin:])
             if last:
                 rows.append((file, start, n, mine, "part", "".join(held)))
-        if size > 1 << 22 or len(rows) >= 10_000:
-            yield flushed()
-            size = 0
     if rows:
         yield flushed()
 
@@ -202,9 +251,9 @@ def read_pieces(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     without a line feed.  Compressed files have one range.
     """
     pieces = _pieces(spark, path)
-    kinds = ", ".join(f"in_string{k} boolean, known{k} boolean, pops{k} long, stack{k} string" for k in (0, 1))
-    effects = pieces.withColumn("_length", F.octet_length("value")).mapInArrow(_summarise, f"{FILE} string, _start long, _size long, n_bytes long, head string, {kinds}")
-    states = staged(effects.groupBy(FILE).applyInPandas(_states, f"{FILE} string, _start long, in_string boolean, stack string, origin long, cut boolean, head string, open boolean"), "record-states")
+    kinds = ", ".join(f"in_string{k} boolean, known{k} boolean, pops{k} long, outer{k} string, depth{k} long" for k in (0, 1))
+    effects = pieces.mapInArrow(_summarise, f"{FILE} string, _start long, _size long, n_bytes long, head string, {kinds}")
+    states = staged(effects.groupBy(FILE).applyInPandas(_states, f"{FILE} string, _start long, in_string boolean, outer string, depth long, origin long, cut boolean, head string, open boolean"), "record-states")
     small = states.count() <= BROADCAST_RANGES
     about = states.drop("head", "open")
     if small:

@@ -3,11 +3,13 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from listingflow.functions.json_repair import split_records
 from listingflow.sources import readers
+from listingflow.sources import records as scans
 from listingflow.sources.records import Scanner, read_pieces
 
 
@@ -118,3 +120,28 @@ def test_array_files_are_whole_or_bad(spark, tmp_path, many_ranges):
     assert {r["_file"][:-5]: r["reason"] for r in bad.collect()} == {"object": "not an array", "blank": "empty", "open": "not an array", "damaged": "not an array", "numbers": "no records", "text": "not an array"}
     assert {r["id"] for r in readers.read_records(spark, str(tmp_path)).select("url", "_extra.id").collect()} == {"1", "2", "3", "4", "5"}
     assert [tuple(r) for r in readers.damaged_records(spark, str(tmp_path)).collect()] == [("damaged.json", '{"id" "6"}')]
+
+
+def test_effect_of_a_range_is_a_small_row():
+    text = '{"a": [' * 50_000 + "}" * 10
+    batch = pa.RecordBatch.from_pydict({"_file": ["f"] * 11, "_start": [9] * 11, "_size": [10**6] * 11, "value": text.split("}")})
+    (row,) = scans._summarise(iter([batch]))
+    assert row.nbytes < 500 and row["n_bytes"][0].as_py() == len(text) + 1
+    assert (row["depth0"][0].as_py(), row["outer0"][0].as_py(), row["pops0"][0].as_py()) == (100_000 - 11, "{[", 0)  # a brace ends the last piece too
+
+
+def test_events_are_the_same_in_any_chunks(monkeypatch):
+    rng = random.Random(4)
+    atoms = ["{", "}", "[", "]", '"', "\\", "\n", "\n{", ",\n[", '{"a": 1}', '{"k": {"z": [{"x": [[]]}]}}', '"}{"', '[{"b": "\\""}]', "\r\n"]
+    for _ in range(200):
+        pieces = "".join(rng.choice(atoms) for _ in range(50)).split("}")
+        batch = pa.RecordBatch.from_pydict({"_file": ["f"] * len(pieces), "_start": [0] * len(pieces), "value": pieces})
+        found = []
+        for size in (1, 40, 1 << 20):  # one piece at a time is bracket by bracket
+            monkeypatch.setattr(scans, "CHUNK", size)
+            scan, base, events = Scanner(), 0, []
+            for *_, part, n_bytes in scans._by_range(iter([batch]), ["_file", "_start"]):
+                events += [(what, base + at) for what, at in scan.feed(part + "}")]
+                base += n_bytes
+            found.append((events, scan.in_string, scan.stack, scan.known, scan.pops))
+        assert found[0] == found[1] == found[2]
