@@ -19,6 +19,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,9 @@ GROUP = 32
 KNOWN = GROUP * GROUP  # the last stands for all rarer ids
 WIDTH = 32
 PAD = 0xFFFF
-TOGETHER, BATCH = 192, 96  # windows scored and learned at once
+TOGETHER, BATCH = 32, 96  # windows scored and learned at once
+TAKEN = 1 << 18  # ids put into windows at once, or one text
+NEAR = 48  # windows whose gradients are taken at once, so that they stay in the cache
 SCALE = float(1 << 32)  # of weights as whole numbers, whose sums don't depend on their order
 LOG10 = math.log(10.0)
 
@@ -65,10 +68,24 @@ class Counts:
         self.member = np.log(p / group[:, :, None]).astype(np.float32)
 
 
+def _flat(a: np.ndarray) -> np.ndarray:
+    return a.reshape(-1, a.shape[-1])
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a @ b`` for a matrix ``b``, as one product whatever the shape of ``a``."""
+    return (_flat(a) @ b).reshape(*a.shape[:-1], b.shape[1])
+
+
+def _sums(z: np.ndarray) -> np.ndarray:
+    """Sums of the last axis, which as a product take a fifth of the time."""
+    return _times(z, np.ones((z.shape[-1], 1), z.dtype))
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     z -= z.max(axis=-1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(axis=-1, keepdims=True)
+    z *= 1 / _sums(z)
     return z
 
 
@@ -78,16 +95,17 @@ def _log_share(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     own = z[np.arange(len(z)), at] - top
     z -= top[:, None]
     np.exp(z, out=z)
-    return own - np.log(z.sum(axis=-1))
+    return own - np.log(_sums(z)[:, 0])
 
 
 def _summed(rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """The sums of ``rows`` by their place ``at`` among ``n``."""
     out = np.zeros((n, rows.shape[1]), np.float32)
     if len(at):
-        order = np.argsort(at, kind="stable")
-        first = np.nonzero(np.diff(at[order], prepend=-1))[0]
-        out[at[order][first]] = np.add.reduceat(rows[order], first, axis=0)
+        order = np.argsort(at.astype(np.uint16), kind="stable")  # short numbers are sorted by their digits
+        place = at[order]
+        first = np.nonzero(np.diff(place, prepend=-1))[0]
+        out[place[first]] = np.add.reduceat(rows.take(order, axis=0), first, axis=0)
     return out
 
 
@@ -114,30 +132,35 @@ class AttentionModel:
         w = self.w
         pad = ids == PAD
         c = np.where(pad, KNOWN, self.counts.known_of[ids])
-        x = w["by_id"][c]
+        x = w["by_id"].take(c, axis=0)
         rare = np.nonzero(c == KNOWN - 1)  # told apart by the two halves of their number
         if len(rare[0]):
             x[rare] += w["high"][ids[rare] >> 8] + w["low"][ids[rare] & 255]
-        q, k, v = np.split(x @ w["qkv"], 3, axis=-1)
-        q = q[:, from_:]
+        q, k, v = np.split(_times(x, w["qkv"]), 3, axis=-1)
+        q = q[:, from_:] * np.float32(1 / math.sqrt(WIDTH))
         s = q @ k.transpose(0, 2, 1)
-        s *= 1 / math.sqrt(WIDTH)
         s += np.where(self.causal, w["far"][self.distance], -1e9).astype(np.float32)[from_:]
-        if pad.any():
-            np.copyto(s, np.float32(-1e9), where=pad[:, None, :] & (self.distance[None, from_:] > 0))
+        padded = np.nonzero(pad.any(axis=1))[0]
+        if len(padded):
+            s[padded] = np.where(pad[padded][:, None, :] & (self.distance[None, from_:] > 0), np.float32(-1e9), s[padded])
         s = _softmax(s)
         mixed = s @ v
-        y = x[:, from_:] + mixed @ w["back"]
-        u = np.maximum(y @ w["up"] + w["at"], 0)
-        return y + u @ w["down"], (c, rare, x, q, k, v, s, mixed, y, u)
+        y = _times(mixed, w["back"])
+        y += x[:, from_:]
+        u = _times(y, w["up"])
+        u += w["at"]
+        np.maximum(u, 0, out=u)
+        state = _times(u, w["down"])
+        state += y
+        return state, (c, rare, x, q, k, v, s, mixed, y, u)
 
     def _in_groups(self, state: np.ndarray, prev: np.ndarray, known: np.ndarray):
         """The order of places by the group of ``known``, states in it, their logits within the group, and where groups begin and end."""
         group = known // GROUP
-        order = np.argsort(group, kind="stable")
-        edge = np.searchsorted(group[order], np.arange(GROUP + 1))
-        held = state[order]
-        z = self.counts.member[prev[order], group[order]]
+        order = np.argsort(group.astype(np.uint8), kind="stable")
+        edge = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=GROUP))])
+        held = state.take(order, axis=0)
+        z = _flat(self.counts.member).take((prev * GROUP + group)[order], axis=0)
         spans = [(g, slice(edge[g], edge[g + 1])) for g in range(GROUP) if edge[g] < edge[g + 1]]
         for g, at in spans:
             z[at] += held[at] @ self.w["member"][g]
@@ -149,7 +172,9 @@ class AttentionModel:
         real = (after != PAD).ravel()
         state, prev, target = state.reshape(-1, WIDTH)[real], c[:, from_:].ravel()[real], after.ravel()[real]
         known = self.counts.known_of[target]
-        got = _log_share(state @ self.w["group"] + self.counts.group[prev], known // GROUP)
+        z = state @ self.w["group"]
+        z += self.counts.group.take(prev, axis=0)
+        got = _log_share(z, known // GROUP)
         order, _, z, _ = self._in_groups(state, prev, known)
         got[order] += _log_share(z, known[order] % GROUP)
         got += self.counts.share[target] * (known == KNOWN - 1)
@@ -159,58 +184,83 @@ class AttentionModel:
 
     def gradients(self, ids: np.ndarray, after: np.ndarray, from_: int) -> dict:
         """Of the mean loss over the places from ``from_`` on; ``after`` are the ids that follow those."""
+        n = max(1, int(((after != PAD) & (ids[:, from_:] != PAD)).sum()))
+        total: dict = {}
+        for at in range(0, len(ids), NEAR):
+            for name, g in self._gradients(ids[at : at + NEAR], after[at : at + NEAR], from_, n).items():
+                if name in total:
+                    total[name] += g
+                else:
+                    total[name] = g
+        return total
+
+    def _gradients(self, ids: np.ndarray, after: np.ndarray, from_: int, n_places: int) -> dict:
+        """Of the summed loss, divided by ``n_places``."""
         w, g = self.w, {}
         state, (c, rare, x, q, k, v, s, mixed, y, u) = self.forward(ids, from_)
         real = np.nonzero(((after != PAD) & (ids[:, from_:] != PAD)).ravel())[0]
-        flat = lambda a: a.reshape(-1, a.shape[-1])
-        h, prev, known = flat(state)[real], c[:, from_:].ravel()[real], self.counts.known_of[after.ravel()[real]]
-        z = _softmax(h @ w["group"] + self.counts.group[prev])
+        h, prev, known = _flat(state).take(real, axis=0), c[:, from_:].ravel()[real], self.counts.known_of[after.ravel()[real]]
+        z = h @ w["group"]
+        z += self.counts.group.take(prev, axis=0)
+        z = _softmax(z)
         z[np.arange(len(z)), known // GROUP] -= 1
+        z *= np.float32(1 / n_places)
         g["group"], dh = h.T @ z, z @ w["group"].T
         order, held, z, spans = self._in_groups(h, prev, known)
         z = _softmax(z)
         z[np.arange(len(z)), known[order] % GROUP] -= 1
+        z *= np.float32(1 / n_places)
         g["member"], back = np.zeros(self.SHAPES["member"], np.float32), np.empty_like(held)
         for n, at in spans:
-            g["member"][n] = held[at].T @ z[at]
-            back[at] = z[at] @ w["member"][n].T
+            np.matmul(held[at].T, z[at], out=g["member"][n])
+            np.matmul(z[at], w["member"][n].T, out=back[at])
         dh[order] += back
         dstate = np.zeros((after.size, WIDTH), np.float32)
-        dstate[real] = dh / max(1, len(real))
-        g["group"] /= max(1, len(real))
-        g["member"] /= max(1, len(real))
-        dstate = dstate.reshape(state.shape)
-        g["down"] = flat(u).T @ flat(dstate)
-        du = (dstate @ w["down"].T) * (u > 0)
-        g["up"], g["at"] = flat(y).T @ flat(du), flat(du).sum(0)
-        dy = dstate + du @ w["up"].T
-        g["back"] = flat(mixed).T @ flat(dy)
-        dm = dy @ w["back"].T
+        dstate[real] = dh
+        g["down"] = _flat(u).T @ dstate
+        du = dstate @ w["down"].T
+        du *= _flat(u) > 0
+        g["up"], g["at"] = _flat(y).T @ du, du.sum(0)
+        dstate += du @ w["up"].T
+        dy = dstate.reshape(state.shape)
+        g["back"] = _flat(mixed).T @ dstate
+        dm = _times(dy, w["back"].T)
         ds = dm @ v.transpose(0, 2, 1)
-        ds = s * (ds - (ds * s).sum(-1, keepdims=True))
+        ds -= _sums(dm * mixed)  # which is the sum of ds * s
+        ds *= s
         g["far"] = np.bincount(self.distance[from_:].ravel(), (ds.sum(0) * self.causal[from_:]).ravel(), SPAN).astype(np.float32)
-        ds *= 1 / math.sqrt(WIDTH)
         d = np.zeros((*x.shape[:2], 3 * WIDTH), np.float32)
-        d[:, from_:, :WIDTH] = ds @ k
+        np.multiply(ds @ k, np.float32(1 / math.sqrt(WIDTH)), out=d[:, from_:, :WIDTH])
         d[:, :, WIDTH : 2 * WIDTH] = ds.transpose(0, 2, 1) @ q
         d[:, :, 2 * WIDTH :] = s.transpose(0, 2, 1) @ dm
-        g["qkv"] = flat(x).T @ flat(d)
-        dx = d @ w["qkv"].T
+        g["qkv"] = _flat(x).T @ _flat(d)
+        dx = _times(d, w["qkv"].T)
         dx[:, from_:] += dy
-        g["by_id"] = _summed(flat(dx), c.ravel(), KNOWN + 1)
+        g["by_id"] = _summed(_flat(dx), c.ravel(), KNOWN + 1)
         g["high"], g["low"] = (_summed(dx[rare], at.astype(np.int64), len(w[n])) for n, at in (("high", ids[rare] >> 8), ("low", ids[rare] & 255)))
         return g
 
     def fit(self, batches, steps: int, rate: float = 0.01, state: tuple | None = None) -> tuple:
         """Adam over ``batches`` of (ids, next ids), at a rate that falls to a twentieth by ``steps``; returns its state, which a later call goes on from: two kinds of moments, and how many batches there were."""
         m, v, t = state or ({n: np.zeros(s, np.float32) for n, s in self.SHAPES.items()}, {n: np.zeros(s, np.float32) for n, s in self.SHAPES.items()}, 0)
+        own, m, v = ({n: a.astype(np.float32) for n, a in x.items()} for x in (self.w, m, v))  # copies, as they are changed in place
+        self.w = own
         for ids, after in batches:
             now = rate * max(0.05, 1 - t / max(1, steps))
             t += 1
             for n, g in self.gradients(ids, after, SPAN - after.shape[1]).items():
-                m[n] = m[n] + 0.1 * (g - m[n])
-                v[n] = v[n] + 0.01 * (g * g - v[n])
-                self.w[n] = self.w[n] - (now / (1 - 0.9**t)) * m[n] / (np.sqrt(v[n] / (1 - 0.99**t)) + 1e-8)
+                m[n] *= np.float32(0.9)
+                m[n] += np.float32(0.1) * g
+                g *= g
+                g *= np.float32(0.01)
+                v[n] *= np.float32(0.99)
+                v[n] += g
+                np.divide(v[n], np.float32(1 - 0.99**t), out=g)
+                np.sqrt(g, out=g)
+                g += np.float32(1e-8)
+                np.divide(m[n], g, out=g)
+                g *= np.float32(now / (1 - 0.9**t))
+                own[n] -= g
         return m, v, t
 
 
@@ -230,6 +280,28 @@ def windows_of(ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     return view(line), view(after)
 
 
+def windows_of_texts(column: pa.Array, end: int):
+    """The windows of :func:`windows_of` for a column of ids as bytes, by parts of a bounded number of ids.
+
+    Yields the lines of inputs and of the ids that follow them with all texts of a part one after the other, where each window begins there,
+    the place of its text in the column, and its place in the text.
+    """
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 2
+    edges = np.flatnonzero(np.diff(np.cumsum(sizes + 1) // TAKEN)) + 1
+    for first, last in zip([0, *edges], [*edges, len(sizes)]):
+        ids = np.frombuffer(b"".join(column.slice(first, last - first).to_pylist()), "<u2")
+        n = sizes[first:last]
+        chunks = -(-(n + 1) // STEP)
+        room = BEFORE + STEP * chunks
+        begin = np.cumsum(room) - room
+        line, after = np.full(room.sum(), PAD, np.uint16), np.full(room.sum(), PAD, np.uint16)
+        at = np.arange(len(ids)) + np.repeat(begin + BEFORE - (np.cumsum(n) - n), n)
+        line[begin + BEFORE], line[at + 1] = end, ids
+        after[begin + BEFORE + n], after[at] = end, ids
+        place = np.arange(chunks.sum()) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+        yield line, after, np.repeat(begin, chunks) + place * STEP, np.repeat(np.arange(first, last), chunks), place
+
+
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
@@ -318,29 +390,13 @@ def score_texts(
     shared = spark.sparkContext.broadcast((counts, model))
 
     def score(batches):
-        net = AttentionModel(*shared.value)
+        net, seen = AttentionModel(*shared.value), np.arange(SPAN)
         for batch in batches:
             total = np.zeros(batch.num_rows)
-            held_rows, ins, outs, n = [], [], [], 0
-
-            def flush():
-                x, y = np.concatenate(ins), np.concatenate(outs)[:, BEFORE:]
-                owner = np.repeat(held_rows, [len(i) for i in ins])
-                for at in range(0, len(x), TOGETHER):
-                    part = slice(at, at + TOGETHER)
-                    np.add.at(total, owner[part], net.log_likelihood(x[part], y[part], BEFORE).sum(axis=1))
-
-            for i, ids in enumerate(batch.column(2)):
-                a, b = windows_of(np.frombuffer(ids.as_py(), "<u2"), end)
-                held_rows.append(i)
-                ins.append(a)
-                outs.append(b)
-                n += len(a)
-                if n > 4096:
-                    flush()
-                    held_rows, ins, outs, n = [], [], [], 0
-            if ins:
-                flush()
+            for line, after, begin, owner, _ in windows_of_texts(batch.column(2), end):
+                for at in range(0, len(begin), TOGETHER):
+                    here = begin[at : at + TOGETHER, None] + seen
+                    np.add.at(total, owner[at : at + TOGETHER], net.log_likelihood(line[here], after[here[:, BEFORE:]], BEFORE).sum(axis=1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total / LOG10)], names=["key", "row", "score"])
 
     scored = coded.select("key", "row", "ids").mapInArrow(score, f"key {kind}, row long, score double").select("row", "score")
@@ -427,26 +483,18 @@ def _dealt(coded: DataFrame, end: int, windows_each: int, turn: int = 0, rounds:
 
     def draw(batches):
         for batch in batches:
-            lines, marks = [], []
-
-            def done():
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(marks) if marks else np.zeros(0, np.int64)), pa.array(lines, pa.binary())], names=["mark", "line"])
-
-            for key, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
-                a, b = windows_of(np.frombuffer(ids.as_py(), "<u2"), end)
+            keys = np.array([k % (1 << 64) for k in batch.column(0).to_pylist()], np.uint64)
+            for line, after, begin, owner, place in windows_of_texts(batch.column(1), end):
                 with np.errstate(over="ignore"):
-                    h = np.uint64(key % (1 << 64)) + np.arange(len(a), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                    h = keys[owner] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
                 h ^= h >> np.uint64(31)
-                own = (h >> np.uint64(32)) % np.uint64(rounds) == turn
-                a, b = a[own], b[own].copy()
+                own = np.flatnonzero((h >> np.uint64(32)) % np.uint64(rounds) == turn)
+                here = begin[own, None] + np.arange(SPAN)
+                a, b = line[here], after[here]
                 b[:, :-1] = np.where(b[:, :-1] == PAD, a[:, 1:], b[:, :-1])  # the end before the first id; what follows padding isn't learned
-                lines += [x.tobytes() for x in np.concatenate([a[:, :1], b], axis=1)]
-                marks.append(h[own].view(np.int64))
-                if len(lines) > 1 << 13:
-                    yield done()
-                    lines, marks = [], []
-            yield done()
+                lines = pa.array(np.concatenate([a[:, :1], b], axis=1).view(f"V{2 * SPAN + 2}").ravel().tolist(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(h[own].view(np.int64)), lines], names=["mark", "line"])
 
     windows = coded.agg(F.sum(F.ceil((F.length("ids") / 2 + 1) / STEP))).first()[0] or 0
     trainers = max(1, -(-windows // windows_each))

@@ -1070,3 +1070,39 @@ def test_queries_and_pipeline_run(spark):
         kept = spark.createDataFrame(out.collect(), out.schema)
         assert kept.count() > 0, name
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_windows_of_many_texts_equal_those_of_each(monkeypatch):
+    import pyarrow as pa
+
+    from listingflow.llm import lm_scoring
+
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 50_000, n).astype("<u2") for n in (0, 1, 46, 47, 48, 49, 95, 96, 0, 200, 0, 1000, 3)]
+    want = [(i, k, a.tolist(), b.tolist()) for i, x in enumerate(texts) for k, (a, b) in enumerate(zip(*lm_scoring.windows_of(x, 50_000)))]
+    for taken in (1, 100, 1 << 18):
+        monkeypatch.setattr(lm_scoring, "TAKEN", taken)
+        got = []
+        for line, after, begin, owner, place in lm_scoring.windows_of_texts(pa.array([x.tobytes() for x in texts], pa.binary()), 50_000):
+            here = begin[:, None] + np.arange(lm_scoring.SPAN)
+            got += zip(owner.tolist(), place.tolist(), line[here].tolist(), after[here].tolist())
+        assert got == want
+
+
+def test_fit_leaves_shared_weights_and_gradients_sum_over_parts(monkeypatch):
+    from listingflow.llm import lm_scoring
+
+    counts = lm_scoring.Counts(np.arange(2000.0), 1999)
+    counts.pair(np.arange(5), np.ones(5))
+    net = lm_scoring.AttentionModel(counts)
+    rng = np.random.default_rng(5)
+    ids, after = (rng.integers(0, 2000, (20, n)).astype(np.uint16) for n in (lm_scoring.SPAN, lm_scoring.STEP))
+    ids[3, :9], after[7, 30:] = lm_scoring.PAD, lm_scoring.PAD
+    whole = net.gradients(ids, after, lm_scoring.BEFORE)
+    monkeypatch.setattr(lm_scoring, "NEAR", 7)
+    for name, g in net.gradients(ids, after, lm_scoring.BEFORE).items():
+        assert np.allclose(g, whole[name], atol=1e-6), name
+    before, shared = {n: x.copy() for n, x in net.w.items()}, net.w
+    net.fit([(ids, after)], 1)
+    assert all((shared[n] == before[n]).all() for n in before) and (net.w["down"] != before["down"]).any()
+
