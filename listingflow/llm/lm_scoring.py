@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listingflow.llm.common import staged
+from listingflow.llm.common import staged, unstage
 from listingflow.llm.tokenization import IdEncoder
 
 STEP, SPAN = 48, 64  # ids scored and seen in a window
@@ -540,14 +540,17 @@ def _train(coded: DataFrame, counts: Counts, windows_each: int, rounds: int = 8)
 
             m, v, t = net.fit(some(), steps, state=moments and (dict(moments[0]), dict(moments[1]), moments[2]))
             if t > (moments[2] if moments else 0):
-                flat = np.concatenate([x[n].ravel() for x in (net.w, m, {n: np.sqrt(y) for n, y in v.items()}) for n in names] + [[t]]).astype(np.float64)
-                yield _row(1, np.rint(flat * SCALE).astype(np.int64))
+                flat = np.concatenate([x[n].ravel() for x in (net.w, m, {n: np.sqrt(y) for n, y in v.items()}) for n in names] + [[t]])
+                yield _row(1, flat, "<f4")
 
-        got, left = dealt.mapInArrow(train, "n long, weights binary"), trainers
+        got, left, add = staged(dealt.mapInArrow(train, "n long, weights binary"), "lm-trained"), trainers, _total_of_floats
         while left:  # sums of sums, so that the driver takes eight rows at most
             left = -(-left // 64) if left > 64 * 8 else 0
-            got = staged(staged(got, "lm-trained").repartition(left or 8).mapInArrow(_total, "n long, weights binary"), "lm-totals", rows_per_batch=8)
+            total = staged(got.coalesce(left or 8).mapInArrow(add, "n long, weights binary"), "lm-totals", rows_per_batch=8)  # no shuffle, whose files would stay
+            unstage(got)
+            got, add = total, _total
         rows = got.collect()
+        unstage(got)
         start.unpersist()
         if rows:
             mean = sum(np.frombuffer(r["weights"], "<i8") for r in rows) / (SCALE * sum(r["n"] for r in rows))
@@ -556,8 +559,14 @@ def _train(coded: DataFrame, counts: Counts, windows_each: int, rounds: int = 8)
     return model or AttentionModel(counts).w
 
 
-def _row(n: int, weights: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([weights.astype("<i8").tobytes()], pa.binary())], names=["n", "weights"])
+def _row(n: int, weights: np.ndarray, kind: str = "<i8") -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([weights.astype(kind).tobytes()], pa.binary())], names=["n", "weights"])
+
+
+def _total_of_floats(batches):
+    """Like :func:`_total`, of rows as trainers write them."""
+    whole = lambda w: np.rint(np.frombuffer(w.as_py(), "<f4").astype(np.float64) * SCALE).astype(np.int64)
+    return _total(_row(n, whole(w)) for batch in batches for n, w in zip(batch.column(0).to_pylist(), batch.column(1)))
 
 
 def _total(batches):

@@ -1104,5 +1104,16 @@ def test_fit_leaves_shared_weights_and_gradients_sum_over_parts(monkeypatch):
         assert np.allclose(g, whole[name], atol=1e-6), name
     before, shared = {n: x.copy() for n, x in net.w.items()}, net.w
     net.fit([(ids, after)], 1)
-    assert all((shared[n] == before[n]).all() for n in before) and (net.w["down"] != before["down"]).any()
+    assert all((shared[n] == before[n]).all() for n in before) and (net.w["group"] != before["group"]).any()
 
+
+
+def test_weights_of_trainers_are_removed_after_each_round(spark, docs):
+    import glob
+
+    from listingflow.shared import shared_dir
+
+    at = shared_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{at}/lm-tr*")) | set(glob.glob(f"{at}/lm-tot*"))
+    assert score_texts(docs.select("doc_id", "text").limit(60), windows_each=64, rounds=2).count() == 60
+    assert glob.glob(f"{at}/lm-ids*") and set(glob.glob(f"{at}/lm-tr*")) | set(glob.glob(f"{at}/lm-tot*")) == before
