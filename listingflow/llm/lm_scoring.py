@@ -32,11 +32,15 @@ GROUP = 32
 KNOWN = GROUP * GROUP  # the last stands for all rarer ids
 WIDTH = 32
 PAD = 0xFFFF
-TOGETHER, BATCH = 32, 96  # windows scored and learned at once
+TOGETHER, BATCH = 48, 96  # windows scored and learned at once
+BLOCK = 16  # rows of a product that are rounded alike
 TAKEN = 1 << 18  # ids put into windows at once, or one text
 NEAR = 48  # windows whose gradients are taken at once, so that they stay in the cache
 SCALE = float(1 << 32)  # of weights as whole numbers, whose sums don't depend on their order
 LOG10 = math.log(10.0)
+HIGH, LOW = KNOWN + 1, KNOWN + 257  # where the rows of the two halves of rarer ids begin
+ROOT = np.float32(1 / math.sqrt(WIDTH))
+SAFE = 40.0  # sums of exp of values nearer to 0 are far from the limits of short numbers
 
 
 class Counts:
@@ -82,8 +86,22 @@ def _sums(z: np.ndarray) -> np.ndarray:
     return _times(z, np.ones((z.shape[-1], 1), z.dtype))
 
 
+def _far(z: np.ndarray, most: float = SAFE) -> tuple:
+    """The rows with a value so far from 0 that ``exp`` must not be taken of it as it is.  No row's result depends on the others."""
+    if z.size == 0 or (z.max() < most and z.min() > -most):
+        return ()
+    return np.nonzero(~((z < most) & (z > -most)).all(axis=-1))  # so are values that are no numbers
+
+
+def _lower(z: np.ndarray, rows: tuple) -> np.ndarray:
+    """``z`` with the largest value of each of ``rows`` taken from them, in place."""
+    if len(rows):
+        z[rows] -= z[rows].max(axis=-1, keepdims=True)
+    return z
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=-1, keepdims=True)
+    z = _lower(z, _far(z))
     np.exp(z, out=z)
     z *= 1 / _sums(z)
     return z
@@ -91,11 +109,9 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def _log_share(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The log softmax of ``z`` at one place of each row."""
-    top = z.max(axis=-1)
-    own = z[np.arange(len(z)), at] - top
-    z -= top[:, None]
-    np.exp(z, out=z)
-    return own - np.log(_sums(z)[:, 0])
+    z = _lower(z, _far(z))
+    own = z[np.arange(len(z)), at]
+    return own - np.log(_sums(np.exp(z, out=z))[:, 0])
 
 
 def _summed(rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -109,6 +125,11 @@ def _summed(rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _halves(from_: int) -> list[tuple[int, int]]:
+    """Where the places from ``from_`` on are parted, as those of the first half see nothing of the second."""
+    return [(from_, (from_ + SPAN) // 2), ((from_ + SPAN) // 2, SPAN)]
+
+
 class AttentionModel:
     SHAPES = {
         "by_id": (KNOWN + 1, WIDTH), "high": (PAD // 256 + 1, WIDTH), "low": (256, WIDTH), "qkv": (WIDTH, 3 * WIDTH), "back": (WIDTH, WIDTH), "far": (SPAN,),
@@ -127,60 +148,85 @@ class AttentionModel:
         self.distance = np.maximum(distance, 0)
         self.causal = distance >= 0
 
-    def forward(self, ids: np.ndarray, from_: int) -> tuple:
-        """The state after each place from ``from_`` on in every window, and what led to it."""
+    def onward(self) -> np.ndarray:
+        """From an input to its query, by the root of their width, its key, and what its value adds to a state."""
+        q, k, v = np.split(self.w["qkv"], 3, axis=1)
+        return np.concatenate([q * ROOT, k, v @ self.w["back"]], axis=1)
+
+    def rows(self) -> np.ndarray:
+        """Input, query, key and value of each known id, of padding, and of each half of a rarer number.
+
+        No place is part of an input, so those of every place are sums of these, and scoring computes them once.
+        """
+        e = np.concatenate([self.w["by_id"], self.w["high"], self.w["low"]])
+        return np.concatenate([e, e @ self.onward()], axis=1)
+
+    def forward(self, ids: np.ndarray, from_: int, rows: np.ndarray | None = None) -> tuple:
+        """The state after each place from ``from_`` on in every window, and what led to it; ``rows`` are those of the weights at hand, if there are any."""
         w = self.w
         pad = ids == PAD
-        c = np.where(pad, KNOWN, self.counts.known_of[ids])
-        x = w["by_id"].take(c, axis=0)
+        c = self.counts.known_of[ids]
+        c[pad] = KNOWN
+        x = (w["by_id"] if rows is None else rows).take(c, axis=0)
         rare = np.nonzero(c == KNOWN - 1)  # told apart by the two halves of their number
         if len(rare[0]):
-            x[rare] += w["high"][ids[rare] >> 8] + w["low"][ids[rare] & 255]
-        q, k, v = np.split(_times(x, w["qkv"]), 3, axis=-1)
-        q = q[:, from_:] * np.float32(1 / math.sqrt(WIDTH))
-        s = q @ k.transpose(0, 2, 1)
-        s += np.where(self.causal, w["far"][self.distance], -1e9).astype(np.float32)[from_:]
+            high, low = (w["high"], w["low"]) if rows is None else (rows[HIGH:LOW], rows[LOW:])
+            x[rare] += high.take(ids[rare] >> 8, axis=0) + low.take(ids[rare] & 255, axis=0)
+        x, *qkv = (x, *np.split(_times(x, self.onward()), 3, axis=-1)) if rows is None else np.split(x, 4, axis=-1)
+        q, k, v = qkv
+        seen = np.where(self.causal, w["far"][self.distance], -1e9).astype(np.float32)
         padded = np.nonzero(pad.any(axis=1))[0]
-        if len(padded):
-            s[padded] = np.where(pad[padded][:, None, :] & (self.distance[None, from_:] > 0), np.float32(-1e9), s[padded])
-        s = _softmax(s)
-        mixed = s @ v
-        y = _times(mixed, w["back"])
-        y += x[:, from_:]
+        unseen = pad[padded][:, None, :] & (self.distance[None] > 0)
+        shares, mixed = [], np.empty((len(ids), SPAN - from_, WIDTH), np.float32)
+        for a, b in _halves(from_):
+            s = q[:, a:b] @ k[:, :b].transpose(0, 2, 1)
+            low = _far(s, SAFE / 2) if np.abs(w["far"]).max() < SAFE / 2 else np.nonzero(np.ones(s.shape[:2]))  # all that these see may be far below 0
+            s += seen[a:b, :b]
+            if len(padded):
+                s[padded] = np.where(unseen[:, a:b, :b], np.float32(-1e9), s[padded])
+            shares.append(np.exp(_lower(s, low), out=s))
+            np.matmul(s, v[:, :b], out=mixed[:, a - from_ : b - from_])
+        shrink = 1 / np.concatenate([_sums(s) for s in shares], axis=1)  # what follows is shorter than a row of shares, so it is divided instead
+        mixed *= shrink
+        y = mixed + x[:, from_:]
         u = _times(y, w["up"])
         u += w["at"]
         np.maximum(u, 0, out=u)
         state = _times(u, w["down"])
         state += y
-        return state, (c, rare, x, q, k, v, s, mixed, y, u)
+        return state, (c, rare, x, q, k, v, shares, shrink, mixed, y, u)
 
-    def _in_groups(self, state: np.ndarray, prev: np.ndarray, known: np.ndarray):
-        """The order of places by the group of ``known``, states in it, their logits within the group, and where groups begin and end."""
+    def _in_groups(self, state: np.ndarray, prev: np.ndarray, known: np.ndarray, block: int = 1):
+        """The order of places by the group of ``known``, states in it, their logits within the group, where groups begin and end, and which rows are no filling: groups are filled up to whole ``block`` s."""
         group = known // GROUP
-        order = np.argsort(group.astype(np.uint8), kind="stable")
-        edge = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=GROUP))])
+        n = np.bincount(group, minlength=GROUP)
+        edge = np.concatenate([[0], np.cumsum(-(-n // block) * block)])
+        own = np.arange(len(group)) + np.repeat(edge[:-1] - np.cumsum(n) + n, n)
+        order = np.zeros(edge[-1], np.int64)
+        order[own] = np.argsort(group.astype(np.uint8), kind="stable")
+        in_group = np.repeat(np.arange(GROUP), np.diff(edge))
         held = state.take(order, axis=0)
-        z = _flat(self.counts.member).take((prev * GROUP + group)[order], axis=0)
+        z = _flat(self.counts.member).take(prev[order] * GROUP + in_group, axis=0)
         spans = [(g, slice(edge[g], edge[g + 1])) for g in range(GROUP) if edge[g] < edge[g + 1]]
+        more = np.empty_like(held)
         for g, at in spans:
-            z[at] += held[at] @ self.w["member"][g]
-        return order, held, z, spans
+            np.matmul(held[at], self.w["member"][g], out=more[at])
+        z += more
+        return order, held, z, spans, own
 
-    def log_likelihood(self, ids: np.ndarray, after: np.ndarray, from_: int) -> np.ndarray:
+    def log_likelihood(self, ids: np.ndarray, after: np.ndarray, from_: int, rows: np.ndarray | None = None) -> np.ndarray:
         """Natural log probability of each of ``after``; 0 where it is padding."""
-        state, (c, *_) = self.forward(ids, from_)
-        real = (after != PAD).ravel()
-        state, prev, target = state.reshape(-1, WIDTH)[real], c[:, from_:].ravel()[real], after.ravel()[real]
+        state, (c, *_) = self.forward(ids, from_, rows)
+        # places after padding are taken along and groups filled up, as products round the rows beyond whole blocks otherwise
+        state, prev, target = _flat(state), np.minimum(c[:, from_:].ravel(), KNOWN - 1), after.ravel()
         known = self.counts.known_of[target]
         z = state @ self.w["group"]
         z += self.counts.group.take(prev, axis=0)
         got = _log_share(z, known // GROUP)
-        order, _, z, _ = self._in_groups(state, prev, known)
-        got[order] += _log_share(z, known[order] % GROUP)
+        order, _, z, _, own = self._in_groups(state, prev, known, BLOCK)
+        got[order[own]] += _log_share(z, known[order] % GROUP)[own]
         got += self.counts.share[target] * (known == KNOWN - 1)
-        out = np.zeros(after.shape, np.float64)
-        out.ravel()[real] = got
-        return out
+        return np.where(after != PAD, got.reshape(after.shape), 0.0).astype(np.float64)
 
     def gradients(self, ids: np.ndarray, after: np.ndarray, from_: int) -> dict:
         """Of the mean loss over the places from ``from_`` on; ``after`` are the ids that follow those."""
@@ -192,12 +238,16 @@ class AttentionModel:
                     total[name] += g
                 else:
                     total[name] = g
+        q, v = slice(WIDTH), slice(2 * WIDTH, None)
+        total["back"] = self.w["qkv"][:, v].T @ total["qkv"][:, v]
+        total["qkv"][:, q] *= ROOT
+        total["qkv"][:, v] = total["qkv"][:, v] @ self.w["back"].T
         return total
 
     def _gradients(self, ids: np.ndarray, after: np.ndarray, from_: int, n_places: int) -> dict:
-        """Of the summed loss, divided by ``n_places``."""
+        """Of the summed loss, divided by ``n_places``; those of ``qkv`` and ``back`` are as :meth:`onward` has them."""
         w, g = self.w, {}
-        state, (c, rare, x, q, k, v, s, mixed, y, u) = self.forward(ids, from_)
+        state, (c, rare, x, q, k, v, shares, shrink, mixed, y, u) = self.forward(ids, from_)
         real = np.nonzero(((after != PAD) & (ids[:, from_:] != PAD)).ravel())[0]
         h, prev, known = _flat(state).take(real, axis=0), c[:, from_:].ravel()[real], self.counts.known_of[after.ravel()[real]]
         z = h @ w["group"]
@@ -206,7 +256,7 @@ class AttentionModel:
         z[np.arange(len(z)), known // GROUP] -= 1
         z *= np.float32(1 / n_places)
         g["group"], dh = h.T @ z, z @ w["group"].T
-        order, held, z, spans = self._in_groups(h, prev, known)
+        order, held, z, spans, _ = self._in_groups(h, prev, known)
         z = _softmax(z)
         z[np.arange(len(z)), known[order] % GROUP] -= 1
         z *= np.float32(1 / n_places)
@@ -223,18 +273,27 @@ class AttentionModel:
         g["up"], g["at"] = _flat(y).T @ du, du.sum(0)
         dstate += du @ w["up"].T
         dy = dstate.reshape(state.shape)
-        g["back"] = _flat(mixed).T @ dstate
-        dm = _times(dy, w["back"].T)
-        ds = dm @ v.transpose(0, 2, 1)
-        ds -= _sums(dm * mixed)  # which is the sum of ds * s
-        ds *= s
-        g["far"] = np.bincount(self.distance[from_:].ravel(), (ds.sum(0) * self.causal[from_:]).ravel(), SPAN).astype(np.float32)
-        d = np.zeros((*x.shape[:2], 3 * WIDTH), np.float32)
-        np.multiply(ds @ k, np.float32(1 / math.sqrt(WIDTH)), out=d[:, from_:, :WIDTH])
-        d[:, :, WIDTH : 2 * WIDTH] = ds.transpose(0, 2, 1) @ q
-        d[:, :, 2 * WIDTH :] = s.transpose(0, 2, 1) @ dm
+        dm = dy * shrink
+        less = _sums(dm * mixed)  # which is the sum of ds by shares
+        d, far = np.empty((*c.shape, 3 * WIDTH), np.float32), np.zeros((SPAN, SPAN))
+        dq, dk, dv = np.split(d, 3, axis=-1)
+        dq[:, :from_] = 0
+        for (a, b), s in zip(_halves(from_)[::-1], shares[::-1]):  # the second half first, as it reaches all places
+            own = dm[:, a - from_ : b - from_]
+            ds = own @ v[:, :b].transpose(0, 2, 1)
+            ds -= less[:, a - from_ : b - from_]
+            ds *= s
+            far[a:b, :b] = ds.sum(0)
+            np.matmul(ds, k[:, :b], out=dq[:, a:b])
+            if b == SPAN:
+                np.matmul(ds.transpose(0, 2, 1), q[:, a:b], out=dk)
+                np.matmul(s.transpose(0, 2, 1), own, out=dv)
+            else:
+                dk[:, :b] += ds.transpose(0, 2, 1) @ q[:, a:b]
+                dv[:, :b] += s.transpose(0, 2, 1) @ own
+        g["far"] = np.bincount(self.distance.ravel(), (far * self.causal).ravel(), SPAN).astype(np.float32)
         g["qkv"] = _flat(x).T @ _flat(d)
-        dx = _times(d, w["qkv"].T)
+        dx = _times(d, self.onward().T)
         dx[:, from_:] += dy
         g["by_id"] = _summed(_flat(dx), c.ravel(), KNOWN + 1)
         g["high"], g["low"] = (_summed(dx[rare], at.astype(np.int64), len(w[n])) for n, at in (("high", ids[rare] >> 8), ("low", ids[rare] & 255)))
@@ -391,12 +450,13 @@ def score_texts(
 
     def score(batches):
         net, seen = AttentionModel(*shared.value), np.arange(SPAN)
+        own = net.rows()
         for batch in batches:
             total = np.zeros(batch.num_rows)
             for line, after, begin, owner, _ in windows_of_texts(batch.column(2), end):
                 for at in range(0, len(begin), TOGETHER):
                     here = begin[at : at + TOGETHER, None] + seen
-                    np.add.at(total, owner[at : at + TOGETHER], net.log_likelihood(line[here], after[here[:, BEFORE:]], BEFORE).sum(axis=1))
+                    np.add.at(total, owner[at : at + TOGETHER], net.log_likelihood(line[here], after[here[:, BEFORE:]], BEFORE, own).sum(axis=1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total / LOG10)], names=["key", "row", "score"])
 
     scored = coded.select("key", "row", "ids").mapInArrow(score, f"key {kind}, row long, score double").select("row", "score")

@@ -1117,3 +1117,34 @@ def test_weights_of_trainers_are_removed_after_each_round(spark, docs):
     before = set(glob.glob(f"{at}/lm-tr*")) | set(glob.glob(f"{at}/lm-tot*"))
     assert score_texts(docs.select("doc_id", "text").limit(60), windows_each=64, rounds=2).count() == 60
     assert glob.glob(f"{at}/lm-ids*") and set(glob.glob(f"{at}/lm-tr*")) | set(glob.glob(f"{at}/lm-tot*")) == before
+
+
+def test_rows_of_ids_score_as_their_places_do(monkeypatch):
+    from listingflow.llm import lm_scoring
+    from listingflow.llm.lm_scoring import BEFORE
+
+    net = random_net()
+    ids = np.random.default_rng(8).integers(0, 1999, 150)
+    a, b = windows_of(ids.astype("<u2"), 1999)
+    b = b[:, BEFORE:]
+    plain = net.log_likelihood(a, b, BEFORE)
+    assert net.rows().shape == (lm_scoring.KNOWN + 1 + 512, 4 * lm_scoring.WIDTH)  # their number depends on the vocabulary, not on the places
+    assert np.allclose(net.log_likelihood(a, b, BEFORE, net.rows()), plain, atol=1e-4)
+    near = net.gradients(a, b, BEFORE)
+    monkeypatch.setattr(lm_scoring, "SAFE", 0.0)  # each row is lowered by its largest value
+    assert np.allclose(net.log_likelihood(a, b, BEFORE, net.rows()), plain, atol=1e-4)
+    for name, g in net.gradients(a, b, BEFORE).items():
+        assert np.allclose(g, near[name], atol=1e-5), name
+
+
+def test_values_far_from_nothing_are_scored():
+    from listingflow.llm.lm_scoring import BEFORE, SPAN, STEP
+
+    ids = np.random.default_rng(9).integers(0, 1999, 100)
+    a, b = windows_of(ids.astype("<u2"), 1999)
+    for name, to in (("qkv", lambda w: w * 40), ("far", lambda w: w - 200), ("far", lambda w: w + 200), ("group", lambda w: w * 20), ("member", lambda w: w * 20)):
+        net = random_net()
+        net.w[name] = to(net.w[name])
+        got = net.log_likelihood(a, b[:, BEFORE:], BEFORE, net.rows()).sum()
+        assert math.isclose(got, plain_score(net, ids.tolist(), 1999, SPAN, STEP), rel_tol=1e-3), name
+        assert all(np.isfinite(g).all() for g in net.gradients(a, b[:, BEFORE:], BEFORE).values()), name
